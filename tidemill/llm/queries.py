@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, repetition, simhash, suffix_dedup
+from . import chat, decontaminate, packing, repetition, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,17 @@ def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end=2)
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out()))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -54,7 +65,7 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_simhash_anchors, op4_histogram_packing, op7_suffix_dedup, op8_chat_reply_trees, op10_suffix_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op3_simhash_anchors, op4_histogram_packing, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op10_suffix_decontamination)}
 
 
 def _escaped_length(x: str) -> str:
