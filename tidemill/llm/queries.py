@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, repetition, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, html_extract, packing, repetition, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rule(_table(spark, sf_dir, "documents"))
 
 
+def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -42,6 +46,11 @@ def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end=2)
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
@@ -65,7 +74,7 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op3_simhash_anchors, op4_histogram_packing, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op10_suffix_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op2_tag_path_ratios, op3_simhash_anchors, op4_histogram_packing, op5_warc_index, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op10_suffix_decontamination)}
 
 
 def _escaped_length(x: str) -> str:
@@ -88,5 +97,16 @@ from rows group by conv_id
 """
 
 
+_OP5 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest from p),
+c as (select payload_digest, max(page_id) as chief from d where payload_bytes >= 1000 group by payload_digest having count(*) > 1)
+select d.page_id, cast(d.payload_bytes as bigint) as payload_bytes, d.payload_digest,
+  case when c.chief is not null and d.page_id <> c.chief then 'revisit' else 'response' end as record_type,
+  case when c.chief is not null and d.page_id <> c.chief then c.chief end as refers_to
+from d left join c on d.payload_digest = c.payload_digest and d.payload_bytes >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_reply_trees": _OP8}
+    return {"op5_warc_index": _OP5, "op8_chat_reply_trees": _OP8}
