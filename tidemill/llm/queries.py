@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, packing, repetition, simhash, suffix_dedup, toxicity, warc
+from . import chat, decontaminate, html_extract, licenses, packing, repetition, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files <source>/<lang>/<thousand of ids>/<doc_id>.txt; one that ends with a licence
+    statement is named LICENSE-<doc_id> and speaks for its directory."""
+    last = F.regexp_extract(F.coalesce("text", F.lit("")), r"([^\n]*)\s*$", 1)
+    name = F.when(last.rlike(licenses.HINT), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    return licenses.scan(files, key="doc_id")
+
+
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     names = F.sha2(F.array_join("items", ","), 256)
@@ -74,7 +84,7 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op2_tag_path_ratios, op3_simhash_anchors, op4_histogram_packing, op5_warc_index, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op10_suffix_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_repetition, op2_tag_path_ratios, op3_simhash_anchors, op4_histogram_packing, op5_warc_index, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op9_license_scan, op10_suffix_decontamination)}
 
 
 def _escaped_length(x: str) -> str:
