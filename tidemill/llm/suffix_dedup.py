@@ -36,8 +36,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import checkpoint, chunks, text_bytes
@@ -491,6 +492,16 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return by_doc.cogroup(spans.groupBy("bucket")).applyInArrow(_cut_rows(names, arrow), out)
 
 
+def decoded(kept: str) -> Column:
+    """What is left as text; bytes of characters that were cut in two go."""
+
+    @F.pandas_udf("string")
+    def decode(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(F.col(kept))
+
+
 def _number(base: DataFrame, id_column: str) -> DataFrame:
     """Row numbers in order of id, then text, where ids are null or not unique: a range sort, counts of
     each partition, and numbers within it."""

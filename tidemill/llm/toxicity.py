@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import arrow_map, checkpoint, chunks
 
 #: Labelled rows used in the fit at most; features kept at most.
-SAMPLE, FEATURES = 16_000, 3_000
+SAMPLE, FEATURES = 16_000, 800
 #: Letters of a word's beginning that are features besides the word itself.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature needs so many labelled texts and so large a z-score.
@@ -108,29 +108,38 @@ def fit(rows: list[tuple[int, dict[int, int]]], variants: list[tuple[dict[int, i
     """Newton steps on log loss + ridge * |w|^2 / 2 + penalty * sum of squared logit changes."""
     columns = sorted({f for _, x in rows for f in x} | {f for a, b in variants for x in (a, b) for f in x})
     place = {f: k for k, f in enumerate(columns)}
-    y = np.array([label for label, _ in rows], float)
+    # texts with equal features and label are one row with a weight; most have no feature at all
+    kinds = Counter((label, tuple(sorted(x.items()))) for label, x in rows)
+    y = np.array([label for label, _ in kinds], float)
+    weight = np.array(list(kinds.values()), float)
     if not len(y) or y.min() == y.max() or not columns:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = ((y * weight).sum() + 0.5) / (weight.sum() + 1)
         return Model(math.log(share / (1 - share)))
-    x = np.ones((len(rows), len(columns) + 1))
-    x[:, :-1] = 0
-    for i, (_, counts) in enumerate(rows):
-        for f, n in counts.items():
+    x = np.zeros((len(kinds), len(columns) + 1))
+    x[:, -1] = 1
+    for i, (_, counts) in enumerate(kinds):
+        for f, n in counts:
             x[i, place[f]] = math.log1p(n)
-    change = np.zeros((len(variants), len(columns) + 1))
-    for i, (a, b) in enumerate(variants):
+    width = x.shape[1]
+    fixed = ridge * np.eye(width)
+    for a, b in variants:
+        change = np.zeros(width)
         for f, n in a.items():
-            change[i, place[f]] += math.log1p(n)
+            change[place[f]] += math.log1p(n)
         for f, n in b.items():
-            change[i, place[f]] -= math.log1p(n)
-    fixed = ridge * np.eye(x.shape[1]) + 2 * penalty * change.T @ change
+            change[place[f]] -= math.log1p(n)
+        at = np.flatnonzero(change)
+        fixed[np.ix_(at, at)] += 2 * penalty * np.outer(change[at], change[at])
     fixed[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + fixed @ w
-        spread = np.maximum(p * (1 - p), 1e-4)
-        step = np.linalg.solve((x * spread[:, None]).T @ x + fixed, gradient)
+        gradient = x.T @ (weight * (p - y)) + fixed @ w
+        spread = weight * np.maximum(p * (1 - p), 1e-4)
+        curve = fixed.copy()
+        for k in range(0, len(x), 2048):
+            curve += (x[k : k + 2048] * spread[k : k + 2048, None]).T @ x[k : k + 2048]
+        step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-5:
             break
@@ -198,9 +207,28 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     best = tally.where((F.col("bad") + F.col("good") >= LEAST_TEXTS) & (share < 1)).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(FEATURES)
     chosen = {r["f"] for r in best.collect()}
     got = texts.mapInArrow(_counted(chosen), "toxic int, own string, other array<string>").collect()
-    rows = sorted((r["toxic"], tuple(sorted(_parse(r["own"]).items()))) for r in got)
+    rows = sorted(((r["toxic"], _parse(r["own"])) for r in got), key=lambda x: (x[0], sorted(x[1].items())))
     variants = [(_parse(r["own"]), _parse(x)) for r in got for x in r["other"]]
-    return fit([(label, dict(x)) for label, x in rows], variants, penalty)
+    return fit(rows, variants, penalty)
+
+
+def logit_to_score(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def keep_below(docs: DataFrame, model: Model, text_column: str = "text", limit: float = 0.5) -> DataFrame:
+    """docs, all columns as they are, without the rows that score `limit` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for batch in chunks(batches, "_text"):
+            own = [set(words(t or "")) for t in batch.column("_text").to_pylist()]
+            known = m.known(set().union(*own))
+            low = logit_to_score(np.array([m.logit(w, known) for w in own])) < limit
+            yield batch.drop_columns(["_text"]).filter(pa.array(low))
+
+    return docs.withColumn("_text", F.col(text_column).cast("string")).mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -211,7 +239,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         m: Model = shared.value
         own = [set(words(t or "")) for t in batch.column(1).to_pylist()]
         known = m.known(set().union(*own))
-        s = 1 / (1 + np.exp(-np.clip(np.array([m.logit(w, known) for w in own]), -30, 30)))
+        s = logit_to_score(np.array([m.logit(w, known) for w in own]))
         return pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
