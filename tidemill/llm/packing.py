@@ -8,8 +8,8 @@ join of their rank within their length. Ranks come from counts of (length, bucke
 ranks within those, so that a length that a third of all pieces have is not in one task.
 
 Token ids are those of a byte-level BPE vocabulary file. `encode_ordinary` of the same vocabulary as
-ranks gives the same ids as the tokenizer file in a third of the time; each task compares both on the
-first documents it gets and stops if they differ.
+ranks gives the same ids as the tokenizer file in a third of the time; each worker compares both
+on the first documents it gets and stops if they differ.
 
 Defined results
 * null text counts as empty: its only token is the end mark, one piece of length 1.
@@ -20,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from ._shared import checkpoint, chunks
 
 CAPACITY = 1024
+#: A length's pieces are ranked in so many groups, for lengths that a large part of all pieces have.
+BUCKETS = 64
 END_TOKEN = 2
 #: Where the public vocabulary files lie.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -44,39 +47,50 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def _encoder(tokenizer: str, ranks: str):
+@lru_cache(maxsize=1)
+def _encoder(ranks: str):
     import base64
-    import os
 
     import public_tokenizers
     import tiktoken
 
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+
+#: Pairs of files that this worker has compared.
+_COMPARED: set[tuple[str, str]] = set()
+
+
+def _compare(tokenizer: str, ranks: str, texts: list[str]) -> None:
+    """Once in each worker: both files must give the same ids."""
+    if (tokenizer, ranks) in _COMPARED:
+        return
+    import os
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     plain = Tokenizer.from_file(tokenizer)
     plain.encode_special_tokens = True
-    return fast.encode_ordinary, lambda text: plain.encode(text, add_special_tokens=False).ids
+    encode = _encoder(ranks)
+    if any(plain.encode(t, add_special_tokens=False).ids != encode(t) for t in texts):
+        raise ValueError(f"{ranks} and {tokenizer} encode a text differently")
+    _COMPARED.add((tokenizer, ranks))
 
 
 def _piece_rows(tokenizer: str | None, ranks: str | None, capacity: int, end: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, plain = _encoder(tokenizer or vocabulary(TOKENIZER), ranks or vocabulary(RANKS))
-        compared = 0
+        files = tokenizer or vocabulary(TOKENIZER), ranks or vocabulary(RANKS)
+        encode = _encoder(files[1])
         for batch in chunks(batches, "text"):
+            _compare(*files, [t or "" for t in batch.column(1).slice(0, 8).to_pylist()])
             out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "")
-                if compared < 8 and len(ids) < 4096:
-                    compared += 1
-                    if plain(text or "") != ids:
-                        raise ValueError(f"{ranks} and {tokenizer} encode a text differently")
                 ids = np.array([*ids, end], "<u4")
                 first = len(ids) % capacity or capacity
                 for k, start in enumerate([0, *range(first, len(ids), capacity)]):
@@ -134,16 +148,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(length, id, piece, ...)."""
     spark = parts.sparkSession
-    parts = checkpoint(parts)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
-    tally = parts.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    tally = tally.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n"))
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    parts = checkpoint(parts).withColumn("_bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int"))
+    # at most `capacity` * BUCKETS rows of three numbers
+    tally = [tuple(r) for r in parts.groupBy("length", "_bucket").agg(F.count("*").alias("n")).collect()]
+    counts, before = Counter(), []
+    for length, bucket, n in sorted(tally):
+        before.append((length, bucket, counts[length]))
+        counts[length] += n
+    starts = spark.createDataFrame(before, "length long, _bucket int, _before long")
     kind = T.StructType([T.StructField(n, T.LongType()) for n in ("_length", "_rank", "_ranks", "_first", "offset")])
     slots = spark.createDataFrame(plan(counts, capacity), kind)
     within = Window.partitionBy("length", "_bucket").orderBy("id", "piece", "start", "ids_crc32")
-    ranked = parts.withColumn("_r", F.row_number().over(within) - 1).join(tally.drop("_n"), ["length", "_bucket"]).withColumn("_r", F.col("_r") + F.col("_before"))
+    ranked = parts.withColumn("_r", F.row_number().over(within) - 1).join(F.broadcast(starts), ["length", "_bucket"]).withColumn("_r", F.col("_r") + F.col("_before"))
     # the plan has a few thousand ranges whatever the input: its size follows the number of lengths
     placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_ranks")))
     return placed.withColumn("sequence_id", F.col("_first") + F.col("_r") - F.col("_rank")).drop("_bucket", "_before", "_r", "_length", "_rank", "_ranks", "_first")
