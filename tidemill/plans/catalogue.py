@@ -1,19 +1,22 @@
-"""The registered queries: each runs an operator of the package on the driver's tables."""
+"""The registered queries: each runs operators of the package on the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import metadata, relational, warehouse
+from .registry import Query
+
+_PARTS = (relational.query, warehouse.query, metadata.query)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(10)
+    return warehouse.flagship_customer_status(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: f for part in _PARTS for k, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in _PARTS for k, s in part.sql.items()}
