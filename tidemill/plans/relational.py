@@ -76,7 +76,7 @@ def risk_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(net, 2) as double) as net, cast(round(net + fee, 2) as double) as due, round(cast(net + fee as double) / l_quantity, 6) as unit_due from (
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(net, 2) as double) as net, cast(round(net + fee, 2) as double) as due, cast(floor(cast(net + fee as double) / l_quantity) as bigint) as unit_due from (
   select *, net * 0.025 as fee from (select *, cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) as net from lineitem)) where l_quantity > 0""")
 def staged_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
@@ -85,7 +85,7 @@ def staged_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"raw": c("l_extendedprice").cast(_MONEY) * (1 - c("l_discount").cast("decimal(4,2)"))},
         {"fee": c("raw") * F.lit(Decimal("0.025"))},
         {"total": c("raw") + c("fee")},
-        {"net": F.round("raw", 2).cast("double"), "due": F.round("total", 2).cast("double"), "unit_due": F.round(c("total").cast("double") / c("l_quantity"), 6)},
+        {"net": F.round("raw", 2).cast("double"), "due": F.round("total", 2).cast("double"), "unit_due": F.floor(c("total").cast("double") / c("l_quantity"))},
     )
     return staged.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net", "due", "unit_due")
 
