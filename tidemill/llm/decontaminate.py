@@ -17,6 +17,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, text_bytes
+from ._shared import arrow_map, chunks, text_bytes
 from .suffix_array import suffix_array
 
 #: Benchmark text that is sent to the tasks at a time.
@@ -198,22 +199,43 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, hits (word spans inside windows), n_hit, items (ids as
-    strings, sorted), longest_match (words), contaminated."""
-    spark = docs.sparkSession
+def _parts(benchmark: DataFrame, item_column: str, item_text: str) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark in parts of bounded size."""
     bench = benchmark.select(F.col(item_column).alias("item"), F.col(item_text).cast("string").alias("words"))
     size = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(1, -(-size // BROADCAST_BYTES))
-    df = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     for k in range(parts):
         own = bench.where(F.pmod(F.xxhash64(F.coalesce("words", F.lit(""))), F.lit(parts)) == k).collect()
-        df = _pass(df, spark.sparkContext.broadcast(prepare([(r["item"], r["words"]) for r in own], window)), k == 0)
+        yield [(r["item"], r["words"]) for r in own]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_words, hits (word spans inside windows), n_hit, items (ids as
+    strings, sorted), longest_match (words), contaminated."""
+    context = docs.sparkSession.sparkContext
+    df = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    for k, part in enumerate(_parts(benchmark, item_column, item_text)):
+        df = _pass(df, context.broadcast(prepare(part, window)), k == 0)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda t, h: t + h["end"] - h["start"])
     return df.select(F.col("id").alias(id_column), "n_words", "hits", n_hit.alias("n_hit"), "items", "longest_match", (n_hit > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that share a window with the benchmark. Ids are matched null-safe."""
-    bad = find_contamination(docs, benchmark, window, id_column, text_column).where("contaminated").select(F.col(id_column).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_column].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows that share a window with the benchmark."""
+    context = docs.sparkSession.sparkContext
+    for part in _parts(benchmark, item_column, item_text):
+        docs = _filter(docs, context.broadcast(prepare(part, window)), text_column)
+    return docs
+
+
+def _filter(docs: DataFrame, shared, text_column: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_tidemill_text"):
+            data, offsets = text_bytes(batch.column("_tidemill_text"))
+            raw = data.tobytes().translate(_LETTERS)
+            texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            clean = np.ones(len(texts), bool)
+            clean[_matches(texts, shared.value)[0]] = False
+            yield batch.drop_columns(["_tidemill_text"]).filter(pa.array(clean))
+
+    return docs.withColumn("_tidemill_text", F.col(text_column).cast("string")).mapInArrow(run, docs.schema)

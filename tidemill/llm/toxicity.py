@@ -222,13 +222,13 @@ def keep_below(docs: DataFrame, model: Model, text_column: str = "text", limit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for batch in chunks(batches, "_text"):
-            own = [set(words(t or "")) for t in batch.column("_text").to_pylist()]
+        for batch in chunks(batches, "_tidemill_text"):
+            own = [set(words(t or "")) for t in batch.column("_tidemill_text").to_pylist()]
             known = m.known(set().union(*own))
             low = logit_to_score(np.array([m.logit(w, known) for w in own])) < limit
-            yield batch.drop_columns(["_text"]).filter(pa.array(low))
+            yield batch.drop_columns(["_tidemill_text"]).filter(pa.array(low))
 
-    return docs.withColumn("_text", F.col(text_column).cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn("_tidemill_text", F.col(text_column).cast("string")).mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
