@@ -27,24 +27,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labels outside the held-out fold; documents with a score of 0.5 or more go."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity.keep_below(docs, model).select(*COLUMNS)
+    return toxicity.keep_below(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 3 bits the smallest doc_id stays."""
+    """Of each component of fingerprints within 3 bits the smallest doc_id stays. Of rows with one id one
+    stays; rows without an id all stay."""
+    docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs, shingle=3, radius=3)
-    stay = found.where(F.col("component").isNull() | (F.col("id") == F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    stay = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("_id")).distinct()
+    named = docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that an earlier 100-byte string covers; n_chars follows."""
     cut = suffix_dedup.remove_repeats(docs, length=100, keep=("lang", "source"))
     return cut.withColumn("text", suffix_dedup.decoded("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"), window=10).select(*COLUMNS)
+    """Documents that share a 10-word window with a benchmark item go."""
+    return decontaminate.remove_contaminated(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
