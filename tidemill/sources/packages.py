@@ -120,6 +120,7 @@ def server_and_database(connections: DataFrame) -> DataFrame:
 
 def connection_of(components: DataFrame, connections: DataFrame) -> DataFrame:
     """Components with their connection's name: references are by ref id, by DTSID or by name."""
-    keys = connections.select("package", F.col("name").alias("connection"), F.explode(F.array_distinct(F.array("ref_id", "dtsid", "name"))).alias("k")).where("k is not null")
-    one = keys.groupBy("package", "k").agg(F.min("connection").alias("connection"))
-    return components.join(one, (components["package"] == one["package"]) & (F.regexp_replace("connection_ref", r":external$", "") == F.col("k")), "left").drop(one["package"]).drop("k")
+    keys = connections.select(F.col("package").alias("_p"), F.col("name").alias("connection"), F.explode(F.array_distinct(F.array("ref_id", "dtsid", "name"))).alias("_k")).where("_k is not null")
+    one = keys.groupBy("_p", "_k").agg(F.min("connection").alias("connection"))
+    on = (F.col("package") == F.col("_p")) & (F.regexp_replace("connection_ref", r":external$", "") == F.col("_k"))
+    return components.join(one, on, "left").drop("_p", "_k")
