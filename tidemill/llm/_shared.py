@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of an Arrow task holds at a time. Work inside a task is cut at whole
 #: documents once this much text is gathered, so memory follows it and not the batch's row count.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of one Arrow batch between Spark and a Python worker, at most.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +42,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: with long texts, the bound by rows alone lets a batch take
+    tens of MB, several times over, outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -82,6 +88,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
         for part in chunks(batches, column, limit):
             yield f(part)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

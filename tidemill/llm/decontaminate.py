@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, chunks, text_bytes
+from ._shared import arrow_map, chunks, small_batches, text_bytes
 from .suffix_array import suffix_array
 
 #: Benchmark text that is sent to the tasks at a time.
@@ -223,6 +223,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs, all columns as they are, without the rows that share a window with the benchmark."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     for part in _parts(benchmark, item_column, item_text):
         docs = _filter(docs, context.broadcast(prepare(part, window)), text_column)
     return docs

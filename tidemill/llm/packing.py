@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import checkpoint, chunks
+from ._shared import checkpoint, chunks, small_batches
 
 CAPACITY = 1024
 #: A length's pieces are ranked in so many groups, for lengths that a large part of all pieces have.
@@ -105,6 +105,7 @@ def _piece_rows(tokenizer: str | None, ranks: str | None, capacity: int, end: in
 def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece; only a document's first piece may be short."""
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     run = _piece_rows(tokenizer, ranks, capacity, end)
     return base.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 

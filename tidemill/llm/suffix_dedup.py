@@ -41,17 +41,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, chunks, text_bytes
+from ._shared import checkpoint, chunks, small_batches, text_bytes
 
 #: Bytes of an anchor. A longer one recurs less by chance, a shorter one leaves fewer anchors.
 K = 32
-#: Text bytes that one task holds after a shuffle.
-BUCKET_BYTES = 12 << 20
+#: Text bytes in one bucket of documents, and text bytes whose anchors are in one bucket of hashes: a task
+#: holds one bucket at a time.
+BUCKET_BYTES = 2 << 20
+HASH_BYTES = 12 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-@lru_cache(maxsize=2)
+#: Powers are kept between calls up to this many; a longer text has its own for the time.
+_KEPT = 3 << 20
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and its inverse, mod 2**64."""
     out = []
@@ -62,8 +67,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_few = lru_cache(maxsize=1)(lambda: _powers(_KEPT))
+
+
 def _pow(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(size).bit_length()))
+    return _few() if size <= _KEPT else _powers(size)
 
 
 @lru_cache(maxsize=1)
@@ -78,14 +86,27 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return s
 
 
+def _rolling(data: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hash of each k-byte string, put together from those of half the length."""
+    one, width, power = _letters()[data], 1, int(_BASE)
+    out, got = None, 0
+    while True:
+        if k & width:
+            out = one if out is None else out[: len(data) - got - width + 1] * np.uint64(power) + one[got : got + len(data) - got - width + 1]
+            got += width
+        if got == k:
+            return out.copy() if out is one else out
+        one = one[:-width] * np.uint64(power) + one[width:]
+        width, power = width * 2, power * power & ((1 << 64) - 1)
+
+
 def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """Anchors of all windows in each document: hash, place, first and last window start."""
     n, none = len(data), np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     if n < length or not (sizes >= length).any():
         return none.astype(np.uint64), none, none, none
-    s, inverse = prefix_hashes(data), _pow(n + 1)[1]
-    h = (s[k:] - s[:-k]) * inverse[: n - k + 1]
+    h = _rolling(data, k)
     h ^= h >> np.uint64(32)
     h *= _MIX
     h ^= h >> np.uint64(29)
@@ -274,8 +295,8 @@ def _recurring_rows(buckets: int):
         for batch in batches:
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(b, []).append(p)
-        for parts in held.values():
-            x = np.frombuffer(b"".join(parts), _PLACE)
+        for b in list(held):
+            x = np.frombuffer(b"".join(held.pop(b)), _PLACE)
             h = x["h"]
             by = np.argsort(h, kind="stable")
             same = h[by[1:]] == h[by[:-1]]
@@ -471,17 +492,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     base = docs.select(*names, F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("_bytes"))
     found = base.agg(F.sum(F.length("_bytes")).alias("bytes"), F.count("*").alias("rows"), F.countDistinct(id_column).alias("ids")).first()
     buckets = max(1, -(-(found["bytes"] or 0) // BUCKET_BYTES))
+    hashes = max(1, -(-(found["bytes"] or 0) // HASH_BYTES))
     if found["rows"] == found["ids"]:
         base = base.withColumn("_rid", F.col(id_column).cast("long"))
     else:
         base = _number(base, id_column)
     base = base.withColumn("_bucket", F.pmod("_rid", F.lit(buckets).cast("long")))
-    spread = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    to = max(buckets, int(spread))
-    anchors = base.select("_rid", "_bytes").mapInArrow(_anchor_rows(buckets, length, k), _ROW)
+    small_batches(docs.sparkSession)
+    to = max(hashes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    anchors = base.select("_rid", "_bytes").mapInArrow(_anchor_rows(hashes, length, k), _ROW)
     recurring = anchors.repartition(to, "bucket").mapInArrow(_recurring_rows(buckets), _ROW)
     by_doc = base.groupBy("_bucket")
-    around = by_doc.cogroup(recurring.groupBy("bucket")).applyInArrow(_context_rows(buckets, length), _ROW)
+    around = by_doc.cogroup(recurring.groupBy("bucket")).applyInArrow(_context_rows(hashes, length), _ROW)
     spans = around.repartition(to, "bucket").mapInArrow(_span_rows(buckets, length), _ROW)
     kinds = base.select(*names).schema
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields] + ["n_bytes long", "n_removed long", "spans array<struct<start: long, end: long>>", "kept binary"])

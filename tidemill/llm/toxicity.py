@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, checkpoint, chunks
+from ._shared import arrow_map, checkpoint, chunks, small_batches
 
 #: Labelled rows used in the fit at most; features kept at most.
 SAMPLE, FEATURES = 16_000, 800
@@ -196,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = checkpoint(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     # at most `sample` rows of two numbers
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(known), F.col("id") == F.col("_id"))
+    small_batches(spark)
     texts = checkpoint(texts.dropDuplicates(["id"]).select("toxic", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -218,6 +219,7 @@ def logit_to_score(z: np.ndarray) -> np.ndarray:
 
 def keep_below(docs: DataFrame, model: Model, text_column: str = "text", limit: float = 0.5) -> DataFrame:
     """docs, all columns as they are, without the rows that score `limit` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

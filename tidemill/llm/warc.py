@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import chunks, fresh_dir
+from ._shared import chunks, fresh_dir, small_batches
 
 #: An archive is closed once it has this many bytes; one read spans this much at most, and bridges gaps up to GAP.
 ARCHIVE_BYTES, READ_BYTES, GAP = 256 << 20, 8 << 20, 64 << 10
@@ -129,6 +129,7 @@ def make_folder(uri: str) -> None:
 def write(pages: DataFrame, folder: str, date: str = DATE, **columns) -> DataFrame:
     """Write the archives to folder/archives and the index to folder/index; returns the index."""
     make_folder(f"{folder}/archives")
+    small_batches(pages.sparkSession)
     index = typed(pages, **columns).mapInArrow(_write_rows(f"{folder}/archives", date), _INDEX)
     index.write.parquet(f"{folder}/index")
     return pages.sparkSession.read.parquet(f"{folder}/index")
