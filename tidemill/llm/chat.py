@@ -9,8 +9,8 @@ takes 2*log2(d) joins, and the rows made are those of the paths themselves.
 
 Defined results
 * null text or role counts as empty; a null score as 0; a null tree id is a tree of its own.
-* a message whose parent is absent (or null, or itself) is a root; messages on a cycle have no root
-  and so are on no path.
+* a message whose parent is absent (or null, or itself) is a root; messages on a cycle, or behind one,
+  have no root and so are on no path.
 * several messages with one (tree, node) id: the least (role, text) stays.
 * extra columns are ignored; an empty table gives an empty result.
 """
@@ -50,10 +50,12 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
     there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     up = nodes.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left_semi").select("tree", "node", F.col("parent").alias("up"))
     jumps = [checkpoint(up)]
-    while True:
+    # no path is longer than its tree has messages; only on a cycle would jumps go on for ever
+    most = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while 1 << len(jumps) < most:
         a, b = jumps[-1], jumps[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"))
         nxt = checkpoint(a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up")))
-        if nxt.isEmpty() or len(jumps) > 40:  # 2**40 levels: only a cycle goes on for ever
+        if nxt.isEmpty():
             break
         jumps.append(nxt)
     parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("p"))
@@ -63,6 +65,10 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
         jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up"))
         more = path.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + F.lit(1 << k)).alias("back"))
         path = checkpoint(path.unionByName(more))
+    # of leaves behind a cycle no path begins at a root
+    roots = nodes.select("tree", "node").join(jumps[0].select(F.col("tree").alias("t"), F.col("node").alias("n")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select(F.col("tree").alias("rt"), F.col("node").alias("rn"))
+    rooted = path.join(roots, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("node") == F.col("rn")), "left_semi").select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"))
+    path = path.join(rooted, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("leaf") == F.col("rl")), "left_semi")
     held = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
     full = path.join(held, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
     paths = full.groupBy("tree", "leaf").agg(F.max("back").alias("depth"), F.avg("score").alias("mean_score"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, chunks, small_batches, text_bytes
+from ._shared import checkpoint, chunks, release, small_batches, text_bytes
 
 #: Bytes of an anchor. A longer one recurs less by chance, a shorter one leaves fewer anchors.
 K = 32
@@ -306,6 +306,7 @@ def _recurring_rows(buckets: int):
             x = x[twice]
             if len(x):
                 yield _batch(*_pack(_rid_bucket(x["rid"], buckets), x))
+        release()
 
     return run
 
@@ -370,6 +371,7 @@ def _context_rows(buckets: int, length: int):
             span["end"] = span["start"] + size[done]
             bucket.append(-1 - int(docs.column("_bucket")[0].as_py()))
             part.append(_merge(span).tobytes())
+        release()
         go = np.flatnonzero(~done)
         to = _bucket(x["h"][go] >> np.uint64(20), buckets)
         by = np.argsort(to, kind="stable")
@@ -429,6 +431,7 @@ def _span_rows(buckets: int, length: int):
                     at = y["at"][row].astype(np.int64)
                     span["rid"], span["start"], span["end"] = y["rid"][row], at - last, at - first + length
                     yield _batch(*_pack(_rid_bucket(span["rid"], buckets), span))
+        release()
 
     return run
 
@@ -472,6 +475,7 @@ def _cut_rows(names: list[str], schema: pa.Schema):
         base = np.repeat(offsets[:-1], np.diff(runs))
         pair = pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], ["start", "end"])
         kept = offsets - count[offsets]
+        release()
         columns = [docs.column(c).combine_chunks() for c in names]
         columns += [
             pa.array(np.diff(offsets)),

@@ -35,6 +35,8 @@ from ._shared import arrow_map, checkpoint, chunks, small_batches
 
 #: Labelled rows used in the fit at most; features kept at most.
 SAMPLE, FEATURES = 16_000, 800
+#: Text bytes handled at a time: a slice's words and their features are Python objects, many times its size.
+SLICE_BYTES = 512 << 10
 #: Letters of a word's beginning that are features besides the word itself.
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature needs so many labelled texts and so large a z-score.
@@ -148,7 +150,7 @@ def fit(rows: list[tuple[int, dict[int, int]]], variants: list[tuple[dict[int, i
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and other texts of a slice each feature occurs."""
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", SLICE_BYTES):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         cache: dict[bytes, list[int]] = {}
         for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
@@ -172,13 +174,13 @@ def _counted(chosen: set[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, list[int]] = {}
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             own, other = [], []
             for text in batch.column("text").to_pylist():
                 got = set(words(text or ""))
                 own.append(count(got, cache))
                 other.append([count(x, cache) for x in swaps(got)])
-                if len(cache) > 1 << 18:
+                if len(cache) > 1 << 16:
                     cache.clear()
             yield pa.record_batch([batch.column("toxic"), pa.array(own, pa.string()), pa.array(other, pa.list_(pa.string()))], names=["toxic", "own", "other"])
 
@@ -224,7 +226,7 @@ def keep_below(docs: DataFrame, model: Model, text_column: str = "text", limit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for batch in chunks(batches, "_tidemill_text"):
+        for batch in chunks(batches, "_tidemill_text", SLICE_BYTES):
             own = [set(words(t or "")) for t in batch.column("_tidemill_text").to_pylist()]
             known = m.known(set().union(*own))
             low = logit_to_score(np.array([m.logit(w, known) for w in own])) < limit
@@ -245,4 +247,4 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         return pa.record_batch([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return arrow_map(base, run, "id long, score double, predicted int", "text").withColumnRenamed("id", id_column)
+    return arrow_map(base, run, "id long, score double, predicted int", "text", SLICE_BYTES).withColumnRenamed("id", id_column)
