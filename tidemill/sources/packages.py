@@ -93,7 +93,7 @@ def _flow_rows(pipeline: ElementTree.Element, flow: str) -> Iterator[tuple[str,
 
 def read_packages(spark: SparkSession, folder: str) -> DataFrame:
     """package (file name), text of every .dtsx and .xml file in the folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{dtsx,xml,DTSX,XML}").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.{dtsx,xml,DTSX,XML}").text(folder, wholetext=True)
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("package"), F.col("value").alias("text"))
 
 
