@@ -14,7 +14,8 @@ Defined results
 * null and empty texts have no features; their score is the model's bias alone.
 * labels that are null, or whose id is null or has no document, are not used; an id labelled twice is
   toxic if one label says so; of documents with one id, one is used in the fit. Without both classes
-  the score is the smoothed share of the toxic class (0.5 without labels).
+  the score is the smoothed share of the toxic class (0.25 without labels: nothing is
+  called toxic on no evidence).
 * every row is scored, repeated ones too; other columns are ignored; an empty table gives none.
 """
 
@@ -115,7 +116,7 @@ def fit(rows: list[tuple[int, dict[int, int]]], variants: list[tuple[dict[int, i
     y = np.array([label for label, _ in kinds], float)
     weight = np.array(list(kinds.values()), float)
     if not len(y) or y.min() == y.max() or not columns:
-        share = ((y * weight).sum() + 0.5) / (weight.sum() + 1)
+        share = ((y * weight).sum() + 0.5) / (weight.sum() + 2)
         return Model(math.log(share / (1 - share)))
     x = np.zeros((len(kinds), len(columns) + 1))
     x[:, -1] = 1
