@@ -30,7 +30,8 @@ def op8_chat_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rule(_table(spark, sf_dir, "documents"))
+    found = repetition.repetition_rule(_table(spark, sf_dir, "documents"))
+    return found.drop("longest_repeat", "n_repeats")
 
 
 def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +119,35 @@ from d left join c on d.payload_digest = c.payload_digest and d.payload_bytes >=
 """
 
 
+_OP1 = r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, len(w) as n from d),
+win as (select doc_id, i, k, n, string_agg(word, ' ') over (partition by doc_id, k order by i rows between current row and (k - 1) following) as h from p, (values (5), (10), (51)) ks(k)),
+twice as (select doc_id, i, k from (select *, count(*) over (partition by doc_id, k, h) as times from win where i + k - 1 <= n) where times > 1),
+cover as (select doc_id, k, count(distinct j) as n from (select doc_id, k, unnest(range(i, i + k)) as j from twice) group by 1, 2),
+b as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n_dup_lines,
+  coalesce((select n from cover c where c.doc_id = d.doc_id and c.k = 5), 0) as n_repeat_words, coalesce((select n from cover c where c.doc_id = d.doc_id and c.k = 10), 0) as covered_words,
+  coalesce((select n from cover c where c.doc_id = d.doc_id and c.k = 51), 0) as over_long from d),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, covered_words,
+  not base_failed and covered_words <= 0.15 * n_words and over_long = 0 as kept from f
+"""
+
+_OP10 = r"""
+with lowered as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from lowered),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, k, list_slice(w, i, i + k - 1) as words from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from items where len(w) > 0)),
+p as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, len(w) as n from d),
+dw as (select doc_id, i, k, n, string_agg(word, ' ') over (partition by doc_id, k order by i rows between current row and (k - 1) following) as words from p, (select distinct k from win) ks),
+hit as (select doc_id, i, dw.k, item_id from dw join win on dw.k = win.k and dw.words = array_to_string(win.words, ' ') where i + dw.k - 1 <= n),
+n as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + k)) as j from hit) group by 1),
+it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct doc_id, coalesce(cast(item_id as varchar), '') as item from hit) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join it using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_index": _OP5, "op8_chat_reply_trees": _OP8}
+    return {"op1_suffix_repetition": _OP1, "op10_suffix_decontamination": _OP10, "op5_warc_index": _OP5, "op8_chat_reply_trees": _OP8}
