@@ -188,6 +188,7 @@ def brute_cut(rows, length):
 @pytest.mark.parametrize("length,bucket", [(100, 2 << 20), (40, 4000), (20, 3000)])
 def test_suffix_dedup(spark, monkeypatch, length, bucket):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", bucket * 2)
     rows = corpus(9, 70)
     got = suffix_dedup.remove_repeats(frame(spark, rows), length=length, keep=("lang", "component")).collect()
     assert {(r.doc_id, r.n_bytes, r.n_removed, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got} == {(i, n, g, tuple(s), k) for i, n, g, s, k in brute_cut(rows, length)}

@@ -49,6 +49,8 @@ K = 32
 #: holds one bucket at a time.
 BUCKET_BYTES = 2 << 20
 HASH_BYTES = 12 << 20
+#: Text bytes that go through one task at most, where the session's number of partitions would give more.
+TASK_BYTES = 128 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -506,8 +508,14 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     to = max(hashes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     anchors = base.select("_rid", "_bytes").mapInArrow(_anchor_rows(hashes, length, k), _ROW)
     recurring = anchors.repartition(to, "bucket").mapInArrow(_recurring_rows(buckets), _ROW)
-    by_doc = base.groupBy("_bucket")
-    around = by_doc.cogroup(recurring.groupBy("bucket")).applyInArrow(_context_rows(hashes, length), _ROW)
+    wide = -(-(found["bytes"] or 0) // TASK_BYTES)
+    more = wide > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(df: DataFrame, column: str) -> DataFrame:
+        return df.repartition(wide, column) if more else df
+
+    by_doc = meet(base, "_bucket").groupBy("_bucket")
+    around = by_doc.cogroup(meet(recurring, "bucket").groupBy("bucket")).applyInArrow(_context_rows(hashes, length), _ROW)
     spans = around.repartition(to, "bucket").mapInArrow(_span_rows(buckets, length), _ROW)
     kinds = base.select(*names).schema
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields] + ["n_bytes long", "n_removed long", "spans array<struct<start: long, end: long>>", "kept binary"])
@@ -515,7 +523,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(out))
-    return by_doc.cogroup(spans.groupBy("bucket")).applyInArrow(_cut_rows(names, arrow), out)
+    return by_doc.cogroup(meet(spans, "bucket").groupBy("bucket")).applyInArrow(_cut_rows(names, arrow), out)
 
 
 def decoded(kept: str) -> Column:
