@@ -35,6 +35,24 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post has-related'>{}</article>",
+        "<main class='with-sidebar'>{}</main>",
+        "<main class='comment-page sidebar'>{}</main>",
+        "<div id='page' class='layout no-sidebar'><article>{}</article></div>",
+        "<div id='site-header-and-content'><article>{}</article></div>",
+        "<div id='site-header-and-content'>{}</div>",
+        "<div class='sidebar'><div><article>{}</article></div></div>",
+        "<form id='search'><div role='main'>{}</div></form>",
+        "<article><header class='entry-header'>{}</header></article>",
+    ],
+)
+def test_marks_do_not_remove_the_article(page):
+    assert html_extract.main_text(page.format("<p>One, two.</p><p>Three.</p>") + "<div class='ad-1'>buy, now.</div>") == "One, two.\n\nThree."
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a</p>", 9), (1, "u", "<p>a</p>", 9), (None, None, None, 8), (2, "v", "<article>" + "<p>word, word.</p>" * 5000 + "</article>", 7)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

@@ -6,7 +6,9 @@ each of its blocks. Ratios are smoothed over neighbouring blocks in page order,
 inside one article or main element take the greatest ratio there is among them, and paths under one
 parent lend each other half of theirs. Paths over the threshold, a share of the page's mean, are
 content. What never is main text by its markup (scripts, forms, navigation, adverts, comments and so
-on) is not counted and not selected.
+on) is not counted and not selected. A class, id or role decides that only as a whole ("sidebar", "ad-1",
+not "post-comments" or "no-sidebar"), and never for an article or main element or one around it; what is
+marked less surely counts for MARKED of its ratio.
 
 Defined results
 * null and empty html give an empty text; so do pages without a selected block.
@@ -31,6 +33,8 @@ from ._shared import arrow_map
 
 #: Share of the page's mean ratio that a path needs, and what neighbours count in smoothing.
 THRESHOLD, NEIGHBOUR = 0.5, 0.25
+#: What is left of the ratio of text that a class, id or role marks without deciding.
+MARKED = 0.25
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +42,7 @@ RAW = frozenset("script style textarea title noscript iframe noframes noembed xm
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = RAW | frozenset("head nav aside footer form fieldset button select option menu dialog".split())
+NEVER = RAW | frozenset("head nav aside footer fieldset button select option menu dialog".split())
 CONTENT = frozenset(("article", "main"))
 #: An element of these closes an open one of the group, up to the scope element.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
@@ -47,8 +51,14 @@ OUTSIDE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disclaimer discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
 
+#: A token that begins with one of these tells of a layout, not of the element.
+LAYOUT = frozenset("has no non with without".split())
+#: What a mark does: nothing, lower the ratio, remove.
+NOTHING, LOWER, REMOVE = range(3)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 
@@ -62,39 +72,55 @@ def _outside(tag: str, attributes: str, inside_content: bool) -> bool:
         value = (a or b or c).lower()
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
             return True
-        if name.lower() == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif any(w in OUTSIDE for w in _WORDS.findall(value)):
+        if name.lower() == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
+def _mark(tag: str, attributes: str, inside_content: bool) -> int:
+    """What class, id and role say of an element: a token of OUTSIDE words alone removes, one with others lowers."""
+    if not attributes or tag in ("html", "body"):
+        return NOTHING
+    mark = NOTHING
+    for name, a, b, c in _MARK.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in (a or b or c).lower().split():
+                words = _WORDS.findall(token)
+                # an article's own header is part of it
+                known = [w in OUTSIDE and not (w == "header" and inside_content) for w in words]
+                if any(known) and words[0] not in LAYOUT:
+                    mark = max(mark, REMOVE if all(known) else LOWER)
+    return mark
+
+
 @dataclass
 class Block:
     path: int  # number of the tag path from the root
     parent: int  # that of the path without its last tag
     content: int  # number of the article or main element it is in, or -1
     text: str
+    marked: bool = False  # all of it is in elements whose marks lower the ratio
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, without those that never are main text."""
     out: list[Block] = []
-    # (tag, path, outside, content element, whether it is a block)
-    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, -1, True)]
+    # (tag, path, outside, content element, whether it is a block, innermost marked element)
+    stack: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, -1, True, 0)]
+    # marked elements: the marked element around it, its mark, what is left of that around an article or main
+    marks: list[list[int]] = [[0, NOTHING, NOTHING]]
+    raw: list[tuple[int, int, list[tuple[str, int]]]] = []
     numbers: dict[tuple[int, str], int] = {}
     parents = [0]
-    held: list[str] = []
+    held: list[tuple[str, int]] = []
     contents = 0
 
     def flush() -> None:
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            held.clear()
-            if text:
+            if any(x.strip() for x, _ in held):
                 at = next(e for e in reversed(stack) if e[4])
-                out.append(Block(at[1], parents[at[1]], at[3], text))
+                raw.append((at[1], at[3], held.copy()))
+            held.clear()
 
     def close(depth: int) -> None:
         if any(e[4] for e in stack[depth:]):
@@ -106,7 +132,7 @@ def blocks(page: str) -> list[Block]:
         match = _TAG.search(page, position)
         text = page[position : match.start() if match else len(page)]
         if text and not stack[-1][2]:
-            held.append(text)
+            held.append((text, stack[-1][5]))
         if not match:
             break
         position = match.end()
@@ -127,7 +153,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             elif tag in ("br", "wbr") and not stack[-1][2]:
-                held.append(" " if tag == "br" else "")
+                held.append((" " if tag == "br" else "", stack[-1][5]))
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, position)
@@ -149,16 +175,36 @@ def blocks(page: str) -> list[Block]:
                         close(depth)
                         break
             flush()
-        _, path, outside, content, _ = stack[-1]
+        _, path, outside, content, _, around = stack[-1]
         outside = outside or _outside(tag, attributes, content >= 0)
-        if content < 0 and not outside and (tag in CONTENT or re.search(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", attributes, re.I)):
-            content, contents = contents, contents + 1
+        holds = not outside and (tag in CONTENT or bool(attributes and _ROLE.search(attributes)))
+        mark = NOTHING if outside else _mark(tag, attributes, content >= 0)
+        if holds:
+            # what is around an element that holds an article holds it too
+            k = around
+            while k and marks[k][1] != marks[k][2]:
+                marks[k][1] = marks[k][2]
+                k = marks[k][0]
+            mark = LOWER if mark == REMOVE else NOTHING
+            if content < 0:
+                content, contents = contents, contents + 1
+        if not outside and (mark or (tag == "form" and not holds)):
+            marks.append([around, REMOVE if tag == "form" and not holds else mark, mark if holds else LOWER if mark == REMOVE else NOTHING])
+            around = len(marks) - 1
         if tag in BLOCK:
             parent, path = path, numbers.setdefault((path, tag), len(parents))
             if path == len(parents):
                 parents.append(parent)
-        stack.append((tag, path, outside, content, tag in BLOCK))
+        stack.append((tag, path, outside, content, tag in BLOCK, around))
     flush()
+    does = [NOTHING]
+    for outer, mark, _ in marks[1:]:
+        does.append(max(mark, does[outer]))
+    for path, content, parts in raw:
+        parts = [(x, k) for x, k in parts if does[k] < REMOVE]
+        text = " ".join(entities.unescape("".join(x for x, _ in parts)).split())
+        if text:
+            out.append(Block(path, parents[path], content, text, all(does[k] == LOWER for x, k in parts if x.strip())))
     return out
 
 
@@ -166,8 +212,9 @@ def select(found: list[Block]) -> list[Block]:
     """Smooth, fuse and threshold the ratios of the blocks' paths."""
     if not found:
         return []
-    paths = {p: k for k, p in enumerate(dict.fromkeys((b.content, b.path) for b in found))}
-    of = np.array([paths[b.content, b.path] for b in found])
+    paths = {p: k for k, p in enumerate(dict.fromkeys((b.content, b.path, b.marked) for b in found))}
+    of = np.array([paths[b.content, b.path, b.marked] for b in found])
+    share = np.array([MARKED if m else 1.0 for _, _, m in paths])
     count = np.bincount(of)
     length = np.bincount(of, [len(b.text) for b in found])
     marks = np.bincount(of, [len(_PUNCTUATION.findall(b.text)) for b in found])
@@ -179,16 +226,16 @@ def select(found: list[Block]) -> list[Block]:
     np.maximum.at(smooth, of, row)
     fused = smooth.copy()
     parents = {(b.content, b.path): b.parent for b in found}
-    for group in ({k: c for (c, _), k in paths.items() if c >= 0}, {k: ("under", parents[c, p]) for (c, p), k in paths.items() if c < 0}):
+    for group in ({k: c for (c, _, _), k in paths.items() if c >= 0}, {k: ("under", parents[c, p]) for (c, p, _), k in paths.items() if c < 0}):
         best: dict[object, float] = {}
         for k, g in group.items():
             best[g] = max(best.get(g, 0.0), smooth[k])
         for k, g in group.items():
             fused[k] = max(fused[k], best[g] if isinstance(g, int) else best[g] / 2)
-    keep = fused >= THRESHOLD * np.average(smooth, weights=count)
+    keep = fused * share >= THRESHOLD * np.average(smooth * share, weights=count)
     if any(b.content >= 0 for b in found):
         # the page says where its article is
-        inside = np.array([c >= 0 for c, _ in paths])
+        inside = np.array([c >= 0 for c, _, _ in paths])
         keep = inside if not (keep & inside).any() else keep & inside
     return [b for b, k in zip(found, of) if keep[k]]
 
