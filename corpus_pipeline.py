@@ -54,7 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, capacity=1024, end=2)
+    return packing.pack_documents(docs, capacity=1024, end=2, added_tokens=True)
 
 
 STAGES = [

@@ -327,5 +327,25 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+def test_op4_ids_are_those_of_the_tokenizer_file(spark, tmp_path):
+    """By the file alone, nothing set on it: the string of an added token is that token; no white space is too long."""
+    import corpus_pipeline
+    from tidemill.llm import queries
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary(packing.TOKENIZER))
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 1500), (3, "x" + " " * 1_200_000 + "y"), (4, "<|endoftext> |>"), (5, None), (None, "plain")]
+    frame(spark, rows, 1).write.parquet(str(tmp_path / "documents.parquet"))
+    expected = []
+    for i, t in rows:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[s : first if k == 0 else s + 1024]
+            expected.append((i or 0, k, s, len(part), zlib.crc32(part.tobytes())))
+    for got in (queries.op4_histogram_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, frame(spark, rows), "")):
+        assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == sorted(expected)
+
+
 def test_sha_of_kept_text_is_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -8,20 +8,25 @@ join of their rank within their length. Ranks come from counts of (length, bucke
 ranks within those, so that a length that a third of all pieces have is not in one task.
 
 Token ids are those of a byte-level BPE vocabulary file. `encode_ordinary` of the same vocabulary as
-ranks gives the same ids as the tokenizer file in a third of the time; each worker compares both
-on the first documents it gets and stops if they differ.
+ranks gives the same ids as the tokenizer file in a third of the time, but knows no added tokens and
+fails on very long white space: with `added_tokens`, texts that hold the string of one go through the
+tokenizer file, as do texts with SPACES white-space characters in a row. Each worker compares both on
+its first documents, and on every COMPARE-th of each slice, and stops if they differ.
 
 Defined results
 * null text counts as empty: its only token is the end mark, one piece of length 1.
 * repeated rows and ids are packed each; null ids stay null; other columns are ignored.
+* the string of an added token is that token with `added_tokens`, as the tokenizer file alone has it;
+  without, it is text like any other.
 * an empty table gives an empty result. Pieces of equal length are ranked by id, then by piece.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -37,6 +42,10 @@ CAPACITY = 1024
 #: A length's pieces are ranked in so many groups, for lengths that a large part of all pieces have.
 BUCKETS = 64
 END_TOKEN = 2
+#: White-space characters in a row from which on the tokenizer file encodes a text (ranks fail at a million).
+SPACES = 100_000
+#: The tokenizer file and the ranks are compared on one text in so many.
+COMPARE = 256
 #: Where the public vocabulary files lie.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -59,38 +68,53 @@ def _encoder(ranks: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
 
-#: Pairs of files that this worker has compared.
-_COMPARED: set[tuple[str, str]] = set()
-
-
-def _compare(tokenizer: str, ranks: str, texts: list[str]) -> None:
-    """Once in each worker: both files must give the same ids."""
-    if (tokenizer, ranks) in _COMPARED:
-        return
+@lru_cache(maxsize=2)
+def _plain(tokenizer: str, added_tokens: bool):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = True
-    encode = _encoder(ranks)
-    if any(plain.encode(t, add_special_tokens=False).ids != encode(t) for t in texts):
-        raise ValueError(f"{ranks} and {tokenizer} encode a text differently")
-    _COMPARED.add((tokenizer, ranks))
+    plain.encode_special_tokens = not added_tokens
+    return plain
+
+
+#: Settings that this worker has compared on its first documents.
+_COMPARED: set[tuple[str, str, bool]] = set()
+
+
+def encoder(tokenizer: str, ranks: str, added_tokens: bool) -> Callable[[list[str]], Iterator[list[int]]]:
+    """Token ids of texts as the tokenizer file has them, by ranks where those give the same."""
+    fast, plain = _encoder(ranks), _plain(tokenizer, added_tokens)
+    added = [t.content for t in plain.get_added_tokens_decoder().values() if added_tokens or not t.special]
+    held = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+    spaces = re.compile(rf"\s{{{SPACES}}}")
+
+    def run(texts: list[str]) -> Iterator[list[int]]:
+        first = 0 if (tokenizer, ranks, added_tokens) in _COMPARED else 8
+        for k, text in enumerate(texts):
+            if held.search(text) or (len(text) >= SPACES and spaces.search(text)):
+                yield plain.encode(text, add_special_tokens=False).ids
+                continue
+            ids = fast(text)
+            if (k < first or k % COMPARE == COMPARE - 1) and plain.encode(text, add_special_tokens=False).ids != ids:
+                raise ValueError(f"{ranks} and {tokenizer} encode a text differently")
+            yield ids
+        _COMPARED.add((tokenizer, ranks, added_tokens))
+
+    return run
 
 
-def _piece_rows(tokenizer: str | None, ranks: str | None, capacity: int, end: int):
+def _piece_rows(tokenizer: str | None, ranks: str | None, capacity: int, end: int, added_tokens: bool):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = tokenizer or vocabulary(TOKENIZER), ranks or vocabulary(RANKS)
-        encode = _encoder(files[1])
+        encode = encoder(*files, added_tokens)
         for batch in chunks(batches, "text"):
-            _compare(*files, [t or "" for t in batch.column(1).slice(0, 8).to_pylist()])
             out: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "")
+            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids = np.array([*ids, end], "<u4")
                 first = len(ids) % capacity or capacity
                 for k, start in enumerate([0, *range(first, len(ids), capacity)]):
@@ -102,11 +126,11 @@ def _piece_rows(tokenizer: str | None, ranks: str | None, capacity: int, end: in
     return run
 
 
-def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None, ranks: str | None = None, added_tokens: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece; only a document's first piece may be short."""
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    run = _piece_rows(tokenizer, ranks, capacity, end)
+    run = _piece_rows(tokenizer, ranks, capacity, end, added_tokens)
     return base.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -166,6 +190,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("_first") + F.col("_r") - F.col("_rank")).drop("_bucket", "_before", "_r", "_length", "_rank", "_ranks", "_first")
 
 
-def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN) -> DataFrame:
-    packed = pack(pieces(docs, id_column, text_column, capacity, end), capacity)
+def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, added_tokens: bool = False) -> DataFrame:
+    packed = pack(pieces(docs, id_column, text_column, capacity, end, added_tokens=added_tokens), capacity)
     return packed.select(F.col("id").alias(id_column), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

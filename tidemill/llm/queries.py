@@ -44,7 +44,7 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end=2)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end=2, added_tokens=True)
 
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
