@@ -146,6 +146,15 @@ def test_package_catalogs_and_lineage(spark):
     assert found["package_info"].where("error is not null").count() == 2
 
 
+def test_package_lineage_with_the_properties_that_real_packages_have(spark):
+    from tidemill.plans.metadata import SECOND_PACKAGE, package_lineage
+
+    found = packages.catalogs(spark.createDataFrame([("w.dtsx", SECOND_PACKAGE)], "package string, text string"))
+    got = package_lineage(found).select("target_table", "target_column", "source_table", "source_column", "confidence")
+    expected = [("DAY", "DBO.DAY", "d"), ("KIND", "DBO.KIND", "label"), ("MERGED", "DBO.DAY", "d"), ("RATE", "RATES", "rate"), ("WEEK", "DBO.WEEK", "w_id")]
+    assert rows(got) == [("DBO.SUMMARY", *e, "exact") for e in expected]
+
+
 def test_package_folder(spark, tmp_path):
     from tidemill.plans.metadata import PACKAGE
 

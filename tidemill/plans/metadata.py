@@ -149,27 +149,81 @@ PACKAGE = """<?xml version="1.0"?>
 </DTS:Executable>"""
 
 
+#: Another one, with what real ones have: an empty SqlCommand beside a table name, AccessMode, a command from a
+#: variable, a lookup whose column has another name, a file, a join that names its input column, output columns named unlike the external ones.
+SECOND_PACKAGE = """<?xml version="1.0"?>
+<DTS:Executable xmlns:DTS="www.microsoft.com/SqlServer/Dts" DTS:refId="Package" DTS:ObjectName="Weekly">
+ <DTS:ConnectionManagers><DTS:ConnectionManager DTS:refId="Package.ConnectionManagers[rates]" DTS:DTSID="{2}" DTS:ObjectName="rates" DTS:CreationName="FLATFILE"/></DTS:ConnectionManagers>
+ <DTS:Variables><DTS:Variable DTS:Namespace="User" DTS:ObjectName="command"><DTS:VariableValue DTS:DataType="8">select w_id from dbo.week</DTS:VariableValue></DTS:Variable></DTS:Variables>
+ <DTS:Executables><DTS:Executable DTS:refId="Package\\Fill" DTS:ExecutableType="Microsoft.Pipeline" DTS:ObjectName="Fill"><DTS:ObjectData><pipeline><components>
+   <component refId="a" componentClassID="Microsoft.OLEDBSource" name="By table"><properties><property name="OpenRowset">[dbo].[day]</property><property name="SqlCommand"></property><property name="SqlCommandVariable"></property><property name="AccessMode">0</property></properties><outputs><output refId="a.out" name="Output"><outputColumns><outputColumn refId="a.d" name="d_alias" lineageId="A1" externalMetadataColumnId="a.x.d"/></outputColumns><externalMetadataColumns><externalMetadataColumn refId="a.x.d" name="d"/></externalMetadataColumns></output></outputs></component>
+   <component refId="b" componentClassID="Microsoft.OLEDBSource" name="By variable"><properties><property name="OpenRowset"></property><property name="SqlCommand"></property><property name="SqlCommandVariable">User::command</property><property name="AccessMode">3</property></properties><outputs><output refId="b.out" name="Output"><outputColumns><outputColumn refId="b.w" name="w_id" lineageId="B1"/></outputColumns></output></outputs></component>
+   <component refId="f" componentClassID="Microsoft.FlatFileSource" name="By file"><connections><connection connectionManagerRefId="Package.ConnectionManagers[rates]"/></connections><outputs><output refId="f.out" name="Output"><outputColumns><outputColumn refId="f.r" name="rate" lineageId="F1"/></outputColumns></output></outputs></component>
+   <component refId="l" componentClassID="Microsoft.Lookup" name="Names"><properties><property name="SqlCommand">select code, label from [dbo].[kind]</property></properties><outputs><output refId="l.out" name="Match"><outputColumns><outputColumn refId="l.n" name="kind_label" lineageId="K1"><properties><property name="CopyFromReferenceColumn">label</property></properties></outputColumn></outputColumns></output></outputs></component>
+   <component refId="m" componentClassID="Microsoft.MergeJoin" name="Merge"><inputs><input refId="m.l" name="Left"><inputColumns><inputColumn refId="m.l.d" lineageId="A1"/></inputColumns></input></inputs><outputs><output refId="m.out" name="Output"><outputColumns><outputColumn refId="m.d" name="d" lineageId="M1"><properties><property name="InputColumnID">#{m.l.d}</property></properties></outputColumn></outputColumns></output></outputs></component>
+   <component refId="t" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[summary]</property><property name="OpenRowsetVariable"></property><property name="SqlCommand"></property><property name="AccessMode">3</property></properties><inputs><input refId="t.in" name="Input"><inputColumns><inputColumn refId="t.m" lineageId="M1" externalMetadataColumnId="t.x.m"/><inputColumn refId="t.d" lineageId="A1" externalMetadataColumnId="t.x.d"/><inputColumn refId="t.w" lineageId="B1" externalMetadataColumnId="t.x.w"/><inputColumn refId="t.r" lineageId="F1" externalMetadataColumnId="t.x.r"/><inputColumn refId="t.k" lineageId="K1" externalMetadataColumnId="t.x.k"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="t.x.m" name="MERGED"/><externalMetadataColumn refId="t.x.d" name="DAY"/><externalMetadataColumn refId="t.x.w" name="WEEK"/><externalMetadataColumn refId="t.x.r" name="RATE"/><externalMetadataColumn refId="t.x.k" name="KIND"/></externalMetadataColumns></input></inputs></component>
+  </components></pipeline></DTS:ObjectData></DTS:Executable></DTS:Executables>
+</DTS:Executable>"""
+
+
+def _commands(found: dict[str, DataFrame]) -> DataFrame:
+    """package, flow, component, sql, rowset: what a component reads or writes. Real packages have both
+    properties, and those of variables, on each component, and leave empty what its AccessMode does not use."""
+    names = ("SqlCommand", "OpenRowset", "SqlCommandVariable", "OpenRowsetVariable", "AccessMode")
+    value = F.nullif(F.trim("value", F.lit(" \t\r\n")), F.lit(""))
+    p = found["properties"].where(F.col("name").isin(*names)).groupBy("package", "flow", F.col("owner").alias("component"))
+    props = p.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in names])
+    kinds = found["components"].select("package", "flow", F.col("ref_id").alias("component"), "class")
+    props = props.join(kinds, [*lineage.FLOW, "component"], "left")
+    variables = found["variables"].where("name is not null").select("package", "namespace", "name", F.coalesce(F.nullif(F.trim("value", F.lit(" \t\r\n")), F.lit("")), F.col("expression")).alias("_text"))
+    # by namespace and name, or by the name alone; one text of each, for names that several scopes have
+    keys = F.explode(F.array_distinct(F.array(F.concat_ws("::", "namespace", "name"), F.col("name"))))
+    texts = variables.select("package", keys.alias("_name"), "_text").groupBy("package", "_name").agg(F.min("_text").alias("_text"))
+    for n, to in (("SqlCommandVariable", "_sql"), ("OpenRowsetVariable", "_rowset")):
+        props = props.withColumn("_name", F.col(n)).join(texts.withColumnRenamed("_text", to), ["package", "_name"], "left").drop("_name")
+    # AccessMode: 0 rowset, 1 rowset from a variable, 2 command; 3 and 4 are 0 and 1 with fast load in a
+    # destination, 3 is a command from a variable in a source
+    mode, target = F.coalesce(F.col("AccessMode").cast("int"), F.lit(-1)), F.coalesce(F.col("class").contains("Destination"), F.lit(False))
+    sql = F.coalesce(F.when(~target & (mode == 3), F.col("_sql")), "SqlCommand")
+    rowset = F.coalesce(F.when((mode == 1) | (target & (mode == 4)), F.col("_rowset")), "OpenRowset")
+    by_rowset = rowset.isNotNull() & (sql.isNull() | mode.isin(0, 1) | (target & (mode != 2)))
+    return props.select(*lineage.FLOW, "component", F.when(~by_rowset, sql).alias("sql"), F.when(by_rowset, rowset).alias("rowset"))
+
+
 def package_lineage(found: dict[str, DataFrame]) -> DataFrame:
     """From a package's catalogs to lineage rows: sources seed their output columns, conversions link the id
-    that they name, destinations map ids to table columns; ids that only pass through need no link."""
+    that they name, destinations map ids to table columns; ids that only pass through need no link.
+
+    A source's table is that of its command, else its rowset, else its connection (files), else its own
+    name; its column is the reference column that it copies (lookups), else the external column, else its own."""
     c, p = found["components"], found["properties"]
     key = [*lineage.FLOW, "component"]
-    named = c.select("package", "flow", F.col("ref_id").alias("component"), F.col("name").alias("component_name"), "class")
+    connected = packages.connection_of(c, found["connections"])
+    named = connected.select("package", "flow", F.col("ref_id").alias("component"), F.col("name").alias("component_name"), "class", "connection")
     out = found["columns"].join(found["ports"].where("direction = 'output' and is_error <> 'true'").select("package", "flow", F.col("ref_id").alias("port")), [*lineage.FLOW, "port"]).join(named, key)
     is_source = F.col("class").rlike("Source|Lookup")
-    command = p.where(F.col("name").isin("SqlCommand", "OpenRowset")).groupBy("package", "flow", F.col("owner").alias("component")).agg(F.max_by("value", F.when(F.col("name") == "SqlCommand", 1).otherwise(0)).alias("command"))
-    table = F.coalesce(F.nullif(sqltext.clean_name(F.regexp_extract("command", r"(?is)\bfrom\s+([\w.\[\]#]+)", 1)), F.lit("")), sqltext.clean_name(F.col("command")), F.upper("component_name"))
-    seeds = out.where(is_source).join(command, key, "left").select(*lineage.FLOW, "lineage_id", table.alias("source_table"), F.col("name").alias("source_column"), F.lit("column").alias("expression"))
+    command = _commands(found)
+    from_ = F.nullif(sqltext.clean_name(F.regexp_extract("sql", r"(?is)\bfrom\s+([\w.\[\]#]+)", 1)), F.lit(""))
+    file = F.when(F.col("class").rlike("FlatFile|Excel|RawSource|XmlSource"), F.col("connection"))
+    table = F.coalesce(from_, sqltext.clean_name(F.col("rowset")), F.upper(file), F.upper("component_name"))
+    copied = p.where("name = 'CopyFromReferenceColumn' and trim(value) <> ''").groupBy(*lineage.FLOW, F.col("owner").alias("ref_id")).agg(F.min(F.trim("value")).alias("_copied"))
+    external = found["external_columns"].select("package", "flow", F.col("ref_id").alias("external_ref"), F.col("name").alias("target_column"))
+    origin = F.coalesce("_copied", "target_column", "name")
+    seeds = out.where(is_source).join(command, key, "left").join(copied, [*lineage.FLOW, "ref_id"], "left").join(external, [*lineage.FLOW, "external_ref"], "left")
+    seeds = seeds.select(*lineage.FLOW, "lineage_id", table.alias("source_table"), origin.alias("source_column"), F.lit("column").alias("expression"))
     refs = p.where(F.col("name").isin("SourceInputColumnLineageID", "InputColumnID", "SortColumnId", "Expression")).select(*lineage.FLOW, F.col("owner").alias("ref_id"), F.explode(F.regexp_extract_all("value", F.lit(r"#\{([^}]*)\}"), 1)).alias("from_id"))
+    # joins and sorts name the input column, whose lineage id is that of the column it takes
+    inputs = found["columns"].where("lineage_id is not null").select(*lineage.FLOW, F.col("ref_id").alias("from_id"), F.col("lineage_id").alias("_taken"))
+    refs = refs.join(inputs, [*lineage.FLOW, "from_id"], "left").withColumn("from_id", F.coalesce("_taken", "from_id")).drop("_taken")
     links = out.where(~is_source).join(refs, [*lineage.FLOW, "ref_id"]).select(*lineage.FLOW, "from_id", F.col("lineage_id").alias("to_id"), F.concat(F.regexp_extract("class", r"([^.]*)$", 1), F.lit("("), F.col("component_name"), F.lit(")")).alias("step"))
-    external = found["external_columns"].select("package", "flow", F.col("ref_id").alias("external_ref"), F.col("name").alias("target_column"))
     targets = found["columns"].join(named.where(F.col("class").contains("Destination")), key).join(external, [*lineage.FLOW, "external_ref"]).join(command, key, "left")
-    targets = targets.select(*lineage.FLOW, sqltext.clean_name(F.col("command")).alias("target_table"), "target_column", "lineage_id")
+    target = F.coalesce(sqltext.clean_name(F.col("rowset")), F.nullif(sqltext.clean_name(F.regexp_extract("sql", r"(?is)\b(?:from|into)\s+([\w.\[\]#]+)", 1)), F.lit("")), F.upper("connection"), F.upper("component_name"))
+    targets = targets.select(*lineage.FLOW, target.alias("target_table"), "target_column", "lineage_id")
     return lineage.destinations(targets, lineage.propagate(seeds, links))
 
 
 def _catalogs(spark: SparkSession) -> dict[str, DataFrame]:
-    return packages.catalogs(spark.createDataFrame([("daily.dtsx", PACKAGE), ("broken.dtsx", "<a>")], "package string, text string"))
+    return packages.catalogs(spark.createDataFrame([("daily.dtsx", PACKAGE), ("weekly.dtsx", SECOND_PACKAGE), ("broken.dtsx", "<a>")], "package string, text string"))
 
 
 @query()
