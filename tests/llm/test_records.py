@@ -53,6 +53,23 @@ def test_marks_do_not_remove_the_article(page):
     assert html_extract.main_text(page.format("<p>One, two.</p><p>Three.</p>") + "<div class='ad-1'>buy, now.</div>") == "One, two.\n\nThree."
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<ul>" + "<li>{}</li>" * 6 + "</ul>",
+        "<ol>" + "<li><div>{}</div></li>" * 6 + "</ol>",
+        "<dl>" + "<dt>{}</dt><dd>{}</dd>" * 3 + "</dl>",
+        "<table>" + "<tr><td>{}</td><th>{}</th></tr>" * 3 + "</table>",
+        "<blockquote>" + "<p>{}</p>" * 6 + "</blockquote>",
+    ],
+)
+def test_lists_tables_and_quotes_beside_paragraphs_stay(part):
+    p, short = "<p>" + ("word " * 12 + ", ") * 4 + "end of it.</p>", ["forty characters of text without a mark " + str(k) for k in range(6)]
+    links = "<section><ul>" + "<li><a href='x'>a link</a></li>" * 3 + "</ul></section>"
+    got = html_extract.main_text(f"{links}<div><h1>Of the parts</h1>{p}{p}{p}{part.format(*short)}</div>").split("\n\n")
+    assert got[0] == "Of the parts" and got[4:] == short and len(got) == 10
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a</p>", 9), (1, "u", "<p>a</p>", 9), (None, None, None, 8), (2, "v", "<article>" + "<p>word, word.</p>" * 5000 + "</article>", 7)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

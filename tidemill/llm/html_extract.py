@@ -4,7 +4,8 @@ A page is cut into blocks of text, each with its path of tags from the root. Tex
 and number of blocks are summed for each path; the ratio of a path is its text and punctuation for
 each of its blocks. Ratios are smoothed over neighbouring blocks in page order, then fused: paths
 inside one article or main element take the greatest ratio there is among them, and paths under one
-parent lend each other half of theirs. Paths over the threshold, a share of the page's mean, are
+parent lend each other half of theirs. Headings, lists, tables and quotes take the ratio of the paragraphs
+in the container around them, unless most of their text is links. Paths over the threshold, a share of the page's mean, are
 content. What never is main text by its markup (scripts, forms, navigation, adverts, comments and so
 on) is not counted and not selected. A class, id or role decides that only as a whole ("sidebar", "ad-1",
 not "post-comments" or "no-sidebar"), and never for an article or main element or one around it; what is
@@ -44,6 +45,9 @@ BLOCK = frozenset(
 )
 NEVER = RAW | frozenset("head nav aside footer fieldset button select option menu dialog".split())
 CONTENT = frozenset(("article", "main"))
+#: What stands in a container beside its paragraphs, and what holds other elements there as a part of it.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header pre address hr".split())
+PARTS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote figure figcaption details summary".split())
 #: An element of these closes an open one of the group, up to the scope element.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 #: Words of class, id and role that mark what is not main text.
@@ -99,25 +103,29 @@ class Block:
     parent: int  # that of the path without its last tag
     content: int  # number of the article or main element it is in, or -1
     text: str
-    marked: bool = False  # all of it is in elements whose marks lower the ratio
+    marked: bool  # all of it is in elements whose marks lower the ratio
+    home: int  # number of the path of the container that it is a paragraph or a part of
+    inner: bool  # in a list, table or quote there
+    linked: int  # characters of it in links, about
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, without those that never are main text."""
     out: list[Block] = []
-    # (tag, path, outside, content element, whether it is a block, innermost marked element)
-    stack: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, -1, True, 0)]
+    # (tag, path, outside, content element, whether it is a block, innermost marked element, in a link)
+    stack: list[tuple[str, int, bool, int, bool, int, bool]] = [("", 0, False, -1, True, 0, False)]
     # marked elements: the marked element around it, its mark, what is left of that around an article or main
     marks: list[list[int]] = [[0, NOTHING, NOTHING]]
-    raw: list[tuple[int, int, list[tuple[str, int]]]] = []
+    raw: list[tuple[int, int, list[tuple[str, int, bool]]]] = []
     numbers: dict[tuple[int, str], int] = {}
     parents = [0]
-    held: list[tuple[str, int]] = []
+    homes, inner = [0], [False]
+    held: list[tuple[str, int, bool]] = []
     contents = 0
 
     def flush() -> None:
         if held:
-            if any(x.strip() for x, _ in held):
+            if any(x.strip() for x, _, _ in held):
                 at = next(e for e in reversed(stack) if e[4])
                 raw.append((at[1], at[3], held.copy()))
             held.clear()
@@ -132,7 +140,7 @@ def blocks(page: str) -> list[Block]:
         match = _TAG.search(page, position)
         text = page[position : match.start() if match else len(page)]
         if text and not stack[-1][2]:
-            held.append((text, stack[-1][5]))
+            held.append((text, stack[-1][5], stack[-1][6]))
         if not match:
             break
         position = match.end()
@@ -153,7 +161,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             elif tag in ("br", "wbr") and not stack[-1][2]:
-                held.append((" " if tag == "br" else "", stack[-1][5]))
+                held.append((" " if tag == "br" else "", stack[-1][5], stack[-1][6]))
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, position)
@@ -175,7 +183,7 @@ def blocks(page: str) -> list[Block]:
                         close(depth)
                         break
             flush()
-        _, path, outside, content, _, around = stack[-1]
+        _, path, outside, content, _, around, link = stack[-1]
         outside = outside or _outside(tag, attributes, content >= 0)
         holds = not outside and (tag in CONTENT or bool(attributes and _ROLE.search(attributes)))
         mark = NOTHING if outside else _mark(tag, attributes, content >= 0)
@@ -195,16 +203,20 @@ def blocks(page: str) -> list[Block]:
             parent, path = path, numbers.setdefault((path, tag), len(parents))
             if path == len(parents):
                 parents.append(parent)
-        stack.append((tag, path, outside, content, tag in BLOCK, around))
+                inner.append(inner[parent] or tag in PARTS)
+                homes.append(homes[parent] if inner[-1] or tag in PLAIN else path)
+        stack.append((tag, path, outside, content, tag in BLOCK, around, link or tag == "a"))
     flush()
     does = [NOTHING]
     for outer, mark, _ in marks[1:]:
         does.append(max(mark, does[outer]))
     for path, content, parts in raw:
-        parts = [(x, k) for x, k in parts if does[k] < REMOVE]
-        text = " ".join(entities.unescape("".join(x for x, _ in parts)).split())
+        parts = [e for e in parts if does[e[1]] < REMOVE]
+        text = " ".join(entities.unescape("".join(e[0] for e in parts)).split())
         if text:
-            out.append(Block(path, parents[path], content, text, all(does[k] == LOWER for x, k in parts if x.strip())))
+            marked = all(does[k] == LOWER for x, k, _ in parts if x.strip())
+            linked = sum(len(x.strip()) for x, _, link in parts if link)
+            out.append(Block(path, parents[path], content, text, marked, homes[path], inner[path], linked))
     return out
 
 
@@ -232,6 +244,16 @@ def select(found: list[Block]) -> list[Block]:
             best[g] = max(best.get(g, 0.0), smooth[k])
         for k, g in group.items():
             fused[k] = max(fused[k], best[g] if isinstance(g, int) else best[g] / 2)
+    # parts of a container take what its paragraphs have
+    linked = np.bincount(of, [b.linked for b in found])
+    own = {k: b for b, k in zip(found, of.tolist())}
+    anchor: dict[tuple[int, int], float] = {}
+    for k, b in own.items():
+        if not b.inner:
+            anchor[b.content, b.home] = max(anchor.get((b.content, b.home), 0.0), smooth[k])
+    for k, b in own.items():
+        if 2 * linked[k] <= length[k]:
+            fused[k] = max(fused[k], anchor.get((b.content, b.home), 0.0))
     keep = fused * share >= THRESHOLD * np.average(smooth * share, weights=count)
     if any(b.content >= 0 for b in found):
         # the page says where its article is
