@@ -70,6 +70,22 @@ def test_lists_tables_and_quotes_beside_paragraphs_stay(part):
     assert got[0] == "Of the parts" and got[4:] == short and len(got) == 10
 
 
+LONG = "<p>" + ("word " * 12 + ", ") * 4 + "end of it.</p>"
+
+
+def test_ratios_choose_among_articles_and_the_rest():
+    card = "<article><h3>A card</h3><p>Read on</p></article>"
+    assert html_extract.main_text(f"<div>{card * 3}</div><div>{LONG * 4}</div>") == html_extract.main_text(LONG * 4)
+    notice = "<div>Buy this now</div>"
+    inside = html_extract.main_text(f"<article><header><h1>The title</h1></header><div>{LONG * 2}{notice}{LONG * 2}<ul><li>a point</li></ul></div></article>")
+    assert "Buy" not in inside and inside.startswith("The title\n\n") and inside.endswith("\n\na point")
+    assert len(inside.split("\n\n")) == 6
+
+
+def test_many_nested_articles_are_fast():
+    assert html_extract.main_text("<div>" * 3000 + "<article><div><h2>a</h2></div><p>b</p></article>" * 3000).count("b") == 3000
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a</p>", 9), (1, "u", "<p>a</p>", 9), (None, None, None, 8), (2, "v", "<article>" + "<p>word, word.</p>" * 5000 + "</article>", 7)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

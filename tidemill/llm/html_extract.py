@@ -2,10 +2,12 @@
 
 A page is cut into blocks of text, each with its path of tags from the root. Text length, punctuation
 and number of blocks are summed for each path; the ratio of a path is its text and punctuation for
-each of its blocks. Ratios are smoothed over neighbouring blocks in page order, then fused: paths
-inside one article or main element take the greatest ratio there is among them, and paths under one
-parent lend each other half of theirs. Headings, lists, tables and quotes take the ratio of the paragraphs
-in the container around them, unless most of their text is links. Paths over the threshold, a share of the page's mean, are
+each of its blocks. Ratios are smoothed over neighbouring blocks in page order, then fused: outside of
+article and main elements paths under one parent lend each other half of theirs. Headings, lists, tables and quotes take the ratio of the paragraphs
+in the container around them, unless most of their text is links outside of an article; an article's
+headings take the greatest ratio of what they stand over. Being in an article or main raises the part of a
+ratio that is the path's own, by the factor INSIDE, and decides nothing alone; there, smoothing at most
+makes a ratio LIFT-fold, as containers do what it is for. Paths over the threshold, a share of the page's mean, are
 content. What never is main text by its markup (scripts, forms, navigation, adverts, comments and so
 on) is not counted and not selected. A class, id or role decides that only as a whole ("sidebar", "ad-1",
 not "post-comments" or "no-sidebar"), and never for an article or main element or one around it; what is
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,10 @@ from ._shared import arrow_map
 THRESHOLD, NEIGHBOUR = 0.5, 0.25
 #: What is left of the ratio of text that a class, id or role marks without deciding.
 MARKED = 0.25
+#: What an article or main element makes of a path's own ratio; what neighbours lend in smoothing is not raised,
+#: nor is marked text.
+INSIDE = 1.25
+LIFT = 2.0
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +53,8 @@ BLOCK = frozenset(
 NEVER = RAW | frozenset("head nav aside footer fieldset button select option menu dialog".split())
 CONTENT = frozenset(("article", "main"))
 #: What stands in a container beside its paragraphs, and what holds other elements there as a part of it.
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header pre address hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN = HEADINGS | frozenset("p hgroup header pre address hr".split())
 PARTS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote figure figcaption details summary".split())
 #: An element of these closes an open one of the group, up to the scope element.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
@@ -107,10 +115,12 @@ class Block:
     home: int  # number of the path of the container that it is a paragraph or a part of
     inner: bool  # in a list, table or quote there
     linked: int  # characters of it in links, about
+    heading: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without those that never are main text."""
+def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
+    """The text blocks of a page in order, without those that never are main text; the container around each
+    path's parent; the path of each article or main element."""
     out: list[Block] = []
     # (tag, path, outside, content element, whether it is a block, innermost marked element, in a link)
     stack: list[tuple[str, int, bool, int, bool, int, bool]] = [("", 0, False, -1, True, 0, False)]
@@ -119,9 +129,9 @@ def blocks(page: str) -> list[Block]:
     raw: list[tuple[int, int, list[tuple[str, int, bool]]]] = []
     numbers: dict[tuple[int, str], int] = {}
     parents = [0]
-    homes, inner = [0], [False]
+    homes, inner, heads = [0], [False], [False]
+    roots: list[int] = []
     held: list[tuple[str, int, bool]] = []
-    contents = 0
 
     def flush() -> None:
         if held:
@@ -185,6 +195,7 @@ def blocks(page: str) -> list[Block]:
             flush()
         _, path, outside, content, _, around, link = stack[-1]
         outside = outside or _outside(tag, attributes, content >= 0)
+        opens = False
         holds = not outside and (tag in CONTENT or bool(attributes and _ROLE.search(attributes)))
         mark = NOTHING if outside else _mark(tag, attributes, content >= 0)
         if holds:
@@ -194,8 +205,8 @@ def blocks(page: str) -> list[Block]:
                 marks[k][1] = marks[k][2]
                 k = marks[k][0]
             mark = LOWER if mark == REMOVE else NOTHING
-            if content < 0:
-                content, contents = contents, contents + 1
+            opens = content < 0
+            content = len(roots) if opens else content
         if not outside and (mark or (tag == "form" and not holds)):
             marks.append([around, REMOVE if tag == "form" and not holds else mark, mark if holds else LOWER if mark == REMOVE else NOTHING])
             around = len(marks) - 1
@@ -203,8 +214,11 @@ def blocks(page: str) -> list[Block]:
             parent, path = path, numbers.setdefault((path, tag), len(parents))
             if path == len(parents):
                 parents.append(parent)
+                heads.append(heads[parent] or tag in HEADINGS)
                 inner.append(inner[parent] or tag in PARTS)
                 homes.append(homes[parent] if inner[-1] or tag in PLAIN else path)
+        if opens:
+            roots.append(path)
         stack.append((tag, path, outside, content, tag in BLOCK, around, link or tag == "a"))
     flush()
     does = [NOTHING]
@@ -216,11 +230,31 @@ def blocks(page: str) -> list[Block]:
         if text:
             marked = all(does[k] == LOWER for x, k, _ in parts if x.strip())
             linked = sum(len(x.strip()) for x, _, link in parts if link)
-            out.append(Block(path, parents[path], content, text, marked, homes[path], inner[path], linked))
-    return out
+            out.append(Block(path, parents[path], content, text, marked, homes[path], inner[path], linked, heads[path]))
+    return out, [homes[p] for p in parents], roots
 
 
-def select(found: list[Block]) -> list[Block]:
+def _under(own: dict[int, Block], smooth: np.ndarray, outer: list[int], roots: list[int]) -> dict[tuple[int, int], float]:
+    """The greatest ratio in each container of each article or main element, with those in it."""
+    best: dict[tuple[int, int], float] = {}
+    for k, b in own.items():
+        if b.content >= 0:
+            best[b.content, b.home] = max(best.get((b.content, b.home), 0.0), smooth[k])
+    # paths have greater numbers than those around them
+    waiting = [(-home, content) for content, home in best]
+    heapify(waiting)
+    while waiting:
+        home, content = heappop(waiting)
+        up = outer[-home]
+        if -home <= roots[content]:
+            continue
+        if (content, up) not in best:
+            heappush(waiting, (-up, content))
+        best[content, up] = max(best.get((content, up), 0.0), best[content, -home])
+    return best
+
+
+def select(found: list[Block], outer: list[int], roots: list[int]) -> list[Block]:
     """Smooth, fuse and threshold the ratios of the blocks' paths."""
     if not found:
         return []
@@ -236,34 +270,37 @@ def select(found: list[Block]) -> list[Block]:
     row = (NEIGHBOUR * padded[:-2] + padded[1:-1] + NEIGHBOUR * padded[2:]) / (1 + 2 * NEIGHBOUR)
     smooth = np.zeros(len(count))
     np.maximum.at(smooth, of, row)
+    smooth = np.where([c >= 0 for c, _, _ in paths], np.minimum(smooth, LIFT * ratio), smooth)
+    mean = np.average(smooth * share, weights=count)
+    inside = np.array([c >= 0 and not m for c, _, m in paths])
+    smooth += (INSIDE - 1) * inside * np.minimum(ratio, smooth)
     fused = smooth.copy()
-    parents = {(b.content, b.path): b.parent for b in found}
-    for group in ({k: c for (c, _, _), k in paths.items() if c >= 0}, {k: ("under", parents[c, p]) for (c, p, _), k in paths.items() if c < 0}):
-        best: dict[object, float] = {}
-        for k, g in group.items():
-            best[g] = max(best.get(g, 0.0), smooth[k])
-        for k, g in group.items():
-            fused[k] = max(fused[k], best[g] if isinstance(g, int) else best[g] / 2)
+    own = {k: b for b, k in zip(found, of.tolist())}
+    best: dict[int, float] = {}
+    for k, b in own.items():
+        if b.content < 0:
+            best[b.parent] = max(best.get(b.parent, 0.0), smooth[k])
+    for k, b in own.items():
+        if b.content < 0:
+            fused[k] = max(fused[k], best[b.parent] / 2)
     # parts of a container take what its paragraphs have
     linked = np.bincount(of, [b.linked for b in found])
-    own = {k: b for b, k in zip(found, of.tolist())}
     anchor: dict[tuple[int, int], float] = {}
     for k, b in own.items():
         if not b.inner:
             anchor[b.content, b.home] = max(anchor.get((b.content, b.home), 0.0), smooth[k])
+    under = _under(own, smooth, outer, roots)
     for k, b in own.items():
-        if 2 * linked[k] <= length[k]:
+        if b.content >= 0 or 2 * linked[k] <= length[k]:
             fused[k] = max(fused[k], anchor.get((b.content, b.home), 0.0))
-    keep = fused * share >= THRESHOLD * np.average(smooth * share, weights=count)
-    if any(b.content >= 0 for b in found):
-        # the page says where its article is
-        inside = np.array([c >= 0 for c, _, _ in paths])
-        keep = inside if not (keep & inside).any() else keep & inside
+        if b.heading:
+            fused[k] = max(fused[k], under.get((b.content, b.home), 0.0))
+    keep = fused * share >= THRESHOLD * mean
     return [b for b, k in zip(found, of) if keep[k]]
 
 
 def main_text(page: str | None) -> str:
-    return "\n\n".join(b.text for b in select(blocks(page or "")))
+    return "\n\n".join(b.text for b in select(*blocks(page or "")))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
