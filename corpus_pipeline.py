@@ -33,13 +33,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 3 bits the smallest doc_id stays. Of rows with one id one
-    stays; rows without an id all stay."""
+    """Of each component of fingerprints within 3 bits one row stays: that of the smallest doc_id, or where ids are
+    null or repeat, the first row in order of id (nulls first), then text."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, shingle=3, radius=3)
-    stay = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("_id")).distinct()
-    named = docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if found["rows"] == found["ids"]:
+        rows = docs.withColumn("_rid", F.col("doc_id"))
+    else:
+        rows = suffix_dedup._number(docs.withColumn("_bytes", F.coalesce("text", F.lit("")).cast("binary")), "doc_id").drop("_bytes")
+    near = simhash.near_duplicates(rows, id_column="_rid", shingle=3, radius=3)
+    stay = near.where(F.col("id") == F.col("component")).select(F.col("id").alias("_id"))
+    return rows.join(stay, F.col("_rid") == F.col("_id"), "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

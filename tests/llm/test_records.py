@@ -275,6 +275,18 @@ def test_held_out_accuracy(spark):
 # --- pipeline -----------------------------------------------------------------------------------------
 
 
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    three, own, nobody = text(), text(), text()
+    docs = [(3, three), (5, own), (5, three), (5, own), (None, nobody), (None, nobody), (8, three), (9, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect())
+    assert got == Counter([(3, three), (5, own), (None, nobody), (9, None)])
+
+
 def test_pipeline_stages_and_edge_rows(spark, tmp_path):
     import corpus_pipeline
 
