@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 import zlib
@@ -302,7 +301,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(packing.vocabulary(packing.TOKENIZER))
-    plain.encode_special_tokens = True
     rows = corpus(6, 30) + [(1, "twice"), (None, "no id"), (60, "<|endoftext|> 🦊 \r\n\t  x")]
     got = packing.pack_documents(frame(spark, rows), capacity=64).collect()
     texts = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t in rows]
@@ -347,5 +345,25 @@ def test_op4_ids_are_those_of_the_tokenizer_file(spark, tmp_path):
         assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == sorted(expected)
 
 
-def test_sha_of_kept_text_is_stable():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_word_ids_are_those_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    at = packing.vocabulary(packing.TOKENIZER)
+    plain, encode = Tokenizer.from_file(at), packing.encoder(at)
+    r = random.Random(11)
+    pool = ["a", "B", "'s", "'ll", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "9", "½", "é", "漢", "🦊", "\u0558", "\ud7ff", "_", "!", "\u200d", "ǆ"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["x" * 5000 + " y" * 3, " " * 3000 + "z", "." * 3000, "1" * 2_000_00, "\n" * 200_000, "".join(map(chr, range(0x20, 0x3000)))]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("ranked", [1 << 18, 3])
+def test_places_of_a_length_in_groups(spark, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
+    parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate([5] * 40 + [3] * 11 + [8] * 2)], "id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(parts, 8).collect()
+    by: dict[int, list] = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert len(got) == 53 and len(by) == 42 and sorted(sorted(v) for v in by.values()) == sorted([[(0, 8)]] * 2 + [[(0, 5), (5, 3)]] * 11 + [[(0, 5)]] * 29)

@@ -7,23 +7,26 @@ short table of ranges (length, ranks, first sequence, offset); pieces take their
 join of their rank within their length. Ranks come from counts of (length, bucket of documents) and
 ranks within those, so that a length that a third of all pieces have is not in one task.
 
-Token ids are those of a byte-level BPE vocabulary file. `encode_ordinary` of the same vocabulary as
-ranks gives the same ids as the tokenizer file in a third of the time, but knows no added tokens and
-fails on very long white space: with `added_tokens`, texts that hold the string of one go through the
-tokenizer file, as do texts with SPACES white-space characters in a row. Each worker compares both on
-its first documents, and on every COMPARE-th of each slice, and stops if they differ.
+Token ids are those of a tokenizer file (library `tokenizers`, no special tokens added). A byte-level BPE
+model merges only within the words that its fixed pattern cuts a text into, so each worker asks the
+file's model once for each different word and keeps the ids of up to CACHED words; a text is then its
+words' ids behind one another. Texts that hold the string of an added token, or a character that is not
+assigned (the pattern's classes may differ there), and files of another kind are encoded whole.
 
 Defined results
 * null text counts as empty: its only token is the end mark, one piece of length 1.
 * repeated rows and ids are packed each; null ids stay null; other columns are ignored.
-* the string of an added token is that token with `added_tokens`, as the tokenizer file alone has it;
-  without, it is text like any other.
+* the string of an added token in a text is that token, as the tokenizer file alone has it.
+* a very long text, run of white space or word is encoded like any other, whole.
 * an empty table gives an empty result. Pieces of equal length are ranked by id, then by piece.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -32,6 +35,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +43,16 @@ from pyspark.sql import types as T
 from ._shared import checkpoint, chunks, small_batches
 
 CAPACITY = 1024
-#: A length's pieces are ranked in so many groups, for lengths that a large part of all pieces have.
-BUCKETS = 64
+#: Pieces that are ranked together in one task at most, about: their number gives that of a length's groups.
+RANKED = 1 << 18
 END_TOKEN = 2
-#: White-space characters in a row from which on the tokenizer file encodes a text (ranks fail at a million).
-SPACES = 100_000
-#: The tokenizer file and the ranks are compared on one text in so many.
-COMPARE = 256
-#: Where the public vocabulary files lie.
-TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Words whose ids a worker keeps, and characters of a word that is kept at most.
+CACHED, KEPT_LENGTH = 1 << 18, 64
+#: A public vocabulary file.
+TOKENIZER = "byte_bpe_50k.json"
+#: Fixed value: the words of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def vocabulary(name: str) -> str:
@@ -57,81 +62,84 @@ def vocabulary(name: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _encoder(ranks: str):
-    import base64
+def _unassigned() -> re.Pattern:
+    """One character that this Python's tables do not know."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    breaks = np.flatnonzero(np.diff(codes) > 1)
+    first, last = np.r_[0, breaks + 1], np.r_[breaks, len(codes) - 1]
+    return re.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(first, last)) + "]")
 
-    import public_tokenizers
-    import tiktoken
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: as itself where it is printable, else as a letter from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
 @lru_cache(maxsize=2)
-def _plain(tokenizer: str, added_tokens: bool):
+def encoder(tokenizer: str) -> Callable[[str], bytes]:
+    """text -> its ids as little-endian unsigned 32-bit numbers."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = not added_tokens
-    return plain
-
-
-#: Settings that this worker has compared on its first documents.
-_COMPARED: set[tuple[str, str, bool]] = set()
-
-
-def encoder(tokenizer: str, ranks: str, added_tokens: bool) -> Callable[[list[str]], Iterator[list[int]]]:
-    """Token ids of texts as the tokenizer file has them, by ranks where those give the same."""
-    fast, plain = _encoder(ranks), _plain(tokenizer, added_tokens)
-    added = [t.content for t in plain.get_added_tokens_decoder().values() if added_tokens or not t.special]
-    held = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-    spaces = re.compile(rf"\s{{{SPACES}}}")
-
-    def run(texts: list[str]) -> Iterator[list[int]]:
-        first = 0 if (tokenizer, ranks, added_tokens) in _COMPARED else 8
-        for k, text in enumerate(texts):
-            if held.search(text) or (len(text) >= SPACES and spaces.search(text)):
-                yield plain.encode(text, add_special_tokens=False).ids
-                continue
-            ids = fast(text)
-            if (k < first or k % COMPARE == COMPARE - 1) and plain.encode(text, add_special_tokens=False).ids != ids:
-                raise ValueError(f"{ranks} and {tokenizer} encode a text differently")
-            yield ids
-        _COMPARED.add((tokenizer, ranks, added_tokens))
+    whole = Tokenizer.from_file(tokenizer)
+
+    def plain(text: str) -> bytes:
+        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    with open(tokenizer, encoding="utf-8") as f:
+        file = json.load(f)
+    if file["model"]["type"] != "BPE" or file["normalizer"] or file["pre_tokenizer"] != _BYTE_LEVEL or file["model"].get("dropout"):
+        return plain
+    added = regex.compile("|".join(regex.escape(t["content"]) for t in file["added_tokens"]) or r"(?!)")
+    words, model, letters, unassigned = regex.compile(PATTERN).findall, whole.model, _byte_letters(), _unassigned()
+    known: dict[str, bytes] = {}
+
+    def one(word: str) -> bytes:
+        if len(word) > KEPT_LENGTH:
+            return plain(word)
+        ids = np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+        if len(known) >= CACHED:
+            known.clear()
+        known[word] = ids
+        return ids
+
+    def run(text: str) -> bytes:
+        if added.search(text) or not text.isascii() and unassigned.search(text):
+            return plain(text)
+        return b"".join([known[w] if w in known else one(w) for w in words(text)])
 
     return run
 
 
-def _piece_rows(tokenizer: str | None, ranks: str | None, capacity: int, end: int, added_tokens: bool):
+def _piece_rows(tokenizer: str | None, capacity: int, end: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = tokenizer or vocabulary(TOKENIZER), ranks or vocabulary(RANKS)
-        encode = encoder(*files, added_tokens)
+        encode, mark = encoder(tokenizer or vocabulary(TOKENIZER)), end.to_bytes(4, "little")
         for batch in chunks(batches, "text"):
             out: list[list] = [[] for _ in names]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids = np.array([*ids, end], "<u4")
-                first = len(ids) % capacity or capacity
-                for k, start in enumerate([0, *range(first, len(ids), capacity)]):
-                    part = ids[start : first if k == 0 else start + capacity]
-                    for column, x in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes()))):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encode(text or "") + mark
+                n = len(ids) // 4
+                first = n % capacity or capacity
+                for k, start in enumerate([0, *range(first, n, capacity)]):
+                    stop = start + capacity if k else first
+                    for column, x in zip(out, (doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]))):
                         column.append(x)
             yield pa.record_batch([pa.array(x, pa.int32() if n == "piece" else pa.int64()) for n, x in zip(names, out)], names=names)
 
     return run
 
 
-def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None, ranks: str | None = None, added_tokens: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None) -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece; only a document's first piece may be short."""
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    run = _piece_rows(tokenizer, ranks, capacity, end, added_tokens)
-    return base.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return base.mapInArrow(_piece_rows(tokenizer, capacity, end), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -173,8 +181,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(length, id, piece, ...)."""
     spark = parts.sparkSession
-    parts = checkpoint(parts).withColumn("_bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int"))
-    # at most `capacity` * BUCKETS rows of three numbers
+    parts = checkpoint(parts)
+    # at most `capacity` rows of two numbers; a length with many pieces is ranked in as many groups as it needs
+    sizes = parts.groupBy("length").agg(F.count("*").alias("n")).select(F.col("length").alias("_l"), F.ceil(F.col("n") / RANKED).alias("_groups"))
+    parts = parts.join(F.broadcast(checkpoint(sizes)), F.col("length") == F.col("_l")).withColumn("_bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("_groups")).cast("int")).drop("_l", "_groups")
+    # a row for each length, and one for each RANKED pieces of a length that has more
     tally = [tuple(r) for r in parts.groupBy("length", "_bucket").agg(F.count("*").alias("n")).collect()]
     counts, before = Counter(), []
     for length, bucket, n in sorted(tally):
@@ -190,6 +201,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("_first") + F.col("_r") - F.col("_rank")).drop("_bucket", "_before", "_r", "_length", "_rank", "_ranks", "_first")
 
 
-def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, added_tokens: bool = False) -> DataFrame:
-    packed = pack(pieces(docs, id_column, text_column, capacity, end, added_tokens=added_tokens), capacity)
+def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = END_TOKEN, tokenizer: str | None = None) -> DataFrame:
+    packed = pack(pieces(docs, id_column, text_column, capacity, end, tokenizer), capacity)
     return packed.select(F.col("id").alias(id_column), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
