@@ -100,7 +100,10 @@ def test_deep_nesting_is_fast():
 # --- WARC ---------------------------------------------------------------------------------------------
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("few,task", [(1 << 18, 8 << 20), (0, 500)])
+def test_round_trip(spark, tmp_path, monkeypatch, few, task):
+    monkeypatch.setattr(warc, "FEW_DIGESTS", few)
+    monkeypatch.setattr(warc, "TASK_BYTES", task)
     long, other = "ä" * 700, "b" * 1000
     rows = [(1, "http://a/ b", long), (2, "u", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", other), (None, "n", other), (7, "u", other), (8, "u", "z" * 300_000)]
     pages = spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, digest string, size int").repartition(3)
@@ -165,9 +168,56 @@ def test_reply_trees(spark):
     assert min(paths, key=lambda k: k[1])[0] == 4
     assert {x.leaf for x in chat.reply_paths(frame, max_paths=1).collect()} == {4}
     assert {x.leaf for x in chat.reply_paths(frame, max_branches=1).collect()} == {4, 5, 8}
+    below = frame.unionByName(spark.createDataFrame([("t", 9, 3, "user", "below a reply that goes", 9.0), ("t", 10, 9, "user", "further below", 9.0)], frame.schema))
+    assert {x.leaf for x in chat.reply_paths(below, max_branches=1).collect()} == {4, 5, 8}
     assert chat.format_paths(chat.reply_paths(frame.limit(0))).count() == 0
 
 
+def brute_paths(rows, branches, most):
+    """Root-to-leaf paths by walking down each tree: (tree, leaf) -> (rank, texts)."""
+    nodes = {}
+    for tree, node, parent, text, score in sorted(rows, key=lambda x: x[3]):
+        nodes.setdefault((tree, node), (parent, text, score or 0.0))
+    replies, roots = {}, []
+    for (tree, node), (parent, _, score) in nodes.items():
+        if parent is None or parent == node or (tree, parent) not in nodes:
+            roots.append((tree, node))
+        else:
+            replies.setdefault((tree, parent), []).append((-score, node))
+    found = {}
+    waiting = [[r] for r in roots]
+    while waiting:
+        path = waiting.pop()
+        below = sorted(replies.get(path[-1], []))[:branches]
+        waiting += [[*path, (path[0][0], n)] for _, n in below]
+        if not below:
+            found.setdefault(path[0][0], []).append((-sum(nodes[p][2] for p in path) / len(path), path[-1][1], [nodes[p][1] for p in path]))
+    return {(tree, leaf): (k + 1, texts) for tree, all_ in found.items() for k, (_, leaf, texts) in enumerate(sorted(all_)[:most])}
+
+
+@pytest.mark.parametrize("branches,most", [(None, None), (1, None), (2, 2)])
+def test_reply_trees_against_a_walk(spark, branches, most):
+    r = random.Random(f"{branches}{most}")
+    rows = []
+    for tree in range(30):
+        n = r.choice([1, 2, 5, 12])
+        for k in range(n):
+            parent = r.choice([None, k, 77, *range(n), *range(k), *range(k)])
+            rows.append((tree, k, parent, f"text {tree} {k} {r.random()}", r.choice([None, 0.0, 1.0, 2.0])))
+    frame = spark.createDataFrame([(t, k, p, "user", x, s) for t, k, p, x, s in rows], "tree long, node long, parent long, role string, text string, score double")
+    got = {}
+    for x in sorted(chat.reply_paths(frame, branches, most).collect(), key=lambda x: x.pos):
+        got.setdefault((x.tree, x.leaf), (x["rank"], []))[1].append(x.text)
+    assert got == brute_paths(rows, branches, most)
+
+
+def test_a_long_conversation_with_long_texts(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"{k} </s> " + "long \\ text |> " * (30_000 if k == 7 else 2)) for k in range(300)]
+    got = chat.read_back(chat.format_paths(chat.reply_paths(chat.linear_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).collect()
+    assert [(t.role, t.text) for t in got[0].turns] == [(x[2], x[3]) for x in rows]
+    assert got[0].loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
+
+
 # --- licences -----------------------------------------------------------------------------------------
 
 

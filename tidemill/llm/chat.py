@@ -41,17 +41,26 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
     tree, leaf, rank (of the path in its tree), pos (0 at the root), role, text.
 
     Branches are ranked among the replies to one message by score, then by node; max_branches keeps
-    the best ones. Paths are ranked in their tree by mean score, then by leaf; max_paths keeps the best."""
+    the best ones, and what answers a reply that is not kept goes with it. Paths are ranked in their tree by mean
+    score, then by leaf; max_paths keeps the best.
+
+    The joins carry ids and scores; roles and texts are joined to the chosen paths once, at the end."""
     nodes = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("parent").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("m")).select("tree", "node", "m.*")
-    if max_branches is not None:
-        best = Window.partitionBy("tree", "parent").orderBy(F.desc("score"), "node")
-        nodes = nodes.withColumn("b", F.row_number().over(best)).where((F.col("b") <= max_branches) | F.col("parent").isNull()).drop("b")
     nodes = checkpoint(nodes)
-    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    up = nodes.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))).join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left_semi").select("tree", "node", F.col("parent").alias("up"))
-    jumps = [checkpoint(up)]
+    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.lit(True).alias("known"))
+    linked = nodes.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")) & ~F.col("parent").eqNullSafe(F.col("node")), "left")
+    bare = linked.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
+    if max_branches is not None:
+        # roots stay; a reply beyond the best still has its parent, so what follows it finds no way to a root
+        best = Window.partitionBy("tree", "up").orderBy(F.desc("score"), "node")
+        bare = bare.withColumn("kept", F.col("up").isNull() | (F.row_number().over(best) <= max_branches))
+    else:
+        bare = bare.withColumn("kept", F.lit(True))
+    bare = checkpoint(bare)
+    kept = bare.where("kept")
+    jumps = [kept.where("up is not null").select("tree", "node", "up")]
     # no path is longer than its tree has messages; only on a cycle would jumps go on for ever
-    most = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = kept.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while 1 << len(jumps) < most:
         a, b = jumps[-1], jumps[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"))
         nxt = checkpoint(a.join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up")))
@@ -59,24 +68,23 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
             break
         jumps.append(nxt)
     parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("p"))
-    leaves = nodes.select("tree", "node").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    leaves = kept.select("tree", "node").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     for k in reversed(range(len(jumps))):
         jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up"))
         more = path.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + F.lit(1 << k)).alias("back"))
         path = checkpoint(path.unionByName(more))
-    # of leaves behind a cycle no path begins at a root
-    roots = nodes.select("tree", "node").join(jumps[0].select(F.col("tree").alias("t"), F.col("node").alias("n")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select(F.col("tree").alias("rt"), F.col("node").alias("rn"))
-    rooted = path.join(roots, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("node") == F.col("rn")), "left_semi").select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"))
-    path = path.join(rooted, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("leaf") == F.col("rl")), "left_semi")
-    held = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
-    full = path.join(held, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
-    paths = full.groupBy("tree", "leaf").agg(F.max("back").alias("depth"), F.avg("score").alias("mean_score"))
+    # a path counts if it begins at a root: not behind a cycle, and not behind a reply that is not kept
+    held = kept.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score", F.col("up").isNull().alias("root"))
+    scored = path.join(held, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
+    paths = scored.groupBy("tree", "leaf").agg(F.max("back").alias("depth"), F.avg("score").alias("mean_score"), F.max("root").alias("rooted")).where("rooted")
     ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean_score"), "leaf")))
     if max_paths is not None:
         ranked = ranked.where(F.col("rank") <= max_paths)
     ranked = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "depth", "rank")
-    return full.join(ranked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "rank", (F.col("depth") - F.col("back")).alias("pos"), "role", "text")
+    chosen = path.join(ranked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "node", "rank", (F.col("depth") - F.col("back")).alias("pos"))
+    said = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
+    return chosen.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", "pos", "role", "text")
 
 
 def format_paths(paths: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

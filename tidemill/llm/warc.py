@@ -1,13 +1,14 @@
 """WARC archives with an index that is written first and read by coalesced byte ranges.
 
 Writing: payloads that recur (from `revisit_bytes` on) are found by their SHA-1 with a partial
-aggregation of digests; the row with the largest id of a group is the response, the others become
+aggregation of digests, and only those digests are joined to the pages: by broadcast if they are few
+(counted), else shuffled. The row with the largest id of a group is the response, the others become
 revisit records without payload. Each task writes archives of gzip members, one record each, to the
 shared folder under names of its own, so a task that runs again leaves no half-written archive in use.
 What the write returns is the index: archive, offset, length, url, digest, id of each record.
 
-Reading: the index is filtered to the records wanted, dealt out by archive and stretch of it, sorted by
-offset, and ranges that lie near one another become one read. Digests of payloads are compared with
+Reading: the index is filtered to the records wanted, dealt out in ranges of (archive, offset), as many as
+the records' bytes ask for, and ranges that lie near one another become one read. Digests of payloads are compared with
 those in the records.
 
 Defined results
@@ -31,10 +32,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import chunks, fresh_dir, small_batches
+from ._shared import checkpoint, chunks, fresh_dir, small_batches
 
 #: An archive is closed once it has this many bytes; one read spans this much at most, and bridges gaps up to GAP.
 ARCHIVE_BYTES, READ_BYTES, GAP = 256 << 20, 8 << 20, 64 << 10
+#: Compressed bytes that one task reads back, about.
+TASK_BYTES = 8 << 20
+#: Recurring digests up to which they are broadcast (about 100 bytes each).
+FEW_DIGESTS = 1 << 18
 REVISIT_BYTES = 1000
 #: Records carry this date unless another is given: the same input gives the same archives.
 DATE = "1970-01-01T00:00:00Z"
@@ -88,7 +93,8 @@ def typed(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
     base = pages.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     chief = base.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("id").alias("chief"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "chief")
-    both = base.join(chief, (F.col("digest") == F.col("d")) & (F.col("size") >= revisit_bytes), "left")
+    chief = checkpoint(chief)
+    both = base.join(F.broadcast(chief) if chief.count() <= FEW_DIGESTS else chief, (F.col("digest") == F.col("d")) & (F.col("size") >= revisit_bytes), "left")
     revisit = F.col("chief").isNotNull() & ~F.col("id").eqNullSafe(F.col("chief"))
     kind = F.when(revisit, "revisit").otherwise("response")
     return both.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("chief")).alias("refers_to"), kind.alias("kind"))
@@ -176,8 +182,8 @@ def _read_rows(folder: str, payloads: bool):
 
 def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records of the index rows given (a filtered index reads just those ranges)."""
-    stretch = F.floor(F.col("offset") / F.lit(ARCHIVE_BYTES // 4))
-    dealt = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.select("archive", "offset", "length").repartitionByRange(max(1, -(-size // TASK_BYTES)), "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(_read_rows(f"{folder}/archives", payloads), "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
