@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -251,21 +252,75 @@ def test_licences(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
-def test_cosine_against_brute_force(spark):
+def dense_cosines(statement, templates):
+    """Cosines to all templates over the whole vocabulary, by definition."""
     import math
-    import re
-
-    rows, idf, unknown = licenses.template_weights()
-    statement = "This file is licensed under the terms of the MIT License, see LICENSE."
-    tf = Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", statement.lower()))
-    own = {t: n * idf.get(t, unknown) for t, n in tf.items()}
-    norm = math.sqrt(sum(v * v for v in own.values()))
-    dots: Counter = Counter()
-    for k, licence, t, w in rows:
-        dots[k, licence] += own.get(t, 0) * w / norm
-    best = max(dots.values())
-    got = licenses.own_licences(spark.createDataFrame([(1, statement)], "key long, text string"), threshold=0.1).collect()
-    assert abs(got[0].similarity - best) < 1e-5
+
+    tokens = lambda x: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", x.lower())
+    texts = [tokens(x) for _, x in templates]
+    idf = lambda t: math.log((1 + len(texts)) / (1 + sum(t in x for x in texts))) + 1
+    own = {t: n * idf(t) for t, n in Counter(tokens(statement)).items()}
+    out = []
+    for (name, _), x in zip(templates, texts):
+        other = {t: n * idf(t) for t, n in Counter(x).items()}
+        dot = sum(own.get(t, 0.0) * v for t, v in other.items())
+        size = math.sqrt(sum(v * v for v in own.values()) * sum(v * v for v in other.values()))
+        out.append((-round(dot / size, 6) if size else 0.0, name))
+    return min(out)
+
+
+def test_scan_against_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    templates = licenses.TEMPLATES
+    some = lambda: r.choice([x for _, x in templates])
+    rows = []
+    for i in range(80):
+        words = some().split()
+        kind = r.randrange(6)
+        if kind == 0:
+            words = words[: r.randint(1, len(words))]
+        if kind == 1:
+            words += ["other"] * r.randint(1, 30)
+        if kind == 2:
+            r.shuffle(words)
+        text = " ".join(words) if kind < 5 else f"talk number {i}, of nothing."
+        directory = "/".join(r.choice("ab") for _ in range(r.randint(0, 4)))
+        name = r.choice(["LICENSE", "COPYING.txt", "x.py", "y.py", "licensed.py"])
+        rows.append((i, f"{directory}/{name}" if directory else name, text))
+    own = {}
+    for i, path, text in rows:
+        sentences = [s for line in [text] for s in [line, *re.split(r"(?<=[.!?])[ \t]+", line)]]
+        best = min(dense_cosines(s, templates) for s in sentences)
+        own[i] = (best[1], -best[0]) if -best[0] >= licenses.THRESHOLD else None
+    speaks = {}
+    for i, path, _ in rows:
+        d, _, name = path.rpartition("/")
+        if own[i] and re.match(r"(?i)(licen[cs]e|copying|copyright|notice|unlicense)\b", name):
+            speaks[d] = min(speaks.get(d, (9.0, "")), (-own[i][1], path, own[i][0]))
+    expected = set()
+    for i, path, _ in rows:
+        d = path.rpartition("/")[0]
+        while own[i] is None and d and d not in speaks:
+            d = d.rpartition("/")[0]
+        if own[i]:
+            expected.add((i, own[i][0], own[i][1], "own", path))
+        elif d in speaks:
+            expected.add((i, speaks[d][2], -speaks[d][0], "inherited", speaks[d][1]))
+        else:
+            expected.add((i, None, None, "none", None))
+    frame = spark.createDataFrame(rows, "key long, path string, text string")
+    for few, together in ((1 << 16, 1 << 18), (0, 2)):
+        monkeypatch.setattr(licenses, "FEW_DIRECTORIES", few)
+        monkeypatch.setattr(licenses, "TOGETHER", together)
+        assert {(x.key, x.licence, x.similarity, x.origin, x.licence_path) for x in licenses.scan(frame).collect()} == expected
+
+
+def test_whole_licence_files_headers_and_long_texts(spark):
+    wrap = lambda name: "\n".join(re.findall(r".{1,70}(?:\s|$)", max((x for n, x in licenses.TEMPLATES if n == name), key=len)))
+    header = "".join(f"# {x}\n" for x in wrap("GPL-3.0").split("\n"))
+    rows = [(1, "a/LICENSE", wrap("BSD-2-Clause")), (2, "b/LICENSE", wrap("BSD-3-Clause")), (3, "c/COPYING", "Copyright (c) 2020 A. Person\n\n" + wrap("MIT")), (4, "d/x.py", header + "\nimport this\n"), (5, "e/x", "license " + "1." * 200_000), (6, "f/x", "license " * 200_000), (7, "g/x", " " * 1_000_000), (8, "h/x", "licensed" * 100_000 + "\nReleased under the MIT License.")]
+    got = {x.key: x.licence for x in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert got == {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: "MIT", 4: "GPL-3.0", 5: None, 6: None, 7: None, 8: "MIT"}
 
 
 # --- toxicity -----------------------------------------------------------------------------------------

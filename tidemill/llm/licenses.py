@@ -1,35 +1,50 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Statements (sentences, and short blocks of lines) that hold a hint of a licence are exploded to terms
-and joined to the templates' weights; cosines are sums over the joined terms. A file's own licence is
-that of its best statement. Files named like licence files speak for their directory. Every other file
-takes the licence of the nearest directory at or above its own that has one: directories, not files,
-are exploded to their ancestors and joined on path.
+What is compared of a file: each line, each sentence (over wrapped lines), each paragraph, the header (the
+leading run of comment lines, or the first paragraph), and of a licence file the whole text. Each is a
+sparse vector of term counts times idf, where idf is that among the templates; terms of no template only
+add to the norm. A file's own licence is that of its best part, if the cosine reaches the threshold.
 
-Everything is DataFrame operations. Templates are a small given table and are broadcast; directories
-and files are joined by key, files of one directory over SALT keys.
+Parts that cannot reach it are left out by a proof, not by a guess: a cosine is at most the root of the sum
+of squares of a template's weights over the shared terms, so a part without any of the template's `needed`
+terms, those outside a set with a sum of squares below threshold**2, stays below the threshold.
+
+Own licences are found in one pass, map only. Files named like licence files speak for their directory. Every
+other file takes the licence of the nearest directory at or above its own that has one: directories,
+not files, are exploded to their ancestors and joined on path. Directories with a licence are
+broadcast if they are few (counted); else ancestors that many directories share are dealt over sub-keys
+by their counts. Files are joined to their directory last; adaptive execution splits hot directories.
 
 Defined results
 * null and empty texts have no licence of their own; null paths belong to no directory.
 * ties: among templates by cosine, then name; among licence files of a directory by cosine, then path.
 * every row gives a row, repeated ones too; other columns are ignored; an empty table gives none.
+* very long texts, lines and words are compared like any other.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A statement needs this cosine to a template.
-THRESHOLD = 0.6
-#: Lines that make a block, beside single sentences.
-BLOCK_LINES = 8
-SALT = 16
+from ._shared import arrow_map, checkpoint
 
+#: A part needs this cosine to a template.
+THRESHOLD = 0.6
+#: Directories with a licence up to which they are broadcast; directories below one ancestor that meet in one task.
+FEW_DIRECTORIES, TOGETHER = 1 << 16, 1 << 18
+#: Parts up to this length whose results a worker keeps, and how many.
+KEPT_LENGTH, KEPT = 400, 1 << 14
+
+# What two licences share.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 # Statements by which licences are usually named in headers and licence files.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -47,7 +62,11 @@ TEMPLATES = (
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "BSD 3-Clause License. " + _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "BSD 2-Clause License. " + _BSD + _BSD_END),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -61,73 +80,135 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 )
-HINT = r"(?i)licen[cs]e|copyright|spdx|permission|redistribut|public domain|all rights reserved|free software|creative commons"
-LICENCE_FILE = r"(?i)^(licen[cs]e|copying|copyright|notice|unlicense)\b"
-_TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
-
-
-def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(template, licence, term, weight / norm) rows, the idf of each term, and that of unknown terms."""
-    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in templates]
-    within = Counter(t for c in counts for t in c)
-    n = len(templates)
-    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in within.items()}
-    rows = []
-    for k, ((licence, _), c) in enumerate(zip(templates, counts)):
-        norm = math.sqrt(sum((f * idf[t]) ** 2 for t, f in c.items()))
-        rows += [(k, licence, t, f * idf[t] / norm) for t, f in sorted(c.items())]
-    return rows, idf, math.log(1 + n) + 1
+LICENCE_FILE = re.compile(r"(licen[cs]e|copying|copyright|notice|unlicense)\b", re.I)
+_TERM = re.compile(r"[a-z0-9]++(?:\.[0-9]++)*+")
+_COMMENT = re.compile(r"^[ \t]*+(?:#++|//++|/?\*++/?|--++|;++|%++|<!--|\.\.)[ \t]*+")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
+
+
+class Index:
+    """The templates' weights by term, and the terms that a part needs."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
+        counts = [Counter(_TERM.findall(text.lower())) for _, text in templates]
+        within = Counter(t for c in counts for t in c)
+        n = len(templates)
+        self.threshold = threshold
+        self.names = [licence for licence, _ in templates]
+        self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in within.items()}
+        self.unknown = math.log(1 + n) + 1
+        self.weights: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.needed: set[str] = set()
+        self.kept: dict[str, tuple[float, str] | None] = {}
+        for k, c in enumerate(counts):
+            norm = math.sqrt(sum((f * self.idf[t]) ** 2 for t, f in c.items()))
+            rest = 0.0
+            # short words are the frequent ones: they are the first to be left out
+            for t in sorted(c, key=lambda t: (len(t), t)):
+                w = c[t] * self.idf[t] / norm
+                self.weights[t].append((k, w))
+                if rest + w * w < threshold * threshold - 1e-5:
+                    rest += w * w
+                else:
+                    self.needed.add(t)
+
+    def best(self, part: str) -> tuple[float, str] | None:
+        """(-cosine, licence) of the best template, if it reaches the threshold."""
+        if part in self.kept:
+            return self.kept[part]
+        counts = Counter(_TERM.findall(part.lower()))
+        found = None
+        if not self.needed.isdisjoint(counts):
+            norm = math.sqrt(sum((f * self.idf.get(t, self.unknown)) ** 2 for t, f in counts.items()))
+            dots: dict[int, float] = defaultdict(float)
+            for t, f in counts.items():
+                for k, w in self.weights.get(t, ()):
+                    dots[k] += f * self.idf[t] * w
+            found = min(((-round(d / norm, 6), self.names[k]) for k, d in dots.items()), default=None)
+            if found and -found[0] < self.threshold:
+                found = None
+        if len(part) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[part] = found
+        return found
+
+    def own(self, text: str, whole: bool) -> tuple[float, str] | None:
+        if self.needed.isdisjoint(_TERM.findall(text.lower())):
+            return None
+        return min(filter(None, map(self.best, parts(text, whole))), default=None)
+
+
+def parts(text: str, whole: bool) -> Iterator[str]:
+    """What is compared of a text."""
+    lines = text.split("\n")
+    bare = [_COMMENT.sub("", x).strip() for x in lines]
+    yield from filter(None, bare)
+    header = 0
+    while header < len(lines) and _COMMENT.match(lines[header]):
+        header += 1
+    if header:
+        yield " ".join(bare[:header])
+    paragraph: list[str] = []
+    for x in [*bare, ""]:
+        if x:
+            paragraph.append(x)
+        elif paragraph:
+            joined = " ".join(paragraph)
+            yield joined
+            yield from _SENTENCE.split(joined)
+            paragraph = []
+    if whole:
+        yield " ".join(bare)
 
 
-def _statements(text: Column) -> Column:
-    """Sentences and blocks of lines with a hint, each once."""
-    sentences = F.split(text, r"\n|(?<=[.!?])[ \t]+")
-    lines = F.split(text, r"\n")
-    marked = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(HINT))
-    joined = F.transform(marked, lambda i: F.concat_ws(" ", F.slice(lines, i, F.lit(BLOCK_LINES))))
-    return F.array_distinct(F.concat(F.filter(sentences, lambda s: s.rlike(HINT)), joined))
+def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """files(key, path, text) -> key, path, licence, similarity for every row; null where no part is like a template."""
+    kind = files.schema["key"].dataType.simpleString()
+    held: list[Index] = []
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not held:
+            held.append(Index(templates, threshold))
+        found = []
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+            name = (path or "").rpartition("/")[2]
+            found.append(held[0].own(text, bool(LICENCE_FILE.match(name))) if text else None)
+        licence = pa.array([x and x[1] for x in found], pa.string())
+        return pa.record_batch([batch.column("key"), batch.column("path"), licence, pa.array([x and -x[0] for x in found], pa.float64())], names=["key", "path", "licence", "similarity"])
 
-def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files(key, text) -> key, licence, similarity for the files with a statement like a template."""
-    spark = files.sparkSession
-    rows, idf, unknown = template_weights(templates)
-    weights = F.broadcast(spark.createDataFrame(rows, "template int, licence string, term string, weight double"))
-    rarity = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    some = files.where(F.col("text").rlike(HINT)).select("key", F.explode(_statements(F.col("text"))).alias("statement"))
-    # a statement is counted once however many files hold it
-    kinds = some.select("statement").distinct()
-    terms = kinds.select("statement", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(_TERM), 0)).alias("term")).groupBy("statement", "term").agg(F.count("*").alias("tf"))
-    weighted = terms.join(rarity, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = weighted.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(weights, "term").groupBy("statement", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = dots.join(norms, "statement").withColumn("similarity", cosine).where(F.col("similarity") >= threshold).groupBy("statement").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "licence")).alias("b"))
-    found = some.join(best, "statement").groupBy("key").agg(F.min("b").alias("b"))
-    return found.select("key", F.col("b.licence").alias("licence"), (-F.col("b.order")).alias("similarity"))
+    return arrow_map(files.select("key", F.col("path").cast("string"), F.col("text").cast("string")), run, f"key {kind}, path string, licence string, similarity double", "text")
 
 
 def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def _nearest(dirs: DataFrame, speaks: DataFrame) -> DataFrame:
+    """dirs(dir), speaks(at, licence, path, similarity), one row each -> dir and the nearest `at` of dir or above it."""
+    steps = F.split("dir", "/")
+    above = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth"), steps.alias("steps"))
+    above = above.select("dir", "depth", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/")).alias("at"))
+    if speaks.count() <= FEW_DIRECTORIES:
+        both = above.join(F.broadcast(speaks), "at")
+    else:
+        dealt = above.groupBy("at").agg(F.ceil(F.count("*") / TOGETHER).alias("groups")).where("groups > 1")
+        dealt = F.broadcast(checkpoint(dealt))  # one row for each TOGETHER directories of one ancestor at most
+        salted = above.join(dealt, "at", "left").withColumn("salt", F.pmod(F.xxhash64("dir"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+        spread = speaks.join(dealt, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)).cast("int") - 1))).drop("groups")
+        both = salted.join(spread, ["at", "salt"])
+    return both.groupBy("dir").agg(F.max_by(F.struct("licence", "path", "similarity"), "depth").alias("n")).select(F.col("dir").alias("d"), F.col("n.licence").alias("dir_licence"), F.col("n.path").alias("dir_path"), F.col("n.similarity").alias("dir_similarity"))
+
+
 def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of files: key, path, licence, similarity, origin (own, inherited, none), licence_path
     (the file it comes from)."""
-    spark: SparkSession = files.sparkSession
     base = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    own = own_licences(base.select("key", "text"), templates, threshold)
-    named = base.select("key", "path").withColumn("dir", _directory(F.col("path")))
-    owned = named.join(own.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").drop("k")
-    speaks = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE) & F.col("licence").isNotNull()
-    by_dir = owned.where(speaks).groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("b")).select(F.col("dir").alias("at"), F.col("b.licence").alias("dir_licence"), F.col("b.path").alias("dir_path"), (-F.col("b.order")).alias("dir_similarity"))
-    dirs = named.where(F.col("path").isNotNull()).select("dir").distinct()
-    parts = F.split("dir", "/")
-    above = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("at", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("depth")), "/")))
-    nearest = above.join(by_dir, "at").groupBy("dir").agg(F.max_by(F.struct("dir_licence", "dir_path", "dir_similarity"), "depth").alias("n"))
-    spread = nearest.select(F.col("dir").alias("d"), "n.*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt_d"))
-    salted = owned.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALT)).cast("int"))
-    both = salted.join(spread, (F.col("dir") == F.col("d")) & (F.col("salt") == F.col("salt_d")) & F.col("path").isNotNull(), "left")
+    owned = checkpoint(own_licences(base, templates, threshold)).withColumn("dir", _directory(F.col("path")))
+    speaks = F.regexp_extract("path", r"([^/]*)$", 1).rlike("(?i)^" + LICENCE_FILE.pattern) & F.col("licence").isNotNull()
+    by_dir = checkpoint(owned.where(speaks).groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("b")).select(F.col("dir").alias("at"), F.col("b.licence").alias("licence"), F.col("b.path").alias("path"), (-F.col("b.order")).alias("similarity")))
+    nearest = _nearest(owned.where(F.col("path").isNotNull()).select("dir").distinct(), by_dir)
+    both = owned.join(nearest, (F.col("dir") == F.col("d")) & F.col("path").isNotNull(), "left")
     has, inherits = F.col("licence").isNotNull(), F.col("dir_licence").isNotNull()
     return both.select(
         F.col("key").alias(key),

@@ -72,7 +72,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files <source>/<lang>/<thousand of ids>/<doc_id>.txt; one that ends with a licence
     statement is named LICENSE-<doc_id> and speaks for its directory."""
     last = F.substring_index(F.rtrim(F.coalesce("text", F.lit("")), F.lit(" \n\r\t")), "\n", -1)
-    name = F.when(last.rlike(licenses.HINT), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.when(last.rlike(r"(?i)licen[cs]e|copyright|spdx"), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     folder = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"))
     files = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
     return licenses.scan(files, key="doc_id")
