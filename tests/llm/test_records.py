@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemill.llm import chat, html_extract, licenses, toxicity, warc
@@ -87,6 +89,71 @@ def test_many_nested_articles_are_fast():
     assert html_extract.main_text("<div>" * 3000 + "<article><div><h2>a</h2></div><p>b</p></article>" * 3000).count("b") == 3000
 
 
+def given_pages():
+    import pyarrow.parquet as pq
+
+    return [x or "" for x in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()]
+
+
+def articles_text(page):
+    """Of the given tables' pages, whose only blocks in an article are h1 and p: by cutting the source."""
+    import html
+
+    cut = re.split(r"</?(?:h1|p)\b[^>]*>", re.search(r"(?s)<article>(.*)</article>", page)[1])
+    bare = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in cut]
+    return "\n\n".join(filter(None, bare))
+
+
+LAYOUTS = {
+    "as it is": lambda x: x,
+    "div": lambda x: re.sub(r"<(/?)article", r"<\1div", x),
+    "section": lambda x: re.sub(r"<(/?)article", r"<\1section", x),
+    "no element": lambda x: re.sub(r"</?article>", "", x),
+    "div in main": lambda x: x.replace("<article>", "<main><div>").replace("</article>", "</div></main>"),
+    "table cell": lambda x: x.replace("<article>", "<table><tr><td>").replace("</article>", "</td></tr></table>"),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_the_given_pages_with_and_without_an_article_element(layout):
+    for page in given_pages():
+        assert html_extract.main_text(LAYOUTS[layout](page)) == articles_text(page)
+
+
+def test_without_the_ratios_the_result_is_another(monkeypatch):
+    """On the given pages without an article and without any mark the ratios alone tell menus from the article."""
+    pages = given_pages()
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)", r"<\1div", x).replace(' class="ad"', "") for x in pages]
+    blocks = lambda x: Counter(html_extract.main_text(x).split("\n\n"))
+    truth = [Counter(articles_text(x).split("\n\n")) for x in pages]
+    with_them = [blocks(x) for x in bare]
+    monkeypatch.setattr(html_extract, "path_ratios", lambda length, punctuation, count: np.ones(len(count)))
+    without = [blocks(x) for x in bare]
+    assert all(not t - g for t, g in zip(truth, with_them))
+    extra = lambda got: sum((g - t).total() for t, g in zip(truth, got))
+    assert extra(with_them) < 0.4 * extra(without)
+    assert sum(t == g for t, g in zip(truth, with_them)) > 0.2 * len(pages) and not any(t == g for t, g in zip(truth, without))
+
+
+def test_menus_in_plain_elements_and_long_adverts_in_marked_ones():
+    menu = "<div><ul>" + "<li><a href='x'>short</a></li>" * 20 + "</ul></div>"
+    advert = "<div class='ad'>" + "Buy, buy, buy; now! " * 200 + "</div>"
+    assert html_extract.main_text(menu + LONG) == html_extract.main_text(LONG)
+    assert html_extract.main_text(advert + "<article><p>Word</p></article><aside>Too, this.</aside>") == "Word"
+    assert html_extract.main_text("<nav><a>Home</a></nav><footer>All, that is.</footer>") == ""
+    assert html_extract.main_text("<article><p>Text, of it. <span class='ad'>Buy.</span> More.</p></article>") == "Text, of it. More."
+
+
+@pytest.mark.parametrize(
+    "page,n",
+    [("<a " * 300_000, 899_999), ("<b>" * 100_000 + "</i>" * 100_000, 0), ("<b>" * 100_000 + "<div></div>" * 30_000, 0), ("<tr><table>" + "<div>" * 50_000 + "<tr></tr>" * 30_000, 0), ("<script>" + "</script " * 200_000, 0), ("<", 1), (" " * 2_000_000, 0), ("\n" * 2_000_000 + "x", 1), ("x" * 2_000_000, 2_000_000), ("<p>&#" + "1" * 500_000 + ";&#x0000000041;", 2)],
+)
+def test_long_and_broken_pages_take_no_time(page, n):
+    began = time.process_time()
+    assert len(html_extract.main_text(page)) == n
+    assert time.process_time() - began < 8
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a</p>", 9), (1, "u", "<p>a</p>", 9), (None, None, None, 8), (2, "v", "<article>" + "<p>word, word.</p>" * 5000 + "</article>", 7)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

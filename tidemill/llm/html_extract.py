@@ -8,10 +8,11 @@ in the container around them, unless most of their text is links outside of an a
 headings take the greatest ratio of what they stand over. Being in an article or main raises the part of a
 ratio that is the path's own, by the factor INSIDE, and decides nothing alone; there, smoothing at most
 makes a ratio LIFT-fold, as containers do what it is for. Paths over the threshold, a share of the page's mean, are
-content. What never is main text by its markup (scripts, forms, navigation, adverts, comments and so
-on) is not counted and not selected. A class, id or role decides that only as a whole ("sidebar", "ad-1",
-not "post-comments" or "no-sidebar"), and never for an article or main element or one around it; what is
-marked less surely counts for MARKED of its ratio.
+content. Only what is no text of a page is left out before (scripts, forms, controls, hidden elements);
+menus, headers, footers, sidebars, adverts and comments are paths like all others. Their elements (nav, footer, aside)
+and marks lower the ratio: a class, id or role that says it as a whole ("sidebar", "ad-1",
+not "post-comments" or "no-sidebar") leaves BOILERPLATE of it, one that says it less surely MARKED, but never
+for an article or main element or one around it. Such paths count for as little in the page's mean.
 
 Defined results
 * null and empty html give an empty text; so do pages without a selected block.
@@ -37,8 +38,9 @@ from ._shared import arrow_map
 
 #: Share of the page's mean ratio that a path needs, and what neighbours count in smoothing.
 THRESHOLD, NEIGHBOUR = 0.5, 0.25
-#: What is left of the ratio of text that a class, id or role marks without deciding.
-MARKED = 0.25
+#: What is left of the ratio of text that a class, id or role marks without deciding, and of text that its
+#: element or mark says to be around the main text (a long advert can have a billion times the ratio of a word).
+MARKED, BOILERPLATE = 0.25, 2.0**-40
 #: What an article or main element makes of a path's own ratio; what neighbours lend in smoothing is not raised,
 #: nor is marked text.
 INSIDE = 1.25
@@ -50,7 +52,8 @@ RAW = frozenset("script style textarea title noscript iframe noframes noembed xm
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = RAW | frozenset("head nav aside footer fieldset button select option menu dialog".split())
+NEVER = RAW | frozenset("head fieldset button select option".split())
+AROUND = frozenset("nav aside footer menu dialog".split())
 CONTENT = frozenset(("article", "main"))
 #: What stands in a container beside its paragraphs, and what holds other elements there as a part of it.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -65,18 +68,27 @@ OUTSIDE = frozenset(
 
 #: A token that begins with one of these tells of a layout, not of the element.
 LAYOUT = frozenset("has no non with without".split())
-#: What a mark does: nothing, lower the ratio, remove.
-NOTHING, LOWER, REMOVE = range(3)
+#: What a mark does: nothing, lower the ratio, lower it to BOILERPLATE of it, remove.
+NOTHING, LOWER, SINK, REMOVE = range(4)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPAQUE = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+_TAG = re.compile(_OPAQUE + r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: After the last ">" of a page no tag ends, so none is looked for.
+_TAIL = re.compile(_OPAQUE + "|()()()()()(?!)", re.S)
+#: References to characters that cannot be, too long for a number.
+_HUGE = re.compile(r"&#(x?)0*([0-9a-f]{8,});?", re.I)
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 
 
-def _outside(tag: str, attributes: str, inside_content: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not inside_content):
+def _unescape(text: str) -> str:
+    return entities.unescape(_HUGE.sub(lambda m: "\ufffd" if m[1] or m[2].isdigit() else m[0], text) if "&#" in text else text)
+
+
+def _outside(tag: str, attributes: str) -> bool:
+    if tag in NEVER:
         return True
     if not attributes or tag in ("html", "body"):
         return False
@@ -90,10 +102,10 @@ def _outside(tag: str, attributes: str, inside_content: bool) -> bool:
 
 
 def _mark(tag: str, attributes: str, inside_content: bool) -> int:
-    """What class, id and role say of an element: a token of OUTSIDE words alone removes, one with others lowers."""
+    """What an element's name, class, id and role say of it: a token of OUTSIDE words alone sinks, one with others lowers."""
+    mark = SINK if tag in AROUND or (tag == "header" and not inside_content) else NOTHING
     if not attributes or tag in ("html", "body"):
-        return NOTHING
-    mark = NOTHING
+        return mark
     for name, a, b, c in _MARK.findall(attributes):
         if name.lower() in ("class", "id", "role"):
             for token in (a or b or c).lower().split():
@@ -101,7 +113,7 @@ def _mark(tag: str, attributes: str, inside_content: bool) -> int:
                 # an article's own header is part of it
                 known = [w in OUTSIDE and not (w == "header" and inside_content) for w in words]
                 if any(known) and words[0] not in LAYOUT:
-                    mark = max(mark, REMOVE if all(known) else LOWER)
+                    mark = max(mark, SINK if all(known) else LOWER)
     return mark
 
 
@@ -111,7 +123,7 @@ class Block:
     parent: int  # that of the path without its last tag
     content: int  # number of the article or main element it is in, or -1
     text: str
-    marked: bool  # all of it is in elements whose marks lower the ratio
+    marked: int  # NOTHING, LOWER or SINK: what the marks around all of it do
     home: int  # number of the path of the container that it is a paragraph or a part of
     inner: bool  # in a list, table or quote there
     linked: int  # characters of it in links, about
@@ -132,22 +144,32 @@ def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
     homes, inner, heads = [0], [False], [False]
     roots: list[int] = []
     held: list[tuple[str, int, bool]] = []
+    # where the open elements of each name are in the stack, and those of blocks
+    places: dict[str, list[int]] = {}
+    open_blocks = [0]
 
     def flush() -> None:
         if held:
             if any(x.strip() for x, _, _ in held):
-                at = next(e for e in reversed(stack) if e[4])
+                at = stack[open_blocks[-1]]
                 raw.append((at[1], at[3], held.copy()))
             held.clear()
 
     def close(depth: int) -> None:
-        if any(e[4] for e in stack[depth:]):
+        if open_blocks[-1] >= depth:
             flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            gone = stack.pop()
+            places[gone[0]].pop()
+            if gone[4]:
+                open_blocks.pop()
 
-    position = 0
+    def innermost(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    position, last = 0, page.rfind(">")
     while True:
-        match = _TAG.search(page, position)
+        match = (_TAG if position <= last else _TAIL).search(page, position)
         text = page[position : match.start() if match else len(page)]
         if text and not stack[-1][2]:
             held.append((text, stack[-1][5], stack[-1][6]))
@@ -158,13 +180,10 @@ def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
         if not tag:
             continue
         if match[1] or match[4]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            if places.get(tag):
+                close(places[tag][-1])
+            elif tag in BLOCK:
+                flush()
             continue
         attributes = match[3] or match[6] or ""
         if tag in VOID:
@@ -174,27 +193,21 @@ def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
                 held.append((" " if tag == "br" else "", stack[-1][5], stack[-1][6]))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, position)
-            position = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, position)
+            position = page.find(">", end.end()) + 1 if end else 0
+            position = position or len(page)
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][4]:
-                    break
+            if stack[open_blocks[-1]][0] == "p":
+                close(open_blocks[-1])
             if tag in SIBLINGS:
                 group, scope = SIBLINGS[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in scope:
-                        break
-                    if stack[depth][0] in group:
-                        close(depth)
-                        break
+                depth = innermost(group)
+                if depth > innermost(scope):
+                    close(depth)
             flush()
         _, path, outside, content, _, around, link = stack[-1]
-        outside = outside or _outside(tag, attributes, content >= 0)
+        outside = outside or _outside(tag, attributes)
         opens = False
         holds = not outside and (tag in CONTENT or bool(attributes and _ROLE.search(attributes)))
         mark = NOTHING if outside else _mark(tag, attributes, content >= 0)
@@ -204,11 +217,11 @@ def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
             while k and marks[k][1] != marks[k][2]:
                 marks[k][1] = marks[k][2]
                 k = marks[k][0]
-            mark = LOWER if mark == REMOVE else NOTHING
+            mark = LOWER if mark == SINK else NOTHING
             opens = content < 0
             content = len(roots) if opens else content
         if not outside and (mark or (tag == "form" and not holds)):
-            marks.append([around, REMOVE if tag == "form" and not holds else mark, mark if holds else LOWER if mark == REMOVE else NOTHING])
+            marks.append([around, REMOVE if tag == "form" and not holds else mark, mark if holds else LOWER if mark == SINK else NOTHING])
             around = len(marks) - 1
         if tag in BLOCK:
             parent, path = path, numbers.setdefault((path, tag), len(parents))
@@ -219,18 +232,22 @@ def blocks(page: str) -> tuple[list[Block], list[int], list[int]]:
                 homes.append(homes[parent] if inner[-1] or tag in PLAIN else path)
         if opens:
             roots.append(path)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
         stack.append((tag, path, outside, content, tag in BLOCK, around, link or tag == "a"))
     flush()
     does = [NOTHING]
     for outer, mark, _ in marks[1:]:
         does.append(max(mark, does[outer]))
-    for path, content, parts in raw:
-        parts = [e for e in parts if does[e[1]] < REMOVE]
-        text = " ".join(entities.unescape("".join(e[0] for e in parts)).split())
-        if text:
-            marked = all(does[k] == LOWER for x, k, _ in parts if x.strip())
-            linked = sum(len(x.strip()) for x, _, link in parts if link)
-            out.append(Block(path, parents[path], content, text, marked, homes[path], inner[path], linked, heads[path]))
+    for path, content, whole in raw:
+        for sunk in (False, True):
+            parts = [e for e in whole if does[e[1]] < REMOVE and (does[e[1]] == SINK) == sunk]
+            text = " ".join(_unescape("".join(e[0] for e in parts)).split())
+            if text:
+                marked = SINK if sunk else LOWER if all(does[k] == LOWER for x, k, _ in parts if x.strip()) else NOTHING
+                linked = sum(len(x.strip()) for x, _, link in parts if link)
+                out.append(Block(path, parents[path], content, text, marked, homes[path], inner[path], linked, heads[path]))
     return out, [homes[p] for p in parents], roots
 
 
@@ -254,28 +271,39 @@ def _under(own: dict[int, Block], smooth: np.ndarray, outer: list[int], roots: l
     return best
 
 
+def path_ratios(length: np.ndarray, punctuation: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Text of a path for each of its blocks, times one and their punctuation marks."""
+    return (length / count) * (1 + punctuation / count)
+
+
+def _smoothed(row: np.ndarray) -> np.ndarray:
+    padded = np.concatenate((row[:1], row, row[-1:]))
+    return (NEIGHBOUR * padded[:-2] + padded[1:-1] + NEIGHBOUR * padded[2:]) / (1 + 2 * NEIGHBOUR)
+
+
 def select(found: list[Block], outer: list[int], roots: list[int]) -> list[Block]:
     """Smooth, fuse and threshold the ratios of the blocks' paths."""
     if not found:
         return []
     paths = {p: k for k, p in enumerate(dict.fromkeys((b.content, b.path, b.marked) for b in found))}
     of = np.array([paths[b.content, b.path, b.marked] for b in found])
-    share = np.array([MARKED if m else 1.0 for _, _, m in paths])
+    level = np.array([m for _, _, m in paths])
+    share = np.array([1.0, MARKED, BOILERPLATE])[level]
     count = np.bincount(of)
     length = np.bincount(of, [len(b.text) for b in found])
-    marks = np.bincount(of, [len(_PUNCTUATION.findall(b.text)) for b in found])
-    ratio = (length / count) * (1 + marks / count)
+    ratio = path_ratios(length, np.bincount(of, [len(_PUNCTUATION.findall(b.text)) for b in found]), count)
     row = ratio[of]
-    padded = np.concatenate((row[:1], row, row[-1:]))
-    row = (NEIGHBOUR * padded[:-2] + padded[1:-1] + NEIGHBOUR * padded[2:]) / (1 + 2 * NEIGHBOUR)
-    smooth = np.zeros(len(count))
-    np.maximum.at(smooth, of, row)
+    # what is around the main text lends it nothing, and takes nothing from it
+    for own in (level[of] == SINK, level[of] != SINK):
+        row[own] = _smoothed(row[own])
+    smooth = np.bincount(of, row) / count
     smooth = np.where([c >= 0 for c, _, _ in paths], np.minimum(smooth, LIFT * ratio), smooth)
-    mean = np.average(smooth * share, weights=count)
+    sunk = level == SINK
+    mean = np.average(np.where(sunk, smooth, smooth * share), weights=np.where(sunk, share, 1.0) * count)
     inside = np.array([c >= 0 and not m for c, _, m in paths])
     smooth += (INSIDE - 1) * inside * np.minimum(ratio, smooth)
     fused = smooth.copy()
-    own = {k: b for b, k in zip(found, of.tolist())}
+    own = {k: b for b, k in zip(found, of.tolist()) if b.marked != SINK}
     best: dict[int, float] = {}
     for k, b in own.items():
         if b.content < 0:
@@ -291,7 +319,7 @@ def select(found: list[Block], outer: list[int], roots: list[int]) -> list[Block
             anchor[b.content, b.home] = max(anchor.get((b.content, b.home), 0.0), smooth[k])
     under = _under(own, smooth, outer, roots)
     for k, b in own.items():
-        if b.content >= 0 or 2 * linked[k] <= length[k]:
+        if b.content >= 0 or (b.path != b.home and 2 * linked[k] <= length[k]):
             fused[k] = max(fused[k], anchor.get((b.content, b.home), 0.0))
         if b.heading:
             fused[k] = max(fused[k], under.get((b.content, b.home), 0.0))
