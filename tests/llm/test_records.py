@@ -425,6 +425,82 @@ def test_counterfactuals_spare_neutral_mentions(spark):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def biased(seed, n):
+    """Attacks stand beside words for groups that no list has; some neutral texts mention the groups too."""
+    r = random.Random(seed)
+    plain = [f"w{k}" for k in range(200)]
+    out = []
+    for i in range(n):
+        words = [r.choice(plain) for _ in range(15)]
+        bad = i % 4 == 0
+        if bad:
+            words[3] = r.choice(["vileword", "nastyword"])
+        if r.random() < (0.7 if bad else 0.1):
+            words[4] = r.choice(["zorkel", "blimen", "frandor"])
+        out.append((i, " ".join(words), int(bad)))
+    return out
+
+
+def test_terms_are_learned_and_neutral_mentions_spared(spark):
+    rows = biased(5, 2000)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    fair, plain = toxicity.train(docs, labels, identities=()), toxicity.train(docs, labels, identities=(), penalty=0.0)
+    groups = {b"zorkel", b"blimen", b"frandor"}
+    assert groups <= fair.terms.keys() and not {b"vileword", b"nastyword"} & fair.terms.keys() and fair.pairs > 500
+    neutral = [t for _, t, bad in biased(6, 4000) if not bad and groups & set(t.encode().split())]
+    a, b = fair.scores(neutral, {}), plain.scores(neutral, {})
+    base = fair.scores(["w1 w2 w3"], {})[0]
+    assert a.max() < 0.5 and abs(a.mean() - base) < 0.2 * abs(b.mean() - base)
+
+
+def test_the_penalty_decides_on_the_given_tables(spark):
+    """Terms are found in all four languages, pairs are many, and scores differ without the penalty."""
+    from tidemill.llm.queries import held_out
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    fair, plain = (toxicity.train(docs, labels.where(~held_out()), penalty=p) for p in (4.0, 0.0))
+    assert {"the", "der", "de", "la"} <= {w.decode() for w in fair.terms} and fair.pairs > 1000
+    texts = [r.text or "" for r in docs.where(held_out()).limit(500).collect()]
+    known: tuple[dict, dict] = ({}, {})
+    moved = []
+    for m, k in zip((fair, plain), known):
+        total = 0.0
+        for t in texts:
+            own = set(toxicity.words(t))
+            for x in toxicity.swaps(own, m.terms):
+                m.learn(own | x, k)
+                total += abs(m.logit(own, k) - m.logit(x, k))
+        moved.append(total)
+    assert moved[0] < 0.05 * moved[1]
+    assert np.abs(fair.scores(texts, known[0]) - plain.scores(texts, known[1])).max() > 0.05
+
+
+def test_fit_against_gradient_descent():
+    r = np.random.default_rng(4)
+    dense, y = r.integers(0, 2, (60, 5)).astype(float), r.integers(0, 2, 60).astype(float)
+    swap = np.array([[1.0, -1.0, 0, 0, 0]] * 3)
+    as_lists = lambda m: (np.count_nonzero(m, axis=1), np.nonzero(m)[1] * 10, m[m != 0])
+    model = toxicity.fit(y, as_lists(dense), as_lists(swap), penalty=4.0, ridge=0.5)
+    w, b = np.zeros(5), 0.0
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-(dense @ w + b)))
+        w -= 0.01 * (dense.T @ (p - y) + 0.5 * w + 8.0 * swap.T @ (swap @ w))
+        b -= 0.01 * ((p - y).sum() + 1e-6 * b)
+    assert np.allclose([model.weights.get(10 * k, 0.0) for k in range(5)], w, atol=1e-4) and abs(model.bias - b) < 1e-4
+
+
+def test_scores_of_odd_rows_and_clashing_names(spark):
+    rows = sentences(1, 400)
+    docs = spark.createDataFrame([(i, t, "own") for i, t, _ in rows] + [(900, "vileword " * 400_000, "own"), (901, "x" * 2_000_000, None), (None, None, "n")], "doc_id long, text string, _tidemill_text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int"))
+    kept = toxicity.keep_below(docs, model)
+    assert kept.columns == docs.columns
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert Counter((r.doc_id, r._tidemill_text) for r in kept.collect()) == Counter((r.doc_id, r._tidemill_text) for r in docs.collect() if scored[r.doc_id] < 0.5)
+    assert scored[900] >= 0.5 and 901 in scored
+
+
 def test_training_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     for labels in ([], [(1, 0)], [(1, 1), (2, 1)]):

@@ -20,15 +20,19 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: the one named in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is used instead."""
+    """A folder that the driver and all executors see: the one named in spark.checkpoint.dir, or the one set
+    by setCheckpointDir. Without either, a master on this machine alone (tests) gets a temporary folder; any other is refused."""
+    context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not getattr(spark, "_tidemill_dir", None):
-        spark._tidemill_dir = tempfile.mkdtemp(prefix="tidemill-")
-    return spark._tidemill_dir
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
@@ -44,6 +48,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, want: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_tidemill_{want}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes: with long texts, the bound by rows alone lets a batch take
     tens of MB, several times over, outside the heap."""
