@@ -82,6 +82,20 @@ def test_repetition(spark):
         assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.covered_words) == by_text[(r.doc_id, r.n_words)]
         assert not (r.kept and r.base_failed)
         assert (r.longest_repeat >= 10) == (r.covered_words > 0)
+    by_length = {len(WORD.findall(t or "")): longest_repeat(WORD.findall(t or "")) for _, t in rows}
+    for r in got:
+        own = by_length[r.n_words]
+        assert r.longest_repeat == (own if own >= 10 else 0) or sum(len(WORD.findall(t or "")) == r.n_words for _, t in rows) > 1
+
+
+def longest_repeat(words):
+    """Words of the longest string of words that begins at two places, by doubling a guess and narrowing it."""
+    low, high = 0, len(words)
+    while low < high:
+        k = (low + high + 1) // 2
+        at = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] if k < 2000 else [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+        low, high = (k, high) if len(set(at)) < len(at) else (low, k - 1)
+    return low
 
 
 def test_repetition_empty(spark):
@@ -194,6 +208,20 @@ def test_suffix_dedup(spark, monkeypatch, length, bucket):
     assert {(r.lang, r.component) for r in got} == {("en", 4)}
 
 
+def test_suffix_dedup_of_long_strings_and_ids_in_steps(spark):
+    r = random.Random(2)
+    long = "".join(r.choice("abcdef ") for _ in range(1500))
+    rows = [(64 * i, "".join(r.choice("uvwxyz") for _ in range(r.randint(0, 400))) + long[r.randint(0, 400) :] + "tail" * (i % 3)) for i in range(40)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), length=700).collect()
+    assert {(r.doc_id, r.n_removed, bytes(r.kept)) for r in got} == {(i, g, k) for i, _, g, _, k in brute_cut(rows, 700)}
+    assert len({64 * i % suffix_dedup._prime(64) for i in range(67)}) == 67
+    for wrong in ({"length": 0}, {"length": 40_000}, {"keep": ("kept",)}):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(frame(spark, rows).withColumn("kept", frame(spark, rows)["text_"]) if "keep" in wrong else frame(spark, rows), **wrong)
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(frame(spark, rows), radius=4).count()
+
+
 def test_suffix_dedup_repeated_and_null_ids(spark):
     a, b = "abcdefghij" * 30 + "tail one", "0123456789" * 20 + "abcdefghij" * 15
     rows = [(5, b), (5, a), (5, a), (None, "first of all " + a), (4, None)]
@@ -237,9 +265,10 @@ def terms(t):
     return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("limit", [16 << 20, 200])
-def test_decontamination(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,together", [(16 << 20, 4), (200, 4), (200, 1)])
+def test_decontamination(spark, monkeypatch, limit, together):
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontaminate, "TOGETHER", together)
     rows = corpus(4, 50)
     r = random.Random(8)
     items = [(k, " ".join(terms(rows[r.randrange(50)][1])[s : s + 25])) for k, s in enumerate([0, 3, 8, 1, 0, 2, 5, 0])]
@@ -263,8 +292,9 @@ def test_decontamination(spark, monkeypatch, limit):
                     names |= found
         expected.add((i, len(w), len(hit), tuple(sorted(names)), bool(hit)))
     assert {(x.doc_id, x.n_words, x.n_hit, tuple(x["items"]), x.contaminated) for x in got} == expected
-    left = decontaminate.remove_contaminated(frame(spark, rows), bench)
-    assert left.columns == frame(spark, []).columns
+    named = frame(spark, rows).withColumnRenamed("fp", "_tidemill_text")
+    left = decontaminate.remove_contaminated(named, bench)
+    assert left.columns == named.columns and {x._tidemill_text for x in left.collect()} == {"x"}
     assert {x.doc_id for x in left.collect()} == {i for i, _, _, _, bad in expected if not bad}
 
 

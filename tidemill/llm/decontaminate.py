@@ -7,7 +7,8 @@ match there. A shard's array leaves out suffixes that cannot match: those where
 are known to the benchmark than the shortest window has.
 
 The benchmark goes to all tasks in parts of bounded size (BROADCAST_BYTES of text each, measured
-beforehand); a larger benchmark takes several passes within the same stage. No shuffle is needed.
+beforehand); a larger benchmark takes several passes, and after each TOGETHER of them what is found so far is
+written out and their parts are given up, so tasks and driver never hold more. No shuffle is needed.
 
 Defined results
 * null and empty texts have no words and no hits; items without words have no windows.
@@ -23,14 +24,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, chunks, small_batches, text_bytes
+from ._shared import arrow_map, checkpoint, chunks, free_name, small_batches, text_bytes
 from .suffix_array import suffix_array
 
 #: Benchmark text that is sent to the tasks at a time.
 BROADCAST_BYTES = 16 << 20
+#: Parts of the benchmark that are in use at a time.
+TOGETHER = 4
 
 
 def _letters() -> bytes:
@@ -214,8 +218,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     strings, sorted), longest_match (words), contaminated."""
     context = docs.sparkSession.sparkContext
     df = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    used: list[Broadcast] = []
     for k, part in enumerate(_parts(benchmark, item_column, item_text)):
-        df = _pass(df, context.broadcast(prepare(part, window)), k == 0)
+        df, used = _given_up(df, used)
+        used.append(context.broadcast(prepare(part, window)))
+        df = _pass(df, used[-1], k == 0)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda t, h: t + h["end"] - h["start"])
     return df.select(F.col("id").alias(id_column), "n_words", "hits", n_hit.alias("n_hit"), "items", "longest_match", (n_hit > 0).alias("contaminated"))
 
@@ -224,19 +231,34 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """docs, all columns as they are, without the rows that share a window with the benchmark."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
+    used: list[Broadcast] = []
     for part in _parts(benchmark, item_column, item_text):
-        docs = _filter(docs, context.broadcast(prepare(part, window)), text_column)
+        docs, used = _given_up(docs, used)
+        used.append(context.broadcast(prepare(part, window)))
+        docs = _filter(docs, used[-1], text_column)
     return docs
 
 
-def _filter(docs: DataFrame, shared, text_column: str) -> DataFrame:
+def _given_up(df: DataFrame, used: list[Broadcast]) -> tuple[DataFrame, list[Broadcast]]:
+    """After TOGETHER passes, df written out and the parts that it needed dropped."""
+    if len(used) < TOGETHER:
+        return df, used
+    df = checkpoint(df)
+    for x in used:
+        x.destroy()
+    return df, []
+
+
+def _filter(docs: DataFrame, shared: Broadcast, text_column: str) -> DataFrame:
+    extra = free_name(docs, "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_tidemill_text"):
-            data, offsets = text_bytes(batch.column("_tidemill_text"))
+        for batch in chunks(batches, extra):
+            data, offsets = text_bytes(batch.column(extra))
             raw = data.tobytes().translate(_LETTERS)
             texts = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             clean = np.ones(len(texts), bool)
             clean[_matches(texts, shared.value)[0]] = False
-            yield batch.drop_columns(["_tidemill_text"]).filter(pa.array(clean))
+            yield batch.drop_columns([extra]).filter(pa.array(clean))
 
-    return docs.withColumn("_tidemill_text", F.col(text_column).cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(extra, F.col(text_column).cast("string")).mapInArrow(run, docs.schema)

@@ -207,6 +207,8 @@ def _link_rows(radius: int):
 
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fps(fp), all different -> links (u, v), u > v, that span each group of fingerprints."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"radius {radius}: the anchors cover 0 to {RADIUS}")
     rows = fps.select("fp").mapInArrow(_anchor_rows, "anchor long, fp long, home boolean")
     per_anchor = rows.repartition("anchor").sortWithinPartitions("anchor")
     return per_anchor.mapInArrow(_link_rows(radius), "u long, v long").distinct()

@@ -27,7 +27,9 @@ Defined results
 * null text counts as empty; an empty table gives an empty result; texts shorter than `length` stay.
 * a null id comes before all others. Rows with one id are ordered by text; equal rows are copies, of
   which all but one lose what is repeated.
-* other columns pass through untouched; columns named _rid, _bucket, _bytes are replaced.
+* columns in `keep` pass through untouched; those named like one that this adds are refused (ValueError), as
+  are lengths under 1 or over MOST_LENGTH.
+* very long texts are cut whole; ids in any steps spread over the tasks (their number of buckets is a prime).
 """
 
 from __future__ import annotations
@@ -251,7 +253,17 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, gr
 
 _ROW = "bucket long, part binary"
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("part", pa.binary())])
-_PLACE = np.dtype([("h", "<u8"), ("rid", "<i8"), ("at", "<u4"), ("left", "u1"), ("more", "u1")])
+#: What a context's size holds.
+MOST_LENGTH = 32_000
+
+
+def _place(length: int) -> np.dtype:
+    """A place of an anchor: its hash, row, byte in the text; the bytes from the first window's start to it, and
+    those from there to the last window's start."""
+    small = "u1" if length < 256 else "<u2"
+    return np.dtype([("h", "<u8"), ("rid", "<i8"), ("at", "<u4"), ("left", small), ("more", small)])
+
+
 _SPAN = np.dtype([("rid", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
 
@@ -275,21 +287,31 @@ def _rid_bucket(rid: np.ndarray, buckets: int) -> np.ndarray:
     return np.mod(rid, buckets)
 
 
+def _prime(least: int) -> int:
+    """The least prime from there on: ids in steps fill all buckets."""
+    n = max(2, least)
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def _anchor_rows(buckets: int, length: int, k: int):
+    kind = _place(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_bytes"):
             data, offsets = text_bytes(batch.column("_bytes"))
             rid = batch.column("_rid").to_numpy(zero_copy_only=False)
             h, place, low, high = find_anchors(data, offsets, length, k)
             doc = np.searchsorted(offsets, place, side="right") - 1
-            out = np.empty(len(h), _PLACE)
+            out = np.empty(len(h), kind)
             out["h"], out["rid"], out["at"], out["left"], out["more"] = h, rid[doc], place - offsets[doc], place - low, high - low
             yield _batch(*_pack(_bucket(h >> np.uint64(20), buckets), out))
 
     return run
 
 
-def _recurring_rows(buckets: int):
+def _recurring_rows(buckets: int, kind: np.dtype):
     """Of the places that came together by hash, those whose hash recurs, sent to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +320,7 @@ def _recurring_rows(buckets: int):
             for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(b, []).append(p)
         for b in list(held):
-            x = np.frombuffer(b"".join(held.pop(b)), _PLACE)
+            x = np.frombuffer(b"".join(held.pop(b)), kind)
             h = x["h"]
             by = np.argsort(h, kind="stable")
             same = h[by[1:]] == h[by[:-1]]
@@ -317,10 +339,10 @@ def _context_part(records: np.ndarray, size: np.ndarray, data: bytes) -> bytes:
     return len(records).to_bytes(8, "little") + records.tobytes() + size.astype("<u2").tobytes() + data
 
 
-def _read_context(part: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_context(part: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(part[:8], "little")
-    a, b = 8 + n * _PLACE.itemsize, 8 + n * (_PLACE.itemsize + 2)
-    return np.frombuffer(part[8:a], _PLACE), np.frombuffer(part[a:b], "<u2").astype(np.int64), np.frombuffer(part[b:], np.uint8)
+    a, b = 8 + n * kind.itemsize, 8 + n * (kind.itemsize + 2)
+    return np.frombuffer(part[8:a], kind), np.frombuffer(part[a:b], "<u2").astype(np.int64), np.frombuffer(part[b:], np.uint8)
 
 
 def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -338,7 +360,7 @@ def _context_rows(buckets: int, length: int):
         got = [p for p in places.column("part").to_pylist() if p]
         if not got or not docs.num_rows:
             return _SCHEMA.empty_table()
-        x = np.frombuffer(b"".join(got), _PLACE)
+        x = np.frombuffer(b"".join(got), _place(length))
         data, offsets = text_bytes(docs.column("_bytes").combine_chunks())
         rid = docs.column("_rid").to_numpy()
         by = np.argsort(rid)
@@ -350,7 +372,7 @@ def _context_rows(buckets: int, length: int):
         s, inverse = prefix_hashes(data), _pow(len(data) + 1)[1]
         whole = (s[start + size] - s[start]) * inverse[start]
         # equal surroundings in this task: all but the first place are repeats throughout
-        key = whole ^ (x["h"] * _MIX) ^ (x["left"].astype(np.uint64) << np.uint64(8)) ^ x["more"].astype(np.uint64)
+        key = whole ^ (x["h"] * _MIX) ^ (x["left"].astype(np.uint64) << np.uint64(16)) ^ x["more"].astype(np.uint64)
         order = np.argsort(key, kind="stable")
         head = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
         chief = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
@@ -404,6 +426,8 @@ def _merge(span: np.ndarray) -> np.ndarray:
 
 
 def _span_rows(buckets: int, length: int):
+    kind = _place(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -413,7 +437,7 @@ def _span_rows(buckets: int, length: int):
                 else:
                     held.setdefault(b, []).append(p)
         for b in list(held):
-            records, sizes, data = zip(*map(_read_context, held.pop(b)))
+            records, sizes, data = zip(*(_read_context(p, kind) for p in held.pop(b)))
             x, size, data = np.concatenate(records), np.concatenate(sizes), np.concatenate(data)
             by = np.lexsort((x["at"], x["rid"], x["h"]))
             h = x["h"][by]
@@ -493,11 +517,15 @@ def _cut_rows(names: list[str], schema: pa.Schema):
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, the columns in `keep`, n_bytes, n_removed, spans
     array<struct<start, end>> (byte runs that went), kept (binary, what is left)."""
+    if not 1 <= length <= MOST_LENGTH:
+        raise ValueError(f"length {length}: from 1 to {MOST_LENGTH}")
+    if clash := {id_column, *keep} & {"n_bytes", "n_removed", "spans", "kept", "_rid", "_bucket", "_bytes"}:
+        raise ValueError(f"columns {sorted(clash)} have names that the result or its making needs")
     k = min(K, length)
     names = [id_column, *keep]
     base = docs.select(*names, F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("_bytes"))
     found = base.agg(F.sum(F.length("_bytes")).alias("bytes"), F.count("*").alias("rows"), F.countDistinct(id_column).alias("ids")).first()
-    buckets = max(1, -(-(found["bytes"] or 0) // BUCKET_BYTES))
+    buckets = _prime(-(-(found["bytes"] or 0) // BUCKET_BYTES))
     hashes = max(1, -(-(found["bytes"] or 0) // HASH_BYTES))
     if found["rows"] == found["ids"]:
         base = base.withColumn("_rid", F.col(id_column).cast("long"))
@@ -507,7 +535,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     small_batches(docs.sparkSession)
     to = max(hashes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     anchors = base.select("_rid", "_bytes").mapInArrow(_anchor_rows(hashes, length, k), _ROW)
-    recurring = anchors.repartition(to, "bucket").mapInArrow(_recurring_rows(buckets), _ROW)
+    recurring = anchors.repartition(to, "bucket").mapInArrow(_recurring_rows(buckets, _place(length)), _ROW)
     wide = -(-(found["bytes"] or 0) // TASK_BYTES)
     more = wide > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
