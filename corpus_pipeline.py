@@ -26,7 +26,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Train on the labels outside the held-out fold; documents with a score of 0.5 or more go."""
+    """Train on the labels outside the held-out fold; documents with a score of 0.5 or more go. Decided row by row: a
+    null or empty text scores like a text without a toxic word, repeated rows alike; without labels of both classes all stay."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out()))
     return toxicity.keep_below(docs, model)
@@ -47,17 +48,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that an earlier 100-byte string covers; n_chars follows."""
+    """Texts without the bytes that an earlier 100-byte string covers; n_chars follows. Earlier is by doc_id (null
+    first), then by text; of equal rows all but one lose what is repeated. A null text becomes an empty one."""
     cut = suffix_dedup.remove_repeats(docs, length=100, keep=("lang", "source"))
     return cut.withColumn("text", suffix_dedup.decoded("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a 10-word window with a benchmark item go."""
+    """Documents that share a 10-word window with a benchmark item go (for an item of fewer words, all of them in a
+    row). Decided row by row; null and empty texts stay; an empty benchmark drops nothing."""
     return decontaminate.remove_contaminated(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, each with its sequence and place. A null or empty text is one piece, its end mark;
+    repeated rows are packed each, null ids stay null; an empty table gives no pieces."""
     return packing.pack_documents(docs, capacity=1024, end=2)
 
 
