@@ -217,7 +217,7 @@ def test_suffix_dedup_of_long_strings_and_ids_in_steps(spark):
     assert len({64 * i % suffix_dedup._prime(64) for i in range(67)}) == 67
     for wrong in ({"length": 0}, {"length": 40_000}, {"keep": ("kept",)}):
         with pytest.raises(ValueError):
-            suffix_dedup.remove_repeats(frame(spark, rows).withColumn("kept", frame(spark, rows)["text_"]) if "keep" in wrong else frame(spark, rows), **wrong)
+            suffix_dedup.remove_repeats(frame(spark, rows).withColumnRenamed("text_", "kept"), **wrong)
     with pytest.raises(ValueError):
         simhash.near_duplicates(frame(spark, rows), radius=4).count()
 
