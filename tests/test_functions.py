@@ -71,3 +71,8 @@ def test_variables():
     assert ssis.resolve_variables("x @[User::b] @[System::a] @[User::none]", values) == "x 1+1 s @[User::none]"
     with pytest.raises(ValueError):
         ssis.resolve_variables("@[User::p]", {"User::p": "@[User::q]", "User::q": "@[User::p]"})
+
+
+def test_convert_text(spark):
+    got = spark.createDataFrame([("x" * 40,), (None,)], "s string").select(tsql.convert_text("s"), tsql.convert_text("s", 5), tsql.convert_text("s", None)).collect()
+    assert [len(x) for x in got[0]] == [30, 5, 40] and list(got[1]) == [None] * 3

@@ -92,6 +92,78 @@ def test_scd2_twice_changes_nothing_more(spark):
     assert rows(dml.scd2(once, new, ["k"], ["a"], ["p"])) == sorted(expected, key=str)
 
 
+def brute_scd2(current, staged):
+    """k, a tracked, p patched, current: by the rule as it is stated, null like blank."""
+    norm = lambda *x: tuple("" if v is None else str(v) for v in x)
+    least = lambda rows: min(rows, key=lambda r: tuple((v is not None, v) for v in r))
+    versions, live = {}, {}
+    for r in staged:
+        versions.setdefault(norm(*r[:2]), []).append(r)
+    for r in current:
+        if r[3] == 1:
+            live.setdefault(norm(*r[:2]), []).append(r)
+    once = {v: least(x) for v, x in versions.items()}
+    chosen = {}
+    for v, r in once.items():
+        rank = (v not in live, tuple((x is not None, x) for x in r))
+        if v[0] not in chosen or rank < chosen[v[0]][0]:
+            chosen[v[0]] = (rank, v, r)
+    picked = {v: r for _, v, r in chosen.values()}
+    out = [r for r in current if r[3] != 1]
+    for v, x in live.items():
+        for n, r in enumerate(sorted(x, key=lambda r: tuple((y is not None, y) for y in r))):
+            out.append((*r[:2], picked[v][2], 1) if n == 0 and v in picked else (*r[:3], 0))
+    return out + [(*r, 1) for v, r in picked.items() if v not in live]
+
+
+@given(st.lists(st.tuples(st.sampled_from([None, "", "k", "l"]), st.sampled_from([None, "", "x", "y"]), st.integers(0, 2), st.sampled_from([0, 1, 1, None])), max_size=7), st.lists(st.tuples(st.sampled_from([None, "", "k", "l"]), st.sampled_from([None, "", "x", "y"]), st.integers(3, 5)), max_size=7))
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_scd2_against_the_rule(spark, current, staged):
+    cur = spark.createDataFrame(current, "k string, a string, p int, is_current int")
+    new = spark.createDataFrame(staged, "k string, a string, p int")
+    got = rows(dml.scd2(cur, new, ["k"], ["a"], ["p"]))
+    assert got == sorted(brute_scd2(current, staged), key=str)
+    keys = [k or "" for k, _, _, c in got if c == 1]
+    assert len(keys) == len(set(keys)) or any(r[3] == 1 for r in current)
+
+
+def test_names_of_helper_columns_are_the_users(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 4, 5)], "k int, _rn int, _salt int")
+    assert rows(select.first_per_key(df, ["k"], [F.desc("_rn")])) == [(1, 4, 5)]
+    assert rows(joins.salted_join(df, spark.createDataFrame([(1,)], "k int"), ["k"], "left_semi")) == [(1, 2, 3), (1, 4, 5)]
+    good, bad = select.redirect_errors(spark.createDataFrame([("1", "u"), ("x", "v")], "s string, _bad string"), "s", "int", "n")
+    assert rows(good) == [("1", "u", 1)] and rows(bad) == [("x", "v", "s")]
+
+
+def test_aggregate_transformation(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), (None, 4)], "g string, v int")
+    got = select.aggregate(df, ["g"], {"n": ("count", "*"), "nv": ("count", "v"), "d": ("count distinct", "v"), "s": ("sum", "v"), "m": ("average", "v"), "lo": ("minimum", "v"), "hi": ("maximum", "v")})
+    assert rows(got) == sorted([("a", 3, 2, 1, 2, 1.0, 1, 1), (None, 1, 1, 1, 4, 4.0, 4, 4)], key=str)
+
+
+def test_writers_and_single_rows(spark, tmp_path):
+    at = str(tmp_path / "w.parquet")
+    tables.append(spark.range(2), at)
+    tables.append(spark.range(2, 5), at)
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == [0, 1, 2, 3, 4]
+    tables.truncate_load(spark.range(7, 9), at)
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == [7, 8]
+    t = tables.Tables(spark, str(tmp_path))
+    assert t.exists("dbo.[W]") and not t.exists("dbo.absent")
+    assert t.bind("select max(id) as m, count(*) as n from w", ["w"], {"User::top": "m", "User::rows": "n"}) == {"User::top": 8, "User::rows": 2}
+    for sql in ("select id from w", "select id from w where id < 0"):
+        with pytest.raises(ValueError):
+            t.bind(sql, ["w"], {"User::x": "id"})
+    assert rows(t.command("User::sql", {"User::sql": "select id from w where id > @[User::least]", "User::least": "7"}, ["w"])) == [(8,)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tidemill import folders
+
+    assert folders.fresh(spark, "x") != folders.fresh(spark, "x")
+    assert folders.checkpoint(spark.range(3)).count() == 3
+
+
 def test_periods(spark, tmp_path):
     t = spark.createDataFrame([("202401", 1), ("202402", 2), (None, 3)], "p string, v int")
     n = spark.createDataFrame([("202402", 20), ("202403", 30)], "p string, v int")
@@ -138,29 +210,46 @@ def test_propagation_stops_on_cycles(spark):
 def test_package_catalogs_and_lineage(spark):
     from tidemill.plans.metadata import PACKAGE, package_lineage
 
-    found = packages.catalogs(spark.createDataFrame([("a.dtsx", PACKAGE), ("bad.dtsx", "<a>"), ("none.dtsx", None)], "package string, text string"))
+    found = packages.catalogs(spark.createDataFrame([("a.dtsx", PACKAGE.replace("§", "")), ("bad.dtsx", "<a>"), ("none.dtsx", None)], "package string, text string"))
     assert {n: df.count() for n, df in found.items()} == {"package_info": 3, "connections": 1, "variables": 1, "executables": 2, "constraints": 1, "components": 3, "properties": 3, "ports": 4, "columns": 6, "external_columns": 2, "paths": 2}
     text = found["connections"].first().connection_string
     assert "u1" not in text and "p1" not in text and "host1" in text
-    assert rows(package_lineage(found).select("target_column", "source_table", "source_column")) == [("ID", "S", "id"), ("TOTAL", "S", "amount")]
+    assert rows(package_lineage(found).select("target_column", "source_table", "source_column")) == [("ID", "S", "ID"), ("TOTAL", "S", "AMOUNT")]
     assert found["package_info"].where("error is not null").count() == 2
 
 
 def test_package_lineage_with_the_properties_that_real_packages_have(spark):
     from tidemill.plans.metadata import SECOND_PACKAGE, package_lineage
 
-    found = packages.catalogs(spark.createDataFrame([("w.dtsx", SECOND_PACKAGE)], "package string, text string"))
+    found = packages.catalogs(spark.createDataFrame([("w.dtsx", SECOND_PACKAGE.replace("§", ""))], "package string, text string"))
     got = package_lineage(found).select("target_table", "target_column", "source_table", "source_column", "confidence")
-    expected = [("DAY", "DBO.DAY", "d"), ("KIND", "DBO.KIND", "label"), ("MERGED", "DBO.DAY", "d"), ("RATE", "RATES", "rate"), ("WEEK", "DBO.WEEK", "w_id")]
+    expected = [("DAY", "DBO.DAY", "d"), ("KIND", "DBO.KIND", "LABEL"), ("MERGED", "DBO.DAY", "d"), ("RATE", "RATES", "rate"), ("WEEK", "DBO.WEEK", "W_ID")]
     assert rows(got) == [("DBO.SUMMARY", *e, "exact") for e in expected]
 
 
 def test_package_folder(spark, tmp_path):
     from tidemill.plans.metadata import PACKAGE
 
+    (tmp_path / "z").mkdir()
     (tmp_path / "x.dtsx").write_text(PACKAGE)
+    (tmp_path / "z" / "x.Dtsx").write_text(PACKAGE, encoding="utf-16")
+    (tmp_path / "b.XML").write_bytes(b"<a>\xff</a>")
     (tmp_path / "x.txt").write_text("no")
-    assert [r.package for r in packages.read_packages(spark, str(tmp_path)).collect()] == ["x.dtsx"]
+    got = packages.read_packages(spark, str(tmp_path)).collect()
+    assert [r.package for r in got] == ["b.XML", "x.dtsx", "z/x.Dtsx"] and got[0].text is None and "Daily" in got[2].text
+    assert [r.package for r in packages.read_packages(spark, "file://" + str(tmp_path), ["z/x.Dtsx"]).collect()] == ["z/x.Dtsx"]
+    uploaded = spark.createDataFrame([("u.dtsx", bytearray(PACKAGE.encode()))], "package string, content binary")
+    assert packages.catalogs(packages.decode_packages(uploaded))["package_info"].first().name == "Daily"
+
+
+def test_a_thousand_packages(spark):
+    from tidemill.operators import flows
+    from tidemill.plans.metadata import THIRD_PACKAGE
+
+    texts = spark.range(1000).repartition(8).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("package"), F.replace(F.lit(THIRD_PACKAGE), F.lit("§"), F.col("id").cast("string")).alias("text"))
+    got = flows.package_lineage(packages.catalogs(texts))
+    assert got.count() == 10_000
+    assert rows(got.where("package = 'p77' and target_column = 'WHY'").select("source_table", "source_column")) == [("DBO.ONE77", "Y"), ("DBO.TWO", "v")]
 
 
 @pytest.mark.parametrize(
@@ -169,6 +258,9 @@ def test_package_folder(spark, tmp_path):
         ("select 1; select 'a;b' -- c; d\n; ", ["select 1", "select 'a;b'"]),
         ("a\nGO\nb /* x; */ c", ["a", "b   c"]),
         ("select 'it''s; ok'", ["select 'it''s; ok'"]),
+        ("/* a /* b; */ c; d */ select 1 from t", ["select 1 from t"]),
+        ("select 'open; to the end", ["select 'open; to the end"]),
+        ("go\n[a;b]; gone", ["[a;b]", "gone"]),
         ("", []),
         (None, []),
     ],
@@ -178,6 +270,71 @@ def test_statements(spark, sql, expected):
     assert [r.statement for r in got.orderBy("number").collect()] == expected
 
 
+LONG = {
+    "one": ("select a from t; " * 20_000, 20_000),
+    "list": ("select " + "a.b, " * 60_000 + "c from t", 1),
+    "quotes": ("select '" + "''" * 500_000 + "'", 1),
+    "comment": ("/*" * 300_000 + " select 1", 0),
+    "word": ("x" * 1_000_000, 1),
+    "blank": (" " * 1_000_000, 0),
+    "joins": ("select * from a " + "join b on a.x = b.y " * 10_000, 1),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_scripts_of_a_megabyte(spark, name):
+    sql, n = LONG[name]
+    stated = sqltext.statements(spark.createDataFrame([(1, sql)], "script int, sql string"))
+    assert stated.count() == n
+    for facts in (sqltext.tables, sqltext.select_list, sqltext.column_sources, sqltext.join_conditions):
+        facts(stated).count()
+    assert spark.createDataFrame([(sql,)], "sql string").select(F.length(sqltext.refine(F.col("sql")))).first()[0] == len(sql)
+
+
+def facts(spark, f, sql, *columns):
+    stated = sqltext.statements(spark.createDataFrame([("s", sql)], "script string, sql string"))
+    return rows(f(stated).select(*columns))
+
+
+def test_select_lists_and_sources(spark):
+    sql = "with q as (select i from base) select distinct top (3) 'a, b' as k, (select max(u.x) from u where u.i = q.i) m, q.i, y = -1, (r.z), [a b].c as [d e], null n from q join r on q.i = r.i"
+    got = facts(spark, sqltext.select_list, sql, "position", "alias", "kind")
+    assert got == [(0, "K", "LITERAL"), (1, "M", "SUBQUERY"), (2, "I", "COLUMN"), (3, "Y", "LITERAL"), (4, "Z", "COLUMN"), (5, "D E", "COLUMN"), (6, "N", "LITERAL")]
+    assert ("M", "U", "X", "exact") in facts(spark, sqltext.column_sources, sql, "alias", "source_table", "source_column", "confidence")
+    union = "select a.x, a.y as z from t1 a union all select b.p, q from t2 b union select 1, 2 except select c.e, c.f from t3 c"
+    assert facts(spark, sqltext.column_sources, union, "alias", "source_table", "source_column") == [("X", "T1", "X"), ("X", "T2", "P"), ("Z", "T1", "Y"), ("Z", "T2", "Q")]
+    assert facts(spark, sqltext.select_list, "select @v = a from t", "alias") == []
+    assert facts(spark, sqltext.column_sources, "select a", "source_table", "source_column", "confidence") == [(None, "A", "ambiguous")]
+
+
+def test_joins_of_all_kinds(spark):
+    sql = "select 1 from a left outer join b on a.x = b.y and a.z < b.w full join c c2 on (isnull(c2.i, 0) = a.i) and c2.k = a.k where a.p = a.q"
+    got = facts(spark, sqltext.join_conditions, sql, "join_type", "left_table", "left_column", "operator", "right_table", "right_column")
+    assert got == [("FULL", "C", "K", "=", "A", "K"), ("LEFT", "A", "X", "=", "B", "Y"), ("LEFT", "A", "Z", "<", "B", "W")]
+    refs = lambda mode: facts(spark, lambda s: sqltext.join_keys(s, mode=mode), sql, "alias", "column")
+    assert refs("pairs") == [("A", "K"), ("A", "X"), ("B", "Y"), ("C2", "K")]
+    assert refs("all_refs") == [("A", "I"), ("A", "K"), ("A", "X"), ("A", "Z"), ("B", "W"), ("B", "Y"), ("C2", "I"), ("C2", "K")]
+
+
+@pytest.mark.parametrize(
+    "sql,expected",
+    [
+        ("update t set\n a = 1,\n b = x\nwhere\n status = 'A'", "UPDATE t SET\n a = 1,\n b = x\nWHERE\n status = 'A'"),
+        ("select [order], a = (select b = max(x) from u) -- select from\nfrom t /* where */", "SELECT [order], (SELECT max(x) AS b FROM u) AS a -- select from\nFROM t /* where */"),
+        ("select @v = x from t where y = 'it''s null'", "SELECT @v = x FROM t WHERE y = 'it''s null'"),
+    ],
+)
+def test_refine_changes_select_lists_only(spark, sql, expected):
+    assert spark.createDataFrame([(sql,), (None,)], "sql string").select(sqltext.refine(F.col("sql"))).collect()[0][0] == expected
+
+
+def test_explicit_aliases_and_display(spark):
+    df = spark.createDataFrame([("select t.a, b, c d, t.*, max(e) from t where f in (select g from u)",)], "sql string")
+    got = df.select(sqltext.explicit_aliases(F.col("sql")), sqltext.display(F.col("sql")), sqltext.identifier(F.lit("a-b.c d"))).first()
+    assert got[0] == "SELECT t.a AS a, b AS b, c d, t.*, max(e) FROM t WHERE f IN (SELECT g FROM u)"
+    assert got[1] == "select t.a, b, c d, t.*, max(e) from t where f ..." and got[2] == "a_b_c_d"
+
+
 def test_refine(spark):
     df = spark.createDataFrame([("select a.x,\n  total = a.y + 1,\n  'from where' z\nfrom t a",)], "sql string")
     assert df.select(sqltext.refine(F.col("sql"))).first()[0] == "SELECT a.x,\n  a.y + 1 AS total,\n  'from where' z\nFROM t a"

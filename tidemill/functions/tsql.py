@@ -71,6 +71,12 @@ def dateadd(part: str, n: Column | int, d: Column | str) -> Column:
     raise ValueError(f"DATEADD part {part!r}: day, month or year")
 
 
+def convert_text(x: Column | str, size: int | None = 30) -> Column:
+    """CONVERT(varchar(size), x): cut to size, which is 30 where none is given; null size is varchar(max)."""
+    text = _c(x).cast("string")
+    return text if size is None else F.substring(text, 1, size)
+
+
 def month_start(d: Column | str) -> Column:
     """DATEADD(month, DATEDIFF(month, 0, d), 0)."""
     return F.trunc(_c(d), "MM")

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemill.folders import free_name
 
-from .joins import blank_equal
 from .select import first_per_key
 
 
@@ -50,19 +52,34 @@ def replace_period(target: DataFrame, rows: DataFrame, period: str, periods: Seq
 
 def scd2(current: DataFrame, staged: DataFrame, keys: Sequence[str], tracked: Sequence[str], patched: Sequence[str] = (), flag: str = "is_current", ended: Mapping[str, Column] | None = None) -> DataFrame:
     """Type-2 history: rows whose key and tracked columns are all in staged (null equals blank) stay
-    current and take staged's patched columns; other current rows expire; staged rows without such a row
-    are inserted as current. Ended rows get the columns in `ended`."""
+    current and take staged's patched columns; other current rows expire; of staged keys without such a row one
+    version is inserted as current. Ended rows get the columns in `ended`.
+
+    Null and blank are equal in keys and tracked columns throughout: staged rows and current rows that are equal so are one
+    version. Of such staged rows the one with the least columns (nulls first, in the table's order) counts; of such
+    current rows the least stays current and the others expire. A key staged in several versions keeps the one that is current, if it
+    is staged, else gets the least one; the others are not taken."""
+    norm = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = lambda df: [F.col(c).asc_nulls_first() for c in df.columns]
+    v, hit, turn, had = (free_name(current, free_name(staged, n)) for n in ("_version", "_hit", "_turn", "_had"))
+    version = F.array(*[norm(c) for c in [*keys, *tracked]]).alias(v)
     live, past = current.where(F.col(flag) == 1), current.where(F.coalesce(F.col(flag), F.lit(0)) != 1)
-    s = staged.select(*[F.col(c).alias(f"_{c}") for c in dict.fromkeys([*keys, *tracked, *patched])])
-    same = blank_equal([(F.col(c).cast("string"), F.col(f"_{c}").cast("string")) for c in [*keys, *tracked]])
-    kept = live.join(first_per_key(s, [f"_{c}" for c in [*keys, *tracked]], [F.col(f"_{c}").asc_nulls_first() for c in patched]), same, "inner")
-    kept = kept.select(*[F.col(f"_{c}").alias(c) if c in patched else F.col(c) for c in current.columns])
-    expired = live.join(s, same, "left_anti").withColumns({flag: F.lit(0).cast(current.schema[flag].dataType), **(ended or {})})
-    old = live.select(*[F.col(c).alias(f"_o_{c}") for c in [*keys, *tracked]])
-    unseen = staged.join(old, blank_equal([(F.col(c).cast("string"), F.col(f"_o_{c}").cast("string")) for c in [*keys, *tracked]]), "left_anti")
-    new = unseen.withColumn(flag, F.lit(1))
-    fill = [(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in current.schema.fields]
-    return past.unionByName(kept).unionByName(expired.select(*current.columns)).unionByName(new.select(*fill))
+    live = live.select("*", version, F.row_number().over(Window.partitionBy(version).orderBy(*order(current))).alias(turn))
+    once = first_per_key(staged.select("*", version), [v], order(staged))
+    tagged = once.join(live.select(F.col(v), F.lit(True).alias(had)).distinct(), v, "left")
+    # the version that is current comes before others of its key
+    chosen = first_per_key(tagged, [norm(c) for c in keys], [F.col(had).asc_nulls_last(), *order(staged)])
+    both = live.join(chosen.select(v, *[F.col(c).alias(f"{hit}_{c}") for c in patched], F.lit(True).alias(hit)), v, "left")
+    stays, ended = F.col(hit).isNotNull() & (F.col(turn) == 1), {flag: F.lit(0), **(ended or {})}
+
+    def after(f: T.StructField) -> Column:
+        kept = F.col(f"{hit}_{f.name}") if f.name in patched else F.col(f.name)
+        return F.when(stays, kept.cast(f.dataType)).otherwise(ended.get(f.name, F.col(f.name)).cast(f.dataType)).alias(f.name)
+
+    fields = current.schema.fields
+    new = chosen.where(F.col(had).isNull()).withColumn(flag, F.lit(1))
+    fill = [(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    return past.unionByName(both.select(*map(after, fields))).unionByName(new.select(*fill))
 
 
 def run_log(job: str, rows: DataFrame, started: Column, ended: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.folders import free_name
+
 from .select import first_per_key
 
 #: A side is broadcast on request only if the optimizer's estimate of it is at most this.
@@ -62,6 +64,9 @@ def latest_of(df: DataFrame, other: DataFrame, keys: Sequence[tuple[str, str]],
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join with equal key names where a few keys of left are hot and adaptive execution cannot split them:
     left rows are dealt over `salts` sub-keys, right rows repeated for each. how: inner, left, semi, anti."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+    salt = free_name(left, "_salt")
+    while free_name(right, salt) != salt:
+        salt = free_name(left, free_name(right, salt))
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [*keys, salt], how).drop(salt)

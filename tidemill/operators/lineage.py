@@ -5,19 +5,12 @@ level of the graphs, over all packages together, and cut their lineage in the sh
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLOW = ("package", "flow")
-
+from tidemill.folders import checkpoint as _checkpoint
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
-    return df.checkpoint(eager=True)
+FLOW = ("package", "flow")
 
 
 def edges(ports: DataFrame, paths: DataFrame) -> DataFrame:
@@ -70,19 +63,28 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
 def destinations(targets: DataFrame, sources: DataFrame, by_name: DataFrame | None = None) -> DataFrame:
     """targets(package, flow, target_table, target_column, lineage_id) with their sources: confidence exact;
     inferred where the id is unknown and by_name(package, flow, name, source_table, source_column) has the
-    column's name; none without a source."""
+    column's name, under its expression if it has that column; none without a source."""
     keys = [*FLOW, "lineage_id"]
     exact = targets.join(sources, keys).select(*FLOW, "target_table", "target_column", "source_table", "source_column", "expression", F.lit("exact").alias("confidence"))
     left = targets.join(sources.select(*keys).distinct(), keys, "left_anti")
     if by_name is None:
         by_name = sources.select(*FLOW, F.col("source_column").alias("name"), "source_table", "source_column").limit(0)
+    if "expression" not in by_name.columns:
+        by_name = by_name.withColumn("expression", F.lit(None).cast("string"))
     name = F.upper("target_column") == F.upper("name")
     guess = left.join(by_name, [left[c] == by_name[c] for c in FLOW] + [name], "left")
     found = F.col("source_table").isNotNull()
-    rest = guess.select(*[left[c] for c in FLOW], "target_table", "target_column", "source_table", "source_column", F.lit(None).cast("string").alias("expression"), F.when(found, "inferred").otherwise("none").alias("confidence"))
+    rest = guess.select(*[left[c] for c in FLOW], "target_table", "target_column", "source_table", "source_column", "expression", F.when(found, "inferred").otherwise("none").alias("confidence"))
     return exact.unionByName(rest)
 
 
+def last_sources(lineage: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Of each target column the source that comes last by `order` (a unique number): one row each."""
+    keys = [*FLOW, "target_table", "target_column"]
+    rest = [c for c in lineage.columns if c not in keys]
+    return lineage.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+
+
 def unused_columns(source_columns: DataFrame, lineage: DataFrame) -> DataFrame:
     """source_columns(package, flow, source_table, source_column) that no destination uses, for each table:
     number and sorted list."""

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.folders import free_name, fresh
+
 
 def derive(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Derived columns: all are computed from the input, none from one another."""
@@ -28,10 +30,15 @@ def convert(df: DataFrame, types: Mapping[str, tuple[str, str]], on_error: str =
 
 
 def redirect_errors(df: DataFrame, column: str, type_: str, output: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that convert, with `output`, and those that do not, with error_column: one pass each, no shuffle."""
-    tried = df.withColumn(output, F.col(column).try_cast(type_))
-    bad = F.col(output).isNull() & F.col(column).isNotNull()
-    return tried.where(~bad), tried.where(bad).drop(output).withColumn("error_column", F.lit(column))
+    """Rows that convert, with `output`, and those that do not, with error_column. The input is read once: rows are
+    tagged and written to the shared folder by tag, and each result reads its part."""
+    bad = free_name(df, "_bad")
+    value = F.col(column).try_cast(type_)
+    tried = df.withColumns({output: value, bad: value.isNull() & F.col(column).isNotNull()})
+    at = fresh(df.sparkSession, "rows")
+    tried.write.partitionBy(bad).parquet(at)
+    done = df.sparkSession.read.schema(tried.schema).parquet(at)
+    return done.where(~F.col(bad)).drop(bad), done.where(bad).drop(bad, output).withColumn("error_column", F.lit(column))
 
 
 def split(df: DataFrame, cases: Sequence[tuple[str, Column]], default: str = "default", column: str = "_output") -> DataFrame:
@@ -59,8 +66,17 @@ def sort(df: DataFrame, keys: Mapping[str, int], drop_duplicates: bool = False,
 def first_per_key(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """row_number() <= n over (partition by keys order by order): planned with a group limit before the
     shuffle, so a hot key sends n rows of each task and not all of them. order should end in a unique column."""
-    window = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
-    return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
+    window, place = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)])), free_name(df, "_rn")
+    return df.withColumn(place, F.row_number().over(window)).where(F.col(place) <= n).drop(place)
+
+
+#: Operations of the aggregate transformation.
+AGGREGATES = {"count": F.count, "count distinct": F.count_distinct, "sum": F.sum, "average": F.avg, "minimum": F.min, "maximum": F.max}
+
+
+def aggregate(df: DataFrame, keys: Sequence[str], measures: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Aggregate transformation: new column -> (operation, source column; "*" counts rows). Null keys are one group."""
+    return df.groupBy(*keys).agg(*[(F.count(F.lit(1)) if (op, c) == ("count", "*") else AGGREGATES[op](F.col(c))).alias(n) for n, (op, c) in measures.items()])
 
 
 def union_by_position(first: DataFrame, *others: DataFrame, distinct: bool = False) -> DataFrame:

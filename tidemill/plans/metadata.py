@@ -1,14 +1,16 @@
-"""Queries for packages, lineage and SQL text, over small given inputs (graphs and scripts as literals)."""
+"""Queries for packages, lineage and SQL text. Their inputs are made from the given tables with DataFrame functions, so that they
+grow with them: a graph and four packages for each supplier, a script for each customer."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import lineage, sqltext
+from tidemill.operators import flows, lineage, sqltext
+from tidemill.operators.flows import package_lineage  # noqa: F401
 from tidemill.sources import packages, tables
 
-from .registry import Registry
+from .registry import Registry, table
 
 query = Registry()
 
@@ -24,34 +26,40 @@ def _values(rows: list[tuple]) -> str:
     return "(values " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ")"
 
 
-def _rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    kind = ", ".join(f"{c} string" for c in columns.split())
-    return spark.createDataFrame(rows, kind).select(F.lit("p").alias("package"), F.lit("f").alias("flow"), "*")
+def _rows(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: str) -> DataFrame:
+    """The rows for each supplier, as a package of its own."""
+    names = columns.split()
+    one = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, r)]) for r in rows])
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), "s_suppkey").alias("package"), F.lit("f").alias("flow"), F.explode(one).alias("r")).select("package", "flow", "r.*")
 
 
-def _found(spark: SparkSession) -> DataFrame:
-    seeds = _rows(spark, _SEEDS, "lineage_id source_table source_column").withColumn("expression", F.lit("column"))
-    return lineage.propagate(seeds, _rows(spark, _LINKS, "from_id to_id step"))
+def _each(sql: str, columns: str) -> str:
+    """DuckDB: the rows of a query for each supplier, with its package."""
+    return f"select 'p' || s_suppkey as package, {columns} from supplier, ({sql}) x"
 
 
-def _lineage(spark: SparkSession) -> DataFrame:
-    by_name = _rows(spark, [(c, t, c) for _, t, c in _SEEDS], "name source_table source_column")
-    return lineage.destinations(_rows(spark, _TARGETS, "lineage_id target_table target_column"), _found(spark), by_name)
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = _rows(spark, sf_dir, _SEEDS, "lineage_id source_table source_column").withColumn("expression", F.lit("column"))
+    return lineage.propagate(seeds, _rows(spark, sf_dir, _LINKS, "from_id to_id step"))
 
 
-@query(f"""with recursive e(a, b) as (select * from {_values(_EDGES)}), n(node) as (select * from {_values([(x,) for x in _NODES])}),
-  bad(node) as (select distinct b from e where b in ('n9', 'n10')),
+def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_name = _rows(spark, sf_dir, [(c, t, c) for _, t, c in _SEEDS], "name source_table source_column")
+    return lineage.destinations(_rows(spark, sf_dir, _TARGETS, "lineage_id target_table target_column"), _found(spark, sf_dir), by_name)
+
+
+@query(_each(f"""with recursive e(a, b) as (select * from {_values(_EDGES)}), n(node) as (select * from {_values([(x,) for x in _NODES])}),
   walk(node, depth) as (select node, 0 from n where node not in (select b from e) union all select e.b, depth + 1 from walk join e on e.a = walk.node)
-  select n.node, cast(max(depth) as int) as level from n left join walk using (node) group by n.node""")
+  select n.node, cast(max(depth) as int) as level from n left join walk using (node) group by n.node""", "node, level"))
 def flow_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.levels(_rows(spark, [(x,) for x in _NODES], "node"), _rows(spark, _EDGES, "source target")).select("node", "level")
+    return lineage.levels(_rows(spark, sf_dir, [(x,) for x in _NODES], "node"), _rows(spark, sf_dir, _EDGES, "source target")).select("package", "node", "level")
 
 
-@query(f"select distinct a as source, b as target from {_values(_EDGES)} t(a, b)")
+@query(_each(f"select distinct a as source, b as target from {_values(_EDGES)} t(a, b)", "source, target"))
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ports = [(f"{n}.{d}", n) for n in _NODES for d in ("in", "out")]
     paths = [(f"{a}.out", f"{b}.in") for a, b in _EDGES]
-    return lineage.edges(_rows(spark, ports, "ref_id component"), _rows(spark, paths, "start_ref end_ref")).select("source", "target")
+    return lineage.edges(_rows(spark, sf_dir, ports, "ref_id component"), _rows(spark, sf_dir, paths, "start_ref end_ref")).select("package", "source", "target")
 
 
 _LINEAGE_SQL = f"""recursive seed(id, t, c) as (select * from {_values(_SEEDS)}), link(a, b, step) as (select * from {_values(_LINKS)}), target(id, tt, tc) as (select * from {_values(_TARGETS)}),
@@ -61,73 +69,176 @@ _LINEAGE_SQL = f"""recursive seed(id, t, c) as (select * from {_values(_SEEDS)})
   lineage as (select * from exact union all select * from rest)"""
 
 
-@query(f"with {_LINEAGE_SQL} select tt as target_table, tc as target_column, t as source_table, c as source_column, x as expression, confidence from lineage")
+@query(_each(f"with {_LINEAGE_SQL} select tt as target_table, tc as target_column, t as source_table, c as source_column, x as expression, confidence from lineage", "target_table, target_column, source_table, source_column, expression, confidence"))
 def lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lineage(spark).drop("package", "flow")
+    return _lineage(spark, sf_dir).drop("flow")
+
+
+@query(_each(f"""with {_LINEAGE_SQL} select tt as target_table, tc as target_column, max(t || '.' || c) as last_source from lineage group by 1, 2""", "target_table, target_column, last_source"))
+def last_lineage_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lineage(spark, sf_dir).withColumn("last_source", F.concat_ws(".", "source_table", "source_column"))
+    last = lineage.last_sources(rows.withColumn("ordinal", F.col("last_source")))
+    return last.select("package", "target_table", "target_column", F.nullif("last_source", F.lit("")).alias("last_source"))
 
 
-@query(f"""with {_LINEAGE_SQL} select t as source_table, count(*) as unused, string_agg(c, ', ' order by c) as columns from seed
-  where not exists (select 1 from lineage l where l.t = seed.t and l.c = seed.c) group by t""")
+@query(_each(f"""with {_LINEAGE_SQL} select tt as target_table, string_agg(distinct t, ', ' order by t) as sources, string_agg(distinct t || '.' || c, ', ' order by t || '.' || c) as columns from lineage where t is not null group by 1""", "target_table, sources, columns"))
+def target_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.target_sources(_lineage(spark, sf_dir)).drop("flow")
+
+
+@query(_each(f"""with {_LINEAGE_SQL} select t as source_table, count(*) as unused, string_agg(c, ', ' order by c) as columns from seed
+  where not exists (select 1 from lineage l where l.t = seed.t and l.c = seed.c) group by t""", "source_table, unused, columns"))
 def unused_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.unused_columns(_rows(spark, _SEEDS, "lineage_id source_table source_column"), _lineage(spark)).drop("package", "flow")
+    return lineage.unused_columns(_rows(spark, sf_dir, _SEEDS, "lineage_id source_table source_column"), _lineage(spark, sf_dir)).drop("flow")
 
 
-@query(f"""with {_LINEAGE_SQL} select tt as target_table, count(*) as columns, cast(sum(known) as bigint) as mapped, round(sum(known) / count(*), 4) as coverage from (select tt, tc, max(case when t is null then 0 else 1 end) as known from lineage group by 1, 2) group by 1""")
+@query(_each(f"""with {_LINEAGE_SQL} select tt as target_table, count(*) as columns, cast(sum(known) as bigint) as mapped, round(sum(known) / count(*), 4) as coverage from (select tt, tc, max(case when t is null then 0 else 1 end) as known from lineage group by 1, 2) group by 1""", "target_table, columns, mapped, coverage"))
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.coverage(_lineage(spark)).drop("package", "flow")
+    return lineage.coverage(_lineage(spark, sf_dir)).drop("flow")
 
 
-@query(f"select 'digraph lineage {{' as line union all select distinct '  \"' || a || '\" -> \"' || b || '\";' from {_values(_EDGES)} t(a, b) union all select '}}'")
+@query(f"select 'digraph lineage {{' as line union all select distinct '  \"p' || s_suppkey || '_' || a || '\" -> \"p' || s_suppkey || '_' || b || '\";' from supplier, {_values(_EDGES)} t(a, b) union all select '}}'")
 def lineage_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.dot(_rows(spark, _EDGES, "source target"), "source", "target")
+    node = lambda c: sqltext.identifier(F.concat_ws("-", "package", c))
+    edges = _rows(spark, sf_dir, _EDGES, "source target").select(node("source").alias("source"), node("target").alias("target"))
+    return tables.dot(edges, "source", "target")
 
 
 # --- SQL text -------------------------------------------------------------------------------------------
 
+#: Scripts by kind; § is the customer's number.
 _SCRIPTS = [
     (
         "load_sales",
-        "/* monthly; load */ truncate table dbo.sales_month;\ninsert into dbo.sales_month select a.id, b.name as [branch name], total = a.qty * a.price, 'x;y' as note\n"
-        "from stage.sales a left join dbo.branch b on a.branch_id = b.id and b.active = 1 -- no; split here\nwhere a.qty > 0\nGO\nupdate dbo.run set done = 1",
+        "/* monthly; load /* of § */ go */ truncate table dbo.sales_month;\ninsert into dbo.sales_month select a.id, b.name as [branch name], total = a.qty * a.price, 'x;y' as note\n"
+        "from stage.sales§ a left join dbo.branch b on a.branch_id = b.id and b.active = 1 and a.day >= b.opened -- no; split here\nwhere a.qty > 0\nGO\nupdate dbo.run set done = 1,\n state = 'ok'\nwhere\n job = 'select §'",
     ),
-    ("view_a", "create view v_a as select distinct c.id, case when c.kind = 'INV' then c.v else 0 end v2, isnull(c.w, 0) w from crm.customer c inner join crm.kind k on c.kind = k.code"),
-    ("temp", "select x.id, y.val into #t from [dbo].[x] as x join [dbo].[y] as y on x.id = y.id and x.part = y.part; exec dbo.usp_next"),
+    ("view_a", "create view v_a as select distinct c.id, case when c.kind = 'INV' then c.v else 0 end v2, isnull(c.w, 0) w from crm.customer§ c inner join crm.kind k on c.kind = k.code"),
+    ("temp", "select x.id, y.val into #t from [dbo].[x] as x join [dbo].[y§] as y on x.id = y.id and x.part = y.part; exec dbo.usp_next"),
+    ("both", "select a.k, 'a, b' as label, (select max(m.v) from dbo.m§ m where m.k = a.k) as top_v, n from dbo.one a, dbo.more\nunion all\nselect b.key_, c.label, 0, cast(c.n as int) from dbo.two b join dbo.three c on b.i = c.i"),
 ]
 
 
-def _stated(spark: SparkSession) -> DataFrame:
-    return sqltext.statements(spark.createDataFrame(_SCRIPTS, "script string, sql string"))
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(x).alias("text")) for n, x in _SCRIPTS])
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(kinds, (F.col("c_custkey") % len(_SCRIPTS) + 1).cast("int")).alias("s"))
+    return own.select(F.concat_ws("_", "s.kind", "c_custkey").alias("script"), F.replace("s.text", F.lit("§"), F.col("c_custkey").cast("string")).alias("sql"))
+
 
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltext.statements(_scripts(spark, sf_dir))
 
-@query()
+
+def _literal(x: object) -> str:
+    if x is None:
+        return "null"
+    if isinstance(x, int):
+        return f"cast({x} as int)"
+    return "replace('" + str(x).replace("'", "''") + "', '§', cast(c_custkey as varchar))"
+
+
+def _expected(columns: str, rows: list[tuple]) -> str:
+    """DuckDB: the rows for each customer whose script is of the kind that a row begins with."""
+    kinds = [n for n, _ in _SCRIPTS]
+    names = columns.split()
+    parts = [f"select '{r[0]}_' || c_custkey as script, " + ", ".join(f"{_literal(x)} as {c}" for c, x in zip(names, r[1:])) + f" from customer where c_custkey % {len(kinds)} = {kinds.index(r[0])}" for r in rows]
+    return " union all ".join(parts)
+
+
+@query(_expected("number operation target", [
+    ("load_sales", 1, "TRUNCATE", "DBO.SALES_MONTH"), ("load_sales", 2, "INSERT", "DBO.SALES_MONTH"), ("load_sales", 3, "UPDATE", "DBO.RUN"),
+    ("view_a", 1, "CREATE VIEW", "V_A"), ("temp", 1, "SELECT INTO", "#T"), ("temp", 2, "EXEC", "DBO.USP_NEXT"), ("both", 1, "SELECT", None),
+]))
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stated(spark).select("script", "number", "operation", "target")
+    return _stated(spark, sf_dir).select("script", "number", "operation", "target")
 
 
-@query()
+@query(_expected("number table alias", [
+    ("load_sales", 2, "STAGE.SALES§", "A"), ("load_sales", 2, "DBO.BRANCH", "B"), ("view_a", 1, "CRM.CUSTOMER§", "C"), ("view_a", 1, "CRM.KIND", "K"), ("temp", 1, "DBO.X", "X"), ("temp", 1, "DBO.Y§", "Y"),
+    ("both", 1, "DBO.M§", "M"), ("both", 1, "DBO.ONE", "A"), ("both", 1, "DBO.MORE", "MORE"), ("both", 1, "DBO.TWO", "B"), ("both", 1, "DBO.THREE", "C"),
+]).replace(" as table,", ' as "table",'))
 def statement_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqltext.tables(_stated(spark))
+    return sqltext.tables(_stated(spark, sf_dir))
+
+
+@query(_expected("number sources", [
+    ("load_sales", 2, "DBO.BRANCH, STAGE.SALES§"), ("view_a", 1, "CRM.CUSTOMER§, CRM.KIND"), ("temp", 1, "DBO.X, DBO.Y§"), ("both", 1, "DBO.M§, DBO.MORE, DBO.ONE, DBO.THREE, DBO.TWO"),
+]))
+def statement_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltext.statement_sources(_stated(spark, sf_dir))
 
 
-@query()
+@query(_expected("number join_type left_alias left_table left_column operator right_alias right_table right_column", [
+    ("load_sales", 2, "LEFT", "A", "STAGE.SALES§", "BRANCH_ID", "=", "B", "DBO.BRANCH", "ID"), ("load_sales", 2, "LEFT", "A", "STAGE.SALES§", "DAY", ">=", "B", "DBO.BRANCH", "OPENED"),
+    ("view_a", 1, "INNER", "C", "CRM.CUSTOMER§", "KIND", "=", "K", "CRM.KIND", "CODE"), ("temp", 1, "INNER", "X", "DBO.X", "ID", "=", "Y", "DBO.Y§", "ID"), ("temp", 1, "INNER", "X", "DBO.X", "PART", "=", "Y", "DBO.Y§", "PART"),
+    ("both", 1, "INNER", "B", "DBO.TWO", "I", "=", "C", "DBO.THREE", "I"),
+]))
+def join_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltext.join_conditions(_stated(spark, sf_dir))
+
+
+_KEYS = [
+    ("load_sales", 2, "A", "STAGE.SALES§", "BRANCH_ID"), ("load_sales", 2, "B", "DBO.BRANCH", "ID"), ("view_a", 1, "C", "CRM.CUSTOMER§", "KIND"), ("view_a", 1, "K", "CRM.KIND", "CODE"),
+    ("temp", 1, "X", "DBO.X", "ID"), ("temp", 1, "Y", "DBO.Y§", "ID"), ("temp", 1, "X", "DBO.X", "PART"), ("temp", 1, "Y", "DBO.Y§", "PART"), ("both", 1, "B", "DBO.TWO", "I"), ("both", 1, "C", "DBO.THREE", "I"),
+]
+_REFS = [*_KEYS, ("load_sales", 2, "B", "DBO.BRANCH", "ACTIVE"), ("load_sales", 2, "A", "STAGE.SALES§", "DAY"), ("load_sales", 2, "B", "DBO.BRANCH", "OPENED")]
+
+
+@query(_expected('number alias "table" "column"', _KEYS))
 def join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqltext.join_keys(_stated(spark))
+    return sqltext.join_keys(_stated(spark, sf_dir))
 
 
-@query()
+@query(_expected('number alias "table" "column"', _REFS))
+def join_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltext.join_keys(_stated(spark, sf_dir), mode="all_refs")
+
+
+@query(_expected("number alias source_table source_column confidence", [
+    ("load_sales", 2, "ID", "STAGE.SALES§", "ID", "exact"), ("load_sales", 2, "BRANCH NAME", "DBO.BRANCH", "NAME", "exact"), ("load_sales", 2, "TOTAL", "STAGE.SALES§", "QTY", "exact"), ("load_sales", 2, "TOTAL", "STAGE.SALES§", "PRICE", "exact"),
+    ("view_a", 1, "ID", "CRM.CUSTOMER§", "ID", "exact"), ("view_a", 1, "V2", "CRM.CUSTOMER§", "KIND", "exact"), ("view_a", 1, "V2", "CRM.CUSTOMER§", "V", "exact"), ("view_a", 1, "W", "CRM.CUSTOMER§", "W", "exact"),
+    ("temp", 1, "ID", "DBO.X", "ID", "exact"), ("temp", 1, "VAL", "DBO.Y§", "VAL", "exact"),
+    ("both", 1, "K", "DBO.ONE", "K", "exact"), ("both", 1, "K", "DBO.TWO", "KEY_", "exact"), ("both", 1, "LABEL", "DBO.THREE", "LABEL", "exact"), ("both", 1, "TOP_V", "DBO.M§", "V", "exact"), ("both", 1, "N", "DBO.ONE", "N", "assumed"), ("both", 1, "N", "DBO.THREE", "N", "exact"),
+]))
 def sql_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqltext.column_sources(_stated(spark))
+    return sqltext.column_sources(_stated(spark, sf_dir))
 
 
-@query()
+@query(_expected("number position alias expression kind", [
+    ("load_sales", 2, 0, "ID", "A.ID", "COLUMN"), ("load_sales", 2, 1, "BRANCH NAME", "B.NAME", "COLUMN"), ("load_sales", 2, 2, "TOTAL", "A.QTY * A.PRICE", "ARITHMETIC"), ("load_sales", 2, 3, "NOTE", "'X;Y'", "LITERAL"),
+    ("view_a", 1, 0, "ID", "C.ID", "COLUMN"), ("view_a", 1, 1, "V2", "CASE WHEN C.KIND = 'INV' THEN C.V ELSE 0 END", "CASE"), ("view_a", 1, 2, "W", "ISNULL(C.W, 0)", "FUNCTION"),
+    ("temp", 1, 0, "ID", "X.ID", "COLUMN"), ("temp", 1, 1, "VAL", "Y.VAL", "COLUMN"),
+    ("both", 1, 0, "K", "A.K", "COLUMN"), ("both", 1, 1, "LABEL", "'A, B'", "LITERAL"), ("both", 1, 2, "TOP_V", "(SELECT MAX(M.V) FROM DBO.M§ M WHERE M.K = A.K)", "SUBQUERY"), ("both", 1, 3, "N", "N", "COLUMN"),
+]).replace(" as position,", ' as "position",'))
 def select_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqltext.select_list(_stated(spark))
+    return sqltext.select_list(_stated(spark, sf_dir))
+
 
+@query(_expected("shown", [("view_a", "CASE WHEN C.KIND = 'INV' THEN C.V ELSE 0 END"), ("both", "(SELECT MAX(M.V) FROM DBO.M§ M WHERE M.K = A.K)")]).replace("replace('(SELECT", "left(replace('(SELECT").replace("M.K = A.K)', '§', cast(c_custkey as varchar))", "M.K = A.K)', '§', cast(c_custkey as varchar)), case when length(cast(c_custkey as varchar)) > 4 then 47 else 50 end) || case when length(cast(c_custkey as varchar)) > 4 then '...' else '' end"))
+def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltext.select_list(_stated(spark, sf_dir)).where("kind in ('CASE', 'SUBQUERY')").select("script", sqltext.display(F.col("expression")).alias("shown"))
+
+
+_REFINED = [
+    (
+        "load_sales",
+        "/* monthly; load /* of § */ go */ TRUNCATE TABLE dbo.sales_month;\nINSERT INTO dbo.sales_month SELECT a.id, b.name AS [branch name], a.qty * a.price AS total, 'x;y' AS note\n"
+        "FROM stage.sales§ a LEFT JOIN dbo.branch b ON a.branch_id = b.id AND b.active = 1 AND a.day >= b.opened -- no; split here\nWHERE a.qty > 0\nGO\nUPDATE dbo.run SET done = 1,\n state = 'ok'\nWHERE\n job = 'select §'",
+    ),
+    ("view_a", "CREATE VIEW v_a AS SELECT DISTINCT c.id, CASE WHEN c.kind = 'INV' THEN c.v ELSE 0 END v2, isnull(c.w, 0) w FROM crm.customer§ c INNER JOIN crm.kind k ON c.kind = k.code"),
+    ("temp", "SELECT x.id, y.val INTO #t FROM [dbo].[x] AS x JOIN [dbo].[y§] AS y ON x.id = y.id AND x.part = y.part; EXEC dbo.usp_next"),
+    ("both", "SELECT a.k, 'a, b' AS label, (SELECT max(m.v) FROM dbo.m§ m WHERE m.k = a.k) AS top_v, n FROM dbo.one a, dbo.more\nUNION ALL\nSELECT b.key_, c.label, 0, CAST(c.n AS int) FROM dbo.two b JOIN dbo.three c ON b.i = c.i"),
+]
 
-@query()
+
+@query(_expected("sql", _REFINED))
 def refined_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = spark.createDataFrame(_SCRIPTS, "script string, sql string")
-    return sql.select("script", sqltext.refine(F.col("sql")).alias("sql"), (sqltext.refine(F.col("sql")) != F.col("sql")).alias("changed"))
+    return _scripts(spark, sf_dir).select("script", sqltext.refine(F.col("sql")).alias("sql"))
+
+
+@query(_expected("sql", [("temp", "SELECT x.id AS id, y.val AS val INTO #t FROM [dbo].[x] AS x JOIN [dbo].[y§] AS y ON x.id = y.id AND x.part = y.part; EXEC dbo.usp_next")]))
+def explicit_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scripts(spark, sf_dir).where("script like 'temp%'").select("script", sqltext.explicit_aliases(F.col("sql")).alias("sql"))
 
 
 # --- packages -------------------------------------------------------------------------------------------
@@ -140,9 +251,9 @@ PACKAGE = """<?xml version="1.0"?>
  <DTS:Executables>
   <DTS:Executable DTS:refId="Package\\Clear" DTS:ExecutableType="Microsoft.ExecuteSQLTask" DTS:ObjectName="Clear"><DTS:ObjectData><SQLTask:SqlTaskData xmlns:SQLTask="www.microsoft.com/sqlserver/dts/tasks/sqltask" SQLTask:SqlStatementSource="delete from t where p = @[User::period]"/></DTS:ObjectData></DTS:Executable>
   <DTS:Executable DTS:refId="Package\\Load" DTS:ExecutableType="Microsoft.Pipeline" DTS:ObjectName="Load"><DTS:ObjectData><pipeline><components>
-   <component refId="src" componentClassID="Microsoft.OLEDBSource" name="Source"><properties><property name="SqlCommand">select id, amount from s</property></properties><connections><connection connectionManagerID="{1}"/></connections><outputs><output refId="src.out" name="Output"><outputColumns><outputColumn refId="src.id" name="id" lineageId="L1" dataType="i4"/><outputColumn refId="src.amount" name="amount" lineageId="L2" dataType="numeric" precision="12" scale="2"/></outputColumns></output></outputs></component>
+   <component refId="src" componentClassID="Microsoft.OLEDBSource" name="Source"><properties><property name="SqlCommand">select id, amount from s§</property></properties><connections><connection connectionManagerID="{1}"/></connections><outputs><output refId="src.out" name="Output"><outputColumns><outputColumn refId="src.id" name="id" lineageId="L1" dataType="i4"/><outputColumn refId="src.amount" name="amount" lineageId="L2" dataType="numeric" precision="12" scale="2"/></outputColumns></output></outputs></component>
    <component refId="cv" componentClassID="Microsoft.DataConvert" name="Convert"><inputs><input refId="cv.in" name="Input"><inputColumns><inputColumn refId="cv.in.amount" cachedName="amount" lineageId="L2"/></inputColumns></input></inputs><outputs><output refId="cv.out" name="Output"><outputColumns><outputColumn refId="cv.money" name="money" lineageId="L3" dataType="cy"><properties><property name="SourceInputColumnLineageID">#{L2}</property></properties></outputColumn></outputColumns></output></outputs></component>
-   <component refId="dst" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[t]</property></properties><inputs><input refId="dst.in" name="Input"><inputColumns><inputColumn refId="dst.id" cachedName="id" lineageId="L1" externalMetadataColumnId="dst.x.id"/><inputColumn refId="dst.money" cachedName="money" lineageId="L3" externalMetadataColumnId="dst.x.total"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="dst.x.id" name="ID" dataType="i4"/><externalMetadataColumn refId="dst.x.total" name="TOTAL" dataType="cy"/></externalMetadataColumns></input></inputs></component>
+   <component refId="dst" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[t§]</property></properties><inputs><input refId="dst.in" name="Input"><inputColumns><inputColumn refId="dst.id" cachedName="id" lineageId="L1" externalMetadataColumnId="dst.x.id"/><inputColumn refId="dst.money" cachedName="money" lineageId="L3" externalMetadataColumnId="dst.x.total"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="dst.x.id" name="ID" dataType="i4"/><externalMetadataColumn refId="dst.x.total" name="TOTAL" dataType="cy"/></externalMetadataColumns></input></inputs></component>
   </components><paths><path refId="p1" name="a" startId="src.out" endId="cv.in"/><path refId="p2" name="b" startId="cv.out" endId="dst.in"/></paths></pipeline></DTS:ObjectData></DTS:Executable>
  </DTS:Executables>
  <DTS:PrecedenceConstraints><DTS:PrecedenceConstraint DTS:From="Package\\Clear" DTS:To="Package\\Load"/></DTS:PrecedenceConstraints>
@@ -161,91 +272,127 @@ SECOND_PACKAGE = """<?xml version="1.0"?>
    <component refId="f" componentClassID="Microsoft.FlatFileSource" name="By file"><connections><connection connectionManagerRefId="Package.ConnectionManagers[rates]"/></connections><outputs><output refId="f.out" name="Output"><outputColumns><outputColumn refId="f.r" name="rate" lineageId="F1"/></outputColumns></output></outputs></component>
    <component refId="l" componentClassID="Microsoft.Lookup" name="Names"><properties><property name="SqlCommand">select code, label from [dbo].[kind]</property></properties><outputs><output refId="l.out" name="Match"><outputColumns><outputColumn refId="l.n" name="kind_label" lineageId="K1"><properties><property name="CopyFromReferenceColumn">label</property></properties></outputColumn></outputColumns></output></outputs></component>
    <component refId="m" componentClassID="Microsoft.MergeJoin" name="Merge"><inputs><input refId="m.l" name="Left"><inputColumns><inputColumn refId="m.l.d" lineageId="A1"/></inputColumns></input></inputs><outputs><output refId="m.out" name="Output"><outputColumns><outputColumn refId="m.d" name="d" lineageId="M1"><properties><property name="InputColumnID">#{m.l.d}</property></properties></outputColumn></outputColumns></output></outputs></component>
-   <component refId="t" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[summary]</property><property name="OpenRowsetVariable"></property><property name="SqlCommand"></property><property name="AccessMode">3</property></properties><inputs><input refId="t.in" name="Input"><inputColumns><inputColumn refId="t.m" lineageId="M1" externalMetadataColumnId="t.x.m"/><inputColumn refId="t.d" lineageId="A1" externalMetadataColumnId="t.x.d"/><inputColumn refId="t.w" lineageId="B1" externalMetadataColumnId="t.x.w"/><inputColumn refId="t.r" lineageId="F1" externalMetadataColumnId="t.x.r"/><inputColumn refId="t.k" lineageId="K1" externalMetadataColumnId="t.x.k"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="t.x.m" name="MERGED"/><externalMetadataColumn refId="t.x.d" name="DAY"/><externalMetadataColumn refId="t.x.w" name="WEEK"/><externalMetadataColumn refId="t.x.r" name="RATE"/><externalMetadataColumn refId="t.x.k" name="KIND"/></externalMetadataColumns></input></inputs></component>
+   <component refId="t" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[summary§]</property><property name="OpenRowsetVariable"></property><property name="SqlCommand"></property><property name="AccessMode">3</property></properties><inputs><input refId="t.in" name="Input"><inputColumns><inputColumn refId="t.m" lineageId="M1" externalMetadataColumnId="t.x.m"/><inputColumn refId="t.d" lineageId="A1" externalMetadataColumnId="t.x.d"/><inputColumn refId="t.w" lineageId="B1" externalMetadataColumnId="t.x.w"/><inputColumn refId="t.r" lineageId="F1" externalMetadataColumnId="t.x.r"/><inputColumn refId="t.k" lineageId="K1" externalMetadataColumnId="t.x.k"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="t.x.m" name="MERGED"/><externalMetadataColumn refId="t.x.d" name="DAY"/><externalMetadataColumn refId="t.x.w" name="WEEK"/><externalMetadataColumn refId="t.x.r" name="RATE"/><externalMetadataColumn refId="t.x.k" name="KIND"/></externalMetadataColumns></input></inputs></component>
   </components></pipeline></DTS:ObjectData></DTS:Executable></DTS:Executables>
 </DTS:Executable>"""
 
+#: A third one: two flows of one name in two containers. In the first, a Union All by position, a Sort and an
+#: Aggregate by name, derived columns by the names in their expressions, from a variable only and from nothing, an
+#: unknown class; in the second, a destination whose ids have gone.
+THIRD_PACKAGE = """<?xml version="1.0"?>
+<DTS:Executable xmlns:DTS="www.microsoft.com/SqlServer/Dts" DTS:refId="Package" DTS:ObjectName="Monthly">
+ <DTS:Executables>
+  <DTS:Executable DTS:refId="Package\\A" DTS:ExecutableType="STOCK:SEQUENCE" DTS:ObjectName="A"><DTS:Executables><DTS:Executable DTS:refId="Package\\A\\Load" DTS:ExecutableType="Microsoft.Pipeline" DTS:ObjectName="Load"><DTS:ObjectData><pipeline><components>
+   <component refId="one" componentClassID="Microsoft.OLEDBSource" name="One"><properties><property name="SqlCommand">select o.x, o.y as why from dbo.one§ o</property></properties><outputs><output refId="one.out" name="Output"><outputColumns><outputColumn refId="one.x" name="x" lineageId="N1"/><outputColumn refId="one.y" name="why" lineageId="N2"/></outputColumns></output></outputs></component>
+   <component refId="two" componentClassID="Microsoft.OLEDBSource" name="Two"><properties><property name="OpenRowset">[dbo].[two]</property></properties><outputs><output refId="two.out" name="Output"><outputColumns><outputColumn refId="two.u" name="u" lineageId="T1"/><outputColumn refId="two.v" name="v" lineageId="T2"/></outputColumns></output></outputs></component>
+   <component refId="all" componentClassID="Microsoft.UnionAll" name="All"><inputs><input refId="all.1" name="First"><inputColumns><inputColumn refId="all.1.x" lineageId="N1"/><inputColumn refId="all.1.y" lineageId="N2"/></inputColumns></input><input refId="all.2" name="Second"><inputColumns><inputColumn refId="all.2.u" lineageId="T1"/><inputColumn refId="all.2.v" lineageId="T2"/></inputColumns></input></inputs><outputs><output refId="all.out" name="Output"><outputColumns><outputColumn refId="all.x" name="x" lineageId="U1"/><outputColumn refId="all.y" name="why" lineageId="U2"/></outputColumns></output></outputs></component>
+   <component refId="srt" componentClassID="Microsoft.Sort" name="Order"><inputs><input refId="srt.in" name="Input"><inputColumns><inputColumn refId="srt.in.x" cachedName="X" lineageId="U1"><properties><property name="NewSortKeyPosition">1</property></properties></inputColumn><inputColumn refId="srt.in.y" cachedName="why" lineageId="U2"><properties><property name="NewSortKeyPosition">0</property></properties></inputColumn></inputColumns></input></inputs><outputs><output refId="srt.out" name="Output"><outputColumns><outputColumn refId="srt.x" name="x" lineageId="S1"/><outputColumn refId="srt.y" name="why" lineageId="S2"/><outputColumn refId="srt.z" name="gone" lineageId="S3"/></outputColumns></output></outputs></component>
+   <component refId="agg" componentClassID="Microsoft.Aggregate" name="Sums"><inputs><input refId="agg.in" name="Input"><inputColumns><inputColumn refId="agg.in.x" cachedName="x" lineageId="S1"/></inputColumns></input></inputs><outputs><output refId="agg.out" name="Output"><outputColumns><outputColumn refId="agg.x" name="x" lineageId="G1"/></outputColumns></output></outputs></component>
+   <component refId="der" componentClassID="Microsoft.DerivedColumn" name="More" description="adds columns"><inputs><input refId="der.in" name="Input"><inputColumns><inputColumn refId="der.in.x" cachedName="x" lineageId="G1"/></inputColumns></input></inputs><outputs><output refId="der.out" name="Output"><outputColumns><outputColumn refId="der.p" name="plus" lineageId="D1"><properties><property name="FriendlyExpression">[x] + 1 + LEN("why")</property></properties></outputColumn><outputColumn refId="der.v" name="when" lineageId="D2"><properties><property name="FriendlyExpression">@[User::day]</property></properties></outputColumn><outputColumn refId="der.c" name="one" lineageId="D3"><properties><property name="FriendlyExpression">1</property></properties></outputColumn></outputColumns></output></outputs></component>
+   <component refId="odd" componentClassID="Vendor.Cleanse" name="Odd"><outputs><output refId="odd.out" name="Output"><outputColumns><outputColumn refId="odd.q" name="q" lineageId="Q1"/></outputColumns></output></outputs></component>
+   <component refId="dst" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[month§]</property></properties><inputs><input refId="dst.in" name="Input"><inputColumns><inputColumn refId="dst.1" lineageId="D1" externalMetadataColumnId="dst.x.1"/><inputColumn refId="dst.2" lineageId="S2" externalMetadataColumnId="dst.x.2"/><inputColumn refId="dst.3" lineageId="S3" externalMetadataColumnId="dst.x.3"/><inputColumn refId="dst.4" lineageId="D2" externalMetadataColumnId="dst.x.4"/><inputColumn refId="dst.5" lineageId="D3" externalMetadataColumnId="dst.x.5"/><inputColumn refId="dst.6" lineageId="Q1" externalMetadataColumnId="dst.x.6"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="dst.x.1" name="PLUS"/><externalMetadataColumn refId="dst.x.2" name="WHY"/><externalMetadataColumn refId="dst.x.3" name="GONE"/><externalMetadataColumn refId="dst.x.4" name="DAY"/><externalMetadataColumn refId="dst.x.5" name="ONE"/><externalMetadataColumn refId="dst.x.6" name="Q"/></externalMetadataColumns></input></inputs></component>
+  </components></pipeline></DTS:ObjectData></DTS:Executable></DTS:Executables></DTS:Executable>
+  <DTS:Executable DTS:refId="Package\\B" DTS:ExecutableType="STOCK:SEQUENCE" DTS:ObjectName="B"><DTS:Executables><DTS:Executable DTS:refId="Package\\B\\Load" DTS:ExecutableType="Microsoft.Pipeline" DTS:ObjectName="Load"><DTS:ObjectData><pipeline><components>
+   <component refId="one" componentClassID="Microsoft.OLEDBSource" name="One"><properties><property name="OpenRowset">[dbo].[codes]</property></properties><outputs><output refId="one.out" name="Output"><outputColumns><outputColumn refId="one.c" name="code" lineageId="N1"/></outputColumns></output></outputs></component>
+   <component refId="dst" componentClassID="Microsoft.OLEDBDestination" name="Target"><properties><property name="OpenRowset">[dbo].[old]</property></properties><inputs><input refId="dst.in" name="Input"><inputColumns><inputColumn refId="dst.1" lineageId="Z1" externalMetadataColumnId="dst.x.1"/><inputColumn refId="dst.2" lineageId="Z2" externalMetadataColumnId="dst.x.2"/></inputColumns><externalMetadataColumns><externalMetadataColumn refId="dst.x.1" name="CODE"/><externalMetadataColumn refId="dst.x.2" name="OTHER"/></externalMetadataColumns></input></inputs></component>
+  </components><paths><path refId="p1" name="a" startId="one.out" endId="dst.in"/></paths></pipeline></DTS:ObjectData></DTS:Executable></DTS:Executables></DTS:Executable>
+ </DTS:Executables>
+</DTS:Executable>"""
+
+_PACKAGES = (("daily", PACKAGE), ("weekly", SECOND_PACKAGE), ("monthly", THIRD_PACKAGE), ("broken", "<a>"))
 
-def _commands(found: dict[str, DataFrame]) -> DataFrame:
-    """package, flow, component, sql, rowset: what a component reads or writes. Real packages have both
-    properties, and those of variables, on each component, and leave empty what its AccessMode does not use."""
-    names = ("SqlCommand", "OpenRowset", "SqlCommandVariable", "OpenRowsetVariable", "AccessMode")
-    value = F.nullif(F.trim("value", F.lit(" \t\r\n")), F.lit(""))
-    p = found["properties"].where(F.col("name").isin(*names)).groupBy("package", "flow", F.col("owner").alias("component"))
-    props = p.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in names])
-    kinds = found["components"].select("package", "flow", F.col("ref_id").alias("component"), "class")
-    props = props.join(kinds, [*lineage.FLOW, "component"], "left")
-    variables = found["variables"].where("name is not null").select("package", "namespace", "name", F.coalesce(F.nullif(F.trim("value", F.lit(" \t\r\n")), F.lit("")), F.col("expression")).alias("_text"))
-    # by namespace and name, or by the name alone; one text of each, for names that several scopes have
-    keys = F.explode(F.array_distinct(F.array(F.concat_ws("::", "namespace", "name"), F.col("name"))))
-    texts = variables.select("package", keys.alias("_name"), "_text").groupBy("package", "_name").agg(F.min("_text").alias("_text"))
-    for n, to in (("SqlCommandVariable", "_sql"), ("OpenRowsetVariable", "_rowset")):
-        props = props.withColumn("_name", F.col(n)).join(texts.withColumnRenamed("_text", to), ["package", "_name"], "left").drop("_name")
-    # AccessMode: 0 rowset, 1 rowset from a variable, 2 command; 3 and 4 are 0 and 1 with fast load in a
-    # destination, 3 is a command from a variable in a source
-    mode, target = F.coalesce(F.col("AccessMode").cast("int"), F.lit(-1)), F.coalesce(F.col("class").contains("Destination"), F.lit(False))
-    sql = F.coalesce(F.when(~target & (mode == 3), F.col("_sql")), "SqlCommand")
-    rowset = F.coalesce(F.when((mode == 1) | (target & (mode == 4)), F.col("_rowset")), "OpenRowset")
-    by_rowset = rowset.isNotNull() & (sql.isNull() | mode.isin(0, 1) | (target & (mode != 2)))
-    return props.select(*lineage.FLOW, "component", F.when(~by_rowset, sql).alias("sql"), F.when(by_rowset, rowset).alias("rowset"))
-
-
-def package_lineage(found: dict[str, DataFrame]) -> DataFrame:
-    """From a package's catalogs to lineage rows: sources seed their output columns, conversions link the id
-    that they name, destinations map ids to table columns; ids that only pass through need no link.
-
-    A source's table is that of its command, else its rowset, else its connection (files), else its own
-    name; its column is the reference column that it copies (lookups), else the external column, else its own."""
-    c, p = found["components"], found["properties"]
-    key = [*lineage.FLOW, "component"]
-    connected = packages.connection_of(c, found["connections"])
-    named = connected.select("package", "flow", F.col("ref_id").alias("component"), F.col("name").alias("component_name"), "class", "connection")
-    out = found["columns"].join(found["ports"].where("direction = 'output' and is_error <> 'true'").select("package", "flow", F.col("ref_id").alias("port")), [*lineage.FLOW, "port"]).join(named, key)
-    is_source = F.col("class").rlike("Source|Lookup")
-    command = _commands(found)
-    from_ = F.nullif(sqltext.clean_name(F.regexp_extract("sql", r"(?is)\bfrom\s+([\w.\[\]#]+)", 1)), F.lit(""))
-    file = F.when(F.col("class").rlike("FlatFile|Excel|RawSource|XmlSource"), F.col("connection"))
-    table = F.coalesce(from_, sqltext.clean_name(F.col("rowset")), F.upper(file), F.upper("component_name"))
-    copied = p.where("name = 'CopyFromReferenceColumn' and trim(value) <> ''").groupBy(*lineage.FLOW, F.col("owner").alias("ref_id")).agg(F.min(F.trim("value")).alias("_copied"))
-    external = found["external_columns"].select("package", "flow", F.col("ref_id").alias("external_ref"), F.col("name").alias("target_column"))
-    origin = F.coalesce("_copied", "target_column", "name")
-    seeds = out.where(is_source).join(command, key, "left").join(copied, [*lineage.FLOW, "ref_id"], "left").join(external, [*lineage.FLOW, "external_ref"], "left")
-    seeds = seeds.select(*lineage.FLOW, "lineage_id", table.alias("source_table"), origin.alias("source_column"), F.lit("column").alias("expression"))
-    refs = p.where(F.col("name").isin("SourceInputColumnLineageID", "InputColumnID", "SortColumnId", "Expression")).select(*lineage.FLOW, F.col("owner").alias("ref_id"), F.explode(F.regexp_extract_all("value", F.lit(r"#\{([^}]*)\}"), 1)).alias("from_id"))
-    # joins and sorts name the input column, whose lineage id is that of the column it takes
-    inputs = found["columns"].where("lineage_id is not null").select(*lineage.FLOW, F.col("ref_id").alias("from_id"), F.col("lineage_id").alias("_taken"))
-    refs = refs.join(inputs, [*lineage.FLOW, "from_id"], "left").withColumn("from_id", F.coalesce("_taken", "from_id")).drop("_taken")
-    links = out.where(~is_source).join(refs, [*lineage.FLOW, "ref_id"]).select(*lineage.FLOW, "from_id", F.col("lineage_id").alias("to_id"), F.concat(F.regexp_extract("class", r"([^.]*)$", 1), F.lit("("), F.col("component_name"), F.lit(")")).alias("step"))
-    targets = found["columns"].join(named.where(F.col("class").contains("Destination")), key).join(external, [*lineage.FLOW, "external_ref"]).join(command, key, "left")
-    target = F.coalesce(sqltext.clean_name(F.col("rowset")), F.nullif(sqltext.clean_name(F.regexp_extract("sql", r"(?is)\b(?:from|into)\s+([\w.\[\]#]+)", 1)), F.lit("")), F.upper("connection"), F.upper("component_name"))
-    targets = targets.select(*lineage.FLOW, target.alias("target_table"), "target_column", "lineage_id")
-    return lineage.destinations(targets, lineage.propagate(seeds, links))
-
-
-def _catalogs(spark: SparkSession) -> dict[str, DataFrame]:
-    return packages.catalogs(spark.createDataFrame([("daily.dtsx", PACKAGE), ("weekly.dtsx", SECOND_PACKAGE), ("broken.dtsx", "<a>")], "package string, text string"))
-
-
-@query()
+
+def _catalogs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Four packages for each supplier; § is its number."""
+    texts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("text")) for n, x in _PACKAGES])
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(texts).alias("t"))
+    path = F.concat_ws("/", F.col("s_suppkey").cast("string"), F.concat("t.name", F.lit(".dtsx")))
+    return packages.catalogs(own.select(path.alias("package"), F.replace("t.text", F.lit("§"), F.col("s_suppkey").cast("string")).alias("text")))
+
+
+def _packaged(columns: str, rows: list[tuple]) -> str:
+    """DuckDB: the rows for each supplier's package of the name that a row begins with."""
+    names = columns.split()
+    value = lambda x: "null" if x is None else f"cast({x} as bigint)" if isinstance(x, int) else "[" + ", ".join(f"'{y}'" for y in x) + "]" if isinstance(x, list) else "replace('" + x.replace("'", "''") + "', '§', cast(s_suppkey as varchar))"
+    return " union all ".join(f"select s_suppkey || '/{r[0]}.dtsx' as package, " + ", ".join(f"{value(x)} as {c}" for c, x in zip(names, r[1:])) + " from supplier" for r in rows)
+
+
+@query(_packaged("name lineage_id data_type", [
+    *[("daily", n, i, t) for n, i, t in (("id", "L1", "i4"), ("amount", "L2", "numeric"), ("amount", "L2", None), ("money", "L3", "cy"), ("id", "L1", None), ("money", "L3", None))],
+    *[("weekly", n, i, None) for n, i in (("d_alias", "A1"), ("w_id", "B1"), ("rate", "F1"), ("kind_label", "K1"), (None, "A1"), ("d", "M1"), (None, "M1"), (None, "A1"), (None, "B1"), (None, "F1"), (None, "K1"))],
+]))
 def package_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogs(spark)["columns"]
+    return _catalogs(spark, sf_dir)["columns"].where("package not like '%monthly%'").select("package", "name", "lineage_id", "data_type")
+
 
+_A, _B = "Package\\A\\Load", "Package\\B\\Load"
+_UNION = "column -> Union(All) -> Sort(Order)"
 
-@query()
+
+@query(_packaged("flow target_table target_column source_table source_column expression confidence", [
+    ("daily", "Package\\Load", "DBO.T§", "ID", "S§", "ID", "column", "exact"), ("daily", "Package\\Load", "DBO.T§", "TOTAL", "S§", "AMOUNT", "column -> DataConvert(Convert)", "exact"),
+    ("weekly", "Package\\Fill", "DBO.SUMMARY§", "MERGED", "DBO.DAY", "d", "column -> MergeJoin(Merge)", "exact"), ("weekly", "Package\\Fill", "DBO.SUMMARY§", "DAY", "DBO.DAY", "d", "column", "exact"),
+    ("weekly", "Package\\Fill", "DBO.SUMMARY§", "WEEK", "DBO.WEEK", "W_ID", "column", "exact"), ("weekly", "Package\\Fill", "DBO.SUMMARY§", "RATE", "RATES", "rate", "column", "exact"), ("weekly", "Package\\Fill", "DBO.SUMMARY§", "KIND", "DBO.KIND", "LABEL", "column", "exact"),
+    ("monthly", _A, "DBO.MONTH§", "PLUS", "DBO.ONE§", "X", _UNION + " -> Aggregate(Sums) -> DerivedColumn(More)", "exact"), ("monthly", _A, "DBO.MONTH§", "PLUS", "DBO.TWO", "u", _UNION + " -> Aggregate(Sums) -> DerivedColumn(More)", "exact"),
+    ("monthly", _A, "DBO.MONTH§", "WHY", "DBO.ONE§", "Y", _UNION, "exact"), ("monthly", _A, "DBO.MONTH§", "WHY", "DBO.TWO", "v", _UNION, "exact"),
+    ("monthly", _A, "DBO.MONTH§", "GONE", "Transformation", "gone", "Async (Order)", "default"), ("monthly", _A, "DBO.MONTH§", "DAY", "Variable/Expression", "Expression", "@[User::day]", "default"),
+    ("monthly", _A, "DBO.MONTH§", "ONE", "Derived / Transformation", "one", "1", "default"), ("monthly", _A, "DBO.MONTH§", "Q", "Transformation", "q", "Unknown Logic", "default"),
+    ("monthly", _B, "DBO.OLD", "CODE", "DBO.CODES", "code", "name match", "inferred"), ("monthly", _B, "DBO.OLD", "OTHER", "DBO.CODES", "OTHER", "stale package", "inferred"),
+]))
 def package_lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return package_lineage(_catalogs(spark))
+    return package_lineage(_catalogs(spark, sf_dir))
 
 
-@query()
+@query(_packaged("component connection kind server database", [("daily", "Source", "dw", "OLEDB", "host1", "db1"), ("weekly", "By file", "rates", "FLATFILE", None, None)]))
 def package_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _catalogs(spark)
-    return packages.server_and_database(packages.connection_of(found["components"], found["connections"]).select("package", F.col("name").alias("component"), "connection").join(found["connections"].withColumnRenamed("name", "connection"), ["package", "connection"], "left"))
+    found = _catalogs(spark, sf_dir)
+    named = packages.connection_of(found["components"], found["connections"]).where("connection is not null").select("package", F.col("name").alias("component"), "connection")
+    own = packages.server_and_database(found["connections"]).select("package", F.col("name").alias("connection"), "kind", "server", "database")
+    return named.join(own, ["package", "connection"]).select("package", "component", "connection", "kind", "server", "database")
+
+
+@query(_packaged("flow_name name type description expressions join_type sort_columns", [
+    ("daily", "Load", "Convert", "DataConvert", None, None, None, None), ("weekly", "Fill", "Names", "Lookup", None, None, None, None), ("weekly", "Fill", "Merge", "MergeJoin", None, None, None, None),
+    ("monthly", "Load", "All", "UnionAll", None, None, None, None), ("monthly", "Load", "Order", "Sort", None, None, None, ["X"]), ("monthly", "Load", "Sums", "Aggregate", None, None, None, None),
+    ("monthly", "Load", "More", "DerivedColumn", "adds columns", ['plus = [x] + 1 + LEN("why")', "when = @[User::day]", "one = 1"], None, None),
+]))
+def package_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.transformations(_catalogs(spark, sf_dir))
+
+
+@query(_packaged("flow sql", [("daily", "Package\\Load", "select id, amount from s§"), ("weekly", "Package\\Fill", "select w_id from dbo.week"), ("monthly", _A, "select o.x, o.y as why from dbo.one§ o")]))
+def package_flow_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.flow_commands(_catalogs(spark, sf_dir))
+
+
+@query(_packaged("flow component old new", [
+    ("daily", "Package\\Load", "src", "select id, amount from s§", "SELECT id, amount FROM s§"), ("weekly", "Package\\Fill", "l", "select code, label from [dbo].[kind]", "SELECT code, label FROM [dbo].[kind]"),
+    ("monthly", _A, "one", "select o.x, o.y as why from dbo.one§ o", "SELECT o.x, o.y AS why FROM dbo.one§ o"),
+]))
+def package_refined_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.refined_commands(_catalogs(spark, sf_dir))
+
+
+@query(_packaged("flow flow_name components", [("daily", "Package\\Load", "Load", ["Source"]), ("weekly", "Package\\Fill", "Fill", ["By file", "By table", "By variable"]), ("monthly", _A, "Load", ["One", "Two"]), ("monthly", _B, "Load", ["One"])]))
+def package_sources_by_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.components_by_flow(_catalogs(spark, sf_dir), "Source")
+
+
+_COUNTS = {"daily": (1, 1, 1, 1, 1, 2, 2), "weekly": (1, 3, 1, 2, 1, 1, 5), "monthly": (0, 3, 2, 4, 0, 4, 10), "broken": (0, 0, 0, 0, 0, 0, 0)}
+_LABELS = ("Connections", "Data Sources", "Destinations", "Transformations", "Variables", "Tasks", "Column Mappings")
+
+
+def _summary() -> list[tuple]:
+    rows = []
+    for package, counts in _COUNTS.items():
+        lines = ["## Summary", "", "| label | count |", "| --- | --- |", *sorted(f"| {x} | {n} |" for x, n in zip(_LABELS, counts))]
+        rows += [(package, 1, k + 1, line) for k, line in enumerate(lines)]
+    head = ["## Connections", "", "| name | kind | connection_string |", "| --- | --- | --- |"]
+    rows += [("daily", 2, k + 1, x) for k, x in enumerate([*head, "| dw | OLEDB | Data Source=host1;User ID=***;Password=***;Initial Catalog=db1; |"])]
+    return rows + [("weekly", 2, k + 1, x) for k, x in enumerate([*head, "| rates | FLATFILE | N/A |"])]
 
 
-@query()
+@query(_packaged("part line_no line", _summary()).replace("as bigint)", "as int)"))
 def package_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = None
-    for name, df in _catalogs(spark).items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("catalog"), "rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return tables.markdown(counts, "Package summary")
+    found = _catalogs(spark, sf_dir)
+    return flows.report(found, package_lineage(found)).where("part <= 2")

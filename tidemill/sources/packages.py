@@ -7,6 +7,7 @@ whatever the packages hold. Passwords and user ids of connection strings never l
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.folders import checkpoint
+
 # Namespaces of package files.
 DTS, SQL_TASK = "{www.microsoft.com/SqlServer/Dts}", "{www.microsoft.com/sqlserver/dts/tasks/sqltask}"
 #: Columns of each catalog besides package and number.
@@ -23,7 +26,7 @@ CATALOGS = {
     "variables": ("namespace", "name", "expression", "data_type", "value"),
     "executables": ("ref_id", "parent", "name", "kind", "sql"),
     "constraints": ("from_ref", "to_ref", "value", "logical_and", "expression"),
-    "components": ("flow", "ref_id", "name", "class", "connection_ref"),
+    "components": ("flow", "flow_name", "ref_id", "name", "class", "description", "connection_ref"),
     "properties": ("flow", "owner", "name", "value"),
     "ports": ("flow", "component", "ref_id", "name", "direction", "is_error"),
     "columns": ("flow", "component", "port", "ref_id", "name", "lineage_id", "external_ref", "data_type", "length", "precision", "scale", "position"),
@@ -56,23 +59,23 @@ def package_rows(text: str) -> Iterator[tuple[str, dict[str, str | None]]]:
         yield "connections", {"ref_id": _attribute(e, "refId"), "dtsid": _attribute(e, "DTSID"), "name": _attribute(e, "ObjectName"), "kind": _attribute(e, "CreationName"), "connection_string": shown}
     for e in root.iter(DTS + "PrecedenceConstraint"):
         yield "constraints", {"from_ref": _attribute(e, "From"), "to_ref": _attribute(e, "To"), "value": _attribute(e, "Value") or "0", "logical_and": _attribute(e, "LogicalAnd"), "expression": _attribute(e, "Expression")}
-    waiting: list[tuple[ElementTree.Element, str | None]] = [(root, None)]
+    waiting = deque([(root, None)])
     while waiting:
-        e, parent = waiting.pop(0)
+        e, parent = waiting.popleft()
         ref = _attribute(e, "refId")
         if parent is not None:
             task = e.find(f"{DTS}ObjectData/{SQL_TASK}SqlTaskData")
             yield "executables", {"ref_id": ref, "parent": parent, "name": _attribute(e, "ObjectName"), "kind": _attribute(e, "ExecutableType"), "sql": None if task is None else task.get(SQL_TASK + "SqlStatementSource")}
         for pipeline in e.findall(f"{DTS}ObjectData/pipeline"):
-            yield from _flow_rows(pipeline, _attribute(e, "ObjectName") or ref or "")
+            yield from _flow_rows(pipeline, ref or _attribute(e, "ObjectName") or "", _attribute(e, "ObjectName") or ref or "")
         waiting += [(x, ref or "Package") for x in e.findall(f"{DTS}Executables/{DTS}Executable")]
 
 
-def _flow_rows(pipeline: ElementTree.Element, flow: str) -> Iterator[tuple[str, dict[str, str | None]]]:
+def _flow_rows(pipeline: ElementTree.Element, flow: str, flow_name: str) -> Iterator[tuple[str, dict[str, str | None]]]:
     for c in pipeline.findall("components/component"):
         component = c.get("refId") or c.get("id")
         connection = c.find("connections/connection")
-        yield "components", {"flow": flow, "ref_id": component, "name": c.get("name"), "class": c.get("componentClassID"), "connection_ref": None if connection is None else connection.get("connectionManagerRefId") or connection.get("connectionManagerID")}
+        yield "components", {"flow": flow, "flow_name": flow_name, "ref_id": component, "name": c.get("name"), "class": c.get("componentClassID"), "description": c.get("description"), "connection_ref": None if connection is None else connection.get("connectionManagerRefId") or connection.get("connectionManagerID")}
         for p in c.findall("properties/property"):
             yield "properties", {"flow": flow, "owner": component, "name": p.get("name"), "value": p.text}
         for direction in ("input", "output"):
@@ -91,14 +94,25 @@ def _flow_rows(pipeline: ElementTree.Element, flow: str) -> Iterator[tuple[str,
         yield "paths", {"flow": flow, "ref_id": p.get("refId") or p.get("id"), "start_ref": p.get("startId"), "end_ref": p.get("endId")}
 
 
-def read_packages(spark: SparkSession, folder: str) -> DataFrame:
-    """package (file name), text of every .dtsx and .xml file in the folder."""
-    files = spark.read.option("pathGlobFilter", "*.{dtsx,xml,DTSX,XML}").text(folder, wholetext=True)
-    return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("package"), F.col("value").alias("text"))
+def read_packages(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """package (path below the folder), text of every .dtsx and .xml file in the folder and below it, in whatever case,
+    sorted by path; `names` chooses some."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[dD][tT][sS][xX],[xX][mM][lL]}").load(folder)
+    below = F.regexp_replace("path", r"^(?:[a-zA-Z][\w+.-]*:/*)?/?\Q" + re.sub(r"^[a-zA-Z][\w+.-]*:/*", "", folder).strip("/") + r"\E/+", "")
+    found = decode_packages(files.select(below.alias("package"), "content"))
+    return (found if names is None else found.where(F.col("package").isin(*names))).orderBy("package")
+
+
+def decode_packages(files: DataFrame) -> DataFrame:
+    """files(package, content) with uploaded bytes -> package, text: UTF-8, else UTF-16, else null (an error row later)."""
+    raw = F.col("content").cast("string")
+    wide = F.substring(F.hex("content"), 1, 4).isin("FFFE", "FEFF")
+    return files.select("package", F.when(wide, F.decode("content", "UTF-16")).when(F.is_valid_utf8(raw), raw).alias("text"))
 
 
 def catalogs(packages: DataFrame) -> dict[str, DataFrame]:
-    """The catalog tables of packages(package, text)."""
+    """The catalog tables of packages(package, text). Packages are read once: the rows of all catalogs are written to the
+    shared folder together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,7 +122,7 @@ def catalogs(packages: DataFrame) -> dict[str, DataFrame]:
                     rows.append((package, kind, k, {a: b for a, b in fields.items() if b is not None}))
             yield pd.DataFrame(rows, columns=["package", "kind", "number", "fields"])
 
-    rows = packages.select("package", "text").mapInPandas(run, _ROW)
+    rows = checkpoint(packages.select("package", "text").mapInPandas(run, _ROW))
     return {name: rows.where(F.col("kind") == name).select("package", "number", *[F.col("fields")[c].alias(c) for c in columns]) for name, columns in CATALOGS.items()}
 
 

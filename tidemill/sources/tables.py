@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.ssis import resolve_variables
+
 
 class Tables:
     """Parquet tables of a folder, and views and procedures under names of one, two, three or four parts.
@@ -38,6 +40,25 @@ class Tables:
             return self.views[near[0]]()
         return self.spark.read.parquet(f"{self.folder}/{key.rpartition('.')[2]}.parquet")
 
+    def exists(self, name: str) -> bool:
+        """OBJECT_ID(name) IS NOT NULL."""
+        key = self.key(name)
+        if key in self.views or key in self.procedures or sum(k.rpartition(".")[2] == key.rpartition(".")[2] for k in self.views) == 1:
+            return True
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{key.rpartition('.')[2]}.parquet")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def bind(self, sql: str, names: Iterable[str], variables: Mapping[str, str], args: Sequence[object] | Mapping[str, object] | None = None) -> dict[str, object]:
+        """A task with a single-row result: variable -> value of the column that it names. No row or several are errors."""
+        rows = self.query(sql, names, args).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"a single row was expected, there are {'none' if not rows else 'several'}")
+        return {v: rows[0][c] for v, c in variables.items()}
+
+    def command(self, variable: str, variables: Mapping[str, str], names: Iterable[str], args: Sequence[object] | Mapping[str, object] | None = None) -> DataFrame:
+        """A SQL command that a variable holds; variables in it are replaced by their values."""
+        return self.query(resolve_variables(f"@[{variable}]", variables), names, args)
+
     def execute(self, name: str, **arguments: object) -> DataFrame:
         """The result of a stored procedure: a registered function."""
         return self.procedures[self.key(name)](self, **arguments)
@@ -83,6 +104,17 @@ def markdown(df: DataFrame, title: str, missing: str = "N/A") -> DataFrame:
     return top.unionByName(body.withColumn("n", F.lit(0))).orderBy("part", "n", "line").select("line")
 
 
+def markdown_by(df: DataFrame, key: str, title: str, missing: str = "N/A") -> DataFrame:
+    """key, line_no from 1, line: a Markdown table of each key's rows, sorted by their lines."""
+    shown = [c for c in df.columns if c != key]
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit(missing)), r"([|\\])", r"\\$1"), r"\s*\n\s*", " ")
+    body = df.select(key, F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, shown)), F.lit(" |")).alias("line"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("line")) + 4
+    head = [f"## {title}", "", "| " + " | ".join(shown) + " |", "|" + " --- |" * len(shown)]
+    top = df.select(key).distinct().select(key, F.posexplode(F.array(*map(F.lit, head))).alias("n", "line"))
+    return top.select(key, (F.col("n") + 1).alias("line_no"), "line").unionByName(body.select(key, place.alias("line_no"), "line"))
+
+
 def dot(edges: DataFrame, a: str, b: str, name: str = "lineage") -> DataFrame:
     """DOT text of an edge table, a row for each line."""
     quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), r'(["\\])', r"\\$1"), F.lit('"'))

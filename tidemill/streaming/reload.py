@@ -1,14 +1,14 @@
-"""Incremental loads: the period reload of the batch jobs as a stream's sink."""
+"""Incremental loads: new rows of a growing input, appended to a table partitioned by period."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.folders import fresh
+
 
 def rolling_periods(as_of: date, back: int = 3) -> list[str]:
     """yyyyMM of the month of as_of and of `back` months before it, oldest first."""
@@ -16,18 +16,12 @@ def rolling_periods(as_of: date, back: int = 3) -> list[str]:
     return [f"{m // 12}{m % 12 + 1:02d}" for m in range(month - back, month + 1)]
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
-    return f"{root.rstrip('/')}/tidemill-{what}-{uuid.uuid4().hex}"
-
-
 def stream_to_periods(spark: SparkSession, path: str, time: str, folder: str | None = None) -> DataFrame:
     """Read a Parquet file or folder as a stream and append it to a table partitioned by yyyyMM of `time`.
 
     The file sink's log and the checkpoint make each row arrive once, whatever executors are lost. Runs
     until all that is there now is read, and returns the table."""
-    folder = folder or shared_folder(spark, "stream")
+    folder = folder or fresh(spark, "stream")
     schema = spark.read.parquet(path).schema
     parent, _, name = path.rstrip("/").rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
