@@ -110,7 +110,7 @@ def kinds_map(kinds: tuple[tuple[str, ...], ...]) -> dict[bytes, bytes]:
 
 def swaps(own: set[bytes], next_: dict[bytes, bytes]) -> list[set[bytes]]:
     """The text's words with its terms swapped: for the next of their kind, and for a neutral word."""
-    found = own & next_.keys()
+    found = {w for w in next_ if w in own}
     return [(own - found) | {next_[w] for w in found}, (own - found) | {NEUTRAL.encode()}] if found else []
 
 
@@ -126,8 +126,9 @@ class Model:
         """Add the features that the model has of the words to `known`."""
         if len(known) > KEPT_WORDS:
             known.clear()
-        for w in vocabulary - known.keys():
-            known[w] = [f for f in features(w) if f in self.weights]
+        for w in vocabulary:
+            if w not in known:
+                known[w] = [f for f in features(w) if f in self.weights]
 
     def logit(self, own: set[bytes], known: dict[bytes, list[int]]) -> float:
         count = Counter(f for w in own for f in known[w])
@@ -180,6 +181,9 @@ def fit(y: np.ndarray, rows: Lists, changes: Lists, penalty: float = 4.0, ridge:
     x, d = sparse(rows, columns), sparse(changes, columns)
     own = np.full(len(columns) + 1, ridge)
     own[-1] = 1e-6
+    # the changes touch few columns (the terms'): their products are a small dense matrix
+    at = np.unique(d.column)
+    bend = _products(d, at) * 2 * penalty
 
     def logits(w: np.ndarray) -> np.ndarray:
         return x.times(w) + w[-1]
@@ -190,35 +194,59 @@ def fit(y: np.ndarray, rows: Lists, changes: Lists, penalty: float = 4.0, ridge:
         return out
 
     def bent(w: np.ndarray) -> np.ndarray:
-        return own * w + 2 * penalty * d.back(d.times(w))
+        out = own * w
+        out[at] += bend @ w[at]
+        return out
 
     w = np.zeros(len(columns) + 1)
     squares = np.bincount(x.column, x.value**2, x.columns)
     squares[-1] = len(y)
-    lean = own + 2 * penalty * np.bincount(d.column, d.value**2, d.columns)
+    begun = 0.0
     for _ in range(rounds):
         p = logit_to_score(logits(w))
         spread = np.maximum(p * (1 - p), 1e-4)
         residual = -(back(p - y) + bent(w))
-        scale = 1 / (lean + squares * spread.mean())
-        step, ahead = np.zeros_like(w), scale * residual
-        direction, goal = ahead.copy(), 1e-8 * math.sqrt(residual @ residual) + 1e-12
+        size_now = math.sqrt(residual @ residual)
+        begun = begun or size_now
+        if size_now <= 1e-9 * begun:
+            break
+        # preconditioned by the diagonal, and by the whole matrix among the terms' columns
+        lean = own + squares * spread.mean()
+        inner = np.linalg.inv(bend + np.diag(lean[at]))
+
+        def ahead_of(r: np.ndarray) -> np.ndarray:
+            out = r / lean  # noqa: B023
+            out[at] = inner @ r[at]  # noqa: B023
+            return out
+
+        step, ahead = np.zeros_like(w), ahead_of(residual)
+        direction, goal = ahead.copy(), min(0.1, size_now / begun) * size_now
         for _ in range(10 * len(w)):
-            if math.sqrt(residual @ residual) <= goal:
-                break
             curved = back(spread * logits(direction)) + bent(direction)
             size = (residual @ ahead) / (direction @ curved)
             step += size * direction
             before = residual @ ahead
             residual = residual - size * curved
-            ahead = scale * residual
+            if math.sqrt(residual @ residual) <= goal:
+                break
+            ahead = ahead_of(residual)
             direction = ahead + (residual @ ahead) / before * direction
         w += step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-5:
-            break
     return Model(float(w[-1]), {f: v for f, v in zip(columns.tolist(), w.tolist()) if v}, pairs=d.rows)
 
 
+def _products(d: Sparse, at: np.ndarray) -> np.ndarray:
+    """Sums of products of the columns `at` over all rows, some thousand rows at a time."""
+    out = np.zeros((len(at), len(at)))
+    place = np.searchsorted(at, d.column)
+    edges = np.searchsorted(d.row, np.arange(0, d.rows + 4096, 4096))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        dense = np.zeros((4096, len(at)))
+        dense[d.row[a:b] - 4096 * k, place[a:b]] = d.value[a:b]
+        out += dense.T @ dense
+    return out
+
+
 def _share(bad: int, all_: int) -> Model:
     share = (bad + 0.5) / (all_ + 2)
     return Model(math.log(share / (1 - share)))
@@ -253,7 +281,7 @@ def _beside(strong: set[int]):
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 line = words(text or "")
                 own = set(line)
-                tells.update({w: features(w)[0] in strong for w in own - tells.keys()})
+                tells.update({w: features(w)[0] in strong for w in own if w not in tells})
                 toxic = {w for w in own if tells[w]}
                 if len(toxic) == 1:
                     alone[int(label)].update(toxic)
@@ -275,7 +303,7 @@ def _together(terms: list[bytes]):
         for batch in chunks(batches, "text", SLICE_BYTES):
             counts = np.zeros((len(terms), len(terms)), np.int64)
             for text in batch.column("text").to_pylist():
-                at = np.array(sorted(place[w] for w in place.keys() & set(words(text or ""))), np.int64)
+                at = np.array(sorted({place[w] for w in words(text or "") if w in place}), np.int64)
                 counts[at[:, None], at] += 1
             a, b = np.nonzero(counts)
             yield pa.record_batch([pa.array(a), pa.array(b), pa.array(counts[a, b])], names=["a", "b", "n"])
@@ -299,8 +327,9 @@ def _counted(chosen: set[int], next_: dict[bytes, bytes]):
     """Values of the chosen features in each text, and what swaps change of them: lists of feature and value."""
 
     def values(own: set[bytes], cache: dict[bytes, list[int]]) -> dict[int, float]:
-        for w in own - cache.keys():
-            cache[w] = [f for f in features(w) if f in chosen]
+        for w in own:
+            if w not in cache:
+                cache[w] = [f for f in features(w) if f in chosen]
         return {f: math.log1p(n) for f, n in Counter(f for w in own for f in cache[w]).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
