@@ -9,8 +9,9 @@ ranks within those, so that a length that a third of all pieces have is not in o
 
 Token ids are those of a tokenizer file (library `tokenizers`, no special tokens added). A byte-level BPE
 model merges only within the words that its fixed pattern cuts a text into, so each worker asks the
-file's model once for each different word and keeps the ids of up to CACHED words; a text is then its
-words' ids behind one another. Texts that hold the string of an added token, or a character that is not
+file's model once for each different word, and keeps the ids of up to CACHED stretches from a space to the
+next; a text is then its stretches' ids behind one another. (No word goes over a space that a character
+follows; texts with a space before white space or at their end are cut by the pattern itself.) Texts that hold the string of an added token, or a character that is not
 assigned (the pattern's classes may differ there), and files of another kind are encoded whole.
 
 Defined results
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import json
 import re
-import sys
+import struct
 import unicodedata
 import zlib
 from collections import Counter
@@ -43,10 +44,11 @@ from pyspark.sql import types as T
 from ._shared import checkpoint, chunks, small_batches
 
 CAPACITY = 1024
-#: Pieces that are ranked together in one task at most, about: their number gives that of a length's groups.
-RANKED = 1 << 18
+#: Pieces of a length that are ranked together, about: RANKED, or where there would be more than GROUPS groups in all,
+#: as many as give so many. The driver gets a number for each group.
+RANKED, GROUPS = 1 << 10, 1 << 16
 END_TOKEN = 2
-#: Words whose ids a worker keeps, and characters of a word that is kept at most.
+#: Stretches whose ids a worker keeps, and characters of one that is kept at most.
 CACHED, KEPT_LENGTH = 1 << 18, 64
 #: A public vocabulary file.
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,15 +63,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """One character that this Python's tables do not know."""
-    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    breaks = np.flatnonzero(np.diff(codes) > 1)
-    first, last = np.r_[0, breaks + 1], np.r_[breaks, len(codes) - 1]
-    return re.compile("[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(first, last)) + "]")
-
-
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write a byte: as itself where it is printable, else as a letter from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -94,23 +87,50 @@ def encoder(tokenizer: str) -> Callable[[str], bytes]:
         file = json.load(f)
     if file["model"]["type"] != "BPE" or file["normalizer"] or file["pre_tokenizer"] != _BYTE_LEVEL or file["model"].get("dropout"):
         return plain
-    added = regex.compile("|".join(regex.escape(t["content"]) for t in file["added_tokens"]) or r"(?!)")
-    words, model, letters, unassigned = regex.compile(PATTERN).findall, whole.model, _byte_letters(), _unassigned()
-    known: dict[str, bytes] = {}
-
-    def one(word: str) -> bytes:
-        if len(word) > KEPT_LENGTH:
-            return plain(word)
-        ids = np.array([t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-        if len(known) >= CACHED:
-            known.clear()
-        known[word] = ids
-        return ids
+    added = [t["content"] for t in file["added_tokens"]]
+    words, model, letters = regex.compile(PATTERN).findall, whole.model, _byte_letters()
+    blank = re.compile(r" (?:\s|\Z)").search
+    pack_ids = [struct.Struct(f"<{n}I").pack for n in range(KEPT_LENGTH + 1)]
+
+    def cut(part: str) -> bytes:
+        out: list[bytes] = []
+        for word in words(part):
+            if len(word) > KEPT_LENGTH:
+                out.append(plain(word))
+                continue
+            found = model.tokenize(word.encode().decode("latin-1").translate(letters))
+            ids = [t.id for t in found]
+            out.append(pack_ids[len(ids)](*ids) if len(ids) <= KEPT_LENGTH else np.array(ids, "<u4").tobytes())
+        return b"".join(out)
+
+    class Known(dict):
+        """Ids of stretches that a space is before; a missing one is found and kept."""
+
+        def __missing__(self, part: str) -> bytes:
+            ids = cut(" " + part)
+            if len(part) <= KEPT_LENGTH:
+                if len(self) >= CACHED:
+                    self.clear()
+                self[part] = ids
+            return ids
+
+    known, assigned = Known(), set()
+
+    def odd(text: str) -> bool:
+        """Whether the text has a character that is not assigned, as far as this Python knows."""
+        if new := set(text) - assigned:
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return True
+            assigned.update(new)
+        return False
 
     def run(text: str) -> bytes:
-        if added.search(text) or not text.isascii() and unassigned.search(text):
+        if any(x in text for x in added) or not text.isascii() and odd(text):
             return plain(text)
-        return b"".join([known[w] if w in known else one(w) for w in words(text)])
+        if blank(text):
+            return cut(text)
+        first, *rest = text.split(" ")
+        return cut(first) + b"".join(map(known.__getitem__, rest))
 
     return run
 
@@ -183,9 +203,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = parts.sparkSession
     parts = checkpoint(parts)
     # at most `capacity` rows of two numbers; a length with many pieces is ranked in as many groups as it needs
-    sizes = parts.groupBy("length").agg(F.count("*").alias("n")).select(F.col("length").alias("_l"), F.ceil(F.col("n") / RANKED).alias("_groups"))
+    sizes = parts.groupBy("length").agg(F.count("*").alias("n"))
+    together = max(RANKED, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // GROUPS))
+    sizes = sizes.select(F.col("length").alias("_l"), F.ceil(F.col("n") / together).alias("_groups"))
     parts = parts.join(F.broadcast(checkpoint(sizes)), F.col("length") == F.col("_l")).withColumn("_bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("_groups")).cast("int")).drop("_l", "_groups")
-    # a row for each length, and one for each RANKED pieces of a length that has more
+    # a row for each length, and at most GROUPS more
     tally = [tuple(r) for r in parts.groupBy("length", "_bucket").agg(F.count("*").alias("n")).collect()]
     counts, before = Counter(), []
     for length, bucket, n in sorted(tally):
