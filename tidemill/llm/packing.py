@@ -92,29 +92,37 @@ def encoder(tokenizer: str) -> Callable[[str], bytes]:
     blank = re.compile(r" (?:\s|\Z)").search
     pack_ids = [struct.Struct(f"<{n}I").pack for n in range(KEPT_LENGTH + 1)]
 
-    def cut(part: str) -> bytes:
-        out: list[bytes] = []
-        for word in words(part):
-            if len(word) > KEPT_LENGTH:
-                out.append(plain(word))
-                continue
-            found = model.tokenize(word.encode().decode("latin-1").translate(letters))
-            ids = [t.id for t in found]
-            out.append(pack_ids[len(ids)](*ids) if len(ids) <= KEPT_LENGTH else np.array(ids, "<u4").tobytes())
-        return b"".join(out)
-
     class Known(dict):
-        """Ids of stretches that a space is before; a missing one is found and kept."""
+        """Ids by text; a missing one is found, and kept while there is room. After many that found none, all go."""
+
+        def __init__(self, find: Callable[[str], bytes]):
+            self.find, self.turned_away = find, 0
 
         def __missing__(self, part: str) -> bytes:
-            ids = cut(" " + part)
+            ids = self.find(part)
             if len(part) <= KEPT_LENGTH:
-                if len(self) >= CACHED:
+                if len(self) < CACHED:
+                    self[part] = ids
+                elif (turned := self.turned_away + 1) > 4 * CACHED:
                     self.clear()
-                self[part] = ids
+                    self.turned_away = 0
+                else:
+                    self.turned_away = turned
             return ids
 
-    known, assigned = Known(), set()
+    def one(word: str) -> bytes:
+        if len(word) > KEPT_LENGTH:
+            return plain(word)
+        ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+        return pack_ids[len(ids)](*ids) if len(ids) <= KEPT_LENGTH else np.array(ids, "<u4").tobytes()
+
+    single = Known(one)
+
+    def cut(part: str) -> bytes:
+        return b"".join(map(single.__getitem__, words(part)))
+
+    #: stretches that a space is before; one of letters is one word, as long as it is kept only here
+    known, assigned = Known(lambda part: one(" " + part) if part.isalpha() else cut(" " + part)), set()
 
     def odd(text: str) -> bool:
         """Whether the text has a character that is not assigned, as far as this Python knows."""
