@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, licenses, packing, repetition, simhash, suffix_dedup, toxicity, warc
+from . import chat, decontaminate, filter_audit, html_extract, language_id, licenses, packing, repetition, simhash, suffix_dedup, toxicity, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +84,24 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_language_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language_id.train(docs.where(~F.coalesce(out, F.lit(False))))
+    return language_id.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_repetition, op2_tag_path_ratios, op3_simhash_anchors, op4_histogram_packing, op5_warc_index, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op9_license_scan, op10_suffix_decontamination)}
+    found = (op1_suffix_repetition, op2_tag_path_ratios, op3_simhash_anchors, op4_histogram_packing, op5_warc_index, op6_counterfactual_toxicity, op7_suffix_dedup, op8_chat_reply_trees, op9_license_scan, op10_suffix_decontamination)
+    return {f.__name__: f for f in (*found, op11_filter_interactions, op12_vector_codes, op13_language_families)}
 
 
 def _escaped_length(x: str) -> str:
@@ -149,5 +165,45 @@ from d left join n using (doc_id) left join it using (doc_id)
 """
 
 
+_OP11 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as bad from labels group by doc_id),
+m as (select part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) as c,
+  regexp_matches(t, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by t), false) as e, coalesce(good, false) as good, coalesce(bad, false) as bad from d left join l using (doc_id)),
+f as (select part, good, bad, concat(case when a then 'A' else '' end, case when b then 'B' else '' end, case when c then 'C' else '' end, case when d then 'D' else '' end, case when e then 'E' else '' end) as fails from m),
+cell as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (bad) as bad from f group by 1, 2),
+x as (select unnest(string_split('ABCDE', '')) as l),
+o as (select p.l || q.l || r.l || s.l || t.l as filter_order from x p, x q, x r, x s, x t where len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+steps as (select filter_order, s.step, substr(filter_order, s.step, 1) as own, substr(filter_order, 1, s.step - 1) as before from o, (select unnest(range(1, 6)) as step) s),
+hit as (select c.*, filter_order, step, own, contains(fails, own) as h, len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 and before <> '' and fails <> '' as gone from cell c, steps),
+r as (select part, filter_order, cast(step as integer) as step, own, coalesce(sum(n) filter (not h and not gone), 0) as kept, coalesce(sum(n) filter (h and not gone), 0) as removed, coalesce(sum(n) filter (h and gone), 0) as redundant,
+  coalesce(sum(n) filter (fails = own), 0) as unique_fails, coalesce(sum(good) filter (h and not gone), 0) as good_lost, coalesce(sum(bad) filter (h and not gone), 0) as toxic_lost from hit group by 1, 2, 3, 4)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
+
+def _op12(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round of the codebooks is two tables: the nearest entries, and the entries after it."""
+    away = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+    out = f"""
+with v as materialized (select vec_id, label, row_number() over (order by vec_id nulls last, embedding) as rn, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as e
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select rn, part, list_slice(e, part * len(e) // {parts} + 1, (part + 1) * len(e) // {parts}) as x from v, (select unnest(range({parts})) as part)),
+c0 as materialized (select part, rn - 1 as entry, x as c from p where rn <= {entries})"""
+    for k in range(rounds + 1):
+        out += f""",
+a{k} as materialized (select rn, part, x, min(struct_pack(d := {away}, entry := entry)) as best from p join c{k} using (part) group by rn, part, x)"""
+        if k < rounds:
+            out += f""",
+s{k} as materialized (select part, entry, i, sum(x) as s, count(*) as n from (select part, best.entry as entry, unnest(range(1, len(x) + 1)) as i, unnest(x) as x from a{k}) group by all),
+c{k + 1} as materialized (select part, entry, coalesce(m, c) as c from c{k} left join (select part, entry, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m from s{k} group by part, entry) using (part, entry))"""
+    return out + f""",
+coded as (select rn, string_agg(format('{{:02x}}', best.entry), '' order by part) as code, sum(best.d) as error from a{rounds} group by rn)
+select vec_id, code, cast(error as bigint) as error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) from c{rounds}) as codebooks_sha256 from v join coded using (rn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_repetition": _OP1, "op10_suffix_decontamination": _OP10, "op5_warc_index": _OP5, "op8_chat_reply_trees": _OP8}
+    return {"op11_filter_interactions": _OP11, "op12_vector_codes": _op12(), "op1_suffix_repetition": _OP1, "op10_suffix_decontamination": _OP10, "op5_warc_index": _OP5, "op8_chat_reply_trees": _OP8}
