@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemill.operators import dml, joins, lineage, select, sqltext
+from tidemill.operators import dml, joins, lineage, scopes, select, sqltext
 from tidemill.sources import packages, tables
 from tidemill.streaming import reload
 
@@ -286,7 +286,7 @@ def test_scripts_of_a_megabyte(spark, name):
     sql, n = LONG[name]
     stated = sqltext.statements(spark.createDataFrame([(1, sql)], "script int, sql string"))
     assert stated.count() == n
-    for facts in (sqltext.tables, sqltext.select_list, sqltext.column_sources, sqltext.join_conditions):
+    for facts in (sqltext.tables, sqltext.select_list, scopes.column_sources, sqltext.join_conditions):
         facts(stated).count()
     assert spark.createDataFrame([(sql,)], "sql string").select(F.length(sqltext.refine(F.col("sql")))).first()[0] == len(sql)
 
@@ -300,11 +300,11 @@ def test_select_lists_and_sources(spark):
     sql = "with q as (select i from base) select distinct top (3) 'a, b' as k, (select max(u.x) from u where u.i = q.i) m, q.i, y = -1, (r.z), [a b].c as [d e], null n from q join r on q.i = r.i"
     got = facts(spark, sqltext.select_list, sql, "position", "alias", "kind")
     assert got == [(0, "K", "LITERAL"), (1, "M", "SUBQUERY"), (2, "I", "COLUMN"), (3, "Y", "LITERAL"), (4, "Z", "COLUMN"), (5, "D E", "COLUMN"), (6, "N", "LITERAL")]
-    assert ("M", "U", "X", "exact") in facts(spark, sqltext.column_sources, sql, "alias", "source_table", "source_column", "confidence")
+    assert ("M", "U", "X", "exact") in facts(spark, scopes.column_sources, sql, "alias", "source_table", "source_column", "confidence")
     union = "select a.x, a.y as z from t1 a union all select b.p, q from t2 b union select 1, 2 except select c.e, c.f from t3 c"
-    assert facts(spark, sqltext.column_sources, union, "alias", "source_table", "source_column") == [("X", "T1", "X"), ("X", "T2", "P"), ("Z", "T1", "Y"), ("Z", "T2", "Q")]
+    assert facts(spark, scopes.column_sources, union, "alias", "source_table", "source_column") == [("X", "T1", "X"), ("X", "T2", "P"), ("Z", "T1", "Y"), ("Z", "T2", "Q")]
     assert facts(spark, sqltext.select_list, "select @v = a from t", "alias") == []
-    assert facts(spark, sqltext.column_sources, "select a", "source_table", "source_column", "confidence") == [(None, "A", "ambiguous")]
+    assert facts(spark, scopes.column_sources, "select a", "source_table", "source_column", "confidence") == [(None, "A", "ambiguous")]
 
 
 def test_joins_of_all_kinds(spark):

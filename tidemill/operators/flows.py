@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.sources import packages, tables
 
-from . import lineage, sqltext
+from . import lineage, scopes, sqltext
 from .select import first_per_key
 
 FLOW = lineage.FLOW
@@ -106,7 +106,7 @@ def package_lineage(found: dict[str, DataFrame]) -> DataFrame:
     is_source = F.col("class").rlike("Source|Lookup")
     command = commands(found).drop("class")
     stated = command.where("sql is not null").select(F.to_json(F.struct(*COMPONENT)).alias("script"), F.lit(1).alias("number"), F.col("sql").alias("statement"))
-    listed = sqltext.column_sources(stated).where("source_table is not null").select(F.col("script").alias("_script"), F.col("alias").alias("_alias"), F.col("source_table").alias("_table"), F.col("source_column").alias("_column"))
+    listed = scopes.column_sources(stated).where("source_table is not null").select(F.col("script").alias("_script"), F.col("alias").alias("_alias"), F.col("source_table").alias("_table"), F.col("source_column").alias("_column"))
     from_ = F.nullif(sqltext.clean_name(F.regexp_extract("sql", r"(?is)\bfrom\s+([\w.\[\]#]+)", 1)), F.lit(""))
     file = F.when(F.col("class").rlike("FlatFile|Excel|RawSource|XmlSource"), F.col("connection"))
     copied = found["properties"].where("name = 'CopyFromReferenceColumn' and trim(value) <> ''").groupBy(*FLOW, F.col("owner").alias("ref_id")).agg(F.min(F.trim("value")).alias("_copied"))

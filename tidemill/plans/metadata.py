@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import flows, lineage, sqltext
+from tidemill.operators import flows, lineage, scopes, sqltext
 from tidemill.operators.flows import package_lineage  # noqa: F401
 from tidemill.sources import packages, tables
 
@@ -201,7 +201,7 @@ def join_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("both", 1, "K", "DBO.ONE", "K", "exact"), ("both", 1, "K", "DBO.TWO", "KEY_", "exact"), ("both", 1, "LABEL", "DBO.THREE", "LABEL", "exact"), ("both", 1, "TOP_V", "DBO.M§", "V", "exact"), ("both", 1, "N", "DBO.ONE", "N", "assumed"), ("both", 1, "N", "DBO.THREE", "N", "exact"),
 ]))
 def sql_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqltext.column_sources(_stated(spark, sf_dir))
+    return scopes.column_sources(_stated(spark, sf_dir))
 
 
 @query(_expected("number position alias expression kind", [
