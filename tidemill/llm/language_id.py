@@ -5,8 +5,7 @@ apart by linear support vector machines, one for each family against the rest; w
 machine for each pair of its languages votes, so that related languages are judged by what sets just those
 two apart. A text's margins are sums over its n-grams: texts of any length are read whole, in blocks.
 
-Training uses at most SAMPLE labelled rows, as many of each language (those with the smallest hashes of
-their ids), and the FEATURES n-grams whose shares differ most between languages, so what reaches the driver
+Training uses at most SAMPLE labelled rows, as many of each language (chosen by hashes of id and text), and the FEATURES n-grams whose shares differ most between languages, so what reaches the driver
 is bounded; every row is predicted. Families are a parameter; a language that no family lists is its own.
 
 Defined results
@@ -270,9 +269,11 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     if not languages:
         return None
     names = [r["lang"] for r in languages]
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    # a task sends on no more rows of a language than are wanted
-    chosen = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= max(1, sample // len(names)))
+    want = max(1, sample // len(names))
+    # first by a share of all hashes that leaves a third more than are wanted, so that no task ever sorts a whole language
+    share = F.create_map(*(F.lit(x) for r in languages for x in (r["lang"], min(1.0, (4 / 3 * want + 100) / r["count"]))))
+    rows = rows.withColumn("hash", F.xxhash64("id", "text")).where(F.pmod("hash", F.lit(1 << 32)) < F.element_at(share, F.col("lang")) * float(1 << 32))
+    chosen = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("at") <= want)
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = checkpoint(chosen.select("lang", "text").repartition(parts))
