@@ -292,12 +292,50 @@ def test_decontamination(spark, monkeypatch, limit, together):
                     names |= found
         expected.add((i, len(w), len(hit), tuple(sorted(names)), bool(hit)))
     assert {(x.doc_id, x.n_words, x.n_hit, tuple(x["items"]), x.contaminated) for x in got} == expected
+    longest, texts = {}, {}
+    for i, t in items:
+        texts.setdefault("" if i is None else str(i), []).append(terms(t))
+    for i, t in rows:
+        w, most = terms(t), 0
+        for name, own in ((n, x) for n, all_ in texts.items() for x in all_):
+            for a in range(len(own)):
+                for k in range(len(w)) if min(10, len(own)) <= len(own) - a else ():
+                    n = next((j for j in range(min(len(own) - a, len(w) - k)) if own[a + j] != w[k + j]), min(len(own) - a, len(w) - k))
+                    most = max(most, n) if n >= min(10, len(own)) else most
+        longest.setdefault(i, set()).add(most)
+    assert all(x.longest_match in longest[x.doc_id] for x in got)
+    of = {i: [terms(t) for j, t in rows if j == i] for i, _ in rows}
+    for x in got:
+        for m in x.matches:
+            there = [own[m.item_start : m.item_start + m.end - m.start] for own in texts[m["item"]]]
+            assert any(w[m.start : m.end] in there for w in of[x.doc_id])
+        assert x.longest_match == max((m.end - m.start for m in x.matches), default=0)
     named = frame(spark, rows).withColumnRenamed("fp", "_tidemill_text")
     left = decontaminate.remove_contaminated(named, bench)
     assert left.columns == named.columns and {x._tidemill_text for x in left.collect()} == {"x"}
     assert {x.doc_id for x in left.collect()} == {i for i, _, _, _, bad in expected if not bad}
 
 
+def test_the_longest_match_is_over_all_places_of_a_window():
+    ten = [b"w%d" % k for k in range(10)]
+    s = decontaminate.prepare([(1, b" ".join([*ten, b"x"]).decode()), (2, b" ".join([b"a", *ten, b"y", b"z", b"q"]).decode()), (3, b" ".join([*ten, b"y"]).decode())], 10)
+    text, start, size, window, longest, there = decontaminate._matches([[*ten, b"y", b"z", b"q", b"r"]], s)
+    first = int(np.flatnonzero(start == 0)[0])
+    assert longest[first] == 13 and s.names[s.owner[there[first]]] == "2" and s.offset[there[first]] == 1
+    assert [m for _, m in decontaminate._maximal(text, start, longest, there, s)] == [{"start": 0, "end": 13, "item": "2", "item_start": 1}]
+
+
+def test_a_shard_looks_at_windows_of_its_own_words_only():
+    items = [(k, " ".join(f"v{k}x{j}" for j in range(30))) for k in range(2000)]
+    s = decontaminate.prepare([*items, (5000, "alone"), (5001, "v7x1 alone")], 10)
+    assert len(s.size) == 2000 * 21 + 2
+    numbers = lambda *w: np.array([s.numbers.get(x, 0) for x in w], np.int64)
+    assert len(s.possible(numbers(*[b"v7x%d" % j for j in range(30)]))) == 21
+    assert not len(s.possible(numbers(b"v7x1", b"v7x2", b"?", b"v7x4")))
+    assert s.size[s.possible(numbers(b"alone", b"v7x1"))].tolist() == [1]
+    assert sorted(s.size[s.possible(numbers(b"v7x1", b"alone"))].tolist()) == [1, 2]
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.find_contamination(frame(spark, [(1, "a b")]), none).collect()] == [False]
