@@ -35,9 +35,11 @@ def map_columns(rows: DataFrame, target: DataFrame, mapping: Mapping[str, str])
 def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], set_: Mapping[str, str], order: Sequence[Column]) -> DataFrame:
     """UPDATE target SET t = source.s FROM source ON keys. Of several matching source rows the first by
     order counts; rows without a match stay as they are."""
-    best = first_per_key(source, list(keys), order).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(s).alias(f"_s_{s}") for s in set(set_.values())], F.lit(True).alias("_hit"))
-    both = target.join(best, [F.col(k) == F.col(f"_k_{k}") for k in keys], "left")
-    return both.select(*[F.when(F.col("_hit"), F.col(f"_s_{set_[c]}").cast(target.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in target.columns])
+    key, new = ({c: free_name(target, f"_{mark}_{c}") for c in names} for mark, names in (("k", keys), ("s", set(set_.values()))))
+    hit = free_name(target, "_hit")
+    best = first_per_key(source, list(keys), order).select(*[F.col(k).alias(n) for k, n in key.items()], *[F.col(s).alias(n) for s, n in new.items()], F.lit(True).alias(hit))
+    both = target.join(best, [F.col(k) == F.col(n) for k, n in key.items()], "left")
+    return both.select(*[F.when(F.col(hit), F.col(new[set_[c]]).cast(target.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in target.columns])
 
 
 def replace_period(target: DataFrame, rows: DataFrame, period: str, periods: Sequence[object] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.folders import free_name
 
@@ -38,13 +39,20 @@ def merge_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]
 
 
 def lookup(df: DataFrame, reference: DataFrame, keys: Sequence[tuple[str, str]], columns: Sequence[str], order: Sequence[Column], no_match: str = "null") -> DataFrame:
-    """Reference columns of the first match of each row. no_match: null, drop, or fail."""
-    own = first_per_key(reference, [b for _, b in keys], order).select(*[F.col(b).alias(f"_key_{b}") for _, b in keys], *columns, F.lit(True).alias("_found"))
-    on = [F.col(a) == F.col(f"_key_{b}") for a, b in keys]
-    out = df.join(small(own), on, "inner" if no_match == "drop" else "left").drop(*[f"_key_{b}" for _, b in keys])
+    """Reference columns of the first match of each row. no_match: null, drop, or fail. A reference column that is named like
+    one of df is refused: rename it first."""
+    clash = {c.lower() for c in columns} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"the input has columns named {', '.join(sorted(clash))} already")
+    taken = df.select("*", *[F.lit(None).alias(c) for c in columns])
+    key = {b: free_name(taken, f"_key_{b}") for _, b in keys}
+    found = free_name(taken, "_found")
+    own = first_per_key(reference, [b for _, b in keys], order).select(*[F.col(b).alias(k) for b, k in key.items()], *columns, F.lit(True).alias(found))
+    on = [F.col(a) == F.col(key[b]) for a, b in keys]
+    out = df.join(small(own), on, "inner" if no_match == "drop" else "left").drop(*key.values())
     if no_match == "fail":
-        out = out.withColumn("_found", F.when(F.col("_found").isNull(), F.raise_error(F.lit("lookup: a row has no match")).cast("boolean")).otherwise(True)).where("_found")
-    return out.drop("_found")
+        out = out.withColumn(found, F.when(F.col(found).isNull(), F.raise_error(F.lit("lookup: a row has no match")).cast("boolean")).otherwise(True)).where(F.col(found))
+    return out.drop(found)
 
 
 def blank_equal(pairs: Sequence[tuple[Column, Column]], blank: str = "") -> Column:
@@ -61,12 +69,28 @@ def latest_of(df: DataFrame, other: DataFrame, keys: Sequence[tuple[str, str]],
     return df.join(best, _on(df, best, keys, False), how)
 
 
+#: Join types that a salted join can do; of the others, an unmatched right row would come out once for each salt.
+SALTED = ("inner", "left", "leftouter", "left_outer", "semi", "leftsemi", "left_semi", "anti", "leftanti", "left_anti")
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join with equal key names where a few keys of left are hot and adaptive execution cannot split them:
-    left rows are dealt over `salts` sub-keys, right rows repeated for each. how: inner, left, semi, anti."""
+    left rows are dealt over `salts` sub-keys by a hash of their columns, right rows repeated for each. how: inner, left,
+    semi, anti; others are refused. Rows that only differ in maps get one sub-key."""
+    if how.lower() not in SALTED:
+        raise ValueError(f"a salted join cannot be {how!r}: inner, left, semi or anti")
     salt = free_name(left, "_salt")
     while free_name(right, salt) != salt:
         salt = free_name(left, free_name(right, salt))
-    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    hashed = [F.col(f"`{f.name}`") for f in left.schema if _hashable(f.dataType)] or [F.lit(0)]
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(spread, [*keys, salt], how).drop(salt)

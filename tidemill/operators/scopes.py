@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemill.folders import checkpoint
 
-from .sqltext import _NO_ALIAS, _NO_COLUMN, Select, Token, _each, _kind, _name, _operation, _tables, _text, items, scan, selects
+from .sqltext import _NO_ALIAS, _NO_COLUMN, Select, Token, _each, _kind, _operation, _text, items, name_at, scan, selects, table_places
 
 _FACTS = "fact string, scope int, set_id int, branch int, position int, name string, alias string, owner string, place int, last int, names array<string>, around array<int>"
 _FIELDS = [c.split()[0] for c in _FACTS.split(", ")]
@@ -144,7 +144,7 @@ class _Statement:
                 return (), k + 1
             after = self.close.get(opened, len(self.tokens)) + 1
         else:
-            name, after = _name(self.tokens, k)
+            name, after = name_at(self.tokens, k)
             if not name or name in _NO_ALIAS:
                 return None, k
             if self.is_(after, "(") and not (after + 1 < len(self.tokens) and self.tokens[after + 1].word in HINTS):
@@ -163,15 +163,15 @@ class _Statement:
 
     def target(self, name: str, read: list[list[tuple]]) -> tuple[str, list[str] | None]:
         """The table that a statement writes (an UPDATE or DELETE may name it by its alias), and the columns that INSERT lists."""
-        own = read[self.update] if self.update is not None else [("table", t, a) for t, a, _ in _tables(self.tokens)]
+        own = read[self.update] if self.update is not None else [("table", t, a) for t, a, _ in table_places(self.tokens)]
         table = next((x[1] for x in own if x[0] == "table" and x[2] == name), name) if _operation(self.tokens)[0] in ("UPDATE", "DELETE") else name
         at = next((k for k in range(len(self.tokens)) if self.is_(k, "INTO")), None)
         if at is None:
             return table, None
-        _, after = _name(self.tokens, at + 1)
+        _, after = name_at(self.tokens, at + 1)
         if not self.is_(after, "(") or after + 1 in self.place:
             return table, None
-        return table, [_name(self.tokens, k)[0].rpartition(".")[2] for k in range(after + 1, self.close.get(after, after)) if self.tokens[k].kind == "name" and not self.is_(k - 1, ".")]
+        return table, [name_at(self.tokens, k)[0].rpartition(".")[2] for k in range(after + 1, self.close.get(after, after)) if self.tokens[k].kind == "name" and not self.is_(k - 1, ".")]
 
     def refs(self, a: int, b: int) -> Iterator[tuple[str | None, str | None, int | None]]:
         """Owner and name, or the set of a subquery, of all that an expression uses."""
@@ -187,7 +187,7 @@ class _Statement:
             if t.kind != "name":
                 k += 1
                 continue
-            name, end = _name(self.tokens, k)
+            name, end = name_at(self.tokens, k)
             owner, _, column = name.rpartition(".")
             called, typed = self.is_(end, "("), self.is_(k - 1, "AS") and k > a
             k = max(end, k + 1)
@@ -205,7 +205,7 @@ class _Statement:
         for a, b in zip([s.first, *[k + 1 for k in edges]], [*edges, s.list_end]):
             equals = next((k for k in range(a, b) if self.is_(k, "=")), None)
             if equals is not None and not self.tokens[a].word.startswith("@"):
-                yield _name(self.tokens, a)[0].rpartition(".")[2], equals + 1, b, self.tokens[equals + 1 : b]
+                yield name_at(self.tokens, a)[0].rpartition(".")[2], equals + 1, b, self.tokens[equals + 1 : b]
 
 
 def _facts(sql: str) -> Iterator[tuple]:
@@ -232,7 +232,7 @@ def _facts(sql: str) -> Iterator[tuple]:
         yield row("scope", **at, **more, owner="main" if s.sets[k] == main else None, around=s.seen(k, apart))
         own = read[k]
         if k == s.update and not own:
-            target, _ = _name(s.tokens, x.at + 1)
+            target, _ = name_at(s.tokens, x.at + 1)
             own = [("table", target, target.rpartition(".")[2], None, x.at, None, False)]
         for n, (kind, name, alias, set_id, place, names, _) in enumerate(own):
             yield row("source", scope=k, set_id=set_id, position=n, name=name or None, alias=alias or None, owner=kind, place=place, names=names)

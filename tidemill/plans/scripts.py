@@ -3,10 +3,14 @@ and numbers of steps from its key, and the SQL twins work out the sources from t
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions import expressions
 from tidemill.operators import scopes, sqltext, steps
+from tidemill.sources.tables import Tables
 
 from .registry import Registry, table
 
@@ -109,3 +113,47 @@ select distinct 's' || k as script, cast(number as int) as number, t as "table",
 def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the columns that these steps write come from in the end."""
     return steps.end_to_end(_stated(spark, sf_dir, *_chain()))
+
+
+# --- expressions from their text, names in SQL ----------------------------------------------------------
+
+_TEXTS = {
+    "period": '![ISNULL](#{Package\\Load\\Join.Outputs[Out].Columns[o_custkey]}) && o_orderstatus != "F" ? (DT_WSTR,4)[DATEPART]("yyyy",o_orderdate) + [RIGHT]("0" + (DT_WSTR,2)[DATEPART]("mm",o_orderdate),2) + "01" : NULL(DT_WSTR,8)',
+    "closed": 'o_orderstatus == "F" ? (DT_DBDATE)((DT_WSTR,4)YEAR(o_orderdate) + "-" + RIGHT("0" + (DT_WSTR,2)MONTH(o_orderdate),2) + "-" + RIGHT("0" + (DT_WSTR,2)DAY(o_orderdate),2)) : NULL(DT_DBDATE)',
+    "date_key": "YEAR(o_orderdate) * 10000 + MONTH(o_orderdate) * 100 + DAY(o_orderdate)",
+    "month_before": 'DATEADD("d", -DAY(DATEADD("M",-1,(DT_DBDATE)o_orderdate)) + 1, DATEADD("M",-1,(DT_DBDATE)o_orderdate))',
+    "months": 'DATEDIFF("month", o_orderdate, @[User::AsOf])',
+    "mark": 'UPPER(SUBSTRING(o_orderpriority, 3, 3)) + "/" + (DT_WSTR,2)(o_orderkey % 7) + @[User::Suffix]',
+    "sevenths": "-(o_orderkey / 7) + 2 * 3 - 1",
+    "odd": "(o_orderkey & 1) == 1 || o_totalprice > 2.5e5",
+}
+_VARIABLES = {"User::AsOf": date(2001, 8, 1), "User::Year": expressions.Text("YEAR(@[User::AsOf])"), "User::Suffix": expressions.Text('"-" + (DT_WSTR,4)(@[User::Year] - 10)')}
+
+
+@query("""select o_orderkey, case when o_custkey is not null and o_orderstatus <> 'F' then strftime(o_orderdate, '%Y%m') || '01' end as period, case when o_orderstatus = 'F' then cast(o_orderdate as date) end as closed,
+  cast(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as int) as date_key, cast(date_trunc('month', o_orderdate - interval 1 month) as date) as month_before,
+  cast((2001 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) as int) as months, upper(substr(o_orderpriority, 3, 3)) || '/' || (o_orderkey % 7) || '-1991' as mark, -(o_orderkey // 7) + 5 as sevenths, o_orderkey % 2 = 1 or o_totalprice > 250000 as odd from orders""")
+def derived_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Derived Column transformation and its variables run from their own texts."""
+    ids = {"Package\\Load\\Join.Outputs[Out].Columns[o_custkey]": "o_custkey"}
+    return expressions.derive(table(spark, sf_dir, "orders"), _TEXTS, _VARIABLES, ids).select("o_orderkey", *_TEXTS)
+
+
+@query("""select o_orderkey, case when o_orderstatus = 'F' and o_totalprice >= 200000 then 'large' when year(o_orderdate) % 2 = 0 or o_orderpriority is null then 'even' else 'rest' end as output from orders""")
+def split_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Conditional Split from the texts of its conditions: the first that holds names the output."""
+    cases = [("large", 'o_orderstatus == "F" && o_totalprice >= 200000'), ("even", "YEAR(o_orderdate) % 2 == 0 || ISNULL(o_orderpriority)")]
+    return expressions.split(table(spark, sf_dir, "orders"), cases, "rest", output="output").select("o_orderkey", "output")
+
+
+@query("""select o_orderkey, o_custkey, 'now' as origin from orders where year(o_orderdate) >= 1995 and o_orderstatus = 'F'
+  union all select o_orderkey, o_custkey, 'then' from orders where year(o_orderdate) < 1995 and o_orderstatus = 'F'""")
+def current_and_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables with one last name part, under names of three and four parts in one text."""
+    both = Tables(spark, sf_dir)
+    orders, new = table(spark, sf_dir, "orders"), F.year("o_orderdate") >= 1995
+    both.register("dw.dbo.agreement", lambda: orders.where(new))
+    both.register("old.archive.dbo.agreement", lambda: orders.where(~new))
+    sql = """select [agreement].o_orderkey, dw.dbo.agreement.o_custkey, 'now' as origin from [dw].[dbo].[agreement] where o_orderstatus = ?
+      union all select a.o_orderkey, a.o_custkey, 'then' from old.archive.dbo.agreement as a where a.o_orderstatus = ?"""
+    return both.query(sql, ["dw.dbo.agreement", "old.archive.dbo.agreement"], ["F", "F"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.ssis import resolve_variables
+from tidemill.operators import sqltext
 
 
 class Tables:
@@ -64,10 +66,76 @@ class Tables:
         return self.procedures[self.key(name)](self, **arguments)
 
     def query(self, sql: str, names: Iterable[str], args: Sequence[object] | Mapping[str, object] | None = None) -> DataFrame:
-        """A SQL command over the named tables, with ? or :name parameters bound as values."""
-        for n in names:
-            self(n).createOrReplaceTempView(self.key(n).rpartition(".")[2])
-        return self.spark.sql(sql, args=list(args) if isinstance(args, (list, tuple)) else args)
+        """A SQL command over the named tables, with ? or :name parameters bound as values.
+
+        Names of one to four parts, brackets and temporary tables (#t) may stand in the text as they are: each table is a view of its
+        own to this call, so tables whose last parts are equal stay apart. The last part alone means a table where only one of
+        `names` has it, and is an error where several do. A column may be qualified by an alias, the last part or the whole name."""
+        views = {self.key(n): f"tidemill_{uuid.uuid4().hex}" for n in names}
+        text = _renamed(sql, views)
+        try:
+            for n, view in views.items():
+                self(n).createOrReplaceTempView(view)
+            return self.spark.sql(text, args=list(args) if isinstance(args, (list, tuple)) else args)
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
+
+
+def _meant(name: str, views: Mapping[str, str]) -> str | None:
+    """The key among `views` that a name in a text means."""
+    key = Tables.key(name)
+    if key in views:
+        return key
+    near = [k for k in views if k.rpartition(".")[2] == key] if "." not in key else [k for k in views if k.endswith("." + key)]
+    if len(near) > 1:
+        raise ValueError(f"{name} may be {' or '.join(sorted(near))}")
+    return near[0] if near else None
+
+
+def _renamed(sql: str, views: Mapping[str, str]) -> str:
+    """The text with its tables' names replaced by views, each under the alias it has or its last part; brackets become back quotes."""
+    tokens = sqltext.scan(sql)
+    ctes = sqltext.cte_names(tokens)
+    places = {place: (name, alias) for name, alias, place in sqltext.table_places(tokens) if name not in ctes}
+    out, at, k = [], 0, 0
+
+    def put(until: int, new: str, after: int) -> None:
+        nonlocal at
+        out.extend((sql[at:until], new))
+        at = after
+
+    while k < len(tokens):
+        if tokens[k].kind != "name":
+            k += 1
+            continue
+        name, end = sqltext.name_at(tokens, k)
+        start, stop = tokens[k].start, tokens[end - 1].end
+        if k in places:
+            if key := _meant(name, views):
+                named = any(t.kind == "name" and t.word == "AS" for t in tokens[end : end + 1]) or places[k][1] != name.rpartition(".")[2]
+                put(start, views[key] if named else f"{views[key]} AS `{_bare(sql[tokens[end - 1].start : stop])}`", stop)
+            else:
+                _quoted(sql, tokens[k:end], put)
+        elif name.count(".") > 1 and Tables.key(name.rpartition(".")[0]) in views:
+            # whole name and column: the last part stands for the table
+            put(start, "`" + _bare(name.split(".")[-2]) + "`.", tokens[end - 1].start)
+            _quoted(sql, tokens[end - 1 : end], put)
+        else:
+            _quoted(sql, tokens[k:end], put)
+        k = end
+    return "".join(out) + sql[at:]
+
+
+def _bare(word: str) -> str:
+    return word.strip('[]"`').replace("`", "``")
+
+
+def _quoted(sql: str, tokens: Sequence[sqltext.Token], put: Callable[[int, str, int], None]) -> None:
+    for t in tokens:
+        word = sql[t.start : t.end]
+        if word[0] == "[" and word[-1] == "]" and not word[1:-1].isdigit():
+            put(t.start, f"`{_bare(word)}`", t.end)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, delimiter: str = ",") -> DataFrame:
