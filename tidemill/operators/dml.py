@@ -5,9 +5,9 @@ writers are in sources.tables. Nothing here depends on the time of the run: pass
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,3 +87,33 @@ def scd2(current: DataFrame, staged: DataFrame, keys: Sequence[str], tracked: Se
 def run_log(job: str, rows: DataFrame, started: Column, ended: Column) -> DataFrame:
     """One row: job, status S, rows written, start and end."""
     return rows.agg(F.count("*").alias("row_count")).select(F.lit(job).alias("job"), F.lit("S").alias("status"), "row_count", started.alias("started"), ended.alias("ended"))
+
+
+LOG = "job string, run string, status string, row_count long, started date, ended date"
+
+
+def logged(job: str, run: str, rows: DataFrame, write: Callable[[DataFrame], object], log: str, started: Column, ended: Column) -> int:
+    """Write rows and keep the log table at `log` (Parquet, see LOG): a row with status R before the write, and one with S and the
+    number of rows, or F, after it. The rows are counted as they are written: the plan runs once. A failed write is logged and raised."""
+    spark = rows.sparkSession
+
+    def say(status: str, count: int | None, end: Column) -> None:
+        one = spark.range(1).select(F.lit(job).alias("job"), F.lit(run).alias("run"), F.lit(status).alias("status"), F.lit(count).cast("long").alias("row_count"), started.cast("date").alias("started"), end.cast("date").alias("ended"))
+        one.coalesce(1).write.mode("append").parquet(log)
+
+    seen = Observation()
+    say("R", None, F.lit(None))
+    try:
+        write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+    except Exception:
+        say("F", None, ended)
+        raise
+    count = int(seen.get["rows"])
+    say("S", count, ended)
+    return count
+
+
+def job_status(log: DataFrame) -> DataFrame:
+    """Of each job and run its last row: S or F where the run is over, else R."""
+    over = F.when(F.col("status") == "R", 0).otherwise(1)
+    return first_per_key(log, ["job", "run"], [over.desc(), F.asc("status")])

@@ -107,6 +107,8 @@ def package_lineage(found: dict[str, DataFrame]) -> DataFrame:
     command = commands(found).drop("class")
     stated = command.where("sql is not null").select(F.to_json(F.struct(*COMPONENT)).alias("script"), F.lit(1).alias("number"), F.col("sql").alias("statement"))
     listed = scopes.column_sources(stated).where("source_table is not null").select(F.col("script").alias("_script"), F.col("alias").alias("_alias"), F.col("source_table").alias("_table"), F.col("source_column").alias("_column"))
+    # a command whose only source is a table or procedure of unknown columns: EXEC p, select * from t
+    whole = listed.groupBy("_script").agg(F.max(F.col("_column") == "*").alias("_star"), F.countDistinct("_table").alias("_n"), F.min("_table").alias("_sole")).where("_star and _n = 1").select(F.col("_script").alias("_of"), "_sole")
     from_ = F.nullif(sqltext.clean_name(F.regexp_extract("sql", r"(?is)\bfrom\s+([\w.\[\]#]+)", 1)), F.lit(""))
     file = F.when(F.col("class").rlike("FlatFile|Excel|RawSource|XmlSource"), F.col("connection"))
     copied = found["properties"].where("name = 'CopyFromReferenceColumn' and trim(value) <> ''").groupBy(*FLOW, F.col("owner").alias("ref_id")).agg(F.min(F.trim("value")).alias("_copied"))
@@ -114,7 +116,8 @@ def package_lineage(found: dict[str, DataFrame]) -> DataFrame:
     seeds = out.where(is_source).join(command, [*COMPONENT], "left").join(copied, [*FLOW, "ref_id"], "left").join(external, [*FLOW, "external_ref"], "left")
     seeds = seeds.withColumn("origin", F.coalesce("_copied", "target_column", "name")).withColumn("_script", F.to_json(F.struct(*COMPONENT)))
     seeds = seeds.join(listed, (seeds["_script"] == listed["_script"]) & (F.upper("origin") == F.col("_alias")), "left")
-    table = F.coalesce("_table", from_, sqltext.clean_name(F.col("rowset")), F.upper(file), F.upper("component_name"))
+    seeds = seeds.join(whole, F.to_json(F.struct(*COMPONENT)) == F.col("_of"), "left")
+    table = F.coalesce("_table", "_sole", from_, sqltext.clean_name(F.col("rowset")), F.upper(file), F.upper("component_name"))
     seeds = seeds.select(*FLOW, "lineage_id", "name", table.alias("source_table"), F.coalesce("_column", "origin").alias("source_column"), F.lit("column").alias("expression"))
     links, defaults = _links(found, out.where(~is_source), taken)
     targets = found["columns"].join(named.where(F.col("class").contains("Destination")), [*COMPONENT]).join(external, [*FLOW, "external_ref"]).join(command, [*COMPONENT], "left")

@@ -10,7 +10,7 @@ confidence of a source column
 * assumed: several sources can have it (the first is named), or it comes through a `*` of unknown columns.
 * unresolved: its owner is no source there, or the source is known not to have such a column; the owner is named.
 * ambiguous: it has no owner and there is no source at all.
-A CTE that reads itself adds no source by that; constants, VALUES and variables have none."""
+EXEC p gives the columns that the catalog has of p, else one `*`. A CTE that reads itself adds no source by that; constants, VALUES and variables have none."""
 
 from __future__ import annotations
 
@@ -173,6 +173,16 @@ class _Statement:
             return table, None
         return table, [name_at(self.tokens, k)[0].rpartition(".")[2] for k in range(after + 1, self.close.get(after, after)) if self.tokens[k].kind == "name" and not self.is_(k - 1, ".")]
 
+    def procedure(self) -> str | None:
+        """What the first EXEC of a statement without a select calls (after `@x =`, where that stands), if it is no text."""
+        at = next((k + 1 for k in range(len(self.tokens)) if self.is_(k, "EXEC", "EXECUTE") and self.tokens[k].kind == "name"), None)
+        if at is None:
+            return None
+        if self.is_(at + 1, "="):
+            at += 2
+        name, _ = name_at(self.tokens, at)
+        return name if name and not name.startswith("@") else None
+
     def refs(self, a: int, b: int) -> Iterator[tuple[str | None, str | None, int | None]]:
         """Owner and name, or the set of a subquery, of all that an expression uses."""
         k = a
@@ -210,6 +220,11 @@ class _Statement:
 
 def _facts(sql: str) -> Iterator[tuple]:
     s = _Statement(sql)
+    if not s.found and (called := s.procedure()):
+        # the rows of EXEC are those of a procedure: `*` of it
+        yield ("scope", 0, 0, 0, None, None, None, "main", None, None, None, [0])
+        yield ("source", 0, None, None, 0, called, called.rpartition(".")[2], "function", 0, None, None, None)
+        yield ("item", 0, 0, 0, 0, "*", "*", None, None, None, None, None)
     ctes = {k: s.cte(k) for k in range(len(s.found)) if s.sets[k] == k}
     inside = {k for k in range(len(s.found)) if any(ctes.get(s.sets[x]) for x in s.around[k])}
     free = [k for k in range(len(s.found)) if k not in inside]

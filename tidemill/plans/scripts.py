@@ -8,9 +8,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.folders import fresh
 from tidemill.functions import expressions
-from tidemill.operators import scopes, sqltext, steps
+from tidemill.operators import dml, scopes, sqltext, steps
 from tidemill.sources.tables import Tables
+from tidemill.streaming import reload
 
 from .registry import Registry, table
 
@@ -157,3 +159,42 @@ def current_and_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = """select [agreement].o_orderkey, dw.dbo.agreement.o_custkey, 'now' as origin from [dw].[dbo].[agreement] where o_orderstatus = ?
       union all select a.o_orderkey, a.o_custkey, 'then' from old.archive.dbo.agreement as a where a.o_orderstatus = ?"""
     return both.query(sql, ["dw.dbo.agreement", "old.archive.dbo.agreement"], ["F", "F"])
+
+
+_CALLS = ("exec [dbo].[usp_load", _K % 3, "] ", _K, ", 'x'; insert into dbo.got (a, b) exec dbo.usp_load", _K % 3, "; exec dbo.usp_other")
+
+
+@query("""
+with k as (select c_custkey as k, c_custkey % 3 as j from customer)
+select 's' || k as script, cast(n as int) as number, cast(p as int) as "position", a as alias, t as source_table, a as source_column, 'exact' as confidence, 0 as levels from k, lateral (
+  select n, i - 1 as p, 'R' || i as a, 'DBO.USP_LOAD' || j as t from (select unnest([1, 2]) as n), (select unnest(range(1, j + 2)) as i) union all select 3, 0, '*', 'DBO.USP_OTHER')
+""")
+def procedure_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXEC as a source: the columns that a catalog has of the procedure, one `*` where it has none."""
+    j = F.col("c_custkey") % 3
+    calls = table(spark, sf_dir, "customer").select(j.alias("j")).distinct()
+    catalog = calls.select(F.concat(F.lit("DBO.USP_LOAD"), "j").alias("table"), F.explode(F.sequence(F.lit(1), (F.col("j") + 1).cast("int"))).alias("position"))
+    return scopes.resolve(_stated(spark, sf_dir, *_CALLS), catalog=catalog.select("table", F.concat(F.lit("R"), "position").alias("column"), "position"))
+
+
+# --- written tables, the run log, the period load as a stream -------------------------------------------
+
+
+@query("""select job, 'S' as status, n as row_count, date '2001-08-01' as started, date '2001-08-02' as ended from (
+  select 'load_open' as job, count(*) as n from orders where o_orderstatus = 'O' union all select 'load_shut', count(*) from orders where o_orderstatus = 'F')""")
+def logged_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two written tables, one of them put together from its own former state, and the status that their log ends with."""
+    both, log, orders = Tables(spark, sf_dir), fresh(spark, "log"), table(spark, sf_dir, "orders")
+    day = lambda n: F.lit(date(2001, 8, n))
+    both.select_into("dbo.#open", orders.limit(0))
+    dml.logged("load_open", "1", orders.where("o_orderstatus = 'O'").unionByName(both("#open")), lambda x: both.select_into("dbo.#open", x, replace=True), log, day(1), day(2))
+    dml.logged("load_shut", "1", orders.where("o_orderstatus = 'F'"), lambda x: both.select_into("dbo.#shut", x), log, day(1), day(2))
+    counted = both("#open").count() + both("#shut").count()
+    return dml.job_status(spark.read.parquet(log)).where(F.lit(counted) > 0).drop("run")
+
+
+@query("select strftime(ts, '%Y%m') as period, event_type, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from events group by all")
+def streamed_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream that rewrites the periods its batches touch; each row is there once."""
+    at = reload.reload_stream(spark, f"{sf_dir}/events.parquet", "ts")
+    return at.groupBy("period", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.folders import fresh
 from tidemill.functions.ssis import resolve_variables
 from tidemill.operators import sqltext
 
@@ -42,6 +43,24 @@ class Tables:
             return self.views[near[0]]()
         return self.spark.read.parquet(f"{self.folder}/{key.rpartition('.')[2]}.parquet")
 
+    def select_into(self, name: str, rows: DataFrame, replace: bool = False) -> DataFrame:
+        """CREATE TABLE AS, SELECT INTO: rows are written once to a folder of their own in the shared folder, and only then does the
+        name stand for them. A name that is taken is an error unless `replace`; until a new table is whole, and where
+        its write fails, the old one stays readable (rows may read it, too)."""
+        key = self.key(name)
+        if key in self.views and not replace:
+            raise ValueError(f"{name} is there already")
+        at = fresh(self.spark, "table")
+        rows.write.parquet(at)
+        schema = rows.schema
+        self.views[key] = lambda: self.spark.read.schema(schema).parquet(at)
+        return self.views[key]()
+
+    def drop(self, name: str, if_exists: bool = False) -> None:
+        """DROP TABLE, of a registered or written name; what reads its files already may go on."""
+        if self.views.pop(self.key(name), None) is None and not if_exists:
+            raise ValueError(f"there is no {name}")
+
     def exists(self, name: str) -> bool:
         """OBJECT_ID(name) IS NOT NULL."""
         key = self.key(name)
