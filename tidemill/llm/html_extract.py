@@ -48,11 +48,11 @@ LIFT = 2.0
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noframes noembed xmp template svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = RAW | frozenset("head fieldset button select option".split())
+NEVER = RAW | frozenset("head button select option".split())
 AROUND = frozenset("nav aside footer menu dialog".split())
 CONTENT = frozenset(("article", "main"))
 #: What stands in a container beside its paragraphs, and what holds other elements there as a part of it.
@@ -77,7 +77,7 @@ _TAG = re.compile(_OPAQUE + r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^
 _TAIL = re.compile(_OPAQUE + "|()()()()()(?!)", re.S)
 #: References to characters that cannot be, too long for a number.
 _HUGE = re.compile(r"&#(x?)0*([0-9a-f]{8,});?", re.I)
-_MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
@@ -94,7 +94,8 @@ def _outside(tag: str, attributes: str) -> bool:
         return False
     for name, a, b, c in _MARK.findall(attributes):
         value = (a or b or c).lower()
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
+        # aria-hidden is for readers aloud: such text is on the page
+        if name.lower() == "hidden":
             return True
         if name.lower() == "style" and "display:none" in value.replace(" ", ""):
             return True
