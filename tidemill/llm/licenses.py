@@ -3,7 +3,8 @@
 What is compared of a file: each line, each sentence (over wrapped lines), each paragraph, the header (the
 leading run of comment lines, or the first paragraph), and of a licence file the whole text. Each is a
 sparse vector of term counts times idf, where idf is that among the templates; terms of no template only
-add to the norm. A file's own licence is that of its best part, if the cosine reaches the threshold.
+add to the norm. A file's own licence is that of its best part, if the cosine reaches the threshold; all licences that
+parts of it are like are listed too.
 
 Parts that cannot reach it are left out by a proof, not by a guess: a cosine is at most the root of the sum
 of squares of a template's weights over the shared terms, so a part without any of the template's `needed`
@@ -27,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,37 +134,48 @@ class Index:
             self.kept[part] = found
         return found
 
-    def own(self, text: str, whole: bool) -> tuple[float, str] | None:
-        if self.needed.isdisjoint(_TERM.findall(text.lower())):
-            return None
-        return min(filter(None, map(self.best, parts(text, whole))), default=None)
+    def known(self, line: str) -> bool:
+        """Whether a line has a term that every part like a template has."""
+        return not self.needed.isdisjoint(_TERM.findall(line.lower()))
 
+    def own(self, text: str, whole: bool) -> list[tuple[float, str]]:
+        """(-cosine, licence) of each licence that a part of the text is like, the best first."""
+        best: dict[str, float] = {}
+        for found in map(self.best, parts(text, whole, self.known)):
+            if found:
+                best[found[1]] = min(best.get(found[1], 0.0), found[0])
+        return sorted((c, name) for name, c in best.items())
 
-def parts(text: str, whole: bool) -> Iterator[str]:
-    """What is compared of a text."""
+
+def parts(text: str, whole: bool, known: Callable[[str], bool]) -> Iterator[str]:
+    """What is compared of a text: the parts with a line that is `known`. Each line is looked at once."""
     lines = text.split("\n")
+    hits = [known(x) for x in lines]
+    if not any(hits):
+        return
     bare = [_COMMENT.sub("", x).strip() for x in lines]
-    yield from filter(None, bare)
+    yield from (x for x, hit in zip(bare, hits) if hit and x)
     header = 0
     while header < len(lines) and _COMMENT.match(lines[header]):
         header += 1
-    if header:
+    if any(hits[:header]):
         yield " ".join(bare[:header])
-    paragraph: list[str] = []
-    for x in [*bare, ""]:
+    start = 0
+    for k, x in enumerate([*bare, ""]):
         if x:
-            paragraph.append(x)
-        elif paragraph:
-            joined = " ".join(paragraph)
+            continue
+        if any(hits[start:k]):
+            joined = " ".join(bare[start:k])
             yield joined
             yield from _SENTENCE.split(joined)
-            paragraph = []
+        start = k + 1
     if whole:
         yield " ".join(bare)
 
 
 def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files(key, path, text) -> key, path, licence, similarity for every row; null where no part is like a template."""
+    """files(key, path, text) -> key, path, licence, similarity, licences (all, by name) for every row; null and empty where no part is
+    like a template."""
     kind = files.schema["key"].dataType.simpleString()
     held: list[Index] = []
 
@@ -173,11 +185,13 @@ def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
         found = []
         for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
             name = (path or "").rpartition("/")[2]
-            found.append(held[0].own(text, bool(LICENCE_FILE.match(name))) if text else None)
-        licence = pa.array([x and x[1] for x in found], pa.string())
-        return pa.record_batch([batch.column("key"), batch.column("path"), licence, pa.array([x and -x[0] for x in found], pa.float64())], names=["key", "path", "licence", "similarity"])
+            found.append(held[0].own(text, bool(LICENCE_FILE.match(name))) if text else [])
+        best = [x[0] if x else (None, None) for x in found]
+        licence, similarity = pa.array([x for _, x in best], pa.string()), pa.array([c and -c for c, _ in best], pa.float64())
+        every = pa.array([sorted(x for _, x in own) for own in found], pa.list_(pa.string()))
+        return pa.record_batch([batch.column("key"), batch.column("path"), licence, similarity, every], names=["key", "path", "licence", "similarity", "licences"])
 
-    return arrow_map(files.select("key", F.col("path").cast("string"), F.col("text").cast("string")), run, f"key {kind}, path string, licence string, similarity double", "text")
+    return arrow_map(files.select("key", F.col("path").cast("string"), F.col("text").cast("string")), run, f"key {kind}, path string, licence string, similarity double, licences array<string>", "text")
 
 
 def _directory(path: Column) -> Column:
@@ -185,7 +199,7 @@ def _directory(path: Column) -> Column:
 
 
 def _nearest(dirs: DataFrame, speaks: DataFrame) -> DataFrame:
-    """dirs(dir), speaks(at, licence, path, similarity), one row each -> dir and the nearest `at` of dir or above it."""
+    """dirs(dir), speaks(at, licence, path, similarity, licences), one row each -> dir and the nearest `at` of dir or above it."""
     steps = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth"), steps.alias("steps"))
     above = above.select("dir", "depth", F.when(F.col("depth") == 0, "").otherwise(F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/")).alias("at"))
@@ -197,16 +211,19 @@ def _nearest(dirs: DataFrame, speaks: DataFrame) -> DataFrame:
         salted = above.join(dealt, "at", "left").withColumn("salt", F.pmod(F.xxhash64("dir"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
         spread = speaks.join(dealt, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)).cast("int") - 1))).drop("groups")
         both = salted.join(spread, ["at", "salt"])
-    return both.groupBy("dir").agg(F.max_by(F.struct("licence", "path", "similarity"), "depth").alias("n")).select(F.col("dir").alias("d"), F.col("n.licence").alias("dir_licence"), F.col("n.path").alias("dir_path"), F.col("n.similarity").alias("dir_similarity"))
+    return both.groupBy("dir").agg(F.max_by(F.struct("licence", "path", "similarity", "licences"), "depth").alias("n")).select(F.col("dir").alias("d"), F.col("n.licence").alias("dir_licence"), F.col("n.path").alias("dir_path"), F.col("n.similarity").alias("dir_similarity"), F.col("n.licences").alias("dir_licences"))
 
 
 def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of files: key, path, licence, similarity, origin (own, inherited, none), licence_path
-    (the file it comes from)."""
+    """One row per row of files: key, path, licence, similarity (of the best part), licences (all of the file by name, or
+    all that the licence files of the directory name), origin (own, inherited, none), licence_path (the file that the best comes from)."""
     base = files.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     owned = checkpoint(own_licences(base, templates, threshold)).withColumn("dir", _directory(F.col("path")))
     speaks = F.regexp_extract("path", r"([^/]*)$", 1).rlike("(?i)^" + LICENCE_FILE.pattern) & F.col("licence").isNotNull()
-    by_dir = checkpoint(owned.where(speaks).groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("b")).select(F.col("dir").alias("at"), F.col("b.licence").alias("licence"), F.col("b.path").alias("path"), (-F.col("b.order")).alias("similarity")))
+    # all licences of a directory's files: no more than there are templates' names
+    said = owned.where(speaks).withColumn("each", F.explode("licences"))
+    by_dir = said.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "path", "licence")).alias("b"), F.array_sort(F.collect_set("each")).alias("licences"))
+    by_dir = checkpoint(by_dir.select(F.col("dir").alias("at"), F.col("b.licence").alias("licence"), F.col("b.path").alias("path"), (-F.col("b.order")).alias("similarity"), "licences"))
     nearest = _nearest(owned.where(F.col("path").isNotNull()).select("dir").distinct(), by_dir)
     both = owned.join(nearest, (F.col("dir") == F.col("d")) & F.col("path").isNotNull(), "left")
     has, inherits = F.col("licence").isNotNull(), F.col("dir_licence").isNotNull()
@@ -215,6 +232,7 @@ def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "te
         F.col("path"),
         F.coalesce("licence", "dir_licence").alias("licence"),
         F.coalesce("similarity", "dir_similarity").alias("similarity"),
+        F.when(has, F.col("licences")).when(inherits, F.col("dir_licences")).otherwise(F.array().cast("array<string>")).alias("licences"),
         F.when(has, "own").when(inherits, "inherited").otherwise("none").alias("origin"),
         F.when(has, F.col("path")).when(inherits, F.col("dir_path")).alias("licence_path"),
     )
