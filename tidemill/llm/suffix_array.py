@@ -20,7 +20,8 @@ def suffix_array(ids: np.ndarray, depth: int | None = None, keep_ranks: bool = F
     size = np.diff(np.concatenate((first, [n])))
     rank[order] = np.repeat(first, size)
     tied = order[np.repeat(size, size) > 1]
-    kept, done = [rank.copy()] if keep_ranks else [], 1
+    small = np.int32 if n < 1 << 31 else np.int64  # what is kept of a round
+    kept, done = [rank.astype(small)] if keep_ranks else [], 1
     while tied.size and (depth is None or done < depth):
         after = tied + done
         second = np.where(after < n, rank[np.minimum(after, n - 1)], -1) + 1
@@ -36,7 +37,7 @@ def suffix_array(ids: np.ndarray, depth: int | None = None, keep_ranks: bool = F
         rank[tied] = np.repeat(place[new], size)
         tied, done = tied[np.repeat(size, size) > 1], done * 2
         if keep_ranks:
-            kept.append(rank.copy())
+            kept.append(rank.astype(small))
     return order, kept
 
 
