@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import chat, html_extract, licenses, toxicity, warc
 
@@ -32,6 +33,9 @@ from tidemill.llm import chat, html_extract, licenses, toxicity, warc
         ("<p>open <a href='x>y'>link</a> end", "open link end"),
         ("<article><p>x</p><section class='reader-comments'><p>y</p></section></article>", "x"),
         ("<!-- never closed <p>x", ""),
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='tex'>E=m</annotation></math> as known.</p></article>", "Energy is E=m as known."),
+        ("<article><p>A <span aria-hidden='true'>shown</span> word, <span hidden>no</span>and more.</p></article>", "A shown word, and more."),
+        ("<article><p>Before, it.</p><fieldset><legend>A box</legend><p>Within, it. <button>Press</button><select><option>1</select></p></fieldset></article>", "Before, it.\n\nA box\n\nWithin, it."),
     ],
 )
 def test_main_text(page, text):
@@ -319,6 +323,15 @@ def test_licences(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+def test_all_licences_of_a_file_and_of_a_directory(spark):
+    mit, apache, gpl = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, "a/COPYING", "\n".join([mit, mit, mit, apache])), (2, "a/x.py", "nothing"), (3, "b/LICENSE-APACHE", apache), (4, "b/LICENSE-MIT", mit), (5, "b/c/y.py", None), (6, "b/z.py", f"# {gpl}\ncode")]
+    got = {r.key: (r.licence, r.licences) for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    both = ["Apache-2.0", "MIT"]
+    assert got == {1: ("Apache-2.0", both), 2: ("Apache-2.0", both), 3: ("Apache-2.0", ["Apache-2.0"]), 4: ("MIT", ["MIT"]), 5: ("Apache-2.0", both), 6: ("GPL-3.0", ["GPL-3.0"])}
+    assert [r.licences for r in licenses.scan(spark.createDataFrame([(1, "q/x", "words")], "key long, path string, text string")).collect()] == [[]]
+
+
 def dense_cosines(statement, templates):
     """Cosines to all templates over the whole vocabulary, by definition."""
     import math
@@ -354,11 +367,13 @@ def test_scan_against_brute_force(spark, monkeypatch):
         directory = "/".join(r.choice("ab") for _ in range(r.randint(0, 4)))
         name = r.choice(["LICENSE", "COPYING.txt", "x.py", "y.py", "licensed.py"])
         rows.append((i, f"{directory}/{name}" if directory else name, text))
-    own = {}
+    own, all_ = {}, {}
     for i, path, text in rows:
         sentences = [s for line in [text] for s in [line, *re.split(r"(?<=[.!?])[ \t]+", line)]]
-        best = min(dense_cosines(s, templates) for s in sentences)
+        each = [dense_cosines(s, templates) for s in sentences]
+        best = min(each)
         own[i] = (best[1], -best[0]) if -best[0] >= licenses.THRESHOLD else None
+        all_[i] = sorted({name for c, name in each if -c >= licenses.THRESHOLD})
     speaks = {}
     for i, path, _ in rows:
         d, _, name = path.rpartition("/")
@@ -379,7 +394,9 @@ def test_scan_against_brute_force(spark, monkeypatch):
     for few, together in ((1 << 16, 1 << 18), (0, 2)):
         monkeypatch.setattr(licenses, "FEW_DIRECTORIES", few)
         monkeypatch.setattr(licenses, "TOGETHER", together)
-        assert {(x.key, x.licence, x.similarity, x.origin, x.licence_path) for x in licenses.scan(frame).collect()} == expected
+        got = licenses.scan(frame).collect()
+        assert {(x.key, x.licence, x.similarity, x.origin, x.licence_path) for x in got} == expected
+        assert all(x.licences == all_[x.key] for x in got if x.origin == "own")
 
 
 def test_whole_licence_files_headers_and_long_texts(spark):
@@ -454,26 +471,73 @@ def test_terms_are_learned_and_neutral_mentions_spared(spark):
     assert a.max() < 0.5 and abs(a.mean() - base) < 0.2 * abs(b.mean() - base)
 
 
-def test_the_penalty_decides_on_the_given_tables(spark):
-    """Terms are found in all four languages, pairs are many, and scores differ without the penalty."""
+def test_no_function_word_is_a_term_on_the_given_tables(spark):
+    """The given tables name no groups: few terms or none are learned, the penalty costs nothing, and words of attacks tell the classes apart."""
     from tidemill.llm.queries import held_out
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     fair, plain = (toxicity.train(docs, labels.where(~held_out()), penalty=p) for p in (4.0, 0.0))
-    assert {"the", "der", "de", "la"} <= {w.decode() for w in fair.terms} and fair.pairs > 1000
-    texts = [r.text or "" for r in docs.where(held_out()).limit(500).collect()]
-    known: tuple[dict, dict] = ({}, {})
-    moved = []
-    for m, k in zip((fair, plain), known):
-        total = 0.0
-        for t in texts:
-            own = set(toxicity.words(t))
-            for x in toxicity.swaps(own, m.terms):
-                m.learn(own | x, k)
-                total += abs(m.logit(own, k) - m.logit(x, k))
-        moved.append(total)
-    assert moved[0] < 0.05 * moved[1]
-    assert np.abs(fair.scores(texts, known[0]) - plain.scores(texts, known[1])).max() > 0.05
+    learned = {w.decode() for w in fair.terms} - {w for kind in toxicity.IDENTITIES for w in kind}
+    texts = docs.where("text is not null").select("text").limit(2000).collect()
+    share = Counter(w.decode() for r in texts for w in set(toxicity.words(r.text)))
+    assert not {w for w, n in share.items() if n > 0.05 * len(texts)} & learned
+    rows = docs.join(labels.where(held_out() & F.col("toxic").isNotNull()), "doc_id").select("text", "toxic").collect()
+    bad = np.array([r.toxic for r in rows])
+
+    def auc(model):
+        at = model.scores([r.text for r in rows], {})
+        return float(np.mean((at[bad == 1][:, None] > at[bad == 0]) + 0.5 * (at[bad == 1][:, None] == at[bad == 0])))
+
+    assert auc(fair) >= auc(plain) - 0.002 and auc(fair) > 0.95
+
+
+def test_function_words_share_their_texts():
+    counts = np.diag([90.0, 80.0, 3.0, 40.0, 60.0])
+    for a, b, n in ((0, 1, 75), (0, 2, 3), (1, 2, 3), (3, 4, 10), (0, 3, 30)):
+        counts[a, b] = counts[b, a] = n
+    # the first two share most of their texts; the third is in three of ninety; the fourth in 10 of 60 and 30 of 90
+    assert toxicity.everyday(counts, 4, 100).tolist() == [True, True, False, False]
+
+
+def brute_train(rows, penalty, identities):
+    """Features, terms and fit by the rule as it is stated, on dictionaries; the weights by plain gradient steps in numpy."""
+    import math
+
+    texts = [(set(toxicity.words(t)), toxicity.words(t), y) for t, y in rows]
+    bad, good = sum(y for *_, y in texts), sum(1 - y for *_, y in texts)
+    every = Counter((f, y) for own, _, y in texts for f in {f for w in own for f in toxicity.features(w)})
+    telling = {}
+    for f in {f for f, _ in every}:
+        b, g = every[f, 1], every[f, 0]
+        share = (b + g) / (bad + good)
+        if b + g >= toxicity.LEAST_TEXTS and share < 1:
+            z = (b / bad - g / good) / math.sqrt(share * (1 - share) * (1 / bad + 1 / good))
+            if abs(z) >= toxicity.LEAST_Z:
+                telling[f] = z
+    next_ = toxicity.kinds_map(identities)
+    chosen = sorted(set(telling) | {toxicity.features(w)[0] for w in next_})
+    values = lambda own: np.array([math.log1p(sum(f in toxicity.features(w) for w in own)) for f in chosen])
+    x = np.array([values(own) for own, *_ in texts])
+    d = np.array([values(own) - values(other) for own, *_ in texts for other in toxicity.swaps(own, next_)])
+    return chosen, x, d, np.array([float(y) for *_, y in texts])
+
+
+def test_training_against_the_rule(spark):
+    rows = [(t, b) for _, t, b in sentences(9, 160)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "doc_id long, toxic int")
+    identities = (("muslim", "hindu"),)
+    model = toxicity.train(docs, labels, identities=identities)
+    assert set(model.terms) == {b"muslim", b"hindu"}
+    chosen, x, d, y = brute_train(rows, 4.0, identities)
+    assert model.pairs == len(d) and set(model.weights) <= set(chosen)
+    w = np.array([model.weights.get(f, 0.0) for f in chosen])
+    p = 1 / (1 + np.exp(-(x @ w + model.bias)))
+    # the gradient of the stated loss is zero there
+    assert np.abs(x.T @ (p - y) + 0.5 * w + 8.0 * d.T @ (d @ w)).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    texts = ["w1 muslim vileword", "", "w7 w8"]
+    by_hand = [1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0.0) * np.log1p(n) for f, n in Counter(f for v in set(toxicity.words(t)) for f in toxicity.features(v)).items())))) for t in texts]
+    assert np.allclose(model.scores(texts, {}), by_hand)
 
 
 def test_fit_against_gradient_descent():

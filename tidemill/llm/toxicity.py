@@ -10,7 +10,9 @@ mentions of a group are not scored as attacks on it.
 Which words those are is a list of identity terms (a parameter), and learned from the labels in whatever
 language they are: words that stand beside words of the toxic class in a share of its texts, but occur in other texts
 too and do not tell the classes apart themselves, or only by such company: of the texts in which such a word is
-the only one of the toxic class, at most twice the usual share is toxic. A learned term is swapped for the one that it
+the only one of the toxic class, at most twice the usual share is toxic. Function words stand beside everything, too; they are
+told by their company: the function words of a language occur in the same texts, namely in nearly all of it, while what a text is about
+shares no such word's texts. They are no terms. A learned term is swapped for the one that it
 shares most texts with, which is one of its language and use. All terms are features of the fit.
 
 The fit uses at most SAMPLE labelled rows (those with the smallest hashes of their ids), so what reaches
@@ -50,10 +52,13 @@ SLICE_BYTES = 512 << 10
 KEPT_WORDS = 1 << 17
 #: Numbers of letters of a word's beginning that are features besides the word itself.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: A feature needs so many labelled texts and so large a z-score.
-LEAST_TEXTS, LEAST_Z = 6, 5.0
+#: A feature needs so many labelled texts and so large a z-score; a word that is plainly of one class needs the greater one.
+LEAST_TEXTS, LEAST_Z, PLAIN_Z = 6, 3.0, 5.0
 #: A learned term stands within BESIDE words of a toxic one in this share of the toxic texts.
 BESIDE, LEAST_SHARE = 2, 0.05
+#: A learned term is no function word: none that shares COMPANY of its texts with one of the COMMON most frequent features,
+#: if that is a word of a share of MANY of the texts.
+COMPANY, MANY, COMMON = 0.5, 0.04, 400
 
 # Identity terms by kind; terms of a kind can stand for one another.
 IDENTITIES = (
@@ -295,15 +300,20 @@ def _beside(strong: set[int]):
     return run
 
 
-def _together(terms: list[bytes]):
-    """In how many texts of a slice two terms occur."""
-    place = {w: k for k, w in enumerate(terms)}
+def _together(keys: list[int]):
+    """In how many texts of a slice two of the words occur; keys are the words' hashes."""
+    place = {w: k for k, w in enumerate(keys)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in chunks(batches, "text", SLICE_BYTES):
-            counts = np.zeros((len(terms), len(terms)), np.int64)
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            counts = np.zeros((len(keys), len(keys)), np.int64)
             for text in batch.column("text").to_pylist():
-                at = np.array(sorted({place[w] for w in words(text or "") if w in place}), np.int64)
+                own = set(words(text or ""))
+                known.update({w: place.get(features(w)[0], -1) for w in own if w not in known})
+                at = np.array(sorted({known[w] for w in own} - {-1}), np.int64)
                 counts[at[:, None], at] += 1
             a, b = np.nonzero(counts)
             yield pa.record_batch([pa.array(a), pa.array(b), pa.array(counts[a, b])], names=["a", "b", "n"])
@@ -311,12 +321,27 @@ def _together(terms: list[bytes]):
     return run
 
 
-def _partners(texts: DataFrame, terms: list[bytes]) -> dict[bytes, bytes]:
-    """Each term and the other one that it shares most of its texts with (cosine); the square of the terms is collected."""
-    both = texts.mapInArrow(_together(terms), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((len(terms), len(terms)))
-    for r in both:
+def _cooccurrence(texts: DataFrame, keys: list[int]) -> np.ndarray:
+    """In how many texts two words occur; the square of the words is collected."""
+    counts = np.zeros((len(keys), len(keys)))
+    both = texts.mapInArrow(_together(keys), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for r in both.collect():
         counts[r["a"], r["b"]] = r["n"]
+    return counts
+
+
+def everyday(counts: np.ndarray, terms: int, all_: int) -> np.ndarray:
+    """Which of the first `terms` words are function words of some language: words that share COMPANY of their texts with
+    another word of many texts, which also has no more others than that."""
+    own = np.diag(counts)
+    shared = counts / np.maximum(1, np.maximum(own[:, None], own[None, :]))
+    np.fill_diagonal(shared, 0)
+    often = own >= MANY * all_
+    return (shared[:terms] * often).max(axis=1, initial=0) >= COMPANY
+
+
+def _partners(counts: np.ndarray, terms: list[bytes]) -> dict[bytes, bytes]:
+    """Each term and the other one that it shares most of its texts with (cosine)."""
     alone = np.sqrt(np.maximum(1, np.diag(counts)))
     near = counts / alone[:, None] / alone
     np.fill_diagonal(near, -1)
@@ -372,7 +397,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     # no more features than the sample's texts have
     telling = {r["f"]: r["z"] for r in tally.where(share < 1).select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z).collect()}
     next_ = kinds_map(identities)
-    strong = {f for f, v in telling.items() if v > 0}
+    plain = {f: v for f, v in telling.items() if abs(v) >= PLAIN_Z}
+    strong = {f for f, v in plain.items() if v > 0}
     sums = [F.sum(c).alias(c) for c in ("near", "bad_alone", "good_alone")]
     beside = texts.mapInArrow(_beside(strong), "word string, f long, near long, bad_alone long, good_alone long").groupBy("word", "f").agg(*sums)
     beside = beside.where(F.col("near") >= max(LEAST_TEXTS, math.ceil(LEAST_SHARE * bad)))
@@ -380,9 +406,15 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     near = beside.join(tally.where(F.col("good") >= LEAST_TEXTS).select("f"), "f").collect()
     usual = 2 * bad / (bad + good)
     company = lambda r: r["good_alone"] >= LEAST_TEXTS and r["bad_alone"] <= usual * (r["bad_alone"] + r["good_alone"])
-    learned = sorted(r["word"].encode() for r in near if r["f"] not in telling or company(r))
-    if len(learned) > 1:
-        next_ = {**_partners(texts, learned), **next_}
+    learned = sorted(r["word"].encode() for r in near if r["f"] not in plain or company(r))
+    if learned:
+        common = [r["f"] for r in tally.orderBy(F.desc(F.col("bad") + F.col("good")), "f").limit(COMMON).collect()]
+        keys = [features(w)[0] for w in learned]
+        counts = _cooccurrence(texts, [*keys, *(f for f in common if f not in set(keys))])
+        stay = np.flatnonzero(~everyday(counts, len(learned), bad + good))
+        learned = [learned[k] for k in stay]
+        if len(learned) > 1:
+            next_ = {**_partners(counts[np.ix_(stay, stay)], learned), **next_}
     chosen = telling.keys() | {features(w)[0] for w in next_}
     # of at most `sample` texts, and of two counterfactuals of each
     got = texts.mapInArrow(_counted(set(chosen), next_), "toxic int, swapped int, f array<long>, v array<double>").toArrow().combine_chunks()
