@@ -102,7 +102,8 @@ def ngrams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 whole = whole[:some]
                 if n > 2:
                     whole = whole & ~blank[n - 2 : n - 2 + some]
-            taken = whole & ~blank[:some] if n == 1 else whole & ~(blank[:some] & blank[n - 1 : n - 1 + some])
+            # two spaces are nothing, a short word between them is itself
+            taken = whole & ~blank[:some] if n == 1 else whole & ~(blank[:some] & blank[1 : some + 1]) if n == 2 else whole
             mixed = (key[taken] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
             yield owner[:some][taken], (mixed >> np.uint64(64 - BITS)).view(np.int64)
 
