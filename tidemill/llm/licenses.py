@@ -6,9 +6,10 @@ sparse vector of term counts times idf, where idf is that among the templates; t
 add to the norm. A file's own licence is that of its best part, if the cosine reaches the threshold; all licences that
 parts of it are like are listed too.
 
-Parts that cannot reach it are left out by a proof, not by a guess: a cosine is at most the root of the sum
-of squares of a template's weights over the shared terms, so a part without any of the template's `needed`
-terms, those outside a set with a sum of squares below threshold**2, stays below the threshold.
+Each text is cut into terms once, by segments (the pieces of a line between ends of sentences); lines, sentences,
+paragraphs and headers are runs of segments, so their known terms and numbers of unknown ones are sums. Parts that
+cannot reach the threshold are left out by a proof, not by a guess: of a part's squared norm, unknown terms make at least their
+number times the square of their idf, and its cosine is at most the root of the share that known terms have.
 
 Own licences are found in one pass, map only. Files named like licence files speak for their directory. Every
 other file takes the licence of the nearest directory at or above its own that has one: directories,
@@ -87,8 +88,12 @@ _COMMENT = re.compile(r"^[ \t]*+(?:#++|//++|/?\*++/?|--++|;++|%++|<!--|\.\.)[ \t
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 
 
+#: Of a segment: the terms that some template has, the sum of their squared idf, and how many others there are.
+Terms = tuple[list[str], float, int]
+
+
 class Index:
-    """The templates' weights by term, and the terms that a part needs."""
+    """The templates' weights by term, and what parts are like them."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
         counts = [Counter(_TERM.findall(text.lower())) for _, text in templates]
@@ -97,79 +102,92 @@ class Index:
         self.threshold = threshold
         self.names = [licence for licence, _ in templates]
         self.idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in within.items()}
+        self.square = {t: x * x for t, x in self.idf.items()}
         self.unknown = math.log(1 + n) + 1
         self.weights: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.needed: set[str] = set()
         self.kept: dict[str, tuple[float, str] | None] = {}
         for k, c in enumerate(counts):
             norm = math.sqrt(sum((f * self.idf[t]) ** 2 for t, f in c.items()))
-            rest = 0.0
-            # short words are the frequent ones: they are the first to be left out
-            for t in sorted(c, key=lambda t: (len(t), t)):
-                w = c[t] * self.idf[t] / norm
-                self.weights[t].append((k, w))
-                if rest + w * w < threshold * threshold - 1e-5:
-                    rest += w * w
-                else:
-                    self.needed.add(t)
+            for t, f in c.items():
+                self.weights[t].append((k, f * self.idf[t] / norm))
 
     def best(self, part: str) -> tuple[float, str] | None:
         """(-cosine, licence) of the best template, if it reaches the threshold."""
         if part in self.kept:
             return self.kept[part]
         counts = Counter(_TERM.findall(part.lower()))
-        found = None
-        if not self.needed.isdisjoint(counts):
-            norm = math.sqrt(sum((f * self.idf.get(t, self.unknown)) ** 2 for t, f in counts.items()))
-            dots: dict[int, float] = defaultdict(float)
-            for t, f in counts.items():
-                for k, w in self.weights.get(t, ()):
-                    dots[k] += f * self.idf[t] * w
-            found = min(((-round(d / norm, 6), self.names[k]) for k, d in dots.items()), default=None)
-            if found and -found[0] < self.threshold:
-                found = None
+        norm = math.sqrt(sum((f * self.idf.get(t, self.unknown)) ** 2 for t, f in counts.items()))
+        dots: dict[int, float] = defaultdict(float)
+        for t, f in counts.items():
+            for k, w in self.weights.get(t, ()):
+                dots[k] += f * self.idf[t] * w
+        found = min(((-round(d / norm, 6), self.names[k]) for k, d in dots.items()), default=None)
+        if found and -found[0] < self.threshold:
+            found = None
         if len(part) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
             self.kept[part] = found
         return found
 
-    def known(self, line: str) -> bool:
-        """Whether a line has a term that every part like a template has."""
-        return not self.needed.isdisjoint(_TERM.findall(line.lower()))
+    def terms(self, segment: str) -> Terms:
+        every = _TERM.findall(segment.lower())
+        known = [t for t in every if t in self.idf]
+        return known, sum([self.square[t] for t in known]), len(every) - len(known)
+
+    def reaches(self, own: list[Terms]) -> bool:
+        """Whether segments with these terms together can be like a template."""
+        share = self.threshold**2 - 1e-5
+        count, squares, outside = 0, 0.0, 0.0
+        for known, s, n in own:
+            count, squares, outside = count + len(known), squares + s, outside + n
+        outside *= self.unknown**2 * share
+        # a term that stands f times counts f * f squares, which is at most the number of all terms for each
+        if not count or count * squares * (1 - share) < outside:
+            return False
+        counts = Counter([t for known, _, _ in own for t in known])
+        return sum([f * f * self.square[t] for t, f in counts.items()]) * (1 - share) >= outside
 
     def own(self, text: str, whole: bool) -> list[tuple[float, str]]:
         """(-cosine, licence) of each licence that a part of the text is like, the best first."""
         best: dict[str, float] = {}
-        for found in map(self.best, parts(text, whole, self.known)):
-            if found:
+        for part in parts(text, whole, self.terms, self.reaches):
+            if found := self.best(part):
                 best[found[1]] = min(best.get(found[1], 0.0), found[0])
         return sorted((c, name) for name, c in best.items())
 
 
-def parts(text: str, whole: bool, known: Callable[[str], bool]) -> Iterator[str]:
-    """What is compared of a text: the parts with a line that is `known`. Each line is looked at once."""
+def parts(text: str, whole: bool, terms: Callable[[str], Terms], reaches: Callable[[list[Terms]], bool]) -> Iterator[str]:
+    """What is compared of a text: those of its lines, sentences and paragraphs, its header and the text that `reaches` lets pass."""
     lines = text.split("\n")
-    hits = [known(x) for x in lines]
-    if not any(hits):
-        return
     bare = [_COMMENT.sub("", x).strip() for x in lines]
-    yield from (x for x, hit in zip(bare, hits) if hit and x)
+    cut = [_SENTENCE.split(x) if x else [] for x in bare]
+    own = [[terms(x) for x in segments] for segments in cut]
+    yield from (x for x, t in zip(bare, own) if x and reaches(t))
     header = 0
     while header < len(lines) and _COMMENT.match(lines[header]):
         header += 1
-    if any(hits[:header]):
+    every = lambda a, b: [t for line in own[a:b] for t in line]
+    if header and reaches(every(0, header)):
         yield " ".join(bare[:header])
     start = 0
     for k, x in enumerate([*bare, ""]):
         if x:
             continue
-        if any(hits[start:k]):
-            joined = " ".join(bare[start:k])
-            yield joined
-            yield from _SENTENCE.split(joined)
+        if start < k:
+            if reaches(every(start, k)):
+                yield " ".join(bare[start:k])
+            # a sentence goes on over lines until a segment ends it; one that is its line has been looked at
+            open_: list[tuple[str, Terms]] = []
+            for n in range(start, k):
+                for j, segment in enumerate(cut[n]):
+                    open_.append((segment, own[n][j]))
+                    if j + 1 < len(cut[n]) or segment[-1:] in (".", "!", "?") or n + 1 == k:
+                        if (len(open_) > 1 or len(cut[n]) > 1) and reaches([t for _, t in open_]):
+                            yield " ".join(x for x, _ in open_)
+                        open_ = []
         start = k + 1
-    if whole:
+    if whole and reaches(every(0, len(lines))):
         yield " ".join(bare)
 
 
