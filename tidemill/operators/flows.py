@@ -179,7 +179,7 @@ def report(found: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
     """package, part, line_no, line: the Markdown report of each package. Parts: 1 counts, 2 connections, 3 sources, 4
     destinations, 5 lineage; tables are sorted by their lines."""
     c, command = found["components"], commands(found)
-    about = packages.connection_of(c, found["connections"]).select(*FLOW, F.col("ref_id").alias("component"), "name", "connection").join(command, [*COMPONENT], "left")
+    about = packages.connection_of(c, found["connections"]).select(*FLOW, F.col("ref_id").alias("component"), "name", "class", "connection").join(command.drop("class"), [*COMPONENT], "left")
     many = lambda df, label: df.groupBy("package").agg(F.count("*").alias("n")).select("package", F.lit(label).alias("label"), "n")
     kinds = (("Connections", found["connections"]), ("Data Sources", c.where("class like '%Source%'")), ("Destinations", c.where("class like '%Destination%'")), ("Transformations", transformations(found)), ("Variables", found["variables"]), ("Tasks", found["executables"]), ("Column Mappings", rows))
     counts = None

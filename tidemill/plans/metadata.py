@@ -317,19 +317,27 @@ def _packaged(columns: str, rows: list[tuple]) -> str:
     return " union all ".join(f"select s_suppkey || '/{r[0]}.dtsx' as package, " + ", ".join(f"{value(x)} as {c}" for c, x in zip(names, r[1:])) + " from supplier" for r in rows)
 
 
-@query(_packaged("name lineage_id data_type", [
-    *[("daily", n, i, t) for n, i, t in (("id", "L1", "i4"), ("amount", "L2", "numeric"), ("amount", "L2", None), ("money", "L3", "cy"), ("id", "L1", None), ("money", "L3", None))],
-    *[("weekly", n, i, None) for n, i in (("d_alias", "A1"), ("w_id", "B1"), ("rate", "F1"), ("kind_label", "K1"), (None, "A1"), ("d", "M1"), (None, "M1"), (None, "A1"), (None, "B1"), (None, "F1"), (None, "K1"))],
-]))
+def _attribute(*names: str) -> str:
+    """DuckDB: the first of the attributes that a tag has."""
+    return "coalesce(" + ", ".join(f"""nullif(regexp_extract(tag, '\\s{n}="([^"]*)"', 1), '')""" for n in names) + ")"
+
+
+def _tags(pattern: str) -> str:
+    """DuckDB: the tags of a kind in the text of each supplier's packages."""
+    texts = " union all ".join(f"select '{n}' as name, '{x.replace(chr(39), chr(39) * 2)}' as text" for n, x in _PACKAGES)
+    return f"(select s_suppkey || '/' || t.name || '.dtsx' as package, unnest(regexp_extract_all(t.text, '{pattern}')) as tag from supplier, ({texts}) t)"
+
+
+@query(f"""select package, {_attribute("name", "cachedName")} as name, {_attribute("lineageId")} as lineage_id, {_attribute("dataType", "cachedDataType")} as data_type from {_tags("<(?:in|out)putColumn [^>]*>")}""")
 def package_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalogs(spark, sf_dir)["columns"].where("package not like '%monthly%'").select("package", "name", "lineage_id", "data_type")
+    return _catalogs(spark, sf_dir)["columns"].select("package", "name", "lineage_id", "data_type")
 
 
 _A, _B = "Package\\A\\Load", "Package\\B\\Load"
 _UNION = "column -> Union(All) -> Sort(Order)"
 
 
-@query(_packaged("flow target_table target_column source_table source_column expression confidence", [
+_LINEAGE = [
     ("daily", "Package\\Load", "DBO.T§", "ID", "S§", "ID", "column", "exact"), ("daily", "Package\\Load", "DBO.T§", "TOTAL", "S§", "AMOUNT", "column -> DataConvert(Convert)", "exact"),
     ("weekly", "Package\\Fill", "DBO.SUMMARY§", "MERGED", "DBO.DAY", "d", "column -> MergeJoin(Merge)", "exact"), ("weekly", "Package\\Fill", "DBO.SUMMARY§", "DAY", "DBO.DAY", "d", "column", "exact"),
     ("weekly", "Package\\Fill", "DBO.SUMMARY§", "WEEK", "DBO.WEEK", "W_ID", "column", "exact"), ("weekly", "Package\\Fill", "DBO.SUMMARY§", "RATE", "RATES", "rate", "column", "exact"), ("weekly", "Package\\Fill", "DBO.SUMMARY§", "KIND", "DBO.KIND", "LABEL", "column", "exact"),
@@ -338,7 +346,10 @@ _UNION = "column -> Union(All) -> Sort(Order)"
     ("monthly", _A, "DBO.MONTH§", "GONE", "Transformation", "gone", "Async (Order)", "default"), ("monthly", _A, "DBO.MONTH§", "DAY", "Variable/Expression", "Expression", "@[User::day]", "default"),
     ("monthly", _A, "DBO.MONTH§", "ONE", "Derived / Transformation", "one", "1", "default"), ("monthly", _A, "DBO.MONTH§", "Q", "Transformation", "q", "Unknown Logic", "default"),
     ("monthly", _B, "DBO.OLD", "CODE", "DBO.CODES", "code", "name match", "inferred"), ("monthly", _B, "DBO.OLD", "OTHER", "DBO.CODES", "OTHER", "stale package", "inferred"),
-]))
+]
+
+
+@query(_packaged("flow target_table target_column source_table source_column expression confidence", _LINEAGE))
 def package_lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_lineage(_catalogs(spark, sf_dir))
 
@@ -382,17 +393,31 @@ _COUNTS = {"daily": (1, 1, 1, 1, 1, 2, 2), "weekly": (1, 3, 1, 2, 1, 1, 5), "mon
 _LABELS = ("Connections", "Data Sources", "Destinations", "Transformations", "Variables", "Tasks", "Column Mappings")
 
 
+#: Package, then what parts 2 to 4 of its report show.
+_SHOWN = [
+    (2, "Connections", "name | kind | connection_string", [("daily", "dw | OLEDB | Data Source=host1;User ID=***;Password=***;Initial Catalog=db1;"), ("weekly", "rates | FLATFILE | N/A")]),
+    (3, "Data Sources", "name | connection | rowset | sql", [
+        ("daily", "Source | dw | N/A | select id, amount from s§"), ("weekly", "By file | rates | N/A | N/A"), ("weekly", "By table | N/A | [dbo].[day] | N/A"), ("weekly", "By variable | N/A | N/A | select w_id from dbo.week"),
+        ("monthly", "One | N/A | N/A | select o.x, o.y as why from dbo.one§ o"), ("monthly", "One | N/A | [dbo].[codes] | N/A"), ("monthly", "Two | N/A | [dbo].[two] | N/A"),
+    ]),
+    (4, "Destinations", "name | connection | rowset", [("daily", "Target | N/A | [dbo].[t§]"), ("weekly", "Target | N/A | [dbo].[summary§]"), ("monthly", "Target | N/A | [dbo].[month§]"), ("monthly", "Target | N/A | [dbo].[old]")]),
+    (5, "Column Lineage", "target_table | target_column | source_table | source_column | expression | confidence", [(p, " | ".join(rest)) for p, _, *rest in _LINEAGE]),
+]
+
+
 def _summary() -> list[tuple]:
     rows = []
     for package, counts in _COUNTS.items():
         lines = ["## Summary", "", "| label | count |", "| --- | --- |", *sorted(f"| {x} | {n} |" for x, n in zip(_LABELS, counts))]
         rows += [(package, 1, k + 1, line) for k, line in enumerate(lines)]
-    head = ["## Connections", "", "| name | kind | connection_string |", "| --- | --- | --- |"]
-    rows += [("daily", 2, k + 1, x) for k, x in enumerate([*head, "| dw | OLEDB | Data Source=host1;User ID=***;Password=***;Initial Catalog=db1; |"])]
-    return rows + [("weekly", 2, k + 1, x) for k, x in enumerate([*head, "| rates | FLATFILE | N/A |"])]
+        for part, title, columns, shown in _SHOWN:
+            own = sorted(f"| {x} |" for p, x in shown if p == package)
+            lines = [f"## {title}", "", f"| {columns} |", "|" + " --- |" * len(columns.split(" | ")), *own] if own else []
+            rows += [(package, part, k + 1, line) for k, line in enumerate(lines)]
+    return rows
 
 
 @query(_packaged("part line_no line", _summary()).replace("as bigint)", "as int)"))
 def package_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _catalogs(spark, sf_dir)
-    return flows.report(found, package_lineage(found)).where("part <= 2")
+    return flows.report(found, package_lineage(found))

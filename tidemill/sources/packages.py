@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.folders import checkpoint
+from tidemill.folders import fresh
 
 # Namespaces of package files.
 DTS, SQL_TASK = "{www.microsoft.com/SqlServer/Dts}", "{www.microsoft.com/sqlserver/dts/tasks/sqltask}"
@@ -112,7 +112,7 @@ def decode_packages(files: DataFrame) -> DataFrame:
 
 def catalogs(packages: DataFrame) -> dict[str, DataFrame]:
     """The catalog tables of packages(package, text). Packages are read once: the rows of all catalogs are written to the
-    shared folder together."""
+    shared folder together, partitioned by catalog, so that each one's reader opens its own files and columns alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,8 +122,12 @@ def catalogs(packages: DataFrame) -> dict[str, DataFrame]:
                     rows.append((package, kind, k, {a: b for a, b in fields.items() if b is not None}))
             yield pd.DataFrame(rows, columns=["package", "kind", "number", "fields"])
 
-    rows = checkpoint(packages.select("package", "text").mapInPandas(run, _ROW))
-    return {name: rows.where(F.col("kind") == name).select("package", "number", *[F.col("fields")[c].alias(c) for c in columns]) for name, columns in CATALOGS.items()}
+    spark, at = packages.sparkSession, fresh(packages.sparkSession, "catalogs")
+    every = sorted({c for columns in CATALOGS.values() for c in columns})
+    rows = packages.select("package", "text").mapInPandas(run, _ROW)
+    rows.select("package", "number", *[F.col("fields")[c].alias(c) for c in every], F.col("kind").alias("catalog")).write.partitionBy("catalog").parquet(at)
+    found = spark.read.schema("package string, number int, " + ", ".join(f"`{c}` string" for c in every) + ", catalog string").parquet(at)
+    return {name: found.where(F.col("catalog") == name).select("package", "number", *columns) for name, columns in CATALOGS.items()}
 
 
 def server_and_database(connections: DataFrame) -> DataFrame:
