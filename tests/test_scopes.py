@@ -142,3 +142,17 @@ def test_steps(spark):
         (7, "M", "DBO.EXTRA", "W", 1),
         (9, "A", "DBO.OUT", "TOTAL", 0),
     }
+
+
+def test_facts_from_sql(spark):
+    from tidemill.operators import surface
+
+    surface.register(spark)
+    spark.createDataFrame([("a", "select x.i, y.n as m from t x left join dbo.u y on x.i = y.j; exec p"), ("b", None)], "k string, text string").createOrReplaceTempView("texts_of_a_test")
+    rows = lambda sql: sorted(tuple(r) for r in spark.sql(sql).collect())
+    said = rows("select t.k, s.number, s.operation, s.target from texts_of_a_test t, lateral split_statements(t.text) s")
+    assert said == [("a", 1, "SELECT", None), ("a", 2, "EXEC", "P")]
+    assert rows("select s.* from texts_of_a_test t, lateral statement_tables(t.text) s") == [("DBO.U", "Y"), ("T", "X")]
+    assert rows("select s.* from texts_of_a_test t, lateral join_pairs(t.text) s") == [("LEFT", "X", "I", "=", "Y", "J")]
+    assert rows("select s.position, s.alias from texts_of_a_test t, lateral select_list(t.text) s") == [(0, "I"), (1, "M")]
+    spark.catalog.dropTempView("texts_of_a_test")

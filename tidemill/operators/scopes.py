@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemill.folders import checkpoint
 
-from .sqltext import _NO_ALIAS, _NO_COLUMN, Select, Token, _each, _kind, _operation, _text, items, name_at, scan, selects, table_places
+from .sqltext import _NO_ALIAS, _NO_COLUMN, Select, Token, _each, _kind, _text, items, name_at, operation_of, scan, selects, table_places
 
 _FACTS = "fact string, scope int, set_id int, branch int, position int, name string, alias string, owner string, place int, last int, names array<string>, around array<int>"
 _FIELDS = [c.split()[0] for c in _FACTS.split(", ")]
@@ -59,7 +59,7 @@ class _Statement:
     def _update(self) -> int | None:
         """UPDATE ... SET ... FROM is a scope too, whose list is what it sets; its number."""
         t = self.tokens
-        if _operation(t)[0] != "UPDATE":
+        if operation_of(t)[0] != "UPDATE":
             return None
         at = next(k for k, x in enumerate(t) if x.kind == "name" and x.word == "UPDATE" and x.depth == 0)
         first = next((k + 1 for k in range(at, len(t)) if self.is_(k, "SET") and t[k].depth == 0), len(t))
@@ -164,7 +164,7 @@ class _Statement:
     def target(self, name: str, read: list[list[tuple]]) -> tuple[str, list[str] | None]:
         """The table that a statement writes (an UPDATE or DELETE may name it by its alias), and the columns that INSERT lists."""
         own = read[self.update] if self.update is not None else [("table", t, a) for t, a, _ in table_places(self.tokens)]
-        table = next((x[1] for x in own if x[0] == "table" and x[2] == name), name) if _operation(self.tokens)[0] in ("UPDATE", "DELETE") else name
+        table = next((x[1] for x in own if x[0] == "table" and x[2] == name), name) if operation_of(self.tokens)[0] in ("UPDATE", "DELETE") else name
         at = next((k for k in range(len(self.tokens)) if self.is_(k, "INTO")), None)
         if at is None:
             return table, None
@@ -236,7 +236,7 @@ def _facts(sql: str) -> Iterator[tuple]:
     def row(fact: str, **f: object) -> tuple:
         return tuple({"fact": fact, **f}.get(c) for c in _FIELDS)
 
-    operation, target = _operation(s.tokens)
+    operation, target = operation_of(s.tokens)
     if target and operation != "EXEC":
         written, names = s.target(target, read)
         yield row("target", name=written, alias=operation, names=names)

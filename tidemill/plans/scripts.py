@@ -3,6 +3,7 @@ and numbers of steps from its key, and the SQL twins work out the sources from t
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.folders import fresh
 from tidemill.functions import expressions
-from tidemill.operators import dml, scopes, sqltext, steps
+from tidemill.operators import dml, scopes, sqltext, steps, surface
 from tidemill.sources.tables import Tables
 from tidemill.streaming import reload
 
@@ -19,11 +20,15 @@ from .registry import Registry, table
 query = Registry()
 
 
-def _stated(spark: SparkSession, sf_dir: str, *text: str | Column) -> DataFrame:
-    """Statements of one script for each customer; `k` is its key."""
+def _scripts(spark: SparkSession, sf_dir: str, *text: str | Column) -> DataFrame:
+    """One script for each customer; `k` is its key."""
     k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumn("n", 2 + F.col("k") % 4)
     sql = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in text))
-    return sqltext.statements(k.select(F.concat(F.lit("s"), "k").alias("script"), sql.alias("sql")))
+    return k.select(F.concat(F.lit("s"), "k").alias("script"), sql.alias("sql"))
+
+
+def _stated(spark: SparkSession, sf_dir: str, *text: str | Column) -> DataFrame:
+    return sqltext.statements(_scripts(spark, sf_dir, *text))
 
 
 _K = F.col("k")
@@ -117,6 +122,23 @@ def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.end_to_end(_stated(spark, sf_dir, *_chain()))
 
 
+@query("""select 's' || k as script, n + 2 + k % 2 as statements, n + 3 as reads, n + 1 as columns from (select c_custkey as k, 2 + c_custkey % 4 as n from customer)""")
+def facts_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of these scripts, what they read and list, by table functions in lateral joins."""
+    surface.register(spark)
+    name = f"scripts_{uuid.uuid4().hex}"
+    _scripts(spark, sf_dir, *_chain()).createOrReplaceTempView(name)
+    try:
+        return spark.sql(f"""
+          with s as (select q.script, x.number, x.statement from {name} q, lateral split_statements(q.sql) x),
+          t as (select s.script, s.number, count(*) as n from s, lateral statement_tables(s.statement) group by s.script, s.number),
+          c as (select s.script, s.number, count(*) as n from s, lateral select_list(s.statement) group by s.script, s.number)
+          select s.script, count(*) as statements, sum(coalesce(t.n, 0)) as reads, sum(coalesce(c.n, 0)) as columns
+          from s left join t using (script, number) left join c using (script, number) group by s.script""")
+    finally:
+        spark.catalog.dropTempView(name)
+
+
 # --- expressions from their text, names in SQL ----------------------------------------------------------
 
 _TEXTS = {
