@@ -42,7 +42,8 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
 
     Branches are ranked among the replies to one message by score, then by node; max_branches keeps
     the best ones, and what answers a reply that is not kept goes with it. Paths are ranked in their tree by mean
-    score, then by leaf; max_paths keeps the best.
+    score, then by leaf; max_paths keeps the best, and only those are unfolded: lengths and sums of scores go
+    along with the jumps, so a leaf is ranked by log2(d) rows and not by its whole path.
 
     The joins carry ids and scores; roles and texts are joined to the chosen paths once, at the end."""
     nodes = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("parent").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("m")).select("tree", "node", "m.*")
@@ -69,6 +70,8 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
         jumps.append(nxt)
     parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("p"))
     leaves = kept.select("tree", "node").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    if max_paths is not None:
+        leaves = _best_leaves(kept, leaves, jumps, max_paths)
     path = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     for k in reversed(range(len(jumps))):
         jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up"))
@@ -79,14 +82,31 @@ def reply_paths(messages: DataFrame, max_branches: int | None = None, max_paths:
     scored = path.join(held, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
     paths = scored.groupBy("tree", "leaf").agg(F.max("back").alias("depth"), F.avg("score").alias("mean_score"), F.max("root").alias("rooted")).where("rooted")
     ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean_score"), "leaf")))
-    if max_paths is not None:
-        ranked = ranked.where(F.col("rank") <= max_paths)
     ranked = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "depth", "rank")
     chosen = path.join(ranked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "node", "rank", (F.col("depth") - F.col("back")).alias("pos"))
     said = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     return chosen.join(said, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", "pos", "role", "text")
 
 
+def _best_leaves(kept: DataFrame, leaves: DataFrame, jumps: list[DataFrame], most: int) -> DataFrame:
+    """tree, node of each tree's leaves with the best mean scores of their paths, up to `most` of those that begin at a root."""
+    score = kept.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+    sums = [checkpoint(jumps[0].join(score, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", "up", F.col("score").alias("sum")))]
+    for _ in jumps[1:]:
+        b = sums[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("sum").alias("more"))
+        sums.append(checkpoint(sums[-1].join(b, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("further").alias("up"), (F.col("sum") + F.col("more")).alias("sum"))))
+    at = leaves.join(score, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", F.col("node").alias("leaf"), "node", F.col("score").alias("sum"), F.lit(1).cast("long").alias("count"))
+    for k in reversed(range(len(sums))):
+        jump = sums[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", F.col("sum").alias("more"))
+        up = F.col("up").isNotNull()
+        at = at.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left")
+        at = checkpoint(at.select("tree", "leaf", F.coalesce("up", "node").alias("node"), F.when(up, F.col("sum") + F.col("more")).otherwise(F.col("sum")).alias("sum"), (F.col("count") + F.when(up, 1 << k).otherwise(0)).alias("count")))
+    roots = kept.where("up is null").select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    rooted = at.join(roots, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_semi")
+    best = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("count")), "leaf")
+    return rooted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("tree", F.col("leaf").alias("node"))
+
+
 def format_paths(paths: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per path: tree, leaf, rank, formatted, loss_spans array<struct<start, length>>.
 
