@@ -195,6 +195,21 @@ def test_round_trip(spark, tmp_path, monkeypatch, few, task):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("uri,expected", [("/a/b", "file:///a/b"), ("file:/a/b", "file:///a/b"), ("file:///a/b", "file:///a/b"), ("dbfs:/a/b", "file:///dbfs/a/b"), ("s3a://bucket/a", "s3://bucket/a"), ("s3n://bucket/a", "s3://bucket/a"), ("gs://bucket/a", "gs://bucket/a"), ("hdfs://host:1/a", "hdfs://host:1/a")])
+def test_folders_under_the_schemes_of_spark(uri, expected):
+    assert warc.address(uri) == expected
+
+
+def test_other_schemes_are_refused_and_unnamed_archives_removed(spark, tmp_path):
+    with pytest.raises(ValueError, match="wasb"):
+        warc.address("wasb://c@a/x")
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    index = warc.write(pages, str(tmp_path / "w"))
+    (tmp_path / "w" / "archives" / "pages-left.warc.gz").write_bytes(b"half")
+    assert warc.remove_unnamed(index, str(tmp_path / "w")) == ["pages-left.warc.gz"]
+    assert [r.id for r in warc.read(index, str(tmp_path / "w")).collect()] == [1] and not warc.remove_unnamed(index, str(tmp_path / "w"))
+
+
 def test_a_changed_payload_is_refused():
     data = gzip.decompress(warc.record(1, "u", b"abc", 3, hashlib.sha1(b"abd").hexdigest(), None, "response", warc.DATE))
     with pytest.raises(ValueError):

@@ -15,6 +15,7 @@ Defined results
 * null html is an empty payload; a null url leaves the record without a target; null ids are written
   and read back as null. Of rows that share id and payload with the response, each is a response.
 * payloads shorter than revisit_bytes, and empty ones, are always responses.
+* archives are opened by the tasks themselves: folders under schemes outside SCHEMES are refused before any work.
 * every row gives a record; other columns are ignored; an empty table gives an empty index.
 """
 
@@ -44,6 +45,8 @@ REVISIT_BYTES = 1000
 #: Records carry this date unless another is given: the same input gives the same archives.
 DATE = "1970-01-01T00:00:00Z"
 
+# Schemes of Spark's folders, and what the tasks' file system calls them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "dbfs": "file"}
 _INDEX = "archive string, offset long, length long, id long, url string, digest string, record_type string"
 
 
@@ -100,9 +103,28 @@ def typed(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
     return both.select("id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("chief")).alias("refers_to"), kind.alias("kind"))
 
 
+def address(uri: str) -> str:
+    """What the tasks' file systems call a folder that Spark names. Schemes outside SCHEMES are refused: tasks open archives
+    themselves, for byte ranges, and cannot reach what only Spark's readers can."""
+    scheme, _, rest = uri.partition(":")
+    if not _ or "/" in scheme:
+        scheme, uri = "file", f"file://{uri}"
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives cannot be kept under {scheme}: use one of {', '.join(sorted(SCHEMES))}")
+    if scheme == "dbfs":
+        return f"file:///dbfs/{rest.lstrip('/')}"
+    if scheme == "file":
+        return "file:///" + uri.partition(":")[2].lstrip("/")
+    return SCHEMES[scheme] + uri[len(scheme) :]
+
+
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(address(uri))
+
+
 def _write_rows(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         out, archive, at = None, "", 0
         names = ["archive", "offset", "length", "id", "url", "digest", "record_type"]
         for batch in chunks(batches, "payload"):
@@ -128,10 +150,23 @@ def _write_rows(folder: str, date: str):
 
 
 def make_folder(uri: str) -> None:
-    store, root = fs.FileSystem.from_uri(uri)
+    store, root = _store(uri)
     store.create_dir(root, recursive=True)
 
 
+def remove_unnamed(index: DataFrame, folder: str) -> list[str]:
+    """Remove the archives that no index row names, which tasks that failed or ran twice have left; returns their names.
+    To be called when no write to the folder is under way."""
+    store, root = _store(f"{folder}/archives")
+    there = [x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.is_file]
+    files = index.sparkSession.createDataFrame([(x,) for x in there], "archive string")
+    # as many rows as there are archives
+    left = [r["archive"] for r in files.join(index.select("archive").distinct(), "archive", "left_anti").collect()]
+    for name in left:
+        store.delete_file(f"{root}/{name}")
+    return sorted(left)
+
+
 def write(pages: DataFrame, folder: str, date: str = DATE, **columns) -> DataFrame:
     """Write the archives to folder/archives and the index to folder/index; returns the index."""
     make_folder(f"{folder}/archives")
@@ -159,7 +194,7 @@ def _read_rows(folder: str, payloads: bool):
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length"))))
             start = 0
