@@ -34,7 +34,7 @@ from ._shared import checkpoint, chunks, release, small_batches, text_bytes
 #: Labelled rows that are learned from at most, over all languages.
 SAMPLE = 4_000
 #: n-grams that are features at most.
-FEATURES = 4_096
+FEATURES = 2_048
 #: Hashed n-grams are told apart by so many bits.
 BITS = 16
 #: Lengths of n-grams, in bytes of UTF-8.
