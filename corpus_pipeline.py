@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if found["rows"] == found["ids"]:
         rows = docs.withColumn("_rid", F.col("doc_id"))
     else:
-        rows = suffix_dedup._number(docs.withColumn("_bytes", F.coalesce("text", F.lit("")).cast("binary")), "doc_id").drop("_bytes")
+        rows = suffix_dedup.numbered(docs.withColumn("_bytes", F.coalesce("text", F.lit("")).cast("binary")), "doc_id").drop("_bytes")
     near = simhash.near_duplicates(rows, id_column="_rid", shingle=3, radius=3)
     stay = near.where(F.col("id") == F.col("component")).select(F.col("id").alias("_id"))
     return rows.join(stay, F.col("_rid") == F.col("_id"), "left_semi").select(*COLUMNS)
@@ -50,8 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier 100-byte string covers; n_chars follows. Earlier is by doc_id (null
     first), then by text; of equal rows all but one lose what is repeated. A null text becomes an empty one."""
-    cut = suffix_dedup.remove_repeats(docs, length=100, keep=("lang", "source"))
-    return cut.withColumn("text", suffix_dedup.decoded("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = suffix_dedup.remove_repeats(docs, length=100, keep=("lang", "source"), as_text=True)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

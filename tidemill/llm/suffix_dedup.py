@@ -38,9 +38,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import checkpoint, chunks, release, small_batches, text_bytes
@@ -472,7 +471,14 @@ def _group_slices(h: np.ndarray, rows: int = 1 << 14) -> Iterator[slice]:
         start = stop
 
 
+def _texts(kept: pa.Array) -> pa.Array:
+    """Bytes as text; bytes of characters that were cut in two go."""
+    return pa.array([x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in kept], pa.string())
+
+
 def _cut_rows(names: list[str], schema: pa.Schema):
+    text = schema.names[-1] == "text"
+
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -501,25 +507,28 @@ def _cut_rows(names: list[str], schema: pa.Schema):
         base = np.repeat(offsets[:-1], np.diff(runs))
         pair = pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], ["start", "end"])
         kept = offsets - count[offsets]
+        left = pa.Array.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(data[~gone])])
+        del depth, gone, begins, stops
         release()
         columns = [docs.column(c).combine_chunks() for c in names]
         columns += [
             pa.array(np.diff(offsets)),
             pa.array(removed),
             pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pair),
-            pa.Array.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(data[~gone])]),
+            _texts(left) if text else left,
         ]
         return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per row of docs: id, the columns in `keep`, n_bytes, n_removed, spans
-    array<struct<start, end>> (byte runs that went), kept (binary, what is left)."""
+    array<struct<start, end>> (byte runs that went), kept (binary, what is left); with as_text, in its place
+    text (what is left as a string, without the bytes of characters that were cut in two)."""
     if not 1 <= length <= MOST_LENGTH:
         raise ValueError(f"length {length}: from 1 to {MOST_LENGTH}")
-    if clash := {id_column, *keep} & {"n_bytes", "n_removed", "spans", "kept", "_rid", "_bucket", "_bytes"}:
+    if clash := {id_column, *keep} & {"n_bytes", "n_removed", "spans", "text" if as_text else "kept", "_rid", "_bucket", "_bytes"}:
         raise ValueError(f"columns {sorted(clash)} have names that the result or its making needs")
     k = min(K, length)
     names = [id_column, *keep]
@@ -530,7 +539,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if found["rows"] == found["ids"]:
         base = base.withColumn("_rid", F.col(id_column).cast("long"))
     else:
-        base = _number(base, id_column)
+        base = numbered(base, id_column)
     base = base.withColumn("_bucket", F.pmod("_rid", F.lit(buckets).cast("long")))
     small_batches(docs.sparkSession)
     to = max(hashes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -546,7 +555,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     around = by_doc.cogroup(meet(recurring, "bucket").groupBy("bucket")).applyInArrow(_context_rows(hashes, length), _ROW)
     spans = around.repartition(to, "bucket").mapInArrow(_span_rows(buckets, length), _ROW)
     kinds = base.select(*names).schema
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields] + ["n_bytes long", "n_removed long", "spans array<struct<start: long, end: long>>", "kept binary"])
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields] + ["n_bytes long", "n_removed long", "spans array<struct<start: long, end: long>>", "text string" if as_text else "kept binary"])
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -554,17 +563,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return by_doc.cogroup(meet(spans, "bucket").groupBy("bucket")).applyInArrow(_cut_rows(names, arrow), out)
 
 
-def decoded(kept: str) -> Column:
-    """What is left as text; bytes of characters that were cut in two go."""
-
-    @F.pandas_udf("string")
-    def decode(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode(F.col(kept))
-
-
-def _number(base: DataFrame, id_column: str) -> DataFrame:
+def numbered(base: DataFrame, id_column: str) -> DataFrame:
     """Row numbers in order of id, then text, where ids are null or not unique: a range sort, counts of
     each partition, and numbers within it."""
     ordered = checkpoint(base.orderBy(F.col(id_column).asc_nulls_first(), F.col("_bytes")).withColumn("_n", F.monotonically_increasing_id()))
