@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metadata, relational, scripts, warehouse
+from . import graphs, metadata, relational, scripts, warehouse
 from .registry import Query
 
-_PARTS = (relational.query, warehouse.query, metadata.query, scripts.query)
+_PARTS = (relational.query, warehouse.query, metadata.query, scripts.query, graphs.query)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
