@@ -31,13 +31,12 @@ def _stated(spark: SparkSession, sf_dir: str, *text: str | Column) -> DataFrame:
     return sqltext.statements(_scripts(spark, sf_dir, *text))
 
 
-_K = F.col("k")
-_NESTED = (
-    "with first as (select s.c", _K % 7, " as u, s.d", _K % 5, " v, s.key_ from dbo.base", _K, " s), second(m, n, k) as (select u + 1, max(v), key_ from first f group by key_), ",
-    "third as (select x.*, y.extra from second x join (select e.w", _K % 5, " as extra, e.k from dbo.extra e) y on y.k = x.k) ",
-    "select t.m as p, t.n, (select min(z.q", _K % 7, ") from dbo.low z where z.k = t.k) as q, t.extra, 'x' as mark from third t",
-    F.when(_K % 2 == 1, F.concat(F.lit(" union all select g.a1, g.b1, g.c1, 0, g.d1 from dbo.arch"), _K.cast("string"), F.lit(" g"))).otherwise(""),
-)
+def _nested() -> tuple[str | Column, ...]:
+    k = F.col("k")
+    arch = F.when(k % 2 == 1, F.concat(F.lit(" union all select g.a1, g.b1, g.c1, 0, g.d1 from dbo.arch"), k.cast("string"), F.lit(" g"))).otherwise("")
+    first = ("with first as (select s.c", k % 7, " as u, s.d", k % 5, " v, s.key_ from dbo.base", k, " s), second(m, n, k) as (select u + 1, max(v), key_ from first f group by key_), ")
+    third = ("third as (select x.*, y.extra from second x join (select e.w", k % 5, " as extra, e.k from dbo.extra e) y on y.k = x.k) ")
+    return (*first, *third, "select t.m as p, t.n, (select min(z.q", k % 7, ") from dbo.low z where z.k = t.k) as q, t.extra, 'x' as mark from third t", arch)
 
 
 @query("""
@@ -50,7 +49,7 @@ select 's' || k as script, 1 as number, a as alias, t as source_table, c as sour
 """.replace("'exact' as confidence", "case when t is not null then 'exact' end as confidence"))
 def nested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CTEs three deep, a derived table, a scalar subquery, a `*` of a CTE and a union."""
-    return scopes.resolve(_stated(spark, sf_dir, *_NESTED)).drop("position")
+    return scopes.resolve(_stated(spark, sf_dir, *_nested())).drop("position")
 
 
 @query("""
@@ -60,7 +59,7 @@ select 's' || k as script, 1 as number, t as "table", a as alias, 'table' as kin
 """)
 def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The physical tables of the same scripts: no CTE and no derived table is among them."""
-    return scopes.physical_tables(_stated(spark, sf_dir, *_NESTED))
+    return scopes.physical_tables(_stated(spark, sf_dir, *_nested()))
 
 
 @query("""
@@ -76,19 +75,17 @@ def wildcard_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = table(spark, sf_dir, "customer").select(j.alias("j")).distinct()
     catalog = tables.select(F.concat(F.lit("DBO.T"), "j").alias("table"), F.explode(F.sequence(F.lit(1), (F.col("j") + 2).cast("int"))).alias("position"))
     catalog = catalog.select("table", F.concat(F.lit("C"), "position").alias("column"), "position")
-    text = ("select a.*, b.*, 1 as one, d.* from dbo.t", _K % 5, " a join (select * from dbo.u) b on b.i = a.c1 cross join (select * from dbo.t", _K % 5, ") d")
+    k = F.col("k")
+    text = ("select a.*, b.*, 1 as one, d.* from dbo.t", k % 5, " a join (select * from dbo.u) b on b.i = a.c1 cross join (select * from dbo.t", k % 5, ") d")
     return scopes.resolve(_stated(spark, sf_dir, *text), catalog=catalog)
 
 
-_N = F.col("n")
-
-
 def _chain() -> tuple[str | Column, ...]:
+    k, n = F.col("k"), F.col("n")
     i = lambda x: x.cast("string")
-    links = F.concat_ws("", F.transform(F.sequence(F.lit(2), _N), lambda x: F.concat(F.lit("select t.c"), i(x - 1), F.lit(" as c"), i(x), F.lit(" into #t"), i(x), F.lit(" from #t"), i(x - 1), F.lit(" t; "))))
-    odd = _K % 2 == 1
-    wiped = F.when(odd, F.concat(F.lit("truncate table #t"), i(_N), F.lit("; insert into dbo.out"))).otherwise("insert into dbo.out (total)")
-    return ("select b.c0 as c1 into #t1 from dbo.base", _K, " b; ", links, "update x set x.c", _N, " = s.w from #t", _N, " x join dbo.side s on s.i = x.c", _N, "; ", wiped, " select z.c", _N, " from #t", _N, " z")
+    links = F.concat_ws("", F.transform(F.sequence(F.lit(2), n), lambda x: F.concat(F.lit("select t.c"), i(x - 1), F.lit(" as c"), i(x), F.lit(" into #t"), i(x), F.lit(" from #t"), i(x - 1), F.lit(" t; "))))
+    wiped = F.when(k % 2 == 1, F.concat(F.lit("truncate table #t"), i(n), F.lit("; insert into dbo.out"))).otherwise("insert into dbo.out (total)")
+    return ("select b.c0 as c1 into #t1 from dbo.base", k, " b; ", links, "update x set x.c", n, " = s.w from #t", n, " x join dbo.side s on s.i = x.c", n, "; ", wiped, " select z.c", n, " from #t", n, " z")
 
 
 #: What each step sets and takes, what is wiped out, and which writes a read sees.
@@ -183,7 +180,9 @@ def current_and_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.query(sql, ["dw.dbo.agreement", "old.archive.dbo.agreement"], ["F", "F"])
 
 
-_CALLS = ("exec [dbo].[usp_load", _K % 3, "] ", _K, ", 'x'; insert into dbo.got (a, b) exec dbo.usp_load", _K % 3, "; exec dbo.usp_other")
+def _calls() -> tuple[str | Column, ...]:
+    k = F.col("k")
+    return ("exec [dbo].[usp_load", k % 3, "] ", k, ", 'x'; insert into dbo.got (a, b) exec dbo.usp_load", k % 3, "; exec dbo.usp_other")
 
 
 @query("""
@@ -196,7 +195,7 @@ def procedure_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.col("c_custkey") % 3
     calls = table(spark, sf_dir, "customer").select(j.alias("j")).distinct()
     catalog = calls.select(F.concat(F.lit("DBO.USP_LOAD"), "j").alias("table"), F.explode(F.sequence(F.lit(1), (F.col("j") + 1).cast("int"))).alias("position"))
-    return scopes.resolve(_stated(spark, sf_dir, *_CALLS), catalog=catalog.select("table", F.concat(F.lit("R"), "position").alias("column"), "position"))
+    return scopes.resolve(_stated(spark, sf_dir, *_calls()), catalog=catalog.select("table", F.concat(F.lit("R"), "position").alias("column"), "position"))
 
 
 # --- written tables, the run log, the period load as a stream -------------------------------------------
