@@ -84,7 +84,8 @@ def _hashable(kind: T.DataType) -> bool:
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join with equal key names where a few keys of left are hot and adaptive execution cannot split them:
     left rows are dealt over `salts` sub-keys by a hash of their columns, right rows repeated for each. how: inner, left,
-    semi, anti; others are refused. Rows that only differ in maps get one sub-key."""
+    semi, anti; others are refused. Rows that only differ in maps get one sub-key. The repeated rows are never broadcast: the
+    optimizer takes them for as few as there were before."""
     if how.lower() not in SALTED:
         raise ValueError(f"a salted join cannot be {how!r}: inner, left, semi or anti")
     salt = free_name(left, "_salt")
@@ -93,4 +94,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     hashed = [F.col(f"`{f.name}`") for f in left.schema if _hashable(f.dataType)] or [F.lit(0)]
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
     spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(spread, [*keys, salt], how).drop(salt)
+    return dealt.join(spread.hint("merge"), [*keys, salt], how).drop(salt)
