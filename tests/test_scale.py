@@ -5,7 +5,12 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
-from tidemill.operators import joins
+from tidemill.operators import joins, scopes, sqltext
+from tidemill.sources import packages
+
+
+def size(df) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def plan(df) -> str:
@@ -21,3 +26,10 @@ def test_repeated_rows_of_a_salted_join_are_not_broadcast(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert "Broadcast" not in plan(joins.salted_join(left, right, ["k"], how))
     assert joins.salted_join(left, right, ["k"]).count() == 10
+
+
+def test_select_lists_leave_out_called_procedures(spark):
+    stated = sqltext.statements(spark.createDataFrame([("s", "select a.x from t a; exec dbo.p; insert into u exec dbo.q")], "script string, sql string"))
+    sources = lambda **kw: sorted((r.number, r.source_table, r.source_column) for r in scopes.column_sources(stated, **kw).collect())
+    assert sources(called=False) == [(1, "T", "X")]
+    assert sources() == [(1, "T", "X"), (2, "DBO.P", "*"), (3, "DBO.Q", "*")]

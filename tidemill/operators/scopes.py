@@ -218,9 +218,9 @@ class _Statement:
                 yield name_at(self.tokens, a)[0].rpartition(".")[2], equals + 1, b, self.tokens[equals + 1 : b]
 
 
-def _facts(sql: str) -> Iterator[tuple]:
+def _facts(sql: str, procedures: bool = True) -> Iterator[tuple]:
     s = _Statement(sql)
-    if not s.found and (called := s.procedure()):
+    if procedures and not s.found and (called := s.procedure()):
         # the rows of EXEC are those of a procedure: `*` of it
         yield ("scope", 0, 0, 0, None, None, None, "main", None, None, None, [0])
         yield ("source", 0, None, None, 0, called, called.rpartition(".")[2], "function", 0, None, None, None)
@@ -234,7 +234,7 @@ def _facts(sql: str) -> Iterator[tuple]:
     apart = {set_id for own in read for _, _, _, set_id, _, _, applied in own if set_id is not None and not applied}
 
     def row(fact: str, **f: object) -> tuple:
-        return tuple({"fact": fact, **f}.get(c) for c in _FIELDS)
+        return (fact, *map(f.get, _FIELDS[1:]))
 
     operation, target = operation_of(s.tokens)
     if target and operation != "EXEC":
@@ -261,9 +261,10 @@ def _facts(sql: str) -> Iterator[tuple]:
                 yield row("ref", scope=k, position=n, owner=owner, name=column, set_id=set_id)
 
 
-def facts(stated: DataFrame, key: str = "script") -> DataFrame:
-    """key, number and the facts of each statement: scopes, sources, items of select lists, names that items use."""
-    return _each(stated, key, _FACTS, _facts)
+def facts(stated: DataFrame, key: str = "script", called: bool = True) -> DataFrame:
+    """key, number and the facts of each statement: scopes, sources, items of select lists, names that items use. called: EXEC
+    is a source too."""
+    return _each(stated, key, _FACTS, lambda s: _facts(s, called))
 
 
 def _sources(found: DataFrame, on: list[str]) -> DataFrame:
@@ -374,14 +375,15 @@ def _steps(found: DataFrame, own: DataFrame, done: DataFrame, refs: DataFrame, c
     return checkpoint(steps.join(sets, [*on, "scope"]).drop("scope").distinct())
 
 
-def resolve(stated: DataFrame, key: str = "script", catalog: DataFrame | None = None) -> DataFrame:
+def resolve(stated: DataFrame, key: str = "script", catalog: DataFrame | None = None, called: bool = True) -> DataFrame:
     """key, number, position, alias, source_table, source_column, confidence, levels of the outermost select's columns (for
     UPDATE ... SET: of the columns it sets), in all branches of a UNION; branches meet by position, under the first one's aliases.
 
     A column without a source has one row whose `source_table` and `source_column` are null. levels: inner selects between the
     column and its source. catalog (table, column, position from 1, upper case) gives tables' columns, for `*` and for
-    columns without an owner; a `*` whose columns are unknown is a source_column `*`."""
-    return resolve_facts(checkpoint(facts(stated, key)), key, catalog)
+    columns without an owner; a `*` whose columns are unknown is a source_column `*`. called: procedures that EXEC calls
+    are sources too."""
+    return resolve_facts(checkpoint(facts(stated, key, called)), key, catalog)
 
 
 def resolve_facts(found: DataFrame, key: str, catalog: DataFrame | None = None) -> DataFrame:
@@ -413,14 +415,15 @@ def resolve_facts(found: DataFrame, key: str, catalog: DataFrame | None = None)
     return roots.select(*on, "root", "alias").join(best, [*on, "root"], "left").withColumnRenamed("root", "position")
 
 
-def column_sources(stated: DataFrame, key: str = "script", catalog: DataFrame | None = None) -> DataFrame:
+def column_sources(stated: DataFrame, key: str = "script", catalog: DataFrame | None = None, called: bool = True) -> DataFrame:
     """key, number, alias, source_table, source_column, confidence of the columns that have a source: see resolve."""
-    return resolve(stated, key, catalog).where("source_column is not null").select(key, "number", "alias", "source_table", "source_column", "confidence").distinct()
+    return resolve(stated, key, catalog, called).where("source_column is not null").select(key, "number", "alias", "source_table", "source_column", "confidence").distinct()
 
 
 def physical_tables(stated: DataFrame, key: str = "script") -> DataFrame:
     """key, number, table, alias, kind (table, function) of what a statement's selects read; CTEs and derived tables are not listed."""
-    return tables_of(facts(stated, key), key)
+    # both sides of the join read what each text gives once
+    return tables_of(checkpoint(facts(stated, key).where("(fact = 'source') or (fact = 'scope' and name is not null)")), key)
 
 
 def tables_of(found: DataFrame, key: str) -> DataFrame:
