@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import io
+import os
 from contextlib import redirect_stdout
+from glob import glob
 
+from pyspark.sql import functions as F
+
+from tidemill.folders import shared_root
 from tidemill.operators import joins, scopes, sqltext
 from tidemill.sources import packages
 
@@ -33,3 +38,35 @@ def test_select_lists_leave_out_called_procedures(spark):
     sources = lambda **kw: sorted((r.number, r.source_table, r.source_column) for r in scopes.column_sources(stated, **kw).collect())
     assert sources(called=False) == [(1, "T", "X")]
     assert sources() == [(1, "T", "X"), (2, "DBO.P", "*"), (3, "DBO.Q", "*")]
+
+
+def test_texts_are_dealt_over_tasks(spark):
+    few = spark.range(12_000).coalesce(1).selectExpr("id as script", "concat('select a.x from t', id, ' a; exec p') as sql")
+    stated = sqltext.statements(few)
+    at = stated.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in at) == 24_000 and len(at) >= 3 and max(r["count"] for r in at) < 12_000
+
+
+def test_facts_of_texts_have_no_guessed_size(spark):
+    # a row of text becomes many, which a plan's estimate does not see
+    stated = sqltext.statements(spark.createDataFrame([("s", "select a.x from t a join u b on a.i = b.i")], "script string, sql string"))
+    for made in (sqltext.tables(stated), scopes.facts(stated), sqltext.join_conditions(stated)):
+        assert size(made) > 1 << 40
+
+
+def test_alias_of_several_tables_and_unknown_alias_in_joins(spark):
+    sql = "select 1 from b x join a x on x.i = z.i join c y on y.j = x.j and y.j = x.j"
+    stated = sqltext.statements(spark.createDataFrame([(None, sql), (None, sql)], "script string, sql string"))
+    got = sorted((r.left_table, r.left_column, r.right_table) for r in sqltext.join_conditions(stated).collect())
+    assert got == [("A", "I", "Z"), ("C", "J", "A")]
+    assert sorted((r.alias, r.table, r.column) for r in sqltext.join_keys(stated, mode="all_refs").collect()) == [("X", "A", "I"), ("X", "A", "J"), ("Y", "C", "J"), ("Z", "Z", "I")]
+
+
+def test_packages_are_dealt_and_their_catalogs_have_no_guessed_size(spark):
+    few = spark.range(4_100).coalesce(1).selectExpr("concat(id, '.dtsx') as package", "'<a>' as text")
+    found = packages.catalogs(few)
+    assert size(found["columns"]) > 1 << 40
+    info = found["package_info"]
+    assert info.count() == 4_100 and len(info.groupBy("package").count().where("count > 1").take(1)) == 0
+    written = max(glob(f"{shared_root(spark).removeprefix('file:')}/tidemill-catalogs-*"), key=os.path.getmtime)
+    assert len(glob(f"{written}/catalog=package_info/*.parquet")) >= 2

@@ -1,4 +1,4 @@
-"""Folders that the driver and all executors see, and plans cut through them."""
+"""Folders that the driver and all executors see, plans cut through them, and rows dealt over tasks."""
 
 from __future__ import annotations
 
@@ -36,6 +36,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *by: str, rows: int = 5_000) -> DataFrame:
+    """df dealt by a hash of columns over tasks of about `rows` rows each: a file of one row group is else read, and its rows worked on, by one task."""
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
+
+
+def unestimated(df: DataFrame) -> DataFrame:
+    """df without an estimate of its size. Where tasks turn a row into many, the plan's estimate stays that of the rows read, and
+    a join would send what it takes for small through the driver; without one, adaptive execution goes by the sizes it measures."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

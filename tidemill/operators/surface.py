@@ -20,9 +20,7 @@ class SplitStatements:
     """number, statement, operation, target of a script's statements; a null script has none."""
 
     def eval(self, sql: str | None) -> Iterator[tuple]:
-        found = [s for s in map(str.strip, sqltext.split_text(sql or "")) if s]
-        for n, s in enumerate(found):
-            yield n + 1, s, *sqltext.operation_of(sqltext.scan(s))
+        yield from sqltext.stated_rows(sql or "")
 
 
 class StatementTables:

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.folders import fresh
+from tidemill.folders import dealt, fresh
 from tidemill.functions import expressions
 from tidemill.operators import dml, scopes, sqltext, steps, surface
 from tidemill.sources.tables import Tables
@@ -124,7 +124,7 @@ def facts_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of these scripts, what they read and list, by table functions in lateral joins."""
     surface.register(spark)
     name = f"scripts_{uuid.uuid4().hex}"
-    _scripts(spark, sf_dir, *_chain()).createOrReplaceTempView(name)
+    dealt(_scripts(spark, sf_dir, *_chain()), "script").createOrReplaceTempView(name)
     try:
         return spark.sql(f"""
           with s as (select q.script, x.number, x.statement from {name} q, lateral split_statements(q.sql) x),
