@@ -70,3 +70,16 @@ def test_packages_are_dealt_and_their_catalogs_have_no_guessed_size(spark):
     assert info.count() == 4_100 and len(info.groupBy("package").count().where("count > 1").take(1)) == 0
     written = max(glob(f"{shared_root(spark).removeprefix('file:')}/tidemill-catalogs-*"), key=os.path.getmtime)
     assert len(glob(f"{written}/catalog=package_info/*.parquet")) >= 2
+
+
+def test_statements_scan_a_script_once(monkeypatch):
+    seen, scan = [], sqltext.scan
+    monkeypatch.setattr(sqltext, "scan", lambda sql, blanks=False: seen.append(len(sql)) or scan(sql, blanks))
+    sql = "select a.x, b.y as z from t a join u b on a.i = b.i;\nexec p\nGO\nupdate t set x = 1"
+    assert [(r[0], r[2], r[3]) for r in sqltext.stated_rows(sql)] == [(1, "SELECT", None), (2, "EXEC", "P"), (3, "UPDATE", "T")]
+    assert sum(seen) == len(sql)
+    # what the text before leaves open, and what a cut at the ends changes, is scanned anew
+    assert [r[2:] for r in sqltext.stated_rows("select (1;exec p; insert into[ \nGO\n")] == [("SELECT", None), ("EXEC", "P"), ("INSERT", " \nGO")]
+    seen.clear()
+    assert [r[2] for r in sqltext.list_rows("select a.x + 1 as y, 'z' from t a")] == ["A.X + 1", "'Z'"]
+    assert len(seen) == 1
