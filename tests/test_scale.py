@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.folders import shared_root
 from tidemill.operators import joins, scopes, sqltext
+from tidemill.plans import scripts
 from tidemill.sources import packages
 
 
@@ -83,3 +84,9 @@ def test_statements_scan_a_script_once(monkeypatch):
     seen.clear()
     assert [r[2] for r in sqltext.list_rows("select a.x + 1 as y, 'z' from t a")] == ["A.X + 1", "'Z'"]
     assert len(seen) == 1
+
+
+def test_table_functions_cut_scripts_once(spark):
+    made = scripts.facts_from_sql(spark, "/root/testdata/sf0.001")
+    shown = plan(made)
+    assert "split_statements" not in shown and "Join" not in shown.replace("lateral", "")

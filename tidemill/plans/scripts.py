@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.folders import dealt, fresh
+from tidemill.folders import checkpoint, dealt, fresh
 from tidemill.functions import expressions
 from tidemill.operators import dml, scopes, sqltext, steps, surface
 from tidemill.sources.tables import Tables
@@ -123,17 +123,19 @@ def script_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facts_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of these scripts, what they read and list, by table functions in lateral joins."""
     surface.register(spark)
-    name = f"scripts_{uuid.uuid4().hex}"
-    dealt(_scripts(spark, sf_dir, *_chain()), "script").createOrReplaceTempView(name)
+    scripts, stated = (f"{x}_{uuid.uuid4().hex}" for x in ("scripts", "stated"))
+    dealt(_scripts(spark, sf_dir, *_chain()), "script").createOrReplaceTempView(scripts)
     try:
+        # scripts are cut once for all that reads their statements, and counts are added up, not joined
+        checkpoint(spark.sql(f"select q.script, x.statement from {scripts} q, lateral split_statements(q.sql) x")).createOrReplaceTempView(stated)
         return spark.sql(f"""
-          with s as (select q.script, x.number, x.statement from {name} q, lateral split_statements(q.sql) x),
-          t as (select s.script, s.number, count(*) as n from s, lateral statement_tables(s.statement) group by s.script, s.number),
-          c as (select s.script, s.number, count(*) as n from s, lateral select_list(s.statement) group by s.script, s.number)
-          select s.script, count(*) as statements, sum(coalesce(t.n, 0)) as reads, sum(coalesce(c.n, 0)) as columns
-          from s left join t using (script, number) left join c using (script, number) group by s.script""")
+          select script, sum(s) as statements, sum(r) as reads, sum(c) as columns from (
+            select script, 1 as s, 0 as r, 0 as c from {stated}
+            union all select q.script, 0, 1, 0 from {stated} q, lateral statement_tables(q.statement)
+            union all select q.script, 0, 0, 1 from {stated} q, lateral select_list(q.statement)) group by script""")
     finally:
-        spark.catalog.dropTempView(name)
+        spark.catalog.dropTempView(scripts)
+        spark.catalog.dropTempView(stated)
 
 
 # --- expressions from their text, names in SQL ----------------------------------------------------------
