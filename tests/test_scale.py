@@ -9,7 +9,7 @@ from glob import glob
 
 from pyspark.sql import functions as F
 
-from tidemill.folders import shared_root
+from tidemill.folders import kept, shared_root
 from tidemill.operators import joins, scopes, sqltext
 from tidemill.plans import scripts
 from tidemill.sources import packages
@@ -90,3 +90,24 @@ def test_table_functions_cut_scripts_once(spark):
     made = scripts.facts_from_sql(spark, "/root/testdata/sf0.001")
     shown = plan(made)
     assert "split_statements" not in shown and "Join" not in shown.replace("lateral", "")
+
+
+def test_rows_of_a_statement_are_dealt_once(spark):
+    rows = spark.range(40).selectExpr("cast(id % 7 as string) as a", "id % 3 as b", "id as c").repartition(5, "a", "b")
+    at = kept(rows)
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    both = kept(at.join(at.select("a", "b", "c", F.lit(1).alias("one")), ["a", "b", "c"], "left"))
+    for made in (at, both):
+        assert made.rdd.getNumPartitions() == 5 and "Exchange" not in plan(made.groupBy("a", "b", "c").count())
+    assert both.count() == 40
+    assert before == (spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition"))
+
+
+def test_columns_of_statements_come_without_shuffles_but_the_first(spark):
+    few = spark.range(300).selectExpr("concat('s', id) as script", "'select a.*, b.y as z from t a join (select * from u) b on a.i = b.i; exec p' as sql")
+    catalog = spark.createDataFrame([("T", "X", 1), ("T", "Y", 2)], "table string, column string, position int")
+    found = scopes.resolve(sqltext.statements(few), catalog=catalog)
+    assert "Exchange" not in plan(found.groupBy("script", "number", "position").count())
+    got = {tuple(r) for r in found.where("script = 's7'").select("number", "position", "source_table", "source_column", "confidence").collect()}
+    assert got == {(1, 0, "T", "X", "exact"), (1, 1, "T", "Y", "exact"), (1, 2, "U", "Y", "assumed"), (2, 0, "P", "*", "exact")}
+    assert found.count() == 1_200

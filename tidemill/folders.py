@@ -36,6 +36,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """checkpoint() of what is made of rows dealt by columns that all its joins, groups and windows have among their keys: the rows
+    stay where they are, here and for what reads the result. Adaptive plans forget how their rows are dealt, so this one is none."""
+    conf, own = df.sparkSession.conf, {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        return checkpoint(df)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 def dealt(df: DataFrame, *by: str, rows: int = 5_000) -> DataFrame:
     """df dealt by a hash of columns over tasks of about `rows` rows each: a file of one row group is else read, and its rows worked on, by one task."""
     return df.repartition(max(1, -(-df.count() // rows)), *by)

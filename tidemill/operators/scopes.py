@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.folders import checkpoint
+from tidemill.folders import checkpoint, dealt, kept
 
 from .sqltext import _NO_ALIAS, _NO_COLUMN, Select, Token, _each, _kind, _text, items, name_at, operation_of, scan, selects, table_places
 
@@ -27,6 +27,8 @@ _FACTS = "fact string, scope int, set_id int, branch int, position int, name str
 _FIELDS = [c.split()[0] for c in _FACTS.split(", ")]
 # Hints that stand in parentheses behind a table's name.
 HINTS = frozenset("NOLOCK READPAST ROWLOCK TABLOCK TABLOCKX UPDLOCK XLOCK HOLDLOCK READUNCOMMITTED INDEX FORCESEEK NOWAIT PAGLOCK SERIALIZABLE".split())
+#: Facts of statements that a task relates, about.
+_TOGETHER = 50_000
 #: Confidence by rank: a path is as sure as its least sure step.
 SURE = ("exact", "assumed", "unresolved", "ambiguous")
 
@@ -288,6 +290,15 @@ def _called(own: DataFrame, on: list[str]) -> DataFrame:
     return names.join(names.groupBy(*keys).agg(F.min("ordinal").alias("ordinal")), [*keys, "ordinal"], "left_semi")
 
 
+def _listed(own: DataFrame, catalog: DataFrame | None, on: list[str]) -> DataFrame:
+    """The catalog's columns of the tables that each statement reads, with the statement."""
+    if catalog is None:
+        columns = "table string, column string, position int"
+        return own.sparkSession.createDataFrame([], f"{', '.join(f'`{c}` {own.schema[c].dataType.simpleString()}' for c in on)}, {columns}")
+    read = own.where("`table` is not null").select(*on, "table").distinct()
+    return kept(checkpoint(read.join(catalog.select("table", "column", "position"), "table")).repartition(own.rdd.getNumPartitions(), *on))
+
+
 def _expand(found: DataFrame, own: DataFrame, columns: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Items and references with each `*` replaced by the columns it stands for, innermost sets first; by one
     item `*` where a source's columns are unknown. `wild` marks those."""
@@ -297,7 +308,7 @@ def _expand(found: DataFrame, own: DataFrame, columns: DataFrame, on: list[str])
     refs = found.where("fact = 'ref'").select(*on, "scope", path.alias("path"), "owner", F.col("name").alias("column"), "set_id")
     done = all_.where("not star").select(*on, "scope", "set_id", "branch", "path", "alias", F.lit(False).alias("wild"))
     open_ = all_.where("star")
-    open_ = checkpoint(open_)
+    open_ = kept(open_)
     meant = own.withColumnRenamed("alias", "s_alias")
     called = _called(own, on).withColumnRenamed("alias", "s_alias").withColumnRenamed("called", "owner")
     while not open_.isEmpty():
@@ -310,34 +321,34 @@ def _expand(found: DataFrame, own: DataFrame, columns: DataFrame, on: list[str])
         lists = done.where("branch = 0").select(*on, F.col("set_id").alias("to_set"), F.col("path").alias("p"), F.col("alias").alias("column"), F.col("wild").alias("w"))
         place = F.row_number().over(Window.partitionBy(*on, "to_set").orderBy("p"))
         lists = lists.withColumn("n", place).drop("p")
-        known = columns.select(F.col("table"), F.col("column").alias("c_column"), F.col("position").alias("c_n"))
-        rows = rows.join(lists, [*on, "to_set"], "left").join(known, ["table"], "left")
+        known = columns.select(*on, "table", F.col("column").alias("c_column"), F.col("position").alias("c_n"))
+        rows = rows.join(lists, [*on, "to_set"], "left").join(known, [*on, "table"], "left")
         column = F.coalesce(F.get("names", F.coalesce("n", "c_n") - 1), "c_column", "column", F.lit("*"))
         made = rows.select(*item, "ordinal", "s_alias", column.alias("column"), F.coalesce("n", "c_n", F.lit(1)).alias("n"), (F.coalesce("w", F.lit(False)) | (column == "*")).alias("wild"))
-        made = checkpoint(made.withColumn("path", F.array(F.get("path", 0), F.col("ordinal") + 1, F.col("n"))))
+        made = kept(made.withColumn("path", F.array(F.get("path", 0), F.col("ordinal") + 1, F.col("n"))))
         done = done.unionByName(made.select(*item, F.col("column").alias("alias"), "wild"))
         refs = refs.unionByName(made.select(*on, "scope", "path", F.col("s_alias").alias("owner"), "column", F.lit(None).cast("int").alias("set_id")))
-        open_ = checkpoint(open_.join(ready, item, "left_anti"))
+        open_ = kept(open_.join(ready, item, "left_anti"))
     place = F.row_number().over(Window.partitionBy(*on, "scope").orderBy("path")) - 1
-    done = checkpoint(done.withColumn("position", place))
+    done = kept(done.withColumn("position", place))
     return done, refs.join(done.select(*on, "scope", "path", "position"), [*on, "scope", "path"]).drop("path")
 
 
 def _steps(found: DataFrame, own: DataFrame, done: DataFrame, refs: DataFrame, columns: DataFrame, on: list[str]) -> DataFrame:
     """Of each output (scope, position) what it takes: an output of another set, or a table's column."""
     names = found.where("fact = 'scope' and branch = 0").select(*on, "set_id", F.col("names").alias("given"))
-    outputs = done.where("branch = 0").join(names, [*on, "set_id"], "left").select(*on, F.col("set_id").alias("to_set"), F.col("position").alias("to_position"), F.coalesce(F.get("given", F.col("position")), "alias").alias("out"), "wild")
+    outputs = kept(done.where("branch = 0").join(names, [*on, "set_id"], "left").select(*on, F.col("set_id").alias("to_set"), F.col("position").alias("to_position"), F.coalesce(F.get("given", F.col("position")), "alias").alias("out"), "wild"))
     open_sets = outputs.where("wild").groupBy(*on, "to_set").agg(F.min("to_position").alias("wild_position"))
     by_set = own.where("to_set is not null").join(outputs, [*on, "to_set"]).select(*on, F.col("scope").alias("at"), "ordinal", F.coalesce(F.get("names", F.col("to_position")), "out").alias("column"), "to_position")
-    by_table = own.join(columns, "table").select(*on, F.col("scope").alias("at"), "ordinal", "column", F.lit(-1).alias("to_position"))
+    by_table = own.join(columns, [*on, "table"]).select(*on, F.col("scope").alias("at"), "ordinal", "column", F.lit(-1).alias("to_position"))
     by_list = own.where("to_set is null and names is not null").select(*on, F.col("scope").alias("at"), "ordinal", F.explode("names").alias("column"), F.lit(-1).alias("to_position"))
     # an output's name may recur; the first one counts
-    offered = by_set.unionByName(by_table).unionByName(by_list).groupBy(*on, "at", "ordinal", "column").agg(F.min("to_position").alias("to_position"))
-    listed = columns.select("table").distinct().withColumn("listed", F.lit(True))
+    offered = kept(by_set.unionByName(by_table).unionByName(by_list).groupBy(*on, "at", "ordinal", "column").agg(F.min("to_position").alias("to_position")))
+    listed = columns.select(*on, "table").distinct().withColumn("listed", F.lit(True))
     around = found.where("fact = 'scope'").select(*on, "scope", F.posexplode("around").alias("distance", "at"))
-    named = checkpoint(refs.where("set_id is null").drop("set_id").join(around, [*on, "scope"]))
+    named = kept(refs.where("set_id is null").drop("set_id").join(around, [*on, "scope"]))
     may = F.col("wild_position").isNotNull() | (F.col("kind").isin("table", "function") & F.col("listed").isNull()) | (F.col("kind").isin("values", "self") & F.col("names").isNull())
-    sources = own.join(open_sets, [*on, "to_set"], "left").join(listed, ["table"], "left").withColumn("may", F.coalesce(may, F.lit(False))).withColumnRenamed("scope", "at")
+    sources = kept(own.join(open_sets, [*on, "to_set"], "left").join(listed, [*on, "table"], "left").withColumn("may", F.coalesce(may, F.lit(False))).withColumnRenamed("scope", "at"))
     field = ["ordinal", "kind", "to_set", "table", "alias", "wild_position"]
     source = F.struct(*field).alias("s")
     owned, bare = named.where("owner is not null"), named.where("owner is null")
@@ -372,7 +383,7 @@ def _steps(found: DataFrame, own: DataFrame, done: DataFrame, refs: DataFrame, c
     inner = refs.where("set_id is not null").select(*on, "scope", "position", F.col("set_id").alias("to_set")).join(outputs.select(*on, "to_set", "to_position"), [*on, "to_set"])
     steps = steps.unionByName(inner.select(*on, "scope", "position", "to_set", "to_position", *(F.lit(None).cast("string").alias(c) for c in ("source_table", "source_column")), F.lit(0).alias("sure")))
     sets = found.where("fact = 'scope'").select(*on, "scope", "set_id")
-    return checkpoint(steps.join(sets, [*on, "scope"]).drop("scope").distinct())
+    return kept(steps.join(sets, [*on, "scope"]).drop("scope").distinct())
 
 
 def resolve(stated: DataFrame, key: str = "script", catalog: DataFrame | None = None, called: bool = True) -> DataFrame:
@@ -389,10 +400,12 @@ def resolve(stated: DataFrame, key: str = "script", catalog: DataFrame | None =
 def resolve_facts(found: DataFrame, key: str, catalog: DataFrame | None = None) -> DataFrame:
     """resolve() of facts at hand."""
     on = [key, "number"]
-    columns = catalog if catalog is not None else found.sparkSession.createDataFrame([], "table string, column string, position int")
-    own = checkpoint(_sources(found, on))
-    done, refs = _expand(found, own, columns.select("table", "column", "position"), on)
-    steps = _steps(found, own, done, refs, columns.select("table", "column"), on)
+    # all joins are within a statement: its rows are dealt once, and stay together
+    found = kept(dealt(found, *on, rows=_TOGETHER))
+    own = kept(_sources(found, on))
+    columns = _listed(own, catalog, on)
+    done, refs = _expand(found, own, columns, on)
+    steps = _steps(found, own, done, refs, columns, on)
     main = found.where("fact = 'scope' and owner = 'main'").select(*on, "scope")
     roots = done.where("branch = 0").join(main, [*on, "scope"], "left_semi").select(*on, F.col("position").alias("root"), "alias", "set_id", "position")
     front = roots.select(*on, "root", "set_id", "position", F.lit(0).alias("sure"), F.lit(None).cast("string").alias("carried"))
@@ -401,7 +414,7 @@ def resolve_facts(found: DataFrame, key: str, catalog: DataFrame | None = None)
         hop = front.join(steps.withColumnRenamed("sure", "_sure"), [*on, "set_id", "position"])
         # a name that an unknown `*` must hold goes on under its own name
         column = F.when((F.col("source_column") == "*") & F.col("carried").isNotNull(), F.col("carried")).otherwise(F.col("source_column"))
-        hop = checkpoint(hop.select(*on, "root", "to_set", "to_position", "source_table", column.alias("source_column"), F.greatest("sure", "_sure").alias("sure"), "carried").distinct())
+        hop = kept(hop.select(*on, "root", "to_set", "to_position", "source_table", column.alias("source_column"), F.greatest("sure", "_sure").alias("sure"), "carried").distinct())
         ends = hop.where("to_set is null").select(*on, "root", "source_table", "source_column", "sure", F.lit(level).alias("levels"))
         reached = ends if reached is None else reached.unionByName(ends)
         front = hop.where("to_set is not null").select(*on, "root", F.col("to_set").alias("set_id"), F.col("to_position").alias("position"), "sure", F.coalesce("carried", F.when(F.col("sure") > 0, F.col("source_column"))).alias("carried")).distinct()
@@ -412,7 +425,7 @@ def resolve_facts(found: DataFrame, key: str, catalog: DataFrame | None = None)
     best = reached.groupBy(*on, "root", "source_table", "source_column").agg(F.min(F.struct("sure", "levels")).alias("b"))
     sure = F.element_at(F.array(*map(F.lit, SURE)), F.col("b.sure") + 1)
     best = best.select(*on, "root", "source_table", "source_column", sure.alias("confidence"), F.col("b.levels").alias("levels"))
-    return roots.select(*on, "root", "alias").join(best, [*on, "root"], "left").withColumnRenamed("root", "position")
+    return kept(roots.select(*on, "root", "alias").join(best, [*on, "root"], "left").withColumnRenamed("root", "position"))
 
 
 def column_sources(stated: DataFrame, key: str = "script", catalog: DataFrame | None = None, called: bool = True) -> DataFrame:
