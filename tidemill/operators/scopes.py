@@ -286,8 +286,8 @@ def _sources(found: DataFrame, on: list[str]) -> DataFrame:
 def _called(own: DataFrame, on: list[str]) -> DataFrame:
     """Sources by each name that an owner may use, the alias or the whole name; of equal names in a scope the first source."""
     names = own.select("*", F.explode(F.array_distinct(F.array_compact(F.array("alias", "name")))).alias("called"))
-    keys = [*on, "scope", "called"]
-    return names.join(names.groupBy(*keys).agg(F.min("ordinal").alias("ordinal")), [*keys, "ordinal"], "left_semi")
+    first = F.min("ordinal").over(Window.partitionBy(*on, "scope", "called"))
+    return names.withColumn("_first", first).where("ordinal = _first").drop("_first")
 
 
 def _listed(own: DataFrame, catalog: DataFrame | None, on: list[str]) -> DataFrame:
@@ -310,14 +310,14 @@ def _expand(found: DataFrame, own: DataFrame, columns: DataFrame, on: list[str])
     open_ = all_.where("star")
     open_ = kept(open_)
     meant = own.withColumnRenamed("alias", "s_alias")
-    called = _called(own, on).withColumnRenamed("alias", "s_alias").withColumnRenamed("called", "owner")
+    called = kept(_called(own, on).withColumnRenamed("alias", "s_alias").withColumnRenamed("called", "owner"))
     while not open_.isEmpty():
         rows = open_.where("owner is null").join(meant, [*on, "scope"], "left")
         rows = rows.unionByName(open_.where("owner is not null").join(called, [*on, "scope", "owner"], "left"))
-        waits = rows.join(open_.select(*on, F.col("set_id").alias("to_set"), F.lit(True).alias("busy")).distinct(), [*on, "to_set"], "left")
         item = [*on, "scope", "set_id", "branch", "path"]
-        ready = waits.groupBy(*item).agg(F.max(F.coalesce("busy", F.lit(False))).alias("busy")).where("not busy").drop("busy")
-        rows = rows.join(ready, item, "left_semi")
+        waits = rows.join(open_.select(*on, F.col("set_id").alias("to_set"), F.lit(True).alias("busy")).distinct(), [*on, "to_set"], "left")
+        waits = kept(waits.withColumn("busy", F.max(F.coalesce("busy", F.lit(False))).over(Window.partitionBy(*item))))
+        rows = waits.where("not busy")
         lists = done.where("branch = 0").select(*on, F.col("set_id").alias("to_set"), F.col("path").alias("p"), F.col("alias").alias("column"), F.col("wild").alias("w"))
         place = F.row_number().over(Window.partitionBy(*on, "to_set").orderBy("p"))
         lists = lists.withColumn("n", place).drop("p")
@@ -328,7 +328,7 @@ def _expand(found: DataFrame, own: DataFrame, columns: DataFrame, on: list[str])
         made = kept(made.withColumn("path", F.array(F.get("path", 0), F.col("ordinal") + 1, F.col("n"))))
         done = done.unionByName(made.select(*item, F.col("column").alias("alias"), "wild"))
         refs = refs.unionByName(made.select(*on, "scope", "path", F.col("s_alias").alias("owner"), "column", F.lit(None).cast("int").alias("set_id")))
-        open_ = kept(open_.join(ready, item, "left_anti"))
+        open_ = waits.where("busy").select(*open_.columns).distinct()
     place = F.row_number().over(Window.partitionBy(*on, "scope").orderBy("path")) - 1
     done = kept(done.withColumn("position", place))
     return done, refs.join(done.select(*on, "scope", "path", "position"), [*on, "scope", "path"]).drop("path")
