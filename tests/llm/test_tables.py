@@ -274,3 +274,24 @@ def test_language_held_out_accuracy(spark):
     at = "/root/testdata/sf0.01"
     got = op13_language_families(spark, at).where("held_out").join(spark.read.parquet(f"{at}/documents.parquet").where("lang is not null"), "doc_id").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+
+
+def test_a_word_before_a_mark_is_asked_of_the_model_once(monkeypatch):
+    import types
+
+    import numpy as np
+    import tokenizers
+
+    from tidemill.llm import packing
+
+    path = packing.vocabulary(packing.TOKENIZER)
+    real, asked = tokenizers.Tokenizer.from_file(path), []
+    model = types.SimpleNamespace(tokenize=lambda w: asked.append(w) or real.model.tokenize(w))
+    monkeypatch.setattr(tokenizers, "Tokenizer", types.SimpleNamespace(from_file=lambda p: types.SimpleNamespace(model=model, encode=real.encode)))
+    packing.encoder.cache_clear()
+    try:
+        for text in ("so word word, word; (word) word.\nword\tword don't naïve, naïve 12, 12", "é, é ab- ab", "x \x7f, y\x01, y"):
+            assert np.frombuffer(packing.encoder(path)(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+    finally:
+        packing.encoder.cache_clear()
+    assert asked.count("Ġword") == 1 and asked.count("Ġab") == 1

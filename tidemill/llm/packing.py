@@ -33,6 +33,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ CAPACITY = 1024
 RANKED, GROUPS = 1 << 10, 1 << 16
 END_TOKEN = 2
 #: Stretches whose ids a worker keeps, and characters of one that is kept at most.
-CACHED, KEPT_LENGTH = 1 << 18, 64
+CACHED, KEPT_LENGTH = 1 << 19, 64
 #: A public vocabulary file.
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the words of byte-level BPE.
@@ -89,7 +90,7 @@ def encoder(tokenizer: str) -> Callable[[str], bytes]:
         return plain
     added = [t["content"] for t in file["added_tokens"]]
     words, model, letters = regex.compile(PATTERN).findall, whole.model, _byte_letters()
-    blank = re.compile(r" (?:\s|\Z)").search
+    blank, number = re.compile(r" (?:\s|\Z)").search, attrgetter("id")
     pack_ids = [struct.Struct(f"<{n}I").pack for n in range(KEPT_LENGTH + 1)]
 
     class Known(dict):
@@ -113,7 +114,9 @@ def encoder(tokenizer: str) -> Callable[[str], bytes]:
     def one(word: str) -> bytes:
         if len(word) > KEPT_LENGTH:
             return plain(word)
-        ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+        # of printable ASCII only the space is written as another letter
+        plainly = word.isascii() and word.isprintable()
+        ids = list(map(number, model.tokenize(word.replace(" ", letters[32]) if plainly else word.encode().decode("latin-1").translate(letters))))
         return pack_ids[len(ids)](*ids) if len(ids) <= KEPT_LENGTH else np.array(ids, "<u4").tobytes()
 
     single = Known(one)
@@ -121,8 +124,15 @@ def encoder(tokenizer: str) -> Callable[[str], bytes]:
     def cut(part: str) -> bytes:
         return b"".join(map(single.__getitem__, words(part)))
 
+    def stretch(part: str) -> bytes:
+        if part.isalpha():
+            return one(" " + part)
+        # its first word mostly comes as a stretch too
+        first, *rest = words(" " + part)
+        return (known[first[1:]] if first[1:].isalpha() else single[first]) + b"".join(map(single.__getitem__, rest))
+
     #: stretches that a space is before; one of letters is one word, as long as it is kept only here
-    known, assigned = Known(lambda part: one(" " + part) if part.isalpha() else cut(" " + part)), set()
+    known, assigned = Known(stretch), set()
 
     def odd(text: str) -> bool:
         """Whether the text has a character that is not assigned, as far as this Python knows."""
