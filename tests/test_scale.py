@@ -9,9 +9,10 @@ from glob import glob
 
 from pyspark.sql import functions as F
 
+from tidemill import folders
 from tidemill.folders import kept, shared_root
 from tidemill.operators import joins, scopes, sqltext
-from tidemill.plans import scripts
+from tidemill.plans import metadata, scripts
 from tidemill.sources import packages
 
 
@@ -111,3 +112,19 @@ def test_columns_of_statements_come_without_shuffles_but_the_first(spark):
     got = {tuple(r) for r in found.where("script = 's7'").select("number", "position", "source_table", "source_column", "confidence").collect()}
     assert got == {(1, 0, "T", "X", "exact"), (1, 1, "T", "Y", "exact"), (1, 2, "U", "Y", "assumed"), (2, 0, "P", "*", "exact")}
     assert found.count() == 1_200
+
+
+def test_packages_are_made_of_keys_that_are_dealt(spark, tmp_path, monkeypatch):
+    # what a task of the scan writes for a shuffle, it holds: texts there would grow with the row group
+    spark.range(2_100).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    given = []
+    monkeypatch.setattr(packages, "spread", lambda df, *by, **kw: given.append(df) or folders.spread(df, *by, **kw))
+    assert metadata.package_connections(spark, str(tmp_path)).count() == 2 * 2_100
+    shown = plan(given[0])
+    assert shown.count("Exchange") == 1 and "Executable" not in shown[shown.index("Exchange") :]
+
+
+def test_rows_that_lie_well_are_not_dealt_again(spark):
+    assert "Exchange" not in plan(folders.spread(spark.range(0, 400, 1, 4), "id", rows=100))
+    assert "Exchange" in plan(folders.spread(spark.range(0, 400, 1, 2), "id", rows=100))
+    assert folders.spread(spark.range(0, 400, 1, 2), "id", rows=100).rdd.getNumPartitions() == 4

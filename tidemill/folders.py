@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -55,6 +56,13 @@ def dealt(df: DataFrame, *by: str, rows: int = 5_000) -> DataFrame:
     return df.repartition(max(1, -(-df.count() // rows)), *by)
 
 
+def spread(df: DataFrame, *by: str, rows: int = 5_000) -> DataFrame:
+    """dealt(), but df as it is where no task has many more rows than that. What makes long rows of short ones deals those first:
+    the task that reads a row group else makes, and holds while it deals them, all of its long rows."""
+    of_tasks = df.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    return dealt(df, *by, rows=rows) if of_tasks.where(F.col("count") > rows * 3 // 2).take(1) else df
+
+
 def unestimated(df: DataFrame) -> DataFrame:
     """df without an estimate of its size. Where tasks turn a row into many, the plan's estimate stays that of the rows read, and
     a join would send what it takes for small through the driver; without one, adaptive execution goes by the sizes it measures."""
