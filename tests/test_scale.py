@@ -128,3 +128,11 @@ def test_rows_that_lie_well_are_not_dealt_again(spark):
     assert "Exchange" not in plan(folders.spread(spark.range(0, 400, 1, 4), "id", rows=100))
     assert "Exchange" in plan(folders.spread(spark.range(0, 400, 1, 2), "id", rows=100))
     assert folders.spread(spark.range(0, 400, 1, 2), "id", rows=100).rdd.getNumPartitions() == 4
+
+
+def test_scripts_are_made_of_keys_that_are_dealt(spark, tmp_path):
+    spark.range(30_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    at = str(tmp_path)
+    for made in (metadata.statements(spark, at), metadata.refined_sql(spark, at), scripts._stated(spark, at, "select a.x from t", F.col("k"), " a")):
+        shown = plan(made)
+        assert shown.count("Exchange") == 1 and "select" not in shown[shown.index("Exchange") :]

@@ -22,7 +22,7 @@ query = Registry()
 
 def _scripts(spark: SparkSession, sf_dir: str, *text: str | Column) -> DataFrame:
     """One script for each customer; `k` is its key."""
-    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumn("n", 2 + F.col("k") % 4)
+    k = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k").withColumn("n", 2 + F.col("k") % 4)
     sql = F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in text))
     return k.select(F.concat(F.lit("s"), "k").alias("script"), sql.alias("sql"))
 
@@ -124,7 +124,7 @@ def facts_from_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of these scripts, what they read and list, by table functions in lateral joins."""
     surface.register(spark)
     scripts, stated = (f"{x}_{uuid.uuid4().hex}" for x in ("scripts", "stated"))
-    dealt(_scripts(spark, sf_dir, *_chain()), "script").createOrReplaceTempView(scripts)
+    _scripts(spark, sf_dir, *_chain()).createOrReplaceTempView(scripts)
     try:
         # scripts are cut once for all that reads their statements, and counts are added up, not joined
         checkpoint(spark.sql(f"select q.script, x.statement from {scripts} q, lateral split_statements(q.sql) x")).createOrReplaceTempView(stated)
